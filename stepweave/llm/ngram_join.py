@@ -10,11 +10,14 @@ in at most H = floor((r + s) / 9) shingles.
 * Allocation by cost: an empty segment gets 0 (it would pair everything), as does one whose signature turns out to be hot; a
   non-empty one gets 1. In bands of small sets, where it costs few rows, segments are larger and get 2: their one-deletion
   neighbourhoods are indexed too. A set whose allocations don't exceed H also indexes each shingle alone.
-* Signatures with at most COMMON sets give pairs, counted: with c allocations left after the hot ones, a linked pair
-  shares at least c - H of them, which removes most pairs that merely share a passage. What remains is verified on whole texts.
-* Pairs of two sets that both lost too many allocations to hot signatures: each hot signature links its sets to one of
-  them (a star), verified; after connected components, only pairs of different components within a hot signature are left,
-  and those are verified too. So no group of near copies is expanded, and no link between components is lost.
+* Contraction: in each signature's group a first set is the hub. Each set is verified against the one hub it shares by far
+  the most with, and connected components of those links are single nodes from then on; a group of thousands of near
+  copies shrinks to one node with as many verifications as it has members.
+* Groups of at most COMMON sets give pairs of different components, counted: with c allocations left after the hot ones, a
+  linked pair shares at least c - H of them, which removes most pairs that merely share a passage. The rest is verified.
+* Groups of more sets are hot if they hold several components. Sets that lost so many allocations to hot groups that c <= H are
+  indexed once more, among themselves: each shingle is a segment and the rarest get the allocations, H + 1 of them.
+  So no hot group is expanded and no link between components is lost.
 
 Equal sets are handled once. Empty texts and texts without words (null too) have empty sets, linked with nothing. Repeated
 rows and repeated ids: every row gets a result row. An empty table gives an empty result. Other columns are not read.
@@ -26,13 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stepweave.llm.components import components
 from stepweave.llm.textbytes import column_bytes, mix, shingles, slices
 from stepweave.session import cut
 
-LOAD, SMALL, COMMON = 3, 5, 64  # shingles a segment at the band's top; bands below SMALL have deletions; sets of a cold signature
+LOAD, SMALL, COMMON = 3, 5, 16  # shingles a segment at the band's top; bands below SMALL have deletions; sets of a cold group
 _U = np.uint64
 
 
@@ -126,61 +129,96 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "sig long, key long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (sig, key) to pairs (hot false, a, b) of cold signatures and rows (hot true, sig, key) of hot ones.
+def _runs(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, bool]]:
+    """Groups of rows sorted by the first column, as (group column, other columns, sizes, hot).
 
-    A signature's keys wait only until there are more than COMMON, so memory doesn't grow with a group.
+    Cold groups come whole, many at a time, and are those of at most ``most`` rows. Rows of hot groups come as they
+    arrive, so memory doesn't grow with a group; each piece has the group's first row before it.
     """
-    names = ["hot", "a", "b"]
+    hold = [np.zeros(0, np.int64) for _ in range(width)]
+    burning = False  # hold begins with the first row of a hot group, already sent
+    for batch in _ended(batches):
+        if batch is not None:
+            hold = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(hold)]
+        if not len(hold[0]):
+            continue
+        start = np.flatnonzero(np.append(True, hold[0][1:] != hold[0][:-1]))
+        size = np.diff(np.append(start, len(hold[0])))
+        done = np.ones(len(start), bool)
+        done[-1] = batch is None
+        hot = size > most
+        hot[0] |= burning
+        for k in np.flatnonzero(hot):
+            part = slice(start[k], start[k] + size[k])
+            if not (burning and k == 0 and size[k] == 1):
+                yield hold[0][part], [h[part] for h in hold[1:]], size[k : k + 1], True
+        cold = np.repeat(done & ~hot, size)
+        if cold.any():
+            yield hold[0][cold], [h[cold] for h in hold[1:]], size[done & ~hot], False
+        burning = bool(hot[-1])
+        if batch is not None:
+            wait = slice(start[-1], start[-1] + 1) if burning else slice(start[-1], None)
+            hold = [h[wait] for h in hold]
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
-    def hot(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(sig), bool)), pa.array(sig), pa.array(key)], names)
 
-    sig, key, burning = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # burning: the first signature is hot, its last key is sent
-    for batch in _with_end(batches):
-        last = batch is None
-        if not last:
-            sig, key = np.concatenate([sig, batch.column(0).to_numpy()]), np.concatenate([key, batch.column(1).to_numpy()])
-        if not len(sig):
-            continue
+def _shared(batches: Iterator[pa.RecordBatch], most: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Sorted (sig, key) to (sig, key, hub): groups of two or more sets; the hub is the first key in its own band, else null."""
+    last = (None, None)
+    for sig, (key,), size, hot in _runs(batches, 2, most):
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-        if burning:
-            new[0] = True
-        sig, key = sig[new], key[new]
-        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        size = np.diff(np.append(start, len(sig)))
-        done = np.ones(len(start), bool)
-        done[-1] = last
-        big = size > COMMON
-        if burning:
-            big[0] = True
-        if big.any():
-            rows = np.repeat(big, size)
-            if burning:
-                rows[0] = False  # sent before
-            if rows.any():
-                yield hot(sig[rows], key[rows])
+        at = np.repeat(np.arange(len(size)), size)
+        if hot:  # a piece of one group: its first row may be an old one, its hub an earlier key
+            if last[0] == sig[0]:
+                hub = last[1]
+                new[0] = False
+            else:
+                own = np.flatnonzero(key & 1 == 0)
+                hub = key[own[0]] if len(own) else None
+            if hub is None and (key & 1 == 0).any():
+                hub = key[np.flatnonzero(key & 1 == 0)[0]]
+            last = (sig[0], hub)
+            hubs = np.full(len(key), hub if hub is not None else 1, np.int64)
+        else:
+            count = np.bincount(at[new], minlength=len(size))
+            new &= count[at] > 1
+            own = np.flatnonzero(new & (key & 1 == 0))
+            first = np.ones(len(size), np.int64)
+            first[at[own[::-1]]] = key[own[::-1]]
+            hubs = first[at]
+        if new.any():
+            hub = pa.array(hubs[new], mask=hubs[new] & 1 == 1)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[new]), pa.array(key[new]), hub], ["sig", "key", "hub"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], common: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (sig, key, label) to pairs (hot false, a, b) of cold groups across labels and rows (hot true, sig, key, label)."""
+    names = ["hot", "a", "b", "label"]
+    sent = None
+    for sig, (key, label), size, hot in _runs(batches, 3, common):
+        if hot:
+            rows = slice(1 if sent == sig[0] else 0, None)
+            sent = sig[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(sig[rows]), bool)), pa.array(sig[rows]), pa.array(key[rows]), pa.array(label[rows])], names)
+            continue
+        start = np.cumsum(size) - size
         left, right = [], []
-        for k in np.unique(size[done & ~big & (size > 1)]):
-            table = key[start[done & ~big & (size == k)][:, None] + np.arange(k)]
+        for k in np.unique(size[size > 1]):
+            table = start[size == k][:, None] + np.arange(k)
             i, j = np.triu_indices(k, 1)
             left.append(table[:, i].ravel())
             right.append(table[:, j].ravel())
         if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            meet = (a & b & 1) == 0  # two of role up meet in their own band
-            if meet.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(meet.sum()), bool)), pa.array(a[meet]), pa.array(b[meet])], names)
-        if not last:
-            burning = bool(big[-1])
-            wait = len(sig) - 1 if burning else start[-1]
-            sig, key = sig[wait:], key[wait:]
-
-
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+            i, j = np.concatenate(left), np.concatenate(right)
+            meet = (label[i] != label[j]) & (key[i] & key[j] & 1 == 0)  # two of role up meet in their own band
+            i, j = i[meet], j[meet]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), bool)), pa.array(key[i]), pa.array(key[j]), pa.nulls(len(i), pa.int64())], names)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,46 +250,76 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_verify, f"a {kind}, b {kind}")
 
 
-def _role(key: str, own: str, up: str) -> Column:
-    return F.when(F.col(key).bitwiseAND(1) == 1, F.col(up)).otherwise(F.col(own))
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, label, text) to one row (rep, label, n, token) for each shingle."""
+    for batch in batches:
+        raw, off = column_bytes(batch.column(2))
+        for i, j in slices(off):
+            row, h = shingles(raw, off[i : j + 1])
+            n = np.bincount(row, minlength=j - i)
+            take = pa.array(row + i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(n[row].astype(np.int32)), pa.array(h.view(np.int64))], ["rep", "label", "n", "token"])
 
 
-def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _rarest(heavy: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels among ``heavy`` (rep, label) that share one of their H + 1 rarest shingles."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.join(heavy, docs["doc_id"] == heavy["rep"]).select("rep", "label", "text")
+    rows = cut(texts.mapInArrow(_shingle_rows, f"rep {kind}, label long, n int, token long"))
+    often = rows.groupBy("token").agg(F.count("*").alias("often"))
+    ranked = rows.join(often, "token").withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("often", "token")))
+    first = ranked.filter("often > 1 and nth <= floor((n + floor(n * 5 / 4)) / 9) + 1").select("token", "rep", "label", "n")
+    other = first.select("token", *(F.col(c).alias(f"o_{c}") for c in ("rep", "label", "n")))
+    met = first.join(other, "token").filter("rep < o_rep and label <> o_label and 5 * least(n, o_n) >= 4 * greatest(n, o_n)")
+    return met.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")).distinct()
+
+
+def _roles(sets: DataFrame) -> DataFrame:
+    """(key, rep, n, alloc, counts, weight, reach): a row for each role of each set; reach is the H of its largest partner."""
+    each = lambda up: F.struct((F.col("id") + int(up)).alias("key"), F.col("alloc_up" if up else "alloc").alias("alloc"), F.col("counts_up" if up else "counts").alias("counts"), F.lit(int(up)).alias("up"))
+    rows = sets.select("rep", "n", F.explode(F.array(each(False), each(True))).alias("r")).select("rep", "n", "r.*").filter("alloc > 0")
+    band = F.floor(F.log2(F.col("n") + F.lit(0.5)))
+    partner = F.floor(F.col("n") * 5 / 4)
+    partner = F.when(F.col("up") == 1, partner).otherwise(F.least(partner, F.pow(F.lit(2), band + 1) - 1))
+    return rows.select("key", "rep", "n", "alloc", "counts", F.when(band + F.col("up") < SMALL, 2).otherwise(1).alias("weight"), F.floor((F.col("n") + partner) / 9).alias("reach"))
+
+
+def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", common: int = COMMON) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``; a document without links is its own component."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     info = cut(set_table(docs))
-    sets = info.filter("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("n", "alloc", "counts", "alloc_up", "counts_up")))
-    sets = cut(sets)
-    # signatures move once; what leaves the sorted partitions are pairs and the rows of hot signatures
-    found = cut(signatures(docs).repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_groups, "hot boolean, a long, b long").groupBy("hot", "a", "b").agg(F.count("*").alias("shared")))
-    hot = found.filter("hot").select(F.col("a").alias("sig"), F.col("b").alias("key"))
-    lost = hot.groupBy("key").agg(F.count("*").alias("lost"))
-    roles = sets.select(F.explode(F.array(F.struct(F.col("id").alias("key"), F.col("alloc").alias("alloc"), F.col("counts").alias("counts"), F.lit(0).alias("up")), F.struct((F.col("id") + 1).alias("key"), F.col("alloc_up").alias("alloc"), F.col("counts_up").alias("counts"), F.lit(1).alias("up")))).alias("r"), "rep", "n").select("r.*", "rep", "n").filter("alloc > 0")
-    top = F.floor(F.log2(F.col("n") + F.lit(0.5)))
-    partner = F.when(F.col("up") == 1, F.floor(F.col("n") * 5 / 4)).otherwise(F.least(F.floor(F.col("n") * 5 / 4), F.pow(F.lit(2), top + 1) - 1))
-    weight = F.when(top + F.col("up") < SMALL, 2).otherwise(1)
-    roles = cut(roles.join(lost, "key", "left").na.fill(0, ["lost"]).select("key", "rep", "n", (F.col("counts") - F.col("lost")).alias("spare"), (F.col("alloc") - weight * F.col("lost") <= F.floor((F.col("n") + partner) / 9)).alias("heavy")))
-    side = lambda k: roles.select(F.col("key").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "spare")))
-    cold = found.filter("not hot").join(side("a"), "a").join(side("b"), "b")
-    cold = cold.filter("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and shared >= greatest(spare_a, spare_b) - floor((n_a + n_b) / 9)").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    # sets with too few cold allocations: stars within the hot signatures
-    heavy = cut(hot.join(roles.filter("heavy"), "key").select("sig", "key", "rep", "n"))
-    hubs = heavy.filter("key % 2 = 0").groupBy("sig").agg(F.min(F.struct("rep", "n")).alias("hub"))
-    star = heavy.join(hubs, "sig").filter("rep <> hub.rep and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
-    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    links = cut(verified(cold.union(star).select(low, high).distinct(), docs))
+    sets = cut(info.filter("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("n", "alloc", "counts", "alloc_up", "counts_up"))))
+    roles = cut(_roles(sets))
+    side = lambda k, *cols: roles.select(F.col("key").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
+    alike = F.expr("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    by_rep = lambda pairs: pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).filter("a < b").distinct()
+
+    # every signature moves once; what is kept are the few that two sets share
+    group = cut(signatures(docs).repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long, hub long"))
+
+    # contraction: the hub that a set shares most with, if that is at least half of what a link would need
+    star = group.filter("hub <> key").groupBy("key", "hub").agg(F.count("*").alias("shared")).groupBy("key").agg(F.max(F.struct("shared", "hub")).alias("best"))
+    star = star.select(F.col("key").alias("a"), F.col("best.hub").alias("b"), F.col("best.shared").alias("shared")).join(side("a", "rep", "n", "counts"), "a").join(side("b", "rep", "n", "counts"), "b")
+    links = cut(verified(by_rep(star.filter(alike & F.expr("2 * shared >= greatest(counts_a, counts_b) - floor((n_a + n_b) / 9)"))), docs))
     labels = components(links)
+    named = sets.join(labels, sets["rep"] == labels["node"]).select(F.explode(F.array(F.col("id"), F.col("id") + 1)).alias("k"), F.xxhash64("component").alias("own"))
+
+    # pairs of different components within common groups; rows of the others
+    spread = group.join(named, group["key"] == named["k"], "left").select("sig", "key", F.coalesce("own", F.xxhash64(F.shiftright("key", 1), F.lit("set"))).alias("label"))
+    found = cut(spread.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(lambda rows: _pairs(rows, common), "hot boolean, a long, b long, label long").groupBy("hot", "a", "b").agg(F.count("*").alias("shared"), F.min("label").alias("label")))
+    hot = found.filter("hot").select(F.col("a").alias("sig"), F.col("b").alias("key"), "label")
+    mixed = hot.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
+    lost = cut(hot.join(mixed, "sig", "left_semi").groupBy("key").agg(F.count("*").alias("lost"), F.min("label").alias("label")))
+    spare = lambda k: side(k, "rep", "n", "counts").join(lost.select(F.col("key").alias(k), F.col("lost").alias(f"lost_{k}")), k, "left").na.fill(0, [f"lost_{k}"])
+    cold = found.filter("not hot").join(spare("a"), "a").join(spare("b"), "b")
+    pairs = by_rep(cold.filter(alike & F.expr("shared >= greatest(counts_a - lost_a, counts_b - lost_b) - floor((n_a + n_b) / 9)")))
+    heavy = cut(lost.join(roles, "key").filter("alloc - weight * lost <= reach").groupBy("rep").agg(F.min("label").alias("label")))
     if not heavy.isEmpty():
-        member = cut(heavy.join(labels, heavy["rep"] == labels["node"], "left").select("sig", "key", "rep", "n", F.coalesce("component", "rep").alias("label")))
-        most = member.groupBy("sig", "label").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
-        other = member.join(most, "sig").filter("label <> most.label").select("sig", *(F.col(c).alias(f"o_{c}") for c in ("key", "rep", "n", "label")))
-        across = other.join(member, "sig").filter("label <> o_label and not (key % 2 <> 0 and o_key % 2 <> 0) and 5 * least(n, o_n) >= 4 * greatest(n, o_n)")
-        across = across.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
-        more = cut(verified(across, docs))
-        if not more.isEmpty():
-            labels = components(links.union(more))
-    reached = sets.join(labels, sets["rep"] == labels["node"], "left").select("id", F.coalesce("component", "rep").alias("component"))
-    of = reached.withColumnRenamed("id", "_id")
+        pairs = pairs.union(_rarest(heavy, docs)).distinct()
+    more = cut(verified(pairs, docs))
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    of = sets.join(labels, sets["rep"] == labels["node"], "left").select(F.col("id").alias("_id"), F.coalesce("component", "rep").alias("component"))
     return info.join(of, (info["id"] == of["_id"]) & (info["n"] > 0), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
