@@ -15,9 +15,10 @@ in at most H = floor((r + s) / 9) shingles.
   copies shrinks to one node with as many verifications as it has members.
 * Groups of at most COMMON sets give pairs of different components, counted: with c allocations left after the hot ones, a
   linked pair shares at least c - H of them, which removes most pairs that merely share a passage. The rest is verified.
-* Groups of more sets are hot if they hold several components. Sets that lost so many allocations to hot groups that c <= H are
-  indexed once more, among themselves: each shingle is a segment and the rarest get the allocations, H + 1 of them.
-  So no hot group is expanded and no link between components is lost.
+* Groups of more sets are hot if they hold several components. Sets that lost so many allocations to hot groups that c <= H
+  form families: a hot group's hub is its set with the most hot signatures, and a family is all such sets of the groups of
+  one hub. Families are cut into blocks, and each pair of blocks is one small task that compares differences from the
+  block's majority set and returns a spanning forest of the links between components, never the pairs.
 
 Equal sets are handled once. Empty texts and texts without words (null too) have empty sets, linked with nothing. Repeated
 rows and repeated ids: every row gets a result row. An empty table gives an empty result. Other columns are not read.
@@ -28,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -36,6 +38,7 @@ from stepweave.llm.textbytes import column_bytes, mix, shingles, slices
 from stepweave.session import cut
 
 LOAD, SMALL, COMMON = 3, 5, 16  # shingles a segment at the band's top; bands below SMALL have deletions; sets of a cold group
+BLOCK_SETS, BLOCK_BYTES = 1024, 1 << 22  # of a family's blocks
 _U = np.uint64
 
 
@@ -250,28 +253,68 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_verify, f"a {kind}, b {kind}")
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (rep, label, text) to one row (rep, label, n, token) for each shingle."""
+def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, text) to (rep, set): the sorted hashes as bytes."""
     for batch in batches:
-        raw, off = column_bytes(batch.column(2))
+        raw, off = column_bytes(batch.column(1))
         for i, j in slices(off):
             row, h = shingles(raw, off[i : j + 1])
-            n = np.bincount(row, minlength=j - i)
-            take = pa.array(row + i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(n[row].astype(np.int32)), pa.array(h.view(np.int64))], ["rep", "label", "n", "token"])
-
-
-def _rarest(heavy: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different labels among ``heavy`` (rep, label) that share one of their H + 1 rarest shingles."""
+            end = np.searchsorted(row, np.arange(j - i + 1))
+            packed = [h[x:y].tobytes() for x, y in zip(end, end[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], ["rep", "set"])
+
+
+def _forest(block: pd.DataFrame) -> pd.DataFrame:
+    """Spanning forest (a, b) of the links between different labels among the sets of one pair of blocks."""
+    tokens = [np.frombuffer(x, _U) for x in block["set"]]
+    m, n = len(tokens), np.array([len(t) for t in tokens])
+    owner = np.repeat(np.arange(m), n)
+    _, token, often = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    base = often * 2 > m  # the majority set; what counts is how each set differs from it
+    there = np.bincount(owner[base[token]], minlength=m)
+    apart = n + base.sum() - 2 * there
+    shared = np.zeros((m, m), np.float32)
+    useful = np.flatnonzero(np.where(base, m - often, often) >= 2)
+    column = np.full(len(often), -1)
+    column[useful] = np.arange(len(useful))
+    at = column[token]
+    for lo in range(0, len(useful), 2048):
+        part = slice(lo, lo + 2048)
+        bits = np.repeat(base[useful[part]][None, :], m, 0).astype(np.float32)
+        here = (at >= lo) & (at < lo + 2048)
+        bits[owner[here], at[here] - lo] = ~base[token[here]]
+        shared += bits @ bits.T
+    differ = apart[:, None] + apart[None, :] - 2 * shared
+    label, part = block["label"].to_numpy(), block["block"].to_numpy()
+    link = (9 * differ <= n[:, None] + n[None, :]) & (label[:, None] != label[None, :])
+    if (part != part[0]).any():
+        link &= part[:, None] != part[None, :]
+    rep, a, b = block["rep"].to_numpy(), [], []
+    open_ = link.any(1)
+    for root in range(m):
+        if not open_[root]:
+            continue
+        open_[root], stack = False, [root]
+        while stack:
+            x = stack.pop()
+            for y in np.flatnonzero(link[x] & open_):
+                open_[y] = False
+                stack.append(y)
+                a.append(rep[x])
+                b.append(rep[y])
+    return pd.DataFrame({"a": a, "b": b}).astype({"a": block["rep"].dtype, "b": block["rep"].dtype})
+
+
+def _family_links(family: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): links between labels within families (hub, rep, label, n), enough to connect all that are connected."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.join(heavy, docs["doc_id"] == heavy["rep"]).select("rep", "label", "text")
-    rows = cut(texts.mapInArrow(_shingle_rows, f"rep {kind}, label long, n int, token long"))
-    often = rows.groupBy("token").agg(F.count("*").alias("often"))
-    ranked = rows.join(often, "token").withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("often", "token")))
-    first = ranked.filter("often > 1 and nth <= floor((n + floor(n * 5 / 4)) / 9) + 1").select("token", "rep", "label", "n")
-    other = first.select("token", *(F.col(c).alias(f"o_{c}") for c in ("rep", "label", "n")))
-    met = first.join(other, "token").filter("rep < o_rep and label <> o_label and 5 * least(n, o_n) >= 4 * greatest(n, o_n)")
-    return met.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")).distinct()
+    reps = family.select("rep").distinct()
+    sets = cut(docs.join(reps, docs["doc_id"] == reps["rep"]).select("rep", "text").mapInArrow(_set_bytes, f"rep {kind}, set binary").dropDuplicates(["rep"]))
+    sizes = family.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = family.join(sizes, "hub").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    placed = rows.select("hub", "lo", "hi", "block", "rep", "label").join(sets, "rep")
+    return placed.groupBy("hub", "lo", "hi").applyInPandas(_forest, f"a {kind}, b {kind}").distinct()
 
 
 def _roles(sets: DataFrame) -> DataFrame:
@@ -313,10 +356,12 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spare = lambda k: side(k, "rep", "n", "counts").join(lost.select(F.col("key").alias(k), F.col("lost").alias(f"lost_{k}")), k, "left").na.fill(0, [f"lost_{k}"])
     cold = found.filter("not hot").join(spare("a"), "a").join(spare("b"), "b")
     pairs = by_rep(cold.filter(alike & F.expr("shared >= greatest(counts_a - lost_a, counts_b - lost_b) - floor((n_a + n_b) / 9)")))
-    heavy = cut(lost.join(roles, "key").filter("alloc - weight * lost <= reach").groupBy("rep").agg(F.min("label").alias("label")))
-    if not heavy.isEmpty():
-        pairs = pairs.union(_rarest(heavy, docs)).distinct()
     more = cut(verified(pairs, docs))
+    heavy = lost.join(roles, "key").filter("alloc - weight * lost <= reach").select("key", "lost", "rep", "n")
+    held = cut(hot.join(mixed, "sig", "left_semi").join(heavy, "key").select("sig", "rep", "n", "label", "lost"))
+    if not held.isEmpty():
+        hubs = held.groupBy("sig").agg(F.max_by("rep", F.struct("lost", F.xxhash64("rep"))).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("sig", "hub")
+        more = more.union(_family_links(held.join(hubs, "sig").select("hub", "rep", "label", "n").distinct(), docs))
     if not more.isEmpty():
         labels = components(links.union(more))
     of = sets.join(labels, sets["rep"] == labels["node"], "left").select(F.col("id").alias("_id"), F.coalesce("component", "rep").alias("component"))
