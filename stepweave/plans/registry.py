@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stepweave.plans import catalog_queries, sequence_queries
+from stepweave.plans import catalog_queries, sequence_queries, state_queries
 from stepweave.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog_queries", "sequence_queries"]
+__all__ = ["ORACLES", "QUERIES", "catalog_queries", "sequence_queries", "state_queries"]
