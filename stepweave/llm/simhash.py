@@ -102,22 +102,29 @@ def edited_pairs(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text:
     """Fingerprints of each text and of its edited text: the last third replaced by the start of the next document.
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near); the next document is
-    that of ``next_ids``, by its smallest text where an id repeats; a row without an id follows itself. n_near counts the
+    that of ``next_ids``, by its smallest start where an id repeats; a row without an id follows itself. n_near counts the
     other distinct fingerprints of the table's texts within ``radius`` bits.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = next_ids(docs.select(F.col("doc_id").alias("id")))
+    placed, lone = docs.filter("doc_id IS NOT NULL"), docs.filter("doc_id IS NULL")
+    order = next_ids(placed.select(F.col("doc_id").alias("id")))
+    need = placed.groupBy("doc_id").agg(F.max(F.expr("length(text) div 3")).alias("need"))
+    # the exchange of the texts by id serves as source of the starts and as the texts they go to
+    source = placed.select(F.col("doc_id").alias("src"), F.col("text").alias("src_text"))
+    heads = order.join(need, F.col("id") == F.col("doc_id")).join(source, F.col("next_id") == F.col("src")).select(F.col("id").alias("of"), "next_id", F.expr("substring(src_text, 1, cast(need AS int))").alias("head"))
+    heads = heads.groupBy("of", "next_id").agg(F.min("head").alias("head"))
     same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.withColumn("nth", F.row_number().over(same))
-    firsts = rows.filter("nth = 1").select(F.col("doc_id").alias("src"), F.col("text").alias("src_text"))
-    need = rows.select("doc_id", F.floor(F.length("text") / 3).alias("need")).groupBy("doc_id").agg(F.max("need").alias("need"))
-    heads = order.join(need, F.col("id") == F.col("doc_id")).join(firsts, F.col("next_id") == F.col("src")).select(F.col("id").alias("of"), "next_id", F.expr("substring(src_text, 1, cast(need as int))").alias("head"))
-    both = rows.join(heads, F.col("doc_id") == F.col("of"), "left").withColumn("n_chars", F.length("text"))
-    both = both.withColumn("head", F.coalesce("head", F.expr("substring(text, 1, n_chars div 3)")))
-    both = both.withColumn("edited", F.expr("concat(substring(text, 1, n_chars - n_chars div 3), substring(head, 1, n_chars div 3))"))
+    both = placed.withColumn("nth", F.row_number().over(same)).join(heads, F.col("doc_id") == F.col("of"))
+    none = lone.withColumn("nth", F.row_number().over(same)).withColumn("next_id", F.col("doc_id")).withColumn("head", F.col("text"))
     facts = ["doc_id", "nth", "next_id", "n_chars", "edited_sha256"]
-    two = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(*facts, F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("text")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("text")))).alias("x")).select(*facts, "x.v", "x.text")
-    prints = fingerprints(two, [*facts, "v"])
+
+    def printed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("n_chars", F.length("text"))
+        rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, n_chars - n_chars div 3), substring(head, 1, n_chars div 3))"))
+        two = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(*facts, F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("text")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("text")))).alias("x")).select(*facts, "x.v", "x.text")
+        return fingerprints(two, [*facts, "v"])
+
+    prints = printed(both).unionByName(printed(none))
     pick = lambda c, v: F.max(F.when(F.col("v") == v, F.col(c)))
     wide = cut(prints.groupBy(*facts).agg(pick("f1", 0).alias("f1"), pick("f2", 0).alias("f2"), pick("f1", 1).alias("e1"), pick("f2", 1).alias("e2")))
     after = wide.filter("nth = 1 and doc_id is not null").select(F.col("doc_id").alias("after"), F.col("f1").alias("n1"), F.col("f2").alias("n2"))
