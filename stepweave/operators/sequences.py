@@ -5,9 +5,10 @@ Every operator partitions by ``set_id``; one shuffle by it serves a chain of the
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stepweave.operators.grouped import fold_groups
+
 SET = "set_id"
 
 
@@ -73,19 +74,20 @@ def min_spacing(starts: DataFrame, spacing: int = 5, most: int = 30) -> DataFram
     A candidate within ``spacing`` pages of a kept one replaces it if it ranks higher by (previous, drop, confidence, -page);
     replaced entries aren't compared again. At most ``most`` stay, a limit that is part of the rule.
     """
-    columns = [SET, "page", "previous", "drop", "confidence"]
+    rank = lambda r: (r["previous"], r["drop"], r["confidence"], -r["page"])
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for row in group.sort_values("page")[columns].itertuples(index=False, name=None):
-            near = next((i for i, k in enumerate(kept) if abs(row[1] - k[1]) < spacing), None)
+    def keep(rows: list[dict]) -> list[dict]:
+        kept: list[dict] = []
+        for r in rows:
+            near = next((i for i, k in enumerate(kept) if abs(r["page"] - k["page"]) < spacing), None)
             if near is None:
-                kept.append(row)
-            elif (*row[2:5], -row[1]) > (*kept[near][2:5], -kept[near][1]):
-                kept[near] = row
-        return pd.DataFrame(sorted(kept, key=lambda r: r[1])[:most], columns=columns)
+                kept.append(r)
+            elif rank(r) > rank(kept[near]):
+                kept[near] = r
+        return sorted(kept, key=lambda r: r["page"])[:most]
 
-    return starts.select(*columns).groupBy(SET).applyInPandas(keep, starts.select(*columns).schema)
+    lean = starts.select(SET, "page", "previous", "drop", "confidence")
+    return fold_groups(lean, SET, ["page"], keep, lean.schema)
 
 
 def missing_numbers(truth: DataFrame) -> DataFrame:
@@ -164,20 +166,17 @@ def sequence_gaps(known: DataFrame) -> DataFrame:
 
 def consecutive_accept(candidates: DataFrame, first: int = 1) -> DataFrame:
     """In page order only the next expected number is kept, which then advances; others say why not. Order-dependent."""
-    out = candidates.select(SET, "page", "bag")
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        expected, kept, why = first, [], []
-        group = group.sort_values(["page", "bag"])
-        for bag in group["bag"]:
-            ok = bag == expected
-            kept.append(ok)
-            why.append("" if ok else "already passed" if bag < expected else "not the next number")
-            expected += ok
-        return group.assign(accepted=kept, reason=why)
+    def walk(rows: list[dict]) -> list[dict]:
+        expected = first
+        for r in rows:
+            r["accepted"] = r["bag"] == expected
+            r["reason"] = "" if r["accepted"] else "already passed" if r["bag"] < expected else "not the next number"
+            expected += r["accepted"]
+        return rows
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema)
-    return out.groupBy(SET).applyInPandas(walk, f"{kinds}, accepted boolean, reason string")
+    lean = candidates.select(SET, "page", "bag").filter("bag IS NOT NULL")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lean.schema)
+    return fold_groups(lean, SET, ["page", "bag"], walk, f"{kinds}, accepted boolean, reason string")
 
 
 def asof_last_confirmed(pages: DataFrame, truth: DataFrame) -> DataFrame:
@@ -238,10 +237,11 @@ def context_outliers(steps: DataFrame, span: int = 4, slack: int = 30, ahead: in
     pages no more than ``slack`` away.
     """
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        pages = sorted(group["page"].unique())
-        values = {p: sorted(v) for p, v in group.groupby("page")["value"]}
-        dropped = []
+    def walk(rows: list[dict]) -> list[dict]:
+        values: dict[int, list[int]] = {}
+        for r in rows:
+            values.setdefault(r["page"], []).append(r["value"])
+        pages, dropped = list(values), []
         for k, page in enumerate(pages):
             around = sorted(v for p in pages[max(0, k - span) : k + span + 1] if p != page for v in values[p])
             if not around:
@@ -251,8 +251,8 @@ def context_outliers(steps: DataFrame, span: int = 4, slack: int = 30, ahead: in
             for v in [v for v in values[page] if v > top + slack]:
                 if not any(abs(a - v) <= slack for a in later):
                     values[page].remove(v)
-                    dropped.append((group[SET].iloc[0], page, v))
-        return pd.DataFrame(dropped, columns=[SET, "page", "value"])
+                    dropped.append({SET: rows[0][SET], "page": page, "value": v})
+        return dropped
 
-    rows = steps.select(SET, "page", "value").filter("value is not null").distinct()
-    return rows.groupBy(SET).applyInPandas(walk, rows.schema)
+    lean = steps.select(SET, "page", "value").filter("value IS NOT NULL").distinct()
+    return fold_groups(lean, SET, ["page", "value"], walk, lean.schema)

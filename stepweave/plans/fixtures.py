@@ -21,7 +21,7 @@ FIXTURES: dict[str, str] = {
     "truth": "SELECT set_id, bag, page FROM starts WHERE bag % 3 <> 0",
     "manual": "SELECT set_id, max(page) AS last_page FROM page_steps GROUP BY set_id",
     # tokens and boxes on a page
-    "boxes": "SELECT l_orderkey AS page, CAST(l_linenumber AS INT) AS box, CAST(l_partkey % 1000 AS INT) AS x, CAST((l_suppkey * 37) % 800 AS INT) AS y, CAST(10 + 5 * l_linenumber AS INT) AS w, CAST(12 + CAST(l_quantity AS INT) % 30 AS INT) AS h, concat(CAST(CAST(l_quantity AS INT) AS VARCHAR(9)), 'x') AS text, l_discount AS score, l_shipdate, l_suppkey, l_partkey FROM lineitem",
+    "boxes": "SELECT l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS box, CAST(l_partkey % 1000 AS INT) AS x, CAST((l_suppkey * 37) % 800 AS INT) AS y, CAST(10 + 5 * l_linenumber AS INT) AS w, CAST(12 + CAST(l_quantity AS INT) % 30 AS INT) AS h, concat(CAST(CAST(l_quantity AS INT) AS VARCHAR(9)), 'x') AS text, l_discount AS score, l_shipdate, l_suppkey, l_partkey FROM lineitem",
     # catalog of parts and colours
     "inventories": "SELECT o_orderkey AS inventory_id, o_custkey AS set_num, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS version FROM orders",
     "requirements": "SELECT l_orderkey AS inventory_id, l_partkey AS part_num, l_suppkey AS color_id, CAST(l_quantity AS INT) AS quantity, l_returnflag AS flag FROM lineitem",
