@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stepweave.llm.boosting import Boosted, fit
+from stepweave.llm.sampling import bounded_sample
 
 TRAIN_PAGES, TRAIN_CHARS = 200, 60_000
 
@@ -280,7 +281,8 @@ def _seed_pages(rng: random.Random) -> list[str]:
 
 def train(pages: DataFrame, max_pages: int = TRAIN_PAGES) -> Boosted:
     """Fit on at most ``max_pages`` pages of at most TRAIN_CHARS characters."""
-    rows = pages.select("page_id", "html").filter(F.length("html") <= TRAIN_CHARS).orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(max_pages).collect()
+    fit_pages = pages.select("page_id", "html").filter(F.length("html") <= TRAIN_CHARS)
+    rows = sorted(bounded_sample(fit_pages, ["page_id", "html"], max_pages).collect(), key=lambda r: (r["page_id"] is None, r["page_id"], r["html"]))
     rng, x, y = random.Random(5), [], []
     for source in [*(r["html"] for r in rows), *_seed_pages(rng)]:
         for one in variants(source, rng):

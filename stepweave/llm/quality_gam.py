@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stepweave.llm.sampling import bounded_sample
 from stepweave.llm.textbytes import column_bytes, slices, words
 
 MAX_LABELLED = 20_000
@@ -171,7 +172,8 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> AdditiveModel:
     """Fit on at most ``max_labelled`` labelled rows; the sample, of known size, is broadcast to find its texts."""
-    sample = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("_y")).where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_labelled)
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("_y")).where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
+    sample = bounded_sample(known, ["_id", "_y"], max_labelled)
     texts = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id").select("_y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

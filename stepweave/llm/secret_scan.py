@@ -19,6 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stepweave.llm.sampling import bounded_sample
 from stepweave.session import cut
 
 MAX_LABELLED, OFTEN, SMOOTH = 20_000, 20, 5.0
@@ -103,7 +104,7 @@ def findings(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "do
         full = rows.join(rate, F.col("near") == F.col("_near"), "left").na.fill(seen["mean"], ["before_rate"])
         gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
         ready = gather.transform(full)
-        sample = ready.filter("y IS NOT NULL").orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start").limit(MAX_LABELLED).select("features", "y")
+        sample = bounded_sample(ready.filter("y IS NOT NULL"), ["doc_id", "start"], MAX_LABELLED).select("features", "y")
         model = RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=trees, maxDepth=5, seed=seed).fit(sample)
         scored = model.transform(ready).withColumn("score", vector_to_array("probability")[1])
     return scored.select("doc_id", "start", "candidate", "score", (F.col("score") >= 0.5).alias("secret"))
