@@ -127,3 +127,39 @@ def library_match(crops: DataFrame, library: DataFrame, k: int = 5) -> DataFrame
     rows = rows.withColumn("score", s.hash_colour_score(image, mse, colour))
     w = Window.partitionBy("set_num", "crop").orderBy(F.desc("score"), "item")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("set_num", "crop", "rank", "item", "score")
+
+
+def cluster_gate(detections: DataFrame, width: int = 30, low: int = 25, high: int = 60, components: int = 2, dominant: int = 10) -> DataFrame:
+    """Decision for the best detection of each (set_id, page, value): columns components, w, h, score, plausible, substep, misread.
+
+    Size and components pass, are rejected or uncertain; ``plausible`` is true, false or null (unknown). Misreads and
+    sub-steps are suppressed first, then what is implausible or rejected; sure ones are accepted, the rest goes to a person.
+    """
+    rows = detections.groupBy(SET, "page", "value").agg(F.max_by(F.struct("components", "w", "h", "plausible", "substep", "misread"), F.struct("score", "components", "w", "h")).alias("b")).select(SET, "page", "value", "b.*")
+    c = F.col
+    bad = (c("components") == 1) | (c("w") < width) | (c("h") < low) | (c("h") > high) | ((c("value") >= dominant) & (c("value") < 100) & (c("components") != components))
+    fit = F.when(c("components").isNull() | c("w").isNull() | c("h").isNull(), "uncertain").when(bad, "reject").when(c("components") == components, "pass").otherwise("uncertain")
+    rows = rows.withColumn("fit", fit)
+    ok = c("plausible")
+    gate = (
+        F.when(c("misread"), "misread")
+        .when(c("substep") & (c("fit") != "reject") & F.coalesce(ok, F.lit(True)), "substep")
+        .when(~F.coalesce(ok, F.lit(True)) | (c("fit") == "reject"), "noise")
+        .when((c("fit") == "pass") & F.coalesce(ok, F.lit(False)), "accepted")
+        .otherwise("human_review")
+    )
+    return rows.select(SET, "page", "value", "fit", gate.alias("decision"))
+
+
+def slot_sequence(crops: DataFrame, most_islands: int = 3) -> DataFrame:
+    """slots of each crop (qty array, saved array<int> of slot indices, islands): quantities, else saved labels, else islands.
+
+    At most ``most_islands`` islands make slots; where there are more islands than slots, the rest is appended.
+    """
+    size = lambda c: F.coalesce(F.when(F.size(c) > 0, F.size(c)), F.lit(0))
+    saved = F.coalesce(F.array_max(F.filter("saved", lambda k: k >= 0)) + 1, F.lit(0))
+    island = F.when(F.col("islands") <= most_islands, F.col("islands")).otherwise(0)
+    first = F.when(size("qty") > 0, size("qty")).otherwise(saved)
+    source = F.when(size("qty") > 0, "qty").when(saved > 0, "saved_label").otherwise("island_fallback")
+    rows = crops.withColumn("n", F.greatest(first, island)).withColumn("first", first).withColumn("source", source).filter("n > 0")
+    return rows.select("crop", "first", "source", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot")).select("crop", "slot", F.when(F.col("slot") < F.col("first"), F.col("source")).otherwise("island_fallback").alias("source"))

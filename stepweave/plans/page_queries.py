@@ -70,3 +70,4 @@ register("q03_path_referential", lambda i: p.path_referential(i.documents.select
 register("q04_stage_order", lambda i: p.stage_order(i.conversations.filter("turn % 3 <> 1").select("conv_id", F.col("turn").alias("stage")), "conv_id"), "WITH s AS (SELECT conv_id, turn AS stage FROM conversations WHERE turn % 3 <> 1), t AS (SELECT conv_id, unnest(range(0, max(stage) + 1)) AS stage FROM s GROUP BY conv_id) SELECT conv_id, stage FROM t ANTI JOIN s USING (conv_id, stage)")
 register("q05_path_parity", lambda i: p.path_parity(i.documents.filter("doc_id % 3 <> 0").select("doc_id", F.expr("concat('p', doc_id)").alias("path")), i.documents.filter("doc_id % 2 = 0").select("doc_id", F.expr("concat('p', doc_id - doc_id % 4)").alias("path")), "doc_id"), "WITH o AS (SELECT doc_id, concat('p', doc_id) AS old_path FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, concat('p', doc_id - doc_id % 4) AS new_path FROM documents WHERE doc_id % 2 = 0) SELECT *, old_path IS NOT DISTINCT FROM new_path AS same FROM o FULL JOIN n USING (doc_id)")
 register("q06_id_presence", lambda i: p.id_presence(i.bundles.withColumn("bundle_id", F.expr("if(doc_id % 9 = 0, '', bundle_id)")), "bundle_id"), "SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 9 = 0) AS without_id FROM bundles")
+register("p13_asset_filter", lambda i: i.pages.selectExpr("page_id", "concat(if(page_id % 3 = 0, 'cache/', 'run/'), if(page_id % 5 = 0, 'debug_', ''), page_id, if(page_id % 2 = 0, '.PNG', '.txt')) as path").select("page_id", p.asset_filter(F.col("path")).alias("asset")), "SELECT page_id, page_id % 2 = 0 AND page_id % 3 <> 0 AND page_id % 5 <> 0 AS asset FROM pages")

@@ -43,3 +43,21 @@ def _grids(i, when):
 
 
 register("f12_library_match", lambda i: r.library_match(_grids(i, "vec_id % 10 = 0"), _grids(i, "vec_id % 10 <> 0")))
+
+
+def _gate(i):
+    return i.boxes.selectExpr("l_suppkey as set_id", "page", "box * 4 as value", "case when x % 9 > 0 then x % 4 end as components", "w * 2 as w", "h + 10 as h", "score", "case when x % 5 = 0 then false when x % 5 < 3 then true end as plausible", "y % 7 = 0 as substep", "y % 11 = 0 as misread")
+
+
+register(
+    "w25_cluster_gate", lambda i: r.cluster_gate(_gate(i)),
+    """WITH d AS (SELECT l_suppkey AS set_id, page, box * 4 AS value, CASE WHEN x % 9 > 0 THEN x % 4 END AS components, w * 2 AS w, h + 10 AS h, CASE WHEN x % 5 = 0 THEN false WHEN x % 5 < 3 THEN true END AS ok, y % 7 = 0 AS substep, y % 11 = 0 AS misread FROM boxes),
+    f AS (SELECT *, CASE WHEN components IS NULL THEN 'uncertain' WHEN components = 1 OR w < 30 OR h < 25 OR h > 60 OR (value >= 10 AND value < 100 AND components <> 2) THEN 'reject' WHEN components = 2 THEN 'pass' ELSE 'uncertain' END AS fit FROM d)
+    SELECT set_id, page, value, fit, CASE WHEN misread THEN 'misread' WHEN substep AND fit <> 'reject' AND coalesce(ok, true) THEN 'substep' WHEN NOT coalesce(ok, true) OR fit = 'reject' THEN 'noise' WHEN fit = 'pass' AND coalesce(ok, false) THEN 'accepted' ELSE 'human_review' END AS decision FROM f""",
+)
+register(
+    "f05_slot_sequence", lambda i: r.slot_sequence(i.bundles.selectExpr("doc_id as crop", "if(doc_id % 3 = 0, array('1x', '2x'), array()) as qty", "if(doc_id % 2 = 0, array(cast(doc_id % 4 as int)), array()) as saved", "cast(doc_id % 5 as int) as islands")),
+    """WITH s AS (SELECT doc_id AS crop, CASE WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 2 = 0 THEN doc_id % 4 + 1 ELSE 0 END AS first, CASE WHEN doc_id % 3 = 0 THEN 'qty' WHEN doc_id % 2 = 0 THEN 'saved_label' ELSE 'island_fallback' END AS source, CASE WHEN doc_id % 5 <= 3 THEN doc_id % 5 ELSE 0 END AS island FROM bundles),
+    x AS (SELECT *, unnest(range(0, greatest(first, island))) AS slot FROM s) SELECT crop, slot, CASE WHEN slot < first THEN source ELSE 'island_fallback' END AS source FROM x""",
+)
+register("s09_embedding_scan", lambda i: i.vectors.select("vec_id", "label", F.size("embedding").alias("length")), "SELECT vec_id, label, len(embedding) AS length FROM vectors")
