@@ -230,29 +230,63 @@ def bag_step_range(starts: DataFrame, manual: DataFrame, steps: DataFrame, most_
 
 
 def context_outliers(steps: DataFrame, span: int = 4, slack: int = 30, ahead: int = 5) -> DataFrame:
-    """Drops values over ``slack`` above the trimmed maximum of the pages around, without an anchor ahead.
+    """Values dropped because they lie over ``slack`` above the trimmed maximum of the pages around, without a forward anchor.
 
-    Walks each manual forward; a dropped value is gone from the context of later pages. The trimmed maximum is the largest
-    value after the top fifth of the values within ``span`` pages is left out; an anchor is a value on the next ``ahead``
-    pages no more than ``slack`` away.
+    The trimmed maximum leaves out the top fifth of the values on ``span`` pages each way; the forward one, of the pages
+    after only, must come within ``ahead`` of the value to keep it. The walk goes forward, and a dropped value is gone from later contexts.
     """
 
+    def trimmed(values: list[int]) -> int:
+        values = sorted(values)
+        return values[len(values) - int(len(values) * 0.2) - 1] if values else 0
+
     def walk(rows: list[dict]) -> list[dict]:
         values: dict[int, list[int]] = {}
         for r in rows:
             values.setdefault(r["page"], []).append(r["value"])
         pages, dropped = list(values), []
         for k, page in enumerate(pages):
-            around = sorted(v for p in pages[max(0, k - span) : k + span + 1] if p != page for v in values[p])
+            after = [v for p in pages[k + 1 : k + span + 1] for v in values[p]]
+            around = [v for p in pages[max(0, k - span) : k] for v in values[p]] + after
             if not around:
                 continue
-            top = around[max(0, int(len(around) * 0.8) - 1)]
-            later = [v for p in pages[k + 1 :] if p - page <= ahead for v in values[p]]
-            for v in [v for v in values[page] if v > top + slack]:
-                if not any(abs(a - v) <= slack for a in later):
-                    values[page].remove(v)
-                    dropped.append({SET: rows[0][SET], "page": page, "value": v})
+            top, forward = trimmed(around), trimmed(after)
+            for v in [v for v in values[page] if v > top + slack and forward < v - ahead]:
+                values[page].remove(v)
+                dropped.append({SET: rows[0][SET], "page": page, "value": v})
         return dropped
 
-    lean = steps.select(SET, "page", "value").filter("value IS NOT NULL").distinct()
+    lean = steps.select(SET, "page", "value").filter("value > 0").distinct()
     return fold_groups(lean, SET, ["page", "value"], walk, lean.schema)
+
+
+def gap_promotion(steps: DataFrame, audit: DataFrame, most: int = 6) -> DataFrame:
+    """For a gap of 1..``most`` numbers between a page and the next one, the most confident audit candidate of each missing number.
+
+    Both: set_id, page, value, box; audit also has confidence. A box that the page uses, or that was just promoted, isn't used again.
+    """
+
+    def walk(rows: list[dict]) -> list[dict]:
+        have: dict[int, list[dict]] = {}
+        offers: dict[int, list[dict]] = {}
+        for r in rows:
+            (offers if r["audit"] else have).setdefault(r["page"], []).append(r)
+        pages, out = sorted(have), []
+        for page, following in zip(pages, pages[1:]):
+            top = max(r["value"] for r in have[page])
+            later = [r["value"] for r in have[following] if r["value"] > top]
+            if not later or not 0 < min(later) - top - 1 <= most:
+                continue
+            used = {r["box"] for r in have[page]}
+            for value in range(top + 1, min(later)):
+                found = [r for r in offers.get(page, []) if r["value"] == value and r["box"] not in used]
+                if found:
+                    best = min(found, key=lambda r: (-r["confidence"], r["box"]))
+                    used.add(best["box"])
+                    out.append({SET: best[SET], "page": page, "value": value, "box": best["box"], "next_page": following})
+        return out
+
+    columns = [SET, "page", "value", "box"]
+    both = steps.select(*columns, F.lit(0.0).alias("confidence"), F.lit(False).alias("audit")).unionByName(audit.select(*columns, F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), F.lit(True).alias("audit"))).filter("value > 0")
+    kinds = ", ".join(f"{c} {steps.schema[c].dataType.simpleString()}" for c in columns)
+    return fold_groups(both, SET, ["page", "value", "box"], walk, f"{kinds}, next_page {steps.schema['page'].dataType.simpleString()}")

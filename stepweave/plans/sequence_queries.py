@@ -100,3 +100,4 @@ register(
     f"""WITH {_RANGES}, n AS (SELECT r.set_id, r.bag, p.value, row_number() OVER (PARTITION BY r.set_id, r.bag ORDER BY p.page) AS nth FROM ranges r JOIN page_steps p ON p.set_id = r.set_id AND p.page BETWEEN r.start_page AND r.end_page)
     SELECT r.set_id, r.bag, r.start_page, r.end_page, m.max_step, coalesce(m.pages_read, 0) AS pages_read FROM ranges r LEFT JOIN (SELECT set_id, bag, max(value) AS max_step, count(*) AS pages_read FROM n WHERE nth <= 15 GROUP BY set_id, bag) m USING (set_id, bag)""",
 )
+register("w12_gap_promotion", lambda i: q.gap_promotion(*(i.multi_steps.select("set_id", "page", q.F.expr("cast((value + 1) / 2 as int)").alias("value"), q.F.col("h").alias("box"), q.F.col("score").alias("confidence")).filter(w) for w in ("box % 3 > 0", "box % 3 = 0"))))

@@ -48,3 +48,15 @@ def test_empty_inputs(spark):
 def test_scalars(spark):
     row = spark.range(1).select(f.safe_int(F.lit("1.0")).alias("a"), f.safe_int(F.lit(" 7 ")).alias("b"), f.hex_rgb(F.lit("#0aff10")).alias("c"), f.hex_rgb(F.lit("nope"), "black").alias("d"), f.ocr_variants(F.lit(178)).alias("e"), f.l2_normalize(F.array(F.lit(0.0))).alias("g")).first()
     assert row["a"] is None and row["b"] == 7 and row["c"] == [10, 255, 16] and row["d"] == [0, 0, 0] and row["e"] == [128, 173, 778] and row["g"] is None
+
+
+def test_context_outliers_use_trimmed_maxima(spark):
+    steps = [(1, p, v) for p, v in ((1, 10), (2, 11), (3, 90), (4, 12), (5, 13), (6, 14))]
+    got = sequences.context_outliers(spark.createDataFrame(steps, "set_id long, page int, value int"))
+    assert rows(got) == [(1, 3, 90)]
+
+
+def test_gap_promotion_uses_a_box_once(spark):
+    steps = spark.createDataFrame([(1, 1, 5, 1), (1, 2, 9, 2)], "set_id long, page int, value int, box int")
+    audit = spark.createDataFrame([(1, 1, 6, 7, 0.4), (1, 1, 6, 8, 0.9), (1, 1, 7, 8, 0.9), (1, 1, 8, 1, 0.9)], "set_id long, page int, value int, box int, confidence double")
+    assert rows(sequences.gap_promotion(steps, audit)) == [(1, 1, 6, 8, 2)]
