@@ -17,6 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stepweave.llm.sampling import bounded_sample
+from stepweave.session import cut
 
 MAX_LABELLED, MAX_RULES, SMOOTH = 20_000, 1_000, 20.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,7 +95,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page
             with_rate = lambda df: df.join(rate, df[k].eqNullSafe(rate[f"_{k}"]), "left").drop(f"_{k}").na.fill(seen["mean"], [f"{k}_rate"])  # noqa: B023, E731
             rows, known = with_rate(rows), with_rate(known)
         gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
-        sample = bounded_sample(known, ["url"], MAX_LABELLED)
+        sample = cut(bounded_sample(known.select("url", "y", *FEATURES), ["url"], MAX_LABELLED))  # every boosting step reads it again
         model = GBTClassifier(labelCol="y", featuresCol="features", maxIter=20, maxDepth=3, stepSize=0.2, seed=11).fit(gather.transform(sample).select("features", "y"))
         from pyspark.ml.functions import vector_to_array
 
