@@ -2,7 +2,8 @@
 
 Normalisation is longest-prefix replacement through the model's compiled character map (a double-array trie), each
 normalised byte remembering the original byte it came from. White space is escaped and the dummy prefix added; the
-installed library merges the pieces; walking the pieces over the alignment projects each to its original bytes [begin, end).
+installed library merges the normalised text; walking the pieces over the alignment projects each to its original bytes
+[begin, end). The library's encoding of the original text is only compared with the result.
 
 Defined cases: null counts as empty and has no pieces; equal rows give equal results; long texts are encoded whole;
 columns beside the id and the text are not read. Models whose white space options differ are refused.
@@ -15,12 +16,16 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
+from operator import eq
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
 ESCAPE = "▁"
+_ESCAPE = ESCAPE.encode()
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -87,6 +92,38 @@ class CharacterMap:
         return out.decode(), [*align, len(data)]
 
 
+def _without_map(model: bytes) -> bytes:
+    """The model with an empty character map and no samples that depend on it: it merges texts as they are."""
+
+    def number(n: int) -> bytes:
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    def field(n: int, value: int | bytes) -> bytes:
+        return number(n << 3) + number(value) if isinstance(value, int) else number(n << 3 | 2) + number(len(value)) + value
+
+    out = []
+    for n, value in _fields(model):
+        if n == 3:
+            value = b"".join(field(m, v) for m, v in _fields(value) if m != 2)
+        if n != 4:
+            out.append(field(n, value))
+    return b"".join(out)
+
+
+@dataclass(frozen=True)
+class Aligned:
+    """The encoding of one text: identifiers, original bytes [begin, end) of each, and whether all checks hold."""
+
+    ids: list[int]
+    begin: np.ndarray
+    end: np.ndarray
+    exact: bool
+
+
 @dataclass(frozen=True)
 class Piece:
     """A piece of a text and the original bytes [begin, end) it covers."""
@@ -107,30 +144,53 @@ class Encoder:
         # defaults of the format: add_dummy_prefix 3, remove_extra_whitespaces 4, escape_whitespaces 5 are all true
         if spec.get(4, 1) or not spec.get(3, 1) or not spec.get(5, 1):
             raise ValueError("supported are models with the dummy prefix that keep and escape white space")
+        self.merge = sentencepiece.SentencePieceProcessor(model_proto=_without_map(model)) if self.map.units else self.lib
         self.pieces = [self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size())]
+        self.raw = [bytes([int(p[3:5], 16)]) if self.lib.is_byte(i) else p.replace(ESCAPE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.sizes = np.array([len(r) for r in self.raw], np.int64)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """The library's own encoding."""
         return self.lib.encode([t or "" for t in texts], num_threads=1)
 
-    def spans(self, text: str | None) -> list[Piece]:
-        """The pieces of one text with their original byte spans; byte pieces cover one byte of their character."""
-        normal, align = self.map.apply(text or "")
-        out, at = [], -1  # at: normalised byte, the dummy prefix before the first
-        original = (lambda i: i) if align is None else align.__getitem__
-        raw = normal.encode()
-        spaces = len(ESCAPE.encode())
-        for i in self.encode([text])[0]:
-            begin = at
+    def aligned(self, texts: list[str | None]) -> Iterator[Aligned]:
+        """Each text normalised by the map, merged, and projected to its original bytes."""
+        texts = [t or "" for t in texts]
+        mapped = [self.map.apply(t) for t in texts]
+        # a text of which nothing is left still gets the dummy prefix, which the library adds to texts that aren't empty
+        found = self.merge.encode([n for n, _ in mapped], num_threads=1)
+        found = [ids if n or not t else self.lib.encode(t) for t, (n, _), ids in zip(texts, mapped, found)]
+        # without a map, merging has read the text itself
+        same = repeat(True) if self.merge is self.lib else map(eq, found, self.encode(texts))
+        for text, (normal, align), ids, agrees in zip(texts, mapped, found, same):
+            raw = normal.encode()
+            bounds = self._bounds(ids, raw)
+            if align is not None:
+                bounds = np.array(align, np.int64)[bounds]
+                bounds[0] = 0  # the dummy prefix takes what the map removes before the first piece
+            spelled = b"".join(map(self.raw.__getitem__, ids)) == ((b" " + raw).replace(_ESCAPE, b" ") if text else b"")
+            whole = len(raw) if align is None else align[-1]
+            yield Aligned(ids, bounds[:-1], bounds[1:], bool(agrees and spelled and bounds[-1] == whole))
+
+    def _bounds(self, ids: list[int], raw: bytes) -> np.ndarray:
+        """Ends of the pieces in the normalised bytes, after the first one's begin; the dummy prefix is before byte 0."""
+        if _ESCAPE not in raw:  # every escape is one space
+            ends = np.cumsum(self.sizes[np.array(ids, np.int64)]) - 1
+            return np.maximum(np.concatenate([[0], ends]), 0)
+        out, at = [0], -1
+        for i in ids:
             if self.lib.is_byte(i):
-                at += 1 if at >= 0 else 1 + 1
+                at += 1
             else:
                 for c in self.pieces[i]:
-                    if c == ESCAPE and (at < 0 or raw[at : at + 1] == b" "):
-                        at += 1
-                    else:
-                        at += spaces if c == ESCAPE else len(c.encode())
-            out.append(Piece(i, self.pieces[i], original(max(begin, 0)), original(max(at, 0))))
-        return out
+                    at += 1 if c == ESCAPE and (at < 0 or raw[at : at + 1] == b" ") else len(c.encode())
+            out.append(max(at, 0))
+        return np.array(out, np.int64)
+
+    def spans(self, text: str | None) -> list[Piece]:
+        """The pieces of one text with their original byte spans; byte pieces cover one byte of their character."""
+        found = next(self.aligned([text]))
+        return [Piece(i, self.pieces[i], b, e) for i, b, e in zip(found.ids, found.begin.tolist(), found.end.tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -145,7 +205,11 @@ def model_bytes(path: str) -> bytes:
 
 
 def encode_digests(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row of ``docs``."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256, exact), a row for each row of ``docs``.
+
+    The digests are of what ``encode_pieces`` returns; that of the spans is over begin and end of each piece as 64-bit
+    little-endian numbers. ``exact``: the library encodes the original text alike, the pieces spell the normalised text, and the spans tile the text.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -155,14 +219,17 @@ def encode_digests(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                n, sha, back = [], [], []
-                for ids in coder.encode(part.column(1).to_pylist()):
+                n, sha, back, spans, exact = [], [], [], [], []
+                for found in coder.aligned(part.column(1).to_pylist()):
+                    ids = found.ids
                     n.append(len(ids))
                     sha.append(hashlib.sha256(",".join(map(digits, ids)).encode()).hexdigest())
                     back.append(hashlib.sha256(coder.lib.decode(ids).encode() if ids else b"").hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    spans.append(hashlib.sha256(np.column_stack([found.begin, found.end]).astype("<i8").tobytes()).hexdigest())
+                    exact.append(found.exact)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(back), pa.array(spans), pa.array(exact)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256", "exact"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, exact boolean")
 
 
 def encode_pieces(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -95,6 +95,31 @@ def test_sentencepiece_spans_tile_the_text(spark):
     assert {r["doc_id"]: r["text"] for r in sentence_pieces.decode_ids(ids, queries.tokenizer()).collect()} == {1: "Hello world", 2: "", 3: ""}
 
 
+def test_sentencepiece_query_projects_spans(spark, tmp_path):
+    import io
+    import struct
+
+    import sentencepiece
+
+    made = io.BytesIO()
+    lines = ["the ﬁrst line of office work", "ｆｕｌｌ width and half", "a second line of the text", "Ångström measures, ½ of it"] * 50
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_writer=made, vocab_size=320, model_type="bpe", byte_fallback=True, normalization_rule_name="nmt_nfkc", remove_extra_whitespaces=False, minloglevel=2, hard_vocab_limit=False)
+    texts = ["Hello  world", "", None, "a\n\nb", "日本語 テスト😀", " lead", "▁odd ▁", "the ﬁrst ｗｏｒｋ ½", "\u200b", "A\u030angström ﬁ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for model in (queries.tokenizer(), made.getvalue()):
+        lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+        pieces = {r["doc_id"]: r["pieces"] for r in sentence_pieces.encode_pieces(docs, model).collect()}
+        for r in sentence_pieces.encode_digests(docs, model).collect():
+            text, found = texts[r["doc_id"]] or "", pieces[r["doc_id"]]
+            assert [p["id"] for p in found] == lib.encode(text) and r["n_tokens"] == len(found) and r["exact"]
+            assert r["spans_sha256"] == hashlib.sha256(b"".join(struct.pack("<qq", p["begin"], p["end"]) for p in found)).hexdigest()
+            at = 0
+            for p in found:
+                assert p["begin"] == at <= p["end"]
+                at = p["end"]
+            assert at == len(text.encode())
+
+
 def test_character_map_takes_longest_prefix():
     import struct
 
