@@ -2,12 +2,14 @@
 
 A page is cut into tags and texts once; open elements make a tree. Nodes are all elements but plain inline markup, which
 lends its text and link counts to its node. The model scores every node from its own and its subtree's density, attribute
-tokens, depth, siblings and ancestors. Decoding keeps or drops nodes with the best total score under one rule: what a
+tokens, depth, siblings and ancestors. Each run of text straight in the body, or in plain inline tags there, has an anonymous
+paragraph as its node. Decoding keeps or drops nodes with the best total score under one rule: what a
 dropped node holds is dropped too. Kept texts are joined by block.
 
 The model is fitted on at most TRAIN_PAGES pages of at most TRAIN_CHARS characters (the first by hash of the id): nodes in
 or around the page's <article>, <main> or role=main count as content, others don't. Each page is also learned in
-variants with another main element and with common boilerplate added, so that no one tag decides.
+variants with another main element, with common boilerplate added and with texts straight in the body, so that no one tag
+decides.
 
 Defined cases: null and empty html give an empty text; broken markup is read as far as it goes (an unclosed script ends with
 the page); pages of any length are read whole; repeated rows give equal results; an empty table gives an empty result.
@@ -19,7 +21,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -70,6 +72,7 @@ class Page:
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("body", 0)]  # tag, node
         block, at, in_link = 0, 0, 0
+        bare, bare_block, told = 0, -1, -1  # the anonymous node of the body's text in this block, and data-y of inline tags
         pos, end = 0, len(source)
         while pos < end:
             m = _TOKEN.search(source, pos)
@@ -77,6 +80,10 @@ class Page:
             if stop > pos:
                 text = source[pos:stop]
                 node = stack[-1][1]
+                if not node and block != bare_block and not text.isspace():
+                    bare, bare_block = self._add("p", 0, 0, 0, told, pos), block
+                if not node and block == bare_block:
+                    node = bare
                 self.pieces.append((node, block, text))
                 self.own[node] += len(text)
                 self.stops[node] += text.count(".") + text.count(",")
@@ -108,7 +115,8 @@ class Page:
                 continue
             if name in VOID:
                 if name == "br":
-                    self.pieces.append((stack[-1][1], block, " "))
+                    node = stack[-1][1]
+                    self.pieces.append((bare if not node and block == bare_block else node, block, " "))
                 elif name == "hr":
                     block += 1
                 continue
@@ -121,7 +129,8 @@ class Page:
                     if stack[k][0] in SCOPES and stack[k][0] not in goal:
                         break
             here = stack[-1][1]
-            self.tags[here] = self.tags.get(here, 0) + 1
+            lends = bare if name in INLINE and not here and block == bare_block else here
+            self.tags[lends] = self.tags.get(lends, 0) + 1
             good = bad = 0
             label = -1
             if m[3]:
@@ -136,30 +145,38 @@ class Page:
             if name in INLINE and not (good or bad):
                 if name == "a":
                     in_link += 1
+                if label >= 0:
+                    told = label
                 stack.append((name, here))
                 continue
             if name not in INLINE:
                 block += 1
-            at = len(self.tag)
-            self.tag.append(name)
-            self.parent.append(here)
-            self.good.append(good)
-            self.bad.append(bad)
-            self.label.append(label)
-            self.start.append(m.start())
-            self.own.append(0)
-            self.stops.append(0)
-            self.kind.append(_KIND[name] if name in _KIND else len(KINDS))
-            self.depth.append(self.depth[here] + 1)
-            self.order.append(self.kids[here])
-            self.kids[here] += 1
-            self.kids.append(0)
-            self.above_bad.append(self.above_bad[here] + self.bad[here] + (self.kind[here] <= _LAST_BAD))
-            self.above_good.append(self.above_good[here] + self.good[here] + (_LAST_BAD < self.kind[here] <= _LAST_GOOD))
+                told = -1
+            at = self._add(name, here, good, bad, label, m.start())
             if name == "a":
                 in_link += 1
             stack.append((name, at))
 
+    def _add(self, name: str, here: int, good: int, bad: int, label: int, start: int) -> int:
+        """A new node under ``here``."""
+        at = len(self.tag)
+        self.tag.append(name)
+        self.parent.append(here)
+        self.good.append(good)
+        self.bad.append(bad)
+        self.label.append(label)
+        self.start.append(start)
+        self.own.append(0)
+        self.stops.append(0)
+        self.kind.append(_KIND[name] if name in _KIND else len(KINDS))
+        self.depth.append(self.depth[here] + 1)
+        self.order.append(self.kids[here])
+        self.kids[here] += 1
+        self.kids.append(0)
+        self.above_bad.append(self.above_bad[here] + self.bad[here] + (self.kind[here] <= _LAST_BAD))
+        self.above_good.append(self.above_good[here] + self.good[here] + (_LAST_BAD < self.kind[here] <= _LAST_GOOD))
+        return at
+
     def ends(self) -> list[int]:
         """One past the last node of each node's subtree: nodes are in page order."""
         out = list(range(1, len(self.tag) + 1))
@@ -190,7 +207,7 @@ class Page:
             if block != last:
                 blocks.append("".join(run))
                 last, run = block, []
-            if kept[node] and node:  # bare text of the body has no node that could speak for it
+            if kept[node] and node:  # the root itself holds white space only
                 run.append(raw)
         blocks.append("".join(run))
         out = (" ".join(entities.unescape(b).split()) for b in blocks)
@@ -269,7 +286,28 @@ def variants(source: str, rng: random.Random, count: int = 3) -> list[str]:
         before = "".join(extra() for _ in range(rng.randint(0, 3)))
         after = "".join(extra() for _ in range(rng.randint(0, 3)))
         out.append(head + before + middle + after + tail)
-    return out
+    return out + bare_variants(inner, head, tail, extra, rng)
+
+
+def bare_variants(inner: str, head: str, tail: str, extra: Callable[[], str], rng: random.Random) -> list[str]:
+    """The main texts, or some boilerplate, straight in the body: alone, with boilerplate around, and between paragraphs."""
+    texts = [t.strip() for t in re.split(r"(?:<[^>]*>)+", inner) if t.strip()] or ["x"]
+
+    def bare() -> str:
+        some = texts[rng.randrange(len(texts)) :][: rng.randint(1, 6)]
+        if rng.random() < 0.4:
+            some = [" ".join(some[0].split()[: rng.randint(2, 12)])]
+        return f'<span data-y="1">{rng.choice(("<br><br>", "<br>", " ")).join(some)}</span>'
+
+    part = lambda: f'<p data-y="1">{rng.choice(texts)}</p>'
+    links = rng.choice((" | ", " ", " &gt; ")).join(f'<a href="#">{t[:12]}</a>' for t in texts[: rng.randint(2, 5)])
+    return [
+        f"<body>{bare()}</body>",
+        head + extra() + bare() + extra() + tail,
+        head + bare() + tail,
+        f"<body>{part()}{bare()}{part()}</body>",
+        f'{head}<span data-y="0">{links}</span><div data-y="1">{inner}</div><span data-y="0">&copy; {texts[0][:20]}</span>{tail}',
+    ]
 
 
 def _seed_pages(rng: random.Random) -> list[str]:

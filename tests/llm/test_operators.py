@@ -192,6 +192,19 @@ def test_html(spark, sf):
     assert html_text.extracted(odd.limit(0), html_text.train(odd.limit(0))).count() == 0
 
 
+def test_html_keeps_bare_body_text(spark, sf):
+    model = html_text.train(spark.read.parquet(f"{sf}/pages.parquet"))
+    story = "The first part of a story, told at length and with many words. It goes on for a while, then it ends."
+    pages = {
+        1: ("<body>Story <b>text</b><br><br>more text</body>", "Story text more text"),
+        2: (story, story),
+        3: (f"<html><body><nav><ul><li><a href='#'>Home</a></li><li><a href='#'>About</a></li></ul></nav>\n{story} <i>And</i> <b>more</b>.<br>{story}<footer>Copyright</footer></body></html>", f"{story} And more. {story}"),
+        4: (f"<body><p>{story}</p>{story} <span>In</span> between.<p>{story}</p></body>", f"{story}\n{story} In between.\n{story}"),
+    }
+    rows = spark.createDataFrame([(i, "u", h) for i, (h, _) in pages.items()], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.extracted(rows, model).collect()} == {i: t for i, (_, t) in pages.items()}
+
+
 def test_url_filter(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
     extra = spark.createDataFrame([(-1, None), (-2, "no scheme"), (-3, "http://A.Example.NET/en/x?y#z"), (-4, "http://net"), (-5, "x://org/fr/?a://b"), (-6, "http://notnet/"), (-7, "")], "page_id long, url string")
