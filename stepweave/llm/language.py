@@ -3,7 +3,7 @@
 log P(language | page) adds up, from counts over all rows:
 * text: byte-trigram likelihoods learned from labelled documents (a table of languages x BUCKETS, of a fixed size), the
   page's mean per trigram times at most EVIDENCE trigrams, as neighbouring trigrams are not independent;
-* declared language (<html lang>): how often pages of a language by text declare it, smoothed;
+* declared language (<html lang>, searched in the whole page outside comments, scripts, styles and titles): how often pages of a language by text declare it, smoothed;
 * address suffix: the host's last label, and a two-letter first part of the path, the same way;
 * host prior: language shares of the host, smoothed with its domain's, those with its suffix's, those with all pages'.
 Counts of a page's own host and domain leave the page itself out.
@@ -28,7 +28,17 @@ from stepweave.session import cut
 
 BUCKETS, EVIDENCE, MAX_LANGUAGES, SMOOTH = 1 << 13, 40, 64, 5.0
 _HIDDEN = re.compile(r"(?is)<(script|style|title)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})""")
+_ROOT = re.compile(r"""(?is)<!--.*?(?:-->|\Z)|<(script|style|title|textarea)\b.*?(?:</\1\s*>|\Z)|<html(?=[\s/])((?:"[^"]*"|'[^']*'|[^>"'])*[^>]*)""")
+_DECLARED = re.compile(r"""(?is)\blang\s*=\s*["']?\s*([a-z]{2,3})""")
+
+
+def declared_language(source: str) -> str | None:
+    """The language of the first <html> tag that names one, outside comments and raw text, wherever it stands."""
+    for m in _ROOT.finditer(source):
+        told = _DECLARED.search(m[2]) if m[2] else None
+        if told:
+            return told[1].lower()
+    return None
 
 
 def _buckets(raw: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -85,8 +95,7 @@ def page_evidence(pages: DataFrame, table: np.ndarray) -> DataFrame:
             declared, score = [], []
             for source in batch.column(2).to_pylist():
                 source = source or ""
-                m = _DECLARED.search(source, 0, 4096)
-                declared.append(m[1].lower() if m else None)
+                declared.append(declared_language(source))
                 raw = np.frombuffer(" ".join(_HIDDEN.sub(" ", source).split()).encode(), np.uint8)
                 at, sums = 0, np.zeros(len(table))
                 n = max(len(raw) - 2, 0)

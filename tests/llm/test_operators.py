@@ -284,6 +284,14 @@ def test_language(spark, sf):
     assert language.identified(none.limit(0), docs).count() == 0
 
 
+def test_language_declared_anywhere(spark, sf):
+    lead = "<!-- licence <html lang=fr> " + "x" * 9000 + " -->"
+    pages = [lead + '<html lang="de"><p>x', " " * 5000 + "<HTML dir=ltr LANG='es-ES'>", "<html><title><html lang=it></title>" + "y" * 5000, "<html lang=en>" + lead, lead, '<script>"<html lang=fr>"</script>' + lead + '<html title="a > b" lang=pt>']
+    rows = spark.createDataFrame([(i, "", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert {r["page_id"]: r["declared"] for r in language.identified(rows, docs).collect()} == {0: "de", 1: "es", 2: None, 3: "en", 4: None, 5: "pt"}
+
+
 @pytest.mark.parametrize("common", [1, 16])
 def test_ngram_join(spark, sf, common):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
