@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
 A candidate is a run of letters, digits, ``_``, ``+``, ``/`` and ``-``: 12 or more with a digit, or 24 or more without one; private
-key headers are candidates too. Each becomes a finding with its offset and the text around it.
+key headers are candidates too, and so is any value right after an assignment to a name of NAMED: to the closing quote, or else to
+white space, quotes or angle brackets without the punctuation that ends it. Such a value may hold a run that is a candidate too. Each becomes a finding with its offset and the text around it.
 The forest's features are the candidate's length, its transitions between character classes, digit and capital shares,
 the share of its letters in words that the corpus uses often (dictionary coverage), whether it stands in a path or
 address, and its neighbours: an assignment or quote before it, and how often the word before it goes with secrets.
@@ -24,24 +25,57 @@ from stepweave.session import cut
 
 MAX_LABELLED, OFTEN, SMOOTH = 20_000, 20, 5.0
 # fixed values: what a candidate looks like, formats that issuers publish, and words that name secrets
-CANDIDATE = r"-----BEGIN [A-Z ]*PRIVATE KEY-----|(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}|[A-Za-z_+/-]{24,})={0,2}"
+_RUN = r"(?:(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}|[A-Za-z_+/-]{24,})={0,2}"
+CANDIDATE = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----|(?<![A-Za-z0-9_+/-]){_RUN}"
+_NAMES = r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)"
+ASSIGNED = _NAMES + r"""["']?\s*[:=]+>?\s*["']?(?=((?<=")[^"\r\n]+(?=")|(?<=')[^'\r\n]+(?=')|[^\s"'`<>]*[^\s"'`<>.,;:)\]}]))"""
 ISSUED = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|-----BEGIN .*)$"
-NAMED = r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)[\"']?\s*[:=]\s*[\"']?$"
+NAMED = _NAMES + r"[\"']?\s*[:=]+>?\s*[\"']?$"
 BEFORE, AFTER = 60, 20
 FEATURES = ("length", "transitions", "digits", "capitals", "coverage", "in_path", "assigned", "quoted", "before_rate")
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, candidate, before, after), one row for each match; start counts characters from 0."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.rlike("text", F.lit(CANDIDATE)))
-    cutup = rows.select("doc_id", F.split("text", CANDIDATE).alias("gaps"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("hits"))
-    each = cutup.select("doc_id", F.posexplode(F.arrays_zip(F.col("hits").alias("hit"), F.slice("gaps", F.lit(1), F.size("hits")).alias("gap"), F.slice("gaps", F.lit(2), F.size("hits")).alias("then"), _starts().alias("start"))).alias("nth", "m"))
-    return each.select("doc_id", F.col("m.start").cast("long").alias("start"), F.col("m.hit").alias("candidate"), F.right("m.gap", F.lit(BEFORE)).alias("before"), F.left(F.coalesce("m.then", F.lit("")), F.lit(AFTER)).alias("after"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.rlike("text", F.lit(CANDIDATE)) | F.rlike("text", F.lit(ASSIGNED)))
+    for pattern, mark in ((CANDIDATE, ""), (ASSIGNED, "_named")):
+        some = F.rlike("text", F.lit(pattern))
+        rows = rows.withColumns({f"gaps{mark}": F.when(some, F.split("text", pattern)), f"hits{mark}": F.when(some, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))})
+    rows = rows.withColumn("values", F.when(F.col("hits_named").isNotNull(), F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(1)))).drop("text")
+    each = rows.select("doc_id", F.explode(F.concat(_plain(), _named())).alias("m"))
+    return each.select("doc_id", F.col("m.start").cast("long").alias("start"), "m.candidate", "m.before", "m.after")
 
 
-def _starts() -> Column:
+def _match(start: Column, candidate: Column, before: Column, after: Column) -> Column:
+    return F.struct(start.alias("start"), candidate.alias("candidate"), before.alias("before"), after.alias("after"))
+
+
+_MATCHES = "array<struct<start:int,candidate:string,before:string,after:string>>"
+
+
+def _zipped(mark: str, **more: Column) -> Column:
+    """Each match with the gap before and after it and its offset."""
+    gaps, hits = F.col(f"gaps{mark}"), F.col(f"hits{mark}")
+    return F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), F.slice(gaps, F.lit(2), F.size(hits)).alias("then"), _starts(mark).alias("start"), *(c.alias(k) for k, c in more.items()))
+
+
+def _plain() -> Column:
+    """Matches of CANDIDATE."""
+    found = F.transform(_zipped(""), lambda m: _match(m["start"], m["hit"], F.right(m["gap"], F.lit(BEFORE)), F.left(F.coalesce(m["then"], F.lit("")), F.lit(AFTER))))
+    return F.coalesce(found.cast(_MATCHES), F.array().cast(_MATCHES))
+
+
+def _named() -> Column:
+    """Values after ASSIGNED that aren't matches of CANDIDATE as they are; ``before`` holds the whole assignment."""
+    fresh = F.filter(_zipped("_named", value=F.col("values")), lambda m: ~F.rlike(m["value"], F.lit(rf"\A{_RUN}\z")))
+    found = F.transform(fresh, lambda m: _match(m["start"] + F.length(m["hit"]), m["value"], F.right(F.concat(m["gap"], m["hit"]), F.greatest(F.lit(BEFORE), F.length(m["hit"]))), F.substr(F.coalesce(m["then"], F.lit("")), F.length(m["value"]) + 1, F.lit(AFTER))))
+    return F.coalesce(found.cast(_MATCHES), F.array().cast(_MATCHES))
+
+
+def _starts(mark: str) -> Column:
     """Offset of each match: the lengths of all gaps up to it and of the matches before it."""
-    lengths = F.zip_with(F.slice("gaps", F.lit(1), F.size("hits")), "hits", lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
+    gaps, hits = F.col(f"gaps{mark}"), F.col(f"hits{mark}")
+    lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     return F.aggregate(lengths, start, lambda a, x: F.struct((a["at"] + x["g"] + x["h"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["g"])).alias("out")), lambda a: a["out"])
 
@@ -53,11 +87,14 @@ def common_words(docs: DataFrame, text: str = "text", least: int = OFTEN) -> Dat
 
 
 def weak_labels(found: DataFrame) -> Column:
-    """1 for published formats and for named values with digits, 0 for plain words, numbers and parts of addresses, else null."""
+    """1 for published formats and for named values with digits, 0 for plain words, numbers and parts of addresses, else null.
+
+    Named values without digits may be passwords or prose: null too.
+    """
     digits = F.length(F.regexp_replace("candidate", "[^0-9]", ""))
     address = F.rlike("before", F.lit(r"(?i)(?:://|www\.)\S*$|@$")) | F.rlike("after", F.lit(r"^(?:@|\.[a-z]{2,4}/)"))
-    named = F.rlike("before", F.lit(NAMED)) & (digits > 0)
-    return F.when(F.rlike("candidate", F.lit(ISSUED)) | named, 1.0).when(address | (digits == 0) | (digits == F.length("candidate")), 0.0)
+    named = F.rlike("before", F.lit(NAMED))
+    return F.when(F.rlike("candidate", F.lit(ISSUED)) | (named & (digits > 0)), 1.0).when(~named & (address | (digits == 0) | (digits == F.length("candidate"))), 0.0)
 
 
 def _features(found: DataFrame, docs: DataFrame) -> DataFrame:
