@@ -20,8 +20,13 @@ in at most H = floor((r + s) / 9) shingles.
   one hub. Families are cut into blocks, and each pair of blocks is one small task that compares differences from the
   block's majority set and returns a spanning forest of the links between components, never the pairs.
 
-Equal sets are handled once. Empty texts and texts without words (null too) have empty sets, linked with nothing. Repeated
-rows and repeated ids: every row gets a result row. An empty table gives an empty result. Other columns are not read.
+Equal sets are handled once: a set is known by a 63-bit sum of its shingles' hashes, and sets that share one (told apart by a second,
+independent sum) are renamed by the second before anything else. Links are verified on shingle hashes of 64 bits within a
+pair. Within one family work grows with the square of its sets, in tasks of at most BLOCK_SETS sets a side.
+
+Defined cases: empty texts and texts without words (null too) have empty sets, linked with nothing. Rows that repeat a doc_id, with equal
+or different texts, are documents of their own with a result row each; rows without an id link like others, and where
+all rows of a component lack one, component_id is null. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stepweave.llm.components import components
+from stepweave.llm.names import number_of, numbered
 from stepweave.llm.textbytes import column_bytes, mix, shingles, slices
-from stepweave.session import cut
+from stepweave.session import cut, discard
 
 LOAD, SMALL, COMMON = 3, 5, 16  # shingles a segment at the band's top; bands below SMALL have deletions; sets of a cold group
 BLOCK_SETS, BLOCK_BYTES = 1024, 1 << 22  # of a family's blocks
+MAX_RENAMED = 100_000  # set ids that several sets share
 _U = np.uint64
 
 
@@ -48,15 +55,27 @@ def segments(band: np.ndarray) -> np.ndarray:
     return np.where(band < SMALL, np.maximum(top // 4, 2), top // LOAD)
 
 
-def _sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash) of the shingles, and (size, id) of the sets; ids are even, and equal for equal sets."""
-    row, h = shingles(raw, off)
-    n = np.bincount(row, minlength=len(off) - 1)
+def _sums(h: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
+    """Even sums of hashes of each set's shingles."""
     total = np.zeros(len(h) + 1, _U)
-    np.cumsum(mix(h ^ _U(0xA5A5A5A5)), out=total[1:])
+    np.cumsum(mix(h ^ _U(salt)), out=total[1:])
     end = np.cumsum(n)
-    ids = mix((total[end] - total[end - n]) ^ n.astype(_U)) & ~_U(1)
-    return row, h, n, ids
+    return mix((total[end] - total[end - n]) ^ n.astype(_U)) & ~_U(1)
+
+
+def _sets(raw: np.ndarray, off: np.ndarray, renamed: np.ndarray, width: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash) of the shingles, and (size, id, second id) of the sets; ids are even, and equal for equal sets.
+
+    A first sum, of which ``width`` bits count, is the id unless it is one of ``renamed``; the second is then.
+    """
+    row, h = shingles(raw, off)
+    n = np.bincount(row, minlength=len(off) - 1)
+    ids, twin = _sums(h, n, 0xA5A5A5A5), _sums(h, n, 0x5A17C0DE5EED)
+    if width < 64:
+        ids &= _U((1 << width) - 1)
+    if len(renamed):
+        ids = np.where(np.isin(ids, renamed), twin, ids)
+    return row, h, n, ids, twin
 
 
 def _index(row: np.ndarray, h: np.ndarray, n: np.ndarray, up: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,22 +113,38 @@ def _index(row: np.ndarray, h: np.ndarray, n: np.ndarray, up: bool) -> tuple[np.
     return np.concatenate(rows), np.concatenate(values), np.where(here, alloc, 0), np.where(here & ~small & ~short, alloc, 0)
 
 
-def set_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, id, n, and for the roles own and up: alloc, counts), a row for each row of ``docs``."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+def set_table(docs: DataFrame, renamed: np.ndarray, width: int = 64) -> DataFrame:
+    """(doc_id, id, twin, n, and for the roles own and up: alloc, counts), a row for each row of ``docs`` (doc_id, text)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = column_bytes(batch.column(1))
             for i, j in slices(off):
-                row, h, n, ids = _sets(raw, off[i : j + 1])
+                row, h, n, ids, twin = _sets(raw, off[i : j + 1], renamed, width)
                 roles = [x for up in (False, True) for x in _index(row, h, n, up)[2:]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids.view(np.int64)), pa.array(n.astype(np.int32)), *(pa.array(x.astype(np.int32)) for x in roles)], ["doc_id", "id", "n", "alloc", "counts", "alloc_up", "counts_up"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids.view(np.int64)), pa.array(twin.view(np.int64)), pa.array(n.astype(np.int32)), *(pa.array(x.astype(np.int32)) for x in roles)], ["doc_id", "id", "twin", "n", "alloc", "counts", "alloc_up", "counts_up"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, id long, n int, alloc int, counts int, alloc_up int, counts_up int")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, id long, twin long, n int, alloc int, counts int, alloc_up int, counts_up int")
 
 
-def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
+def distinct_sets(docs: DataFrame, width: int = 64) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """The set of each row, the distinct sets (id, rep: smallest doc_id, ...), both written, and the renamed ids."""
+    info, renamed = cut(set_table(docs, np.zeros(0, _U), width)), np.zeros(0, _U)
+    for again in (False, True):
+        sets = cut(info.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"), F.min("twin").alias("low"), F.max("twin").alias("high"), *(F.min(c).alias(c) for c in ("n", "alloc", "counts", "alloc_up", "counts_up"))))
+        clash = sets.filter("low <> high").select("id").limit(MAX_RENAMED + 1).collect()
+        if not clash:
+            break
+        if again or len(clash) > MAX_RENAMED:
+            raise ValueError(f"{len(clash)} set ids are shared by different sets")
+        renamed = np.array([r["id"] for r in clash], np.int64).view(_U)
+        discard(info, sets)
+        info = cut(set_table(docs, renamed, width))
+    return info.drop("twin"), sets.drop("low", "high"), renamed
+
+
+def signatures(docs: DataFrame, renamed: np.ndarray, width: int = 64) -> DataFrame:
     """(sig, key): key is the set's id, plus 1 in the role up. Equal sets of a task are indexed once, while few are remembered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +152,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             raw, off = column_bytes(batch.column(0))
             for i, j in slices(off):
-                row, h, n, ids = _sets(raw, off[i : j + 1])
+                row, h, n, ids, _ = _sets(raw, off[i : j + 1], renamed, width)
                 fresh = np.ones(len(n), bool)
                 for k, x in enumerate(ids.tolist()):
                     if x in seen:
@@ -129,7 +164,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                     at, value, _, _ = _index(row, h, np.where(fresh, n, 0), up)
                     yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array((ids[at] | _U(up)).view(np.int64))], ["sig", "key"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "sig long, key long")
+    return docs.select("text").mapInArrow(run, "sig long, key long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, bool]]:
@@ -314,7 +349,9 @@ def _family_links(family: DataFrame, docs: DataFrame) -> DataFrame:
     rows = family.join(sizes, "hub").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     placed = rows.select("hub", "lo", "hi", "block", "rep", "label").join(sets, "rep")
-    return placed.groupBy("hub", "lo", "hi").applyInPandas(_forest, f"a {kind}, b {kind}").distinct()
+    found = cut(placed.groupBy("hub", "lo", "hi").applyInPandas(_forest, f"a {kind}, b {kind}").distinct())
+    discard(sets)
+    return found
 
 
 def _roles(sets: DataFrame) -> DataFrame:
@@ -327,18 +364,16 @@ def _roles(sets: DataFrame) -> DataFrame:
     return rows.select("key", "rep", "n", "alloc", "counts", F.when(band + F.col("up") < SMALL, 2).otherwise(1).alias("weight"), F.floor((F.col("n") + partner) / 9).alias("reach"))
 
 
-def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", common: int = COMMON) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of ``docs``; a document without links is its own component."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    info = cut(set_table(docs))
-    sets = cut(info.filter("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("n", "alloc", "counts", "alloc_up", "counts_up"))))
+def _components(docs: DataFrame, common: int, width: int) -> DataFrame:
+    """(doc_id, n, component) of ``docs`` (doc_id, text), where no doc_id is null or repeated; component is null for empty sets."""
+    info, sets, renamed = distinct_sets(docs, width)
     roles = cut(_roles(sets))
     side = lambda k, *cols: roles.select(F.col("key").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
     alike = F.expr("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
     by_rep = lambda pairs: pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).filter("a < b").distinct()
 
     # every signature moves once; what is kept are the few that two sets share
-    group = cut(signatures(docs).repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long, hub long"))
+    group = cut(signatures(docs, renamed, width).repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long, hub long"))
 
     # contraction: the hub that a set shares most with, if that is at least half of what a link would need
     star = group.filter("hub <> key").groupBy("key", "hub").agg(F.count("*").alias("shared")).groupBy("key").agg(F.max(F.struct("shared", "hub")).alias("best"))
@@ -350,6 +385,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # pairs of different components within common groups; rows of the others
     spread = group.join(named, group["key"] == named["k"], "left").select("sig", "key", F.coalesce("own", F.xxhash64(F.shiftright("key", 1), F.lit("set"))).alias("label"))
     found = cut(spread.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(lambda rows: _pairs(rows, common), "hot boolean, a long, b long, label long").groupBy("hot", "a", "b").agg(F.count("*").alias("shared"), F.min("label").alias("label")))
+    discard(group)
     hot = found.filter("hot").select(F.col("a").alias("sig"), F.col("b").alias("key"), "label")
     mixed = hot.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
     lost = cut(hot.join(mixed, "sig", "left_semi").groupBy("key").agg(F.count("*").alias("lost"), F.min("label").alias("label")))
@@ -359,16 +395,51 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = cut(verified(pairs, docs))
     heavy = lost.join(roles, "key").filter("alloc - weight * lost <= reach").select("key", "lost", "rep", "n")
     held = cut(hot.join(mixed, "sig", "left_semi").join(heavy, "key").select("sig", "rep", "n", "label", "lost"))
+    discard(found, lost, roles)
+    links = links.union(more)
     if not held.isEmpty():
         hubs = held.groupBy("sig").agg(F.max_by("rep", F.struct("lost", F.xxhash64("rep"))).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("sig", "hub")
-        more = more.union(_family_links(held.join(hubs, "sig").select("hub", "rep", "label", "n").distinct(), docs))
-    if not more.isEmpty():
-        labels = components(links.union(more))
+        links = links.union(_family_links(held.join(hubs, "sig").select("hub", "rep", "label", "n").distinct(), docs))
+    labels = components(links)
     of = sets.join(labels, sets["rep"] == labels["node"], "left").select(F.col("id").alias("_id"), F.coalesce("component", "rep").alias("component"))
-    return info.join(of, (info["id"] == of["_id"]) & (info["n"] > 0), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return info.join(of, (info["id"] == of["_id"]) & (info["n"] > 0), "left").select("doc_id", "n", "component")
+
+
+def _distinct_ids(docs: DataFrame) -> bool:
+    """Whether no doc_id of ``docs`` is null or repeated."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty()
+
+
+def _numbered(docs: DataFrame, common: int, width: int) -> DataFrame:
+    """(row, n, component): classes of rows that are numbered because ids don't name them; ``docs`` is a written (row, text)."""
+    return _components(docs.select(F.col("row").alias("doc_id"), "text"), common, width).withColumnRenamed("doc_id", "row")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; columns unchanged."""
-    gone = jaccard_classes(docs, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", common: int = COMMON, width: int = 64) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of ``docs``; a document without links is its own component."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if _distinct_ids(docs):
+        return _components(docs, common, width).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    docs = cut(docs.withColumn("row", F.monotonically_increasing_id()))
+    found = cut(_numbered(docs, common, width))
+    named = found.join(docs.select("row", "doc_id"), "row")
+    low = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("low"))
+    out = named.join(low, "component", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", common: int = COMMON) -> DataFrame:
+    """``docs`` with one row of each component, columns unchanged: the one with the smallest id, null being the largest.
+
+    Rows go by number where ids repeat or are null, so no row takes another with it.
+    """
+    lean = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if _distinct_ids(lean):
+        gone = _components(lean, common, 64).filter("doc_id <> component").select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    named, key, words = cut(numbered(docs).withColumn("row", F.monotonically_increasing_id())), number_of(docs, doc_id), number_of(docs, text)
+    rows = named.select("row", F.col(key).alias("doc_id"), F.col(words).alias("text"))
+    found = cut(_numbered(rows, common, 64)).filter("component IS NOT NULL")
+    first = found.join(rows.select("row", "doc_id"), "row").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    gone = found.join(first, "component").filter("row <> first.row").select(F.col("row").alias("gone"))
+    return named.join(gone, F.col("row") == F.col("gone"), "left_anti").drop("row").toDF(*docs.columns)
