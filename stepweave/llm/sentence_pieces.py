@@ -1,17 +1,21 @@
 """SentencePiece encoding with byte offsets, and decoding.
 
 Normalisation is longest-prefix replacement through the model's compiled character map (a double-array trie), each
-normalised byte remembering the original byte it came from. White space is escaped and the dummy prefix added; the
-installed library merges the normalised text; walking the pieces over the alignment projects each to its original bytes
-[begin, end). The library's encoding of the original text is only compared with the result.
-
-Defined cases: null counts as empty and has no pieces; equal rows give equal results; long texts are encoded whole;
-columns beside the id and the text are not read. Models whose white space options differ are refused.
+normalised byte remembering the original byte it came from; symbols that a model leaves whole are passed by, and models
+that remove extra white space lose leading, trailing and repeated spaces. White space is escaped and the dummy prefix
+added where the model has one; the installed library merges the normalised text; walking the pieces over the alignment projects
+each to its original bytes [begin, end). The library's encoding of the original text is only compared with the result.
+
+Defined cases: null counts as empty and has no pieces; a run of characters that the model doesn't know is one piece over all
+its bytes, or byte pieces where the model has them; what normalisation removes belongs to the piece before it, at the start to
+the first piece; equal rows give equal results; long texts are encoded whole; columns beside the id and the text are not
+read. Models that don't escape white space or put it after words are refused.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -77,23 +81,34 @@ class CharacterMap:
                 best = i + 1 - at, self.replacements[start : self.replacements.index(b"\0", start)]
         return best
 
-    def apply(self, text: str) -> tuple[str, list[int] | None]:
-        """Normalised text, and for each of its UTF-8 bytes plus the end the original byte offset (None: the same)."""
-        if not self.units:
+    def apply(self, text: str, whole: re.Pattern[bytes] | None = None, strip: bool = False) -> tuple[str, list[int] | None]:
+        """Normalised text, and for each of its UTF-8 bytes plus the end the original byte offset (None: the same).
+
+        ``whole``: symbols to pass by. ``strip``: remove leading, trailing and repeated spaces.
+        """
+        if not self.units and not strip:
             return text, None
         data, out, align, i = text.encode(), bytearray(), [], 0
         while i < len(data):
-            hit = self.longest(data, i)
-            used, new = hit or ((1, 2, 3, 4)[(data[i] >= 0xC0) + (data[i] >= 0xE0) + (data[i] >= 0xF0)], None)
+            kept = whole.match(data, i) if whole else None
+            hit = None if kept or not self.units else self.longest(data, i)
+            used, new = hit or (len(kept[0]) if kept else (1, 2, 3, 4)[(data[i] >= 0xC0) + (data[i] >= 0xE0) + (data[i] >= 0xF0)], None)
             new = data[i : i + used] if new is None else new
+            while strip and new.startswith(b" ") and (not out or out.endswith(b" ")):
+                new = new[1:]
             align += [i] * len(new)
             out += new
             i += used
-        return out.decode(), [*align, len(data)]
+        last = len(data)
+        while strip and out.endswith((b" ", _ESCAPE)):  # at the end an escape in the text counts as a space too
+            size = 1 if out.endswith(b" ") else len(_ESCAPE)
+            last = align[-size]
+            del out[-size:], align[-size:]
+        return out.decode(), [*align, last]
 
 
 def _without_map(model: bytes) -> bytes:
-    """The model with an empty character map and no samples that depend on it: it merges texts as they are."""
+    """The model with an empty character map, keeping white space, and no samples that depend on it: it merges texts as they are."""
 
     def number(n: int) -> bytes:
         out = bytearray()
@@ -108,7 +123,7 @@ def _without_map(model: bytes) -> bytes:
     out = []
     for n, value in _fields(model):
         if n == 3:
-            value = b"".join(field(m, v) for m, v in _fields(value) if m != 2)
+            value = b"".join(field(m, v) for m, v in _fields(value) if m not in (2, 4)) + field(4, 0)
         if n != 4:
             out.append(field(n, value))
     return b"".join(out)
@@ -139,15 +154,22 @@ class Encoder:
 
     def __init__(self, model: bytes) -> None:
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
-        spec = next((dict(_fields(v)) for n, v in _fields(model) if n == 3), {})
+        parts = {n: dict(_fields(v)) for n, v in _fields(model) if n in (2, 3)}
+        spec, trained = parts.get(3, {}), parts.get(2, {})
         self.map = CharacterMap(spec.get(2, b""))
         # defaults of the format: add_dummy_prefix 3, remove_extra_whitespaces 4, escape_whitespaces 5 are all true
-        if spec.get(4, 1) or not spec.get(3, 1) or not spec.get(5, 1):
-            raise ValueError("supported are models with the dummy prefix that keep and escape white space")
-        self.merge = sentencepiece.SentencePieceProcessor(model_proto=_without_map(model)) if self.map.units else self.lib
+        if not spec.get(5, 1) or trained.get(24, 0):
+            raise ValueError("supported are models that escape white space and put it before words")
+        self.lead, self.strip = int(spec.get(3, 1)), bool(spec.get(4, 1))
+        changed = bool(self.map.units) or self.strip
+        self.merge = sentencepiece.SentencePieceProcessor(model_proto=_without_map(model)) if changed else self.lib
         self.pieces = [self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size())]
+        self.unknown = self.lib.unk_id()
         self.raw = [bytes([int(p[3:5], 16)]) if self.lib.is_byte(i) else p.replace(ESCAPE, " ").encode() for i, p in enumerate(self.pieces)]
         self.sizes = np.array([len(r) for r in self.raw], np.int64)
+        kinds = [dict(_fields(v)) for n, v in _fields(model) if n == 1] if changed else []
+        own = sorted((k[1] for k in kinds if k.get(3, 1) == 4), key=len, reverse=True)
+        self.whole = re.compile(b"|".join(map(re.escape, own))) if own else None
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """The library's own encoding."""
@@ -156,33 +178,37 @@ class Encoder:
     def aligned(self, texts: list[str | None]) -> Iterator[Aligned]:
         """Each text normalised by the map, merged, and projected to its original bytes."""
         texts = [t or "" for t in texts]
-        mapped = [self.map.apply(t) for t in texts]
-        # a text of which nothing is left still gets the dummy prefix, which the library adds to texts that aren't empty
+        mapped = [self.map.apply(t, self.whole, self.strip) for t in texts]
+        # a text of which nothing is left may still get the dummy prefix, which the library adds to texts that aren't empty
         found = self.merge.encode([n for n, _ in mapped], num_threads=1)
         found = [ids if n or not t else self.lib.encode(t) for t, (n, _), ids in zip(texts, mapped, found)]
         # without a map, merging has read the text itself
         same = repeat(True) if self.merge is self.lib else map(eq, found, self.encode(texts))
         for text, (normal, align), ids, agrees in zip(texts, mapped, found, same):
             raw = normal.encode()
-            bounds = self._bounds(ids, raw)
+            names = self.merge.encode(normal, out_type=str) if self.unknown in ids else None  # an unknown piece is named by its text
+            bounds = self._bounds(ids, raw, names)
+            parts = map(self.raw.__getitem__, ids) if names is None else (self.raw[i] if self.lib.is_byte(i) else p.replace(ESCAPE, " ").encode() for i, p in zip(ids, names))
+            spelled = b"".join(parts) == ((b" " * self.lead + raw).replace(_ESCAPE, b" ") if ids else b"")
+            tiled = int(bounds[-1]) == len(raw)
             if align is not None:
-                bounds = np.array(align, np.int64)[bounds]
-                bounds[0] = 0  # the dummy prefix takes what the map removes before the first piece
-            spelled = b"".join(map(self.raw.__getitem__, ids)) == ((b" " + raw).replace(_ESCAPE, b" ") if text else b"")
-            whole = len(raw) if align is None else align[-1]
-            yield Aligned(ids, bounds[:-1], bounds[1:], bool(agrees and spelled and bounds[-1] == whole))
-
-    def _bounds(self, ids: list[int], raw: bytes) -> np.ndarray:
-        """Ends of the pieces in the normalised bytes, after the first one's begin; the dummy prefix is before byte 0."""
-        if _ESCAPE not in raw:  # every escape is one space
-            ends = np.cumsum(self.sizes[np.array(ids, np.int64)]) - 1
+                bounds = np.array(align, np.int64)[np.minimum(bounds, len(raw))]
+                bounds[0] = 0  # the first piece takes what the map removes before it, the last what is removed after it
+                if len(ids):
+                    bounds[-1] = len(text.encode())
+            yield Aligned(ids, bounds[:-1], bounds[1:], bool(agrees and spelled and tiled))
+
+    def _bounds(self, ids: list[int], raw: bytes, names: list[str] | None) -> np.ndarray:
+        """Ends of the pieces in the normalised bytes, after the first one's begin; a dummy prefix is before byte 0."""
+        if names is None and _ESCAPE not in raw:  # every escape is one space
+            ends = np.cumsum(self.sizes[np.array(ids, np.int64)]) - self.lead
             return np.maximum(np.concatenate([[0], ends]), 0)
-        out, at = [0], -1
-        for i in ids:
+        out, at = [0], -self.lead
+        for i, name in zip(ids, names or map(self.pieces.__getitem__, ids)):
             if self.lib.is_byte(i):
                 at += 1
             else:
-                for c in self.pieces[i]:
+                for c in name:
                     at += 1 if c == ESCAPE and (at < 0 or raw[at : at + 1] == b" ") else len(c.encode())
             out.append(max(at, 0))
         return np.array(out, np.int64)
