@@ -8,8 +8,8 @@ dropped node holds is dropped too. Kept texts are joined by block.
 
 The model is fitted on at most TRAIN_PAGES pages of at most TRAIN_CHARS characters (the first by hash of the id): nodes in
 or around the page's <article>, <main> or role=main count as content, others don't. Each page is also learned in
-variants with another main element, with common boilerplate added and with texts straight in the body, so that no one tag
-decides.
+variants with another main element, with its paragraphs as lists, tables, preformatted text, figures and other blocks, with common
+boilerplate of the same tags added and with texts straight in the body, so that no one tag decides.
 
 Defined cases: null and empty html give an empty text; broken markup is read as far as it goes (an unclosed script ends with
 the page); pages of any length are read whole; repeated rows give equal results; an empty table gives an empty result.
@@ -35,8 +35,8 @@ TRAIN_PAGES, TRAIN_CHARS = 200, 60_000
 
 # fixed values: HTML's own vocabulary
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object canvas select button head".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style title textarea noscript template iframe svg audio video annotation select button head".split())
+INLINE = frozenset("a abbr b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover object q rb rp rt ruby s samp semantics slot small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table tr div section article main body".split())
@@ -252,11 +252,53 @@ _EXTRA = (
     '<header class="site-header" data-y="0"><div class="logo">{a}</div><p>{b}</p></header>', '<header data-y="0"><h1>{a}</h1></header>', '<aside class="sidebar" data-y="0"><h3>{a}</h3><ul><li><a href="#">{a}</a></li><li><a href="#">{a}</a></li></ul><p>{b}</p></aside>', '<div id="sidebar" data-y="0"><p>{b}</p></div>',
     '<aside data-y="0"><p>{b}</p></aside>', '<div class="cookie-notice" data-y="0"><p>{b}</p><a href="#">{a}</a></div>', '<div id="consent" data-y="0">{b}</div>', '<form action="/s" data-y="0"><label>{a}</label><input name="q"><p>{b}</p></form>', '<section class="comments" data-y="0"><h3>{a}</h3><div class="comment"><p>{b}</p></div><div class="comment"><p>{b}</p></div></section>',
     '<div id="comments" data-y="0"><ol><li><p>{b}</p></li><li><p>{b}</p></li></ol></div>', '<div class="related" data-y="0"><a href="#">{a}</a> <a href="#">{a}</a></div>', '<div class="ad-banner" data-y="0">{b}</div>', '<div class="ad" data-y="0"><p>{b}</p></div>', '<div class="share social" data-y="0"><a href="#">{a}</a></div>', '<nav class="breadcrumb" data-y="0"><a href="#">{a}</a> &gt; <a href="#">{a}</a></nav>', '<div class="menu" data-y="0"><ul><li><a href="#">{a}</a></li><li><a href="#">{a}</a></li></ul></div>', '<footer data-y="0"><p>{b}</p></footer>', '<div class="footer" data-y="0">{b}</div>', '<div class="newsletter" data-y="0"><p>{b}</p></div>',
+    '<ul data-y="0"><li><a href="#">{a}</a></li><li><a href="#">{a}</a></li><li><a href="#">{a}</a></li></ul>', '<ul class="menu" data-y="0"><li>{a}</li><li>{a}</li></ul>', '<table class="navigation" data-y="0"><tr><td><a href="#">{a}</a></td><td><a href="#">{a}</a></td></tr></table>', '<table class="sidebar" data-y="0"><caption>{a}</caption><tr><th>{a}</th><td>{b}</td></tr></table>', '<dl class="footer-links" data-y="0"><dt>{a}</dt><dd>{b}</dd></dl>',
+    '<figure class="advert" data-y="0"><img src="x"><figcaption>{b}</figcaption></figure>', '<pre class="cookie" data-y="0">{b}</pre>', '<blockquote class="promo" data-y="0">{b}</blockquote>', '<aside data-y="0"><dl><dt>{a}</dt><dd>{b}</dd></dl><ol><li>{b}</li><li>{b}</li></ol></aside>', '<aside data-y="0"><table><tr><td>{a}</td><td>{b}</td></tr></table></aside>', '<footer data-y="0"><ul><li>{a}</li><li>{b}</li></ul><pre>{b}</pre></footer>', '<footer data-y="0"><table><tr><td>{a}</td><td>{a}</td></tr></table></footer>',
+    '<nav data-y="0"><h2>{a}</h2><p>{b}</p><dl><dt>{a}</dt><dd>{a}</dd></dl></nav>', '<header data-y="0"><ul><li>{a}</li><li>{a}</li></ul><figure><figcaption>{b}</figcaption></figure></header>', '<form data-y="0"><table><tr><td>{a}</td><td><input></td></tr></table><ul><li>{b}</li></ul></form>', '<section id="comments" data-y="0"><h2>{a}</h2><ul class="comment-list"><li><p>{b}</p><pre>{b}</pre></li></ul></section>', '<div class="comments" data-y="0"><dl><dt>{a}</dt><dd>{b}</dd></dl><blockquote>{b}</blockquote><table><tr><td>{b}</td></tr></table></div>',
 )
+_PARAGRAPH = re.compile(r"<p\b[^>]*>(.*?)(?:</p>|(?=<p\b))", re.S | re.I)
 _OPEN = re.compile(r"<(article|main)\b[^>]*>", re.I)
 
 
-def variants(source: str, rng: random.Random, count: int = 3) -> list[str]:
+def reshaped(inner: str, rng: random.Random) -> str:
+    """Main text with many of its paragraphs as other kinds of blocks."""
+
+    def other(m: re.Match[str]) -> str:
+        words = re.sub(r"<[^>]*>", " ", m[1]).split()
+        if not words or rng.random() < 0.3:
+            return m[0]
+        words = words[: rng.choice((3, 12, 60, len(words)))]
+        step = rng.randint(1, 14)
+        parts = [" ".join(words[i : i + step]) for i in range(0, len(words), step)][:12]
+        if rng.random() < 0.2:
+            parts = [str(rng.randint(0, 9999)) for _ in parts]
+        whole, head = " ".join(words), " ".join(words[:3])
+        listed = "".join(f"<li>{x}</li>" for x in parts)
+        cells = "".join(f"<tr><th>{x.split()[0]}</th><td>{x}</td><td>{i}</td></tr>" for i, x in enumerate(parts))
+        return rng.choice((
+            f"<ul>{listed}</ul>", f"<ol>{listed}</ol>", f"<p>{head}</p><ul>{listed}</ul>", f"<pre>{whole}</pre>", f"<pre><code>{head}\n {whole}</code></pre>", f"<blockquote>{whole}</blockquote>", f"<blockquote><p>{whole}</p></blockquote>",
+            f"<table><caption>{head}</caption>{cells}</table>", f"<table><thead><tr><th>{head}</th></tr></thead><tbody>{cells}</tbody></table>", "<dl>" + "".join(f"<dt>{x.split()[0]}</dt><dd>{x}</dd>" for x in parts) + "</dl>", f'<figure><img src="x"><figcaption>{head}</figcaption></figure>', f"<figure><figcaption>{whole}</figcaption></figure>",
+            f"<h2>{head}</h2><p>{whole}</p>", f"<h3>{head}</h3>", f"<h4>{head}</h4><div>{whole}</div>", f"<section><h2>{head}</h2><p>{whole}</p></section>", f"<details><summary>{head}</summary><p>{whole}</p></details>", f"<div>{whole}</div>", f"<p>{head} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>", f"<address>{head}</address>", f"<center>{whole}</center>",
+        ))
+
+    return _PARAGRAPH.sub(other, inner)
+
+
+def _marked(fragment: str) -> str:
+    """Well-formed markup with its outermost blocks labelled as content."""
+    out, depth, at = [], 0, 0
+    for m in _TOKEN.finditer(fragment):
+        if m[1]:
+            depth -= 1
+        elif m[2]:
+            if not depth:
+                out += [fragment[at : m.end(2)], ' data-y="1"']
+                at = m.end(2)
+            depth += m[2].lower() not in VOID
+    return "".join([*out, fragment[at:]])
+
+
+def variants(source: str, rng: random.Random, count: int = 5) -> list[str]:
     """The page, and versions of it with another main element and added boilerplate, labelled by data-y."""
     out = [source]
     m = _OPEN.search(source)
@@ -273,7 +315,7 @@ def variants(source: str, rng: random.Random, count: int = 3) -> list[str]:
 
     for _ in range(count):
         main = rng.choice(_MAIN)
-        mid = inner
+        mid = reshaped(inner, rng) if rng.random() < 0.8 else inner
         if rng.random() < 0.4 and "</p>" in mid:
             spots = [x.end() for x in re.finditer("</p>", mid)]
             k = rng.choice(spots)
@@ -300,12 +342,15 @@ def bare_variants(inner: str, head: str, tail: str, extra: Callable[[], str], rn
         return f'<span data-y="1">{rng.choice(("<br><br>", "<br>", " ")).join(some)}</span>'
 
     part = lambda: f'<p data-y="1">{rng.choice(texts)}</p>'
+    blocks = lambda: "".join(_marked(reshaped(f"<p>{t}</p>", rng)) for t in texts[:8])
     links = rng.choice((" | ", " ", " &gt; ")).join(f'<a href="#">{t[:12]}</a>' for t in texts[: rng.randint(2, 5)])
     return [
         f"<body>{bare()}</body>",
         head + extra() + bare() + extra() + tail,
         head + bare() + tail,
         f"<body>{part()}{bare()}{part()}</body>",
+        f"<body>{extra()}{blocks()}{extra()}</body>",
+        head + extra() + blocks() + tail,
         f'{head}<span data-y="0">{links}</span><div data-y="1">{inner}</div><span data-y="0">&copy; {texts[0][:20]}</span>{tail}',
     ]
 
