@@ -5,12 +5,13 @@ so short frequent words count little, and each occurrence counts. A term's hash
 each bit. Votes are summed two to a long (32 bits each), so 64 sums make 128 bits.
 
 The search hashes each distinct fingerprint into permuted block tables: with ``radius`` + 2 blocks, fingerprints within
-the radius agree on two blocks at least, so each pair of blocks is the key of one table. Where a key holds more than COMMON
-fingerprints, those go to tables of many small blocks instead, all but ``radius`` of which must agree: members of such a
-key are nearly all within reach of each other, so the work follows the number of pairs found. Nothing is left out.
+the radius agree on two blocks at least, so each pair of blocks is the key of one table. A query and a fingerprint are compared
+wherever they share a key and found in the first such table alone, so nothing has to be made distinct. The fingerprints of a
+key are dealt into salts of about SALT_ROWS, each of which meets all queries of the key. Nothing is left out.
 
 Defined cases: null counts as empty; a text without words has the fingerprint of zeros; equal texts have equal
 fingerprints; rows that repeat an id stay apart rows; an empty table gives an empty result; other columns are not read.
+MAX_WEIGHT is part of the term's definition: raising it lets long words count for more.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import NumericType
 
 from stepweave.session import cut
 
 WHITE = r"[\x20\x09-\x0D]+"
-COMMON, FINE_BLOCKS, MAX_WEIGHT = 64, 12, 12
+SALT_ROWS, MAX_WEIGHT = 1_024, 12
 _PAIR = 0x0000000100000001
 
 
@@ -55,32 +57,36 @@ def as_text(f1: str, f2: str) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(f1), 16, "0"), F.lpad(F.hex(f2), 16, "0")))
 
 
-def _tables(prints: DataFrame, blocks: int, agree: int) -> DataFrame:
-    """(t, m1, m2, f1, f2): each fingerprint under each choice of ``agree`` of ``blocks`` blocks."""
+def _masks(blocks: int) -> list[tuple[str, str]]:
+    """The bits of each block in both halves, as SQL numbers."""
     edge = [128 * i // blocks for i in range(blocks + 1)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keys = []
-    for t, chosen in enumerate(combinations(range(blocks), agree)):
-        mask = sum(((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in chosen)
-        keys.append(f"struct({t} AS t, f1 & {signed(mask & (2**64 - 1))}L AS m1, f2 & {signed(mask >> 64)}L AS m2)".replace("-9223372036854775808L", "shiftleft(1L, 63)"))
-    return prints.select("f1", "f2", F.expr(f"explode(array({', '.join(keys)}))").alias("k")).select("k.*", "f1", "f2")
+    bits = [((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in range(blocks)]
+    signed = lambda x: f"(-{(1 << 64) - x - 1}L - 1L)" if x >> 63 else f"{x}L"
+    return [(signed(m & (2**64 - 1)), signed(m >> 64)) for m in bits]
 
 
-def _close(table: DataFrame, radius: int) -> DataFrame:
-    a, b = table.alias("a"), table.alias("b")
-    near = F.expr(f"bit_count(a.f1 ^ b.f1) + bit_count(a.f2 ^ b.f2) <= {int(radius)} AND (a.f1 < b.f1 OR (a.f1 = b.f1 AND a.f2 < b.f2))")
-    return a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.m1") == F.col("b.m1")) & (F.col("a.m2") == F.col("b.m2")) & near).select(F.col("a.f1").alias("a1"), F.col("a.f2").alias("a2"), F.col("b.f1").alias("b1"), F.col("b.f2").alias("b2"))
+def _tables(prints: DataFrame, blocks: int) -> DataFrame:
+    """(t, m1, m2, f1, f2): each fingerprint under each pair of ``blocks`` blocks."""
+    mask = _masks(blocks)
+    keys = [f"struct({t} AS t, f1 & ({mask[i][0]} | {mask[j][0]}) AS m1, f2 & ({mask[i][1]} | {mask[j][1]}) AS m2)" for t, (i, j) in enumerate(combinations(range(blocks), 2))]
+    return prints.select("f1", "f2", F.expr(f"explode(array({', '.join(keys)}))").alias("k")).select("k.*", "f1", "f2")
 
 
-def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(a1, a2, b1, b2): all pairs of different fingerprints (f1, f2) that differ in at most ``radius`` bits, each once."""
-    prints = prints.select("f1", "f2").distinct()
-    table = _tables(prints, radius + 2, 2)
-    sizes = table.groupBy("t", "m1", "m2").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut(table.join(sizes, ["t", "m1", "m2"]))  # few: only keys of two or more
-    cold = _close(shared.filter(f"n <= {COMMON}").drop("n"), radius)
-    hot = shared.filter(f"n > {COMMON}").select("f1", "f2").distinct()
-    return cold.union(_close(_tables(hot, FINE_BLOCKS, FINE_BLOCKS - radius), radius)).distinct()
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
+    """(q1, q2, f1, f2): for each distinct query (f1, f2) all other distinct fingerprints that differ in at most ``radius`` bits, each once."""
+    blocks = radius + 2
+    asked = _tables(queries.select("f1", "f2").distinct(), blocks).select("t", "m1", "m2", F.col("f1").alias("q1"), F.col("f2").alias("q2"))
+    table = _tables(prints.select("f1", "f2").distinct(), blocks)
+    # salts of the keys that need more than one: at most one such key for SALT_ROWS rows of the table
+    large = cut(table.groupBy("t", "m1", "m2").agg(F.count("*").alias("n")).filter(f"n > {SALT_ROWS}").select("t", "m1", "m2", F.expr(f"cast(n div {SALT_ROWS} + 1 as int)").alias("salts")))
+    salted = lambda rows, salt: rows.join(large, ["t", "m1", "m2"], "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", salt).drop("salts")
+    if not large.isEmpty():
+        table = salted(table, F.expr("cast(pmod(xxhash64(f1, f2), salts) as int)"))
+        asked = salted(asked, F.explode(F.expr("sequence(0, salts - 1)")))
+    agree = [f"((f1 ^ q1) & {a}) | ((f2 ^ q2) & {b}) = 0" for a, b in _masks(blocks)]
+    first = "CASE " + " ".join(f"WHEN ({agree[i]}) AND ({agree[j]}) THEN {t}" for t, (i, j) in enumerate(combinations(range(blocks), 2))) + " END"
+    met = asked.join(table, [c for c in table.columns if c not in ("f1", "f2")])
+    return met.filter(F.expr(f"bit_count(f1 ^ q1) + bit_count(f2 ^ q2) BETWEEN 1 AND {int(radius)} AND t = {first}")).select("q1", "q2", "f1", "f2")
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -98,12 +104,13 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(below), F.col("range") == F.col("r")).select("id", F.coalesce("prev", "below", "first").alias("next_id"))
 
 
-def edited_pairs(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited text: the last third replaced by the start of the next document.
+def edited_pairs(docs: DataFrame, radius: int = 3, every: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Fingerprints of each text and of its edited text (the last third replaced by the start of the next document), and the search.
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near); the next document is
-    that of ``next_ids``, by its smallest start where an id repeats; a row without an id follows itself. n_near counts the
-    other distinct fingerprints of the table's texts within ``radius`` bits.
+    that of ``next_ids``, by its smallest start where an id repeats; a row without an id follows itself. n_near is the search's
+    result for the rows whose id (or its hash, if it is no number) is divisible by ``every``, else null: how many other distinct fingerprints of all texts are
+    within ``radius`` bits of theirs.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     placed, lone = docs.filter("doc_id IS NOT NULL"), docs.filter("doc_id IS NULL")
@@ -128,10 +135,11 @@ def edited_pairs(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text:
     pick = lambda c, v: F.max(F.when(F.col("v") == v, F.col(c)))
     wide = cut(prints.groupBy(*facts).agg(pick("f1", 0).alias("f1"), pick("f2", 0).alias("f2"), pick("f1", 1).alias("e1"), pick("f2", 1).alias("e2")))
     after = wide.filter("nth = 1 and doc_id is not null").select(F.col("doc_id").alias("after"), F.col("f1").alias("n1"), F.col("f2").alias("n2"))
-    pairs = within_radius(wide, radius)
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("g1"), F.col("a2").alias("g2")), F.struct(F.col("b1").alias("g1"), F.col("b2").alias("g2")))).alias("e")).select("e.*")
-    counts = ends.groupBy("g1", "g2").agg(F.count("*").alias("n_near"))
-    out = wide.join(after, F.col("next_id") == F.col("after"), "left").join(counts, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
+    number = F.col("doc_id") if isinstance(docs.schema["doc_id"].dataType, NumericType) else F.xxhash64("doc_id")
+    asks = F.coalesce(number % every == 0, F.lit(False))
+    found = within_radius(wide.filter(asks), wide, radius).groupBy("q1", "q2").agg(F.count("*").alias("n_near"))
+    near = wide.filter(asks).select("doc_id", "nth", "f1", "f2").join(found, (F.col("f1") == F.col("q1")) & (F.col("f2") == F.col("q2")), "left").select(F.col("doc_id").alias("near_id"), F.col("nth").alias("near_nth"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    out = wide.join(after, F.col("next_id") == F.col("after"), "left").join(near, (F.col("doc_id") == F.col("near_id")) & (F.col("nth") == F.col("near_nth")), "left")
     f1, f2 = F.col("f1"), F.col("f2")
     return out.select(
         "doc_id",
@@ -141,5 +149,5 @@ def edited_pairs(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text:
         as_text("e1", "e2").alias("edited_fingerprint"),
         likeness(f1, f2, F.col("e1"), F.col("e2")).alias("near_edited"),
         likeness(f1, f2, F.coalesce("n1", "f1"), F.coalesce("n2", "f2")).alias("near_next"),
-        F.coalesce("n_near", F.lit(0)).alias("n_near"),
+        "n_near",
     )

@@ -95,48 +95,6 @@ def test_sentencepiece_spans_tile_the_text(spark):
     assert {r["doc_id"]: r["text"] for r in sentence_pieces.decode_ids(ids, queries.tokenizer()).collect()} == {1: "Hello world", 2: "", 3: ""}
 
 
-def test_sentencepiece_query_projects_spans(spark, tmp_path):
-    import io
-    import struct
-
-    import sentencepiece
-
-    made = io.BytesIO()
-    lines = ["the ﬁrst line of office work", "ｆｕｌｌ width and half", "a second line of the text", "Ångström measures, ½ of it"] * 50
-    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_writer=made, vocab_size=320, model_type="bpe", byte_fallback=True, normalization_rule_name="nmt_nfkc", remove_extra_whitespaces=False, minloglevel=2, hard_vocab_limit=False)
-    texts = ["Hello  world", "", None, "a\n\nb", "日本語 テスト😀", " lead", "▁odd ▁", "the ﬁrst ｗｏｒｋ ½", "\u200b", "A\u030angström ﬁ"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for model in (queries.tokenizer(), made.getvalue()):
-        lib = sentencepiece.SentencePieceProcessor(model_proto=model)
-        pieces = {r["doc_id"]: r["pieces"] for r in sentence_pieces.encode_pieces(docs, model).collect()}
-        for r in sentence_pieces.encode_digests(docs, model).collect():
-            text, found = texts[r["doc_id"]] or "", pieces[r["doc_id"]]
-            assert [p["id"] for p in found] == lib.encode(text) and r["n_tokens"] == len(found) and r["exact"]
-            assert r["spans_sha256"] == hashlib.sha256(b"".join(struct.pack("<qq", p["begin"], p["end"]) for p in found)).hexdigest()
-            at = 0
-            for p in found:
-                assert p["begin"] == at <= p["end"]
-                at = p["end"]
-            assert at == len(text.encode())
-
-
-def test_character_map_takes_longest_prefix():
-    import struct
-
-    # a double array for one key, "ab" -> "X": unit = offset << 10 | has-leaf << 8 | label
-    units = [0] * 256
-    root = 1
-    units[0] = root << 10
-    a = root ^ ord("a")
-    units[a] = (a ^ 4) << 10 | ord("a")
-    b = 4 ^ ord("b")
-    units[b] = (b ^ 3) << 10 | 1 << 8 | ord("b")
-    units[3] = 1 << 31 | 0
-    blob = struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + b"X\0"
-    text, align = sentence_pieces.CharacterMap(blob).apply("éabac")
-    assert text == "éXac" and align == [0, 0, 2, 4, 5, 6]
-
-
 def test_mixing_stays_within_a_block(spark):
     rows = spark.range(5000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('s', id % 5) END AS source", "id AS position", "id AS block")
     weights = {"hot": 5, "s0": 3, "s1": 1, "s2": 7, "s3": 2, "s4": 1, None: 1}
@@ -284,19 +242,58 @@ def test_simhash(spark, sf, odd_docs):
     assert simhash.edited_pairs(odd_docs.limit(0)).count() == 0
 
 
-def test_simhash_search_is_complete(spark):
+def plain_fingerprint(spark, texts):
+    """128 bits by a loop over terms; only their hashes come from Spark."""
+    out = []
+    for text in texts:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+        pairs = list(zip(words, [*words[1:], None]))
+        if not pairs:
+            out.append("0" * 32)
+            continue
+        rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+        hashed = rows.select("i", "a", F.xxhash64("a", "b").alias("p")).withColumn("q", F.xxhash64("p")).collect()
+        votes = [0] * 128
+        for r in hashed:
+            w = min(len(r["a"]), simhash.MAX_WEIGHT)
+            for half, h in enumerate((r["p"], r["q"])):
+                for bit in range(64):
+                    votes[64 * half + bit] += w if h >> bit & 1 else -w
+        out.append("".join(f"{sum(1 << b for b in range(64) if votes[64 * half + b] > 0):016x}" for half in (0, 1)))
+    return out
+
+
+def test_simhash_votes(spark):
+    texts = ["", "one", "a b a b a b", "The quick brown fox jumps over the lazy dog and then some more", "été  日本語\n\tword", " ".join(f"w{i % 17}" for i in range(300))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = simhash.fingerprints(rows, ["k"]).select("k", simhash.as_text("f1", "f2").alias("f"))
+    assert [r["f"] for r in sorted(got.collect())] == plain_fingerprint(spark, texts)
+
+
+def test_simhash_search_is_complete(spark, monkeypatch):
     import random
 
     rng = random.Random(3)
     base = [rng.getrandbits(128) for _ in range(20)]
     prints = set(base)
-    for b in base[:3]:  # crowded keys take the fine tables
+    for b in base[:3]:  # crowded keys are salted
         prints |= {b ^ (1 << i) ^ (1 << rng.randrange(128)) for i in range(100)}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     prints = sorted(prints)
-    df = spark.createDataFrame([(signed(p & (2**64 - 1)), signed(p >> 64)) for p in prints], "f1 long, f2 long")
-    want = sum(bin(a ^ b).count("1") <= 3 for i, a in enumerate(prints) for b in prints[i + 1 :])
-    assert simhash.within_radius(df, 3).count() == want > 0
+    df = spark.createDataFrame([(i, signed(p & (2**64 - 1)), signed(p >> 64)) for i, p in enumerate(prints)], "i int, f1 long, f2 long")
+    full = lambda r: ((r["q1"] % 2**64) | (r["q2"] % 2**64) << 64, (r["f1"] % 2**64) | (r["f2"] % 2**64) << 64)
+    for salt, every in ((simhash.SALT_ROWS, 1), (16, 3)):
+        monkeypatch.setattr(simhash, "SALT_ROWS", salt)
+        want = sorted((a, b) for a in prints[::every] for b in prints if 0 < bin(a ^ b).count("1") <= 3)
+        assert sorted(map(full, simhash.within_radius(df.filter(f"i % {every} = 0"), df, 3).collect())) == want != []
+
+
+def test_simhash_counts_near_fingerprints(spark, sf):
+    got = queries.op8_simhash(spark, sf).collect()
+    prints = {int(r["fingerprint"], 16) for r in got}
+    for r in got:
+        mine = int(r["fingerprint"], 16)
+        assert r["n_near"] == (sum(0 < bin(mine ^ p).count("1") <= 3 for p in prints) if r["doc_id"] % 50 == 0 else None)
 
 
 def test_language(spark, sf):
