@@ -22,8 +22,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stepweave.llm.names import numbered
 from stepweave.llm.sampling import bounded_sample
 from stepweave.llm.textbytes import column_bytes, slices, words
+from stepweave.session import cut, discard
 
 MAX_LABELLED = 20_000
 BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE, LEAVES = 32, 8, 6, 60, 30, 0.15, 4
@@ -171,7 +173,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> AdditiveModel:
-    """Fit on at most ``max_labelled`` labelled rows; the sample, of known size, is broadcast to find its texts."""
+    """Fit on at most ``max_labelled`` labelled rows; the sample, of known size, is broadcast to find its texts.
+
+    Texts of ids that repeat are labelled rows too; the same bound holds for them before anything is gathered.
+    """
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("_y")).where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     sample = bounded_sample(known, ["_id", "_y"], max_labelled)
     texts = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id").select("_y", "text")
@@ -181,8 +186,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
             x = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, j]) for j in range(x.shape[1]))], ["_y", *FEATURES])
 
-    rows: pd.DataFrame = texts.mapInArrow(run, "_y double, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
-    rows = rows.sort_values(list(rows.columns)).head(max_labelled)  # any order of arrival gives one model
+    known = cut(texts.mapInArrow(run, "_y double, " + ", ".join(f"{f} double" for f in FEATURES)))
+    rows: pd.DataFrame = bounded_sample(known, ["_y", *FEATURES], max_labelled).toPandas()
+    discard(known)
+    rows = rows.sort_values(list(rows.columns))  # any order of arrival gives one model
     return fit(rows[list(FEATURES)].to_numpy(float), rows["_y"].to_numpy(float))
 
 
@@ -200,9 +207,11 @@ def scores(docs: DataFrame, model: AdditiveModel, doc_id: str = "doc_id", text:
 def keep_good(docs: DataFrame, model: AdditiveModel, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the model accepts, in one pass and with the same columns."""
 
+    at = docs.columns.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
             yield batch.filter(pa.array(model.score(features(batch.column(at))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = numbered(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
