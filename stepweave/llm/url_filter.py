@@ -2,8 +2,9 @@
 
 A rule (host, path, verdict) fits its host and all subdomains where the url's path starts with the rule's; the longest
 fitting rule decides. The trees learn from labelled urls (by default those that rules decide): length, depth, digit share,
-character entropy, parameters, and smoothed block rates of the host's suffix and of the path's first part, which grouped
-counts over all labelled urls give. Training takes at most MAX_LABELLED urls (the first by hash); all are scored.
+character entropy, parameters, and statistics of the host's suffix and domain and of the path's first part: how many urls and
+hosts of the whole table have them. Those come from the urls alone, so no label reaches a feature. Training takes at most MAX_LABELLED urls (the first
+by hash); all are scored.
 
 Defined cases: a url that is null or has no "://" has an empty host and path, and no rule; with labels of one class only the
 verdict is that class, with none it is allow; repeated rows get equal verdicts; an empty table gives an empty result; columns
@@ -14,15 +15,17 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stepweave.llm.hot import with_group
 from stepweave.llm.sampling import bounded_sample
 from stepweave.session import cut
 
-MAX_LABELLED, MAX_RULES, SMOOTH = 20_000, 1_000, 20.0
+MAX_LABELLED, MAX_RULES = 20_000, 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-FEATURES = ("length", "host_length", "depth", "labels", "digits", "hyphens", "entropy", "params", "query_length", "fragment", "suffix_rate", "part_rate")
+FEATURES = ("length", "host_length", "depth", "labels", "digits", "hyphens", "entropy", "params", "query_length", "fragment", "suffix_urls", "suffix_hosts", "domain_urls", "domain_hosts", "part_urls", "part_hosts")
 
 
 def host_of(url: Column) -> Column:
@@ -51,7 +54,7 @@ def _entropy(text: Column) -> Column:
 
 
 def lexical(urls: DataFrame) -> DataFrame:
-    """``urls`` (url, host, path, ...) with its lexical features, the suffix and the path's first part."""
+    """``urls`` (url, host, path, ...) with its lexical features, the host's suffix and domain, and the path's first part."""
     url = F.coalesce(F.col("url"), F.lit(""))
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     return urls.withColumns({
@@ -67,12 +70,16 @@ def lexical(urls: DataFrame) -> DataFrame:
         "fragment": F.contains(url, F.lit("#")).cast("double"),
         "suffix": F.element_at(F.split("host", r"\."), -1),
         "part": F.regexp_extract("path", "^/([^/]*)", 1),
+        "domain": F.concat_ws(".", F.slice(F.split("host", r"\."), F.greatest(F.size(F.split("host", r"\.")) - 1, F.lit(1)), F.lit(2))),
     })
 
 
-def _rates(labelled: DataFrame, key: str, overall: float) -> DataFrame:
-    """Block rate of each value of ``key``, drawn to the overall rate where there are few."""
-    return labelled.groupBy(F.col(key).alias(f"_{key}")).agg(((F.sum("y") + SMOOTH * overall) / (F.count("*") + SMOOTH)).alias(f"{key}_rate"))
+def with_statistics(rows: DataFrame, urls: DataFrame) -> DataFrame:
+    """``rows`` (suffix, domain, part, ...) with the logarithms of how many of ``urls`` and of their hosts have them."""
+    for key in ("suffix", "domain", "part"):
+        found = urls.groupBy(key).agg(F.count("*").alias("n"), F.log1p(F.count("*")).alias(f"{key}_urls"), F.log1p(F.approx_count_distinct("host")).alias(f"{key}_hosts"))
+        rows = with_group(rows, found, [key], "n").drop("n").na.fill(0.0, [f"{key}_urls", f"{key}_hosts"])
+    return rows
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url", labelled: DataFrame | None = None) -> DataFrame:
@@ -81,24 +88,19 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page
     ``labelled``: (url, y) with y 1 for block; without it, the urls that rules decide.
     """
     parts = lambda df, u: df.withColumn("host", host_of(F.col(u))).withColumn("path", path_of(F.col(u)))
-    rows = lexical(parts(pages.select(F.col(key).alias("key"), F.col(url).alias("url")), "url")).withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
+    plain = lexical(parts(pages.select(F.col(key).alias("key"), F.col(url).alias("url")), "url")).withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     if labelled is None:
-        known = rows.filter("hit IS NOT NULL").withColumn("y", (F.col("hit.verdict") == "block").cast("double"))
+        known = plain.filter("hit IS NOT NULL").withColumn("y", (F.col("hit.verdict") == "block").cast("double"))
     else:
         known = lexical(parts(labelled.select("url", F.col("y").cast("double").alias("y")), "url")).filter("y IS NOT NULL")
-    seen = known.agg(F.count("*").alias("n"), F.coalesce(F.avg("y"), F.lit(0.0)).alias("mean")).first()
+    seen = known.agg(F.coalesce(F.avg("y"), F.lit(0.0)).alias("mean")).first()
     if seen["mean"] in (0.0, 1.0):
-        scored = rows.withColumn("score", F.lit(float(seen["mean"])))
+        scored = plain.withColumn("score", F.lit(float(seen["mean"])))
     else:
-        for k in ("suffix", "part"):
-            rate = _rates(known, k, seen["mean"])
-            with_rate = lambda df: df.join(rate, df[k].eqNullSafe(rate[f"_{k}"]), "left").drop(f"_{k}").na.fill(seen["mean"], [f"{k}_rate"])  # noqa: B023, E731
-            rows, known = with_rate(rows), with_rate(known)
         gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
-        sample = cut(bounded_sample(known.select("url", "y", *FEATURES), ["url"], MAX_LABELLED))  # every boosting step reads it again
+        sample = cut(bounded_sample(known, ["url"], MAX_LABELLED).select("y", "suffix", "domain", "part", *(f for f in FEATURES if not f.startswith(("suffix_", "domain_", "part_")))))
+        sample = cut(with_statistics(sample, plain))  # every boosting step reads it again
         model = GBTClassifier(labelCol="y", featuresCol="features", maxIter=20, maxDepth=3, stepSize=0.2, seed=11).fit(gather.transform(sample).select("features", "y"))
-        from pyspark.ml.functions import vector_to_array
-
-        scored = model.transform(gather.transform(rows)).withColumn("score", vector_to_array("probability")[1])
+        scored = model.transform(gather.transform(with_statistics(plain, plain))).withColumn("score", vector_to_array("probability")[1])
     method = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return scored.select(F.col("key").alias(key), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", method).alias("verdict"), "score")

@@ -187,24 +187,40 @@ def test_html_keeps_bare_body_text(spark, sf):
     assert {r["page_id"]: r["text"] for r in html_text.extracted(rows, model).collect()} == {i: t for i, (_, t) in pages.items()}
 
 
+def plain_rule(url):
+    """Host, path, rule and verdict by a loop."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.split("[/?#]", rest)[0]
+    path = re.split("[?#]", rest[len(host) :])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fit = [(len(h + p), h + p, v) for h, p, v in queries.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fit)[1:] if fit else (None, None)))
+
+
 def test_url_filter(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
-    extra = spark.createDataFrame([(-1, None), (-2, "no scheme"), (-3, "http://A.Example.NET/en/x?y#z"), (-4, "http://net"), (-5, "x://org/fr/?a://b"), (-6, "http://notnet/"), (-7, "")], "page_id long, url string")
-    for r in url_filter.judged(pages.unionByName(extra), queries.RULES).collect():
-        url = dict(map(tuple, extra.collect())).get(r["page_id"]) if r["page_id"] < 0 else None
-        if r["page_id"] >= 0:
-            continue
-        rest = url.split("://", 1)[1] if url and "://" in url else ""
-        host = re.split("[/?#]", rest)[0]
-        path = re.split("[?#]", rest[len(host) :])[0]
-        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
-        fit = [(len(h + p), h + p, v) for h, p, v in queries.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        assert (r["host"], r["path"], r["rule"]) == (host, path, max(fit)[1] if fit else None)
-        if fit:
-            assert r["verdict"] == max(fit)[2]
+    extra = spark.createDataFrame([(-1, None), (-2, "no scheme"), (-3, "http://A.Example.NET/en/x?y#z"), (-4, "http://net"), (-5, "x://org/fr/?a://b"), (-6, "http://notnet/"), (-7, ""), (-8, "http://h.com/" + "a/" * 20_000), (-8, "http://h.com/")], "page_id long, url string")
+    extra = extra.selectExpr("*", "url AS host", "url AS suffix", "page_id AS key", "1.0D AS score", "1 AS n", "url AS domain")
+    rows = pages.unionByName(extra, allowMissingColumns=True)
+    got = url_filter.judged(rows, queries.RULES).collect()
+    assert sorted((r["page_id"], r["host"], r["path"], r["rule"] or "") for r in got) == sorted((d, *(x or "" for x in plain_rule(u)[:3])) for d, u in rows.select("page_id", "url").collect())
+    for r in got:
+        assert r["verdict"] == ("allow" if r["rule"] in ("example.net/en/", "org/fr/") else "block" if r["rule"] else ("block" if r["score"] >= 0.5 else "allow"))
     assert url_filter.judged(pages.limit(0), queries.RULES).count() == 0
 
 
+def test_url_filter_learns(spark):
+    """Urls that rules decide, half of them held out; the trees never see the rules or any label as a feature."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url").collect()
+    known = [(r["page_id"], r["url"], plain_rule(r["url"])[3]) for r in pages if plain_rule(r["url"])[3]]
+    labelled = spark.createDataFrame([(u, int(v == "block")) for d, u, v in known if d % 2], "url string, y int")
+    asked = spark.createDataFrame([(r["page_id"], r["url"]) for r in pages], "page_id long, url string")
+    score = {r["page_id"]: r["score"] for r in url_filter.judged(asked, [], labelled=labelled).collect()}
+    held = [(score[d] >= 0.5) == (v == "block") for d, _, v in known if not d % 2]
+    most = max(sum(v == "block" for d, _, v in known if not d % 2), sum(v == "allow" for d, _, v in known if not d % 2))
+    assert sum(held) / len(held) >= 0.85 and sum(held) > most
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
