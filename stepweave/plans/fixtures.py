@@ -19,6 +19,8 @@ FIXTURES: dict[str, str] = {
     # section starts, every third one missing
     "starts": "SELECT set_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY page) AS INT) AS bag, page FROM (SELECT set_id, page, value, lag(value) OVER (PARTITION BY set_id ORDER BY page) AS before FROM page_steps) WHERE before - value >= 100",
     "truth": "SELECT set_id, bag, page FROM starts WHERE bag % 3 <> 0",
+    # what a page scan reports
+    "evidence": "SELECT set_id, page, value, CASE WHEN value % 4 = 1 THEN page % 9 + 1 END AS detected, value % 3 > 0 AS number_found, value * 400 AS number_area, page % 11 = 0 AS card, page % 13 = 0 AS white_box, page % 5 = 0 AS strict_panel, page % 17 = 0 AS several_steps, CASE WHEN page % 6 = 0 THEN page % 9 + 1 END AS expected, page % 19 <> 0 AS allowed, page % 60 AS nx, value % 40 AS ny, value % 70 AS sx, page % 50 AS sy FROM page_steps",
     "manual": "SELECT set_id, max(page) AS last_page FROM page_steps GROUP BY set_id",
     # tokens and boxes on a page
     "boxes": "SELECT l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS box, CAST(l_partkey % 1000 AS INT) AS x, CAST((l_suppkey * 37) % 800 AS INT) AS y, CAST(10 + 5 * l_linenumber AS INT) AS w, CAST(12 + CAST(l_quantity AS INT) % 30 AS INT) AS h, concat(CAST(CAST(l_quantity AS INT) AS VARCHAR(9)), 'x') AS text, l_discount AS score, l_shipdate, l_suppkey, l_partkey FROM lineitem",
