@@ -84,19 +84,23 @@ def context_counts(required: DataFrame) -> DataFrame:
     return required.agg(F.count("*").alias("parts"), F.sum("qty").alias("total"), F.count_if(F.col("img_url").isNull()).alias("without_image"))
 
 
-def nearest_colours(asked: DataFrame, colors: DataFrame, k: int = 6, most_colors: int = 10_000) -> DataFrame:
-    """The ``k`` nearest colours of each (query, rgb array); ``colors`` is a palette of at most ``most_colors`` rows.
+def nearest_colours(asked: DataFrame, colors: DataFrame, k: int = 6, block_colors: int = 1_024, slices: int = 32) -> DataFrame:
+    """The ``k`` nearest colours of each (query, rgb array), of a palette of any size; ties go to the lower colour.
 
-    The palette's size is checked, then it travels to the rows: no pair is shuffled before the top k are taken.
+    The palette is dealt into blocks of about ``block_colors``, the distinct asked colours into ``slices``; each block meets each
+    slice in a group of its own, and what goes on from there is the best ``k`` of a colour in a block.
     """
     palette = colors.groupBy("rgb").agg(F.min("color_id").alias("color_id")).select("color_id", s.hex_rgb(F.col("rgb")).alias("c")).filter("c IS NOT NULL")
-    if palette.limit(most_colors + 1).count() > most_colors:
-        raise ValueError(f"the palette has more than {most_colors} colours")
-    whole = palette.agg(F.collect_list(F.struct("color_id", "c")).alias("palette"))
-    rows = asked.join(F.broadcast(whole))
-    scored = F.transform("palette", lambda p: F.struct(s.rgb_distance(F.col("rgb"), p["c"]).alias("distance"), p["color_id"].alias("color_id")))
-    top = rows.select("query", F.posexplode(F.slice(F.array_sort(scored), 1, k)).alias("rank", "hit"))
-    return top.select("query", (F.col("rank") + 1).alias("rank"), "hit.color_id", "hit.distance")
+    blocks = max(1, -(-palette.count() // block_colors))
+    dealt = palette.select("color_id", F.col("c")[0].alias("r"), F.col("c")[1].alias("g"), F.col("c")[2].alias("b"), F.pmod(F.xxhash64("color_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    wanted = asked.filter("rgb IS NOT NULL").select("rgb").distinct().withColumn("slice", F.pmod(F.xxhash64("rgb"), F.lit(slices)).cast("int"))
+    wanted = wanted.select("slice", F.col("rgb").alias("wanted"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    apart = lambda i, c: (F.col("wanted")[i] - F.col(c)) * (F.col("wanted")[i] - F.col(c))
+    met = wanted.join(dealt, ["block", "slice"]).select("wanted", "block", "color_id", F.sqrt((apart(0, "r") + apart(1, "g") + apart(2, "b")).cast("double")).alias("distance"))
+    best = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("distance", "color_id"))).filter(F.col("rank") <= k)
+    if blocks > 1:
+        met = best(met, "wanted", "block").drop("rank")
+    return asked.join(best(met, "wanted"), F.col("rgb") == F.col("wanted")).select("query", "rank", "color_id", "distance")
 
 
 def colour_top5(asked: DataFrame, colors: DataFrame) -> DataFrame:
@@ -116,31 +120,43 @@ def rgb_match(segments: DataFrame, pool: DataFrame, k: int = 5) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("set_num", "segment", "rank", "part_num", "color_id", "score")
 
 
-def knn_same_attr(queries: DataFrame, catalog: DataFrame, k: int = 10) -> DataFrame:
+def _dealt(rows: DataFrame, key: str, blocks: int) -> DataFrame:
+    return rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+
+
+def _in_all(rows: DataFrame, blocks: int) -> DataFrame:
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+
+def knn_same_attr(queries: DataFrame, catalog: DataFrame, k: int = 10, blocks: int = 32) -> DataFrame:
     """Cosine neighbours with the query's attribute; all of the catalog only for attributes it lacks.
 
-    ``queries`` and ``catalog``: (vec_id, embedding, label). The catalog is met block by block through an equi join on the
-    attribute, so no pair of different attributes is formed.
+    ``queries`` and ``catalog``: (vec_id, embedding, label). The catalog is dealt into ``blocks``, the queries, a stated set, visit
+    each: those whose attribute the catalog has by block and attribute, the others by block alone. No block's candidates but the
+    best ``k`` of a query go on. A vector isn't a candidate for itself.
     """
     unit = lambda df, p: df.select(F.col("vec_id").alias(f"{p}id"), F.col("label").alias(f"{p}label"), s.l2_normalize(F.col("embedding")).alias(f"{p}v")).filter(F.col(f"{p}v").isNotNull())
-    q, c = unit(queries, "q_"), unit(catalog, "c_")
-    same = q.join(c, F.col("q_label") == F.col("c_label"))
-    rest = q.join(c.select("c_label").distinct(), F.col("q_label") == F.col("c_label"), "left_anti")
-    every = rest.withColumn("one", F.lit(1)).join(c.withColumn("one", F.lit(1)), "one").drop("one")
-    pairs = same.unionByName(every).select(F.col("q_id").alias("query"), F.col("c_id").alias("candidate"), s.dot(F.col("q_v"), F.col("c_v")).alias("score"))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def memory_score(queries: DataFrame, memory: DataFrame, least: float = 0.8, blocks: int = 16) -> DataFrame:
+    q, c = unit(queries, "q_"), _dealt(unit(catalog, "c_"), "c_id", blocks)
+    labels = c.select(F.col("c_label").alias("known")).distinct()
+    same = _in_all(q.join(labels, F.col("q_label") == F.col("known"), "left_semi"), blocks)
+    rest = _in_all(q.join(labels, F.col("q_label") == F.col("known"), "left_anti"), blocks)
+    met = c.withColumnRenamed("block", "c_block")
+    one = same.join(met, (F.col("block") == F.col("c_block")) & (F.col("q_label") == F.col("c_label")))
+    two = rest.join(met, F.col("block") == F.col("c_block"))
+    pairs = one.unionByName(two).filter("q_id <> c_id").select("block", F.col("q_id").alias("query"), F.col("c_id").alias("candidate"), s.dot(F.col("q_v"), F.col("c_v")).alias("score"))
+    best = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "candidate"))).filter(F.col("rank") <= k)
+    return best(best(pairs, "query", "block").drop("rank"), "query").drop("block")
+
+
+def memory_score(queries: DataFrame, memory: DataFrame, least: float = 0.8, blocks: int = 32) -> DataFrame:
     """Best cosine of each query and element over the element's vectors, from ``least`` up.
 
-    Queries are dealt into ``blocks`` and meet every block of the memory, a stated query set against all rows.
+    The memory is dealt into ``blocks``; the queries, a stated set, visit each. Scores below ``least`` go no further.
     """
-    q = queries.select(F.col("vec_id").alias("query"), s.l2_normalize(F.col("embedding")).alias("qv")).filter("qv IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    m = memory.select(F.col("element_id").alias("element"), s.l2_normalize(F.col("embedding")).alias("mv")).filter("mv IS NOT NULL").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    best = q.join(m, "block").select("query", "element", s.dot(F.col("qv"), F.col("mv")).alias("score")).groupBy("query", "element").agg(F.max("score").alias("score"))
-    return best.filter(F.col("score") >= least)
+    q = _in_all(queries.select(F.col("vec_id").alias("query"), s.l2_normalize(F.col("embedding")).alias("qv")).filter("qv IS NOT NULL"), blocks)
+    m = _dealt(memory.select("vec_id", F.col("element_id").alias("element"), s.l2_normalize(F.col("embedding")).alias("mv")).filter("mv IS NOT NULL"), "vec_id", blocks)
+    scored = q.join(m, "block").select("query", "element", s.dot(F.col("qv"), F.col("mv")).alias("score")).filter(F.col("score") >= least)
+    return scored.groupBy("query", "element").agg(F.max("score").alias("score"))
 
 
 def confirmed_memory(labels: DataFrame, embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:

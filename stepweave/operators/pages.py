@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stepweave.operators.acceptance import runs_asof
+
 SET = "set_id"
 
 
@@ -76,8 +78,11 @@ def gap_window_scan(windows: DataFrame, pages: DataFrame, truth: DataFrame) -> D
 
     The pick has the exact number, else any number, else the best score. ``windows``: set_id, bag, previous_page, next_page.
     """
-    open_pages = pages.join(truth.select(SET, "page"), [SET, "page"], "left_anti").withColumnRenamed(SET, "_set")
-    inside = windows.filter("next_page - previous_page >= 2").join(open_pages, (F.col(SET) == F.col("_set")) & (F.col("page") > F.col("previous_page")) & (F.col("page") < F.col("next_page"))).drop("_set")
+    open_pages = pages.join(truth.select(SET, "page"), [SET, "page"], "left_anti")
+    wide = windows.filter("next_page - previous_page >= 2").withColumn("from_page", F.col("previous_page") + 1)
+    # windows lie between neighbouring starts: a page is in one of them at most, which several missing sections may share
+    gaps = wide.groupBy(SET, "from_page").agg(F.max("next_page").alias("to_page"))
+    inside = runs_asof(open_pages, gaps, SET, "page", "from_page", ["from_page", "to_page"]).filter("page < to_page").drop("to_page").join(wide, [SET, "from_page"])
     rows = inside.withColumn("start", F.col("previous_page") + 1).withColumn("end", F.col("next_page") - 1)
     score, reasons = window_score()
     rows = rows.withColumn("score", score).withColumn("reasons", F.size(reasons))

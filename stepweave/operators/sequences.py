@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stepweave.operators.acceptance import runs_asof
 from stepweave.operators.grouped import fold_groups
 
 SET = "set_id"
@@ -133,8 +134,10 @@ def consecutive_runs(numbers: DataFrame, key: str = SET, value: str = "value") -
 def visible_runs(numbers: DataFrame, emitted: DataFrame, least: int = 3) -> DataFrame:
     """Runs of ``least`` or more that touch an emitted value; where a set emitted nothing, all of them count."""
     runs = consecutive_runs(numbers).filter(F.col("length") >= least)
-    given = emitted.select(F.col(SET).alias("_set"), F.col("value").alias("_value")).distinct()
-    hit = runs.join(given, (F.col(SET) == F.col("_set")) & F.col("_value").between(F.col("first"), F.col("last")), "left_semi")
+    given = emitted.select(SET, "value").distinct()
+    inside = runs_asof(given, runs, SET, "value", "first", ["first", "last", "length"]).filter("value <= last")
+    hit = inside.select(*runs.columns).distinct()
+    given = given.select(F.col(SET).alias("_set"))
     silent = runs.join(given, F.col(SET) == F.col("_set"), "left_anti")
     return hit.union(silent)
 
@@ -223,8 +226,8 @@ def known_sequence(clusters: DataFrame) -> DataFrame:
 def bag_step_range(starts: DataFrame, manual: DataFrame, steps: DataFrame, most_pages: int = 15) -> DataFrame:
     """Each section's range, and the largest step on its first ``most_pages`` pages that have steps."""
     ranges = ranges_from_starts(starts, manual)
-    pages = page_range(steps).filter("step_max is not null").withColumnRenamed(SET, "_set")
-    near = ranges.join(pages, (F.col(SET) == F.col("_set")) & F.col("page").between(F.col("start_page"), F.col("end_page")))
+    pages = page_range(steps).filter("step_max is not null").select(SET, "page", "step_max")
+    near = runs_asof(pages, ranges, SET, "page", "start_page", ["bag", "end_page"]).filter("page <= end_page")
     first = near.withColumn("nth", F.row_number().over(Window.partitionBy(SET, "bag").orderBy("page"))).filter(F.col("nth") <= most_pages)
     return ranges.join(first.groupBy(SET, "bag").agg(F.max("step_max").alias("max_step"), F.count("*").alias("pages_read")), [SET, "bag"], "left").na.fill(0, ["pages_read"])
 

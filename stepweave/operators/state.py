@@ -58,22 +58,17 @@ def id_backfill(rows: DataFrame, fields: Column, columns: list[str]) -> DataFram
 def example_delete(examples: DataFrame, prefixes: DataFrame, like_compat: bool = False) -> DataFrame:
     """Examples whose id starts with none of ``prefixes`` (prefix). With ``like_compat`` ``_`` stands for any character.
 
-    Prefixes meet the ids by an equi join on id prefixes of the lengths that occur (few), not by comparing all pairs.
+    An id meets the prefixes by equi joins: on its own prefix of each length that occurs, and with ``like_compat`` of each
+    pattern of ``_`` that occurs, blanked alike. Distinct patterns travel as one row; there is no limit on them.
     """
-    shape = (lambda c: F.regexp_replace(c, "_", " ")) if like_compat else (lambda c: c)
-    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().limit(1000).collect()]
-    gone = examples.limit(0).select("example_id")
-    for n in lengths:
-        some = prefixes.filter(F.length("prefix") == n).select("prefix").distinct()
-        if like_compat:
-            places = [r[0] for r in some.select(F.transform(F.split("prefix", ""), lambda c: c == "_").alias("m")).distinct().limit(1000).collect()]
-            for mask in places:
-                blank = lambda c, mask=mask: F.concat(*(F.lit(" ") if m else F.substring(c, i + 1, 1) for i, m in enumerate(mask))) if mask else c
-                same = some.filter(F.transform(F.split("prefix", ""), lambda c: c == "_") == F.array(*map(F.lit, mask)))
-                gone = gone.union(examples.filter(F.length("example_id") >= n).withColumn("p", blank(F.col("example_id"))).join(same.select(blank(F.col("prefix")).alias("p")), "p", "left_semi").select("example_id"))
-        else:
-            gone = gone.union(examples.withColumn("p", shape(F.substring("example_id", 1, n))).join(some.select(F.col("prefix").alias("p")), "p", "left_semi").select("example_id"))
-    return examples.join(gone.distinct(), "example_id", "left_anti")
+    mask = F.regexp_replace("prefix", "[^_]", "x") if like_compat else F.repeat(F.lit("x"), F.length("prefix"))
+    named = prefixes.filter("prefix IS NOT NULL").select(mask.alias("mask"), F.col("prefix").alias("blank")).distinct()
+    masks = named.groupBy().agg(F.collect_set("mask").alias("masks"))
+    ids = examples.filter("example_id IS NOT NULL").select("example_id").distinct().join(F.broadcast(masks)).select("example_id", F.explode(F.filter("masks", lambda m: F.length(m) <= F.length("example_id"))).alias("mask"))
+    start = F.substring("example_id", F.lit(1), F.length("mask"))
+    blanked = F.array_join(F.zip_with(F.split("mask", ""), F.split(start, ""), lambda m, c: F.when(m == "_", m).otherwise(c)), "")
+    gone = ids.withColumn("blank", F.when(F.contains("mask", F.lit("_")), blanked).otherwise(start)).join(named, ["mask", "blank"], "left_semi")
+    return examples.join(gone.select("example_id").distinct(), "example_id", "left_anti")
 
 
 def nested_update(candidates: str, index: Column, status: Column) -> Column:
@@ -132,14 +127,25 @@ def next_unreviewed(slots: DataFrame) -> DataFrame:
     return out.select("crop", "slot", found["crop"].alias("next_crop"), found["slot"].alias("next_slot"))
 
 
-def _next_crop(crops: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(crop, after): first open slot of the next crop that has one. Crops go by ranges of ids; ranges are chained by their firsts."""
-    marks = crops.join(firsts, "crop", "left").withColumn("page", F.expr("floor(crop / 4096)"))
-    inner = Window.partitionBy("page").orderBy("crop").rowsBetween(1, Window.unboundedFollowing)
-    marks = marks.withColumn("inside", F.first("first", ignorenulls=True).over(inner))
-    pages = marks.groupBy("page").agg(F.min("first").alias("head"))
-    pages = pages.select("page", F.first("head", ignorenulls=True).over(Window.orderBy("page").rowsBetween(1, Window.unboundedFollowing)).alias("beyond"))
-    return marks.join(pages, "page").select("crop", F.coalesce("inside", "beyond").alias("after"))
+def _next_crop(crops: DataFrame, firsts: DataFrame, span: int = 4096, levels: int = 3) -> DataFrame:
+    """(crop, after): first open slot of the next crop that has one.
+
+    Crops go by ranges of ids, ranges by ranges of ranges and so on, each chained by its members' firsts; the ranges of the last
+    level, one for span ** levels ids, are chained together.
+    """
+
+    def chained(rows: DataFrame, level: int) -> DataFrame:
+        """(id, after) of rows (id, first)."""
+        later = lambda w: F.first("first", ignorenulls=True).over(w.orderBy("id").rowsBetween(1, Window.unboundedFollowing))
+        if level == levels:
+            return rows.select("id", later(Window.partitionBy(F.lit(0))).alias("after"))
+        rows = rows.withColumn("range", F.expr(f"floor(id / {span})"))
+        beyond = chained(rows.groupBy("range").agg(F.min_by("first", F.when(F.col("first").isNotNull(), F.col("id"))).alias("first")).withColumnRenamed("range", "id"), level + 1)
+        inside = rows.withColumn("inside", later(Window.partitionBy("range")))
+        return inside.join(beyond.select(F.col("id").alias("range"), F.col("after").alias("beyond")), "range").select("id", F.coalesce("inside", "beyond").alias("after"))
+
+    marks = crops.join(firsts, "crop", "left").select(F.col("crop").alias("id"), "first")
+    return chained(marks, 0).withColumnRenamed("id", "crop")
 
 
 def rekey(rows: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:

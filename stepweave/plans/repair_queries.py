@@ -42,7 +42,7 @@ def _grids(i, when):
     return i.vectors.filter(when).select(F.col("label").alias("set_num"), F.col("vec_id").alias("id"), grey.alias("grey"), F.expr("array(cast(vec_id % 256 as int), cast(vec_id * 7 % 256 as int), 9)").alias("rgb"))
 
 
-register("f12_library_match", lambda i: r.library_match(_grids(i, "vec_id % 10 = 0"), _grids(i, "vec_id % 10 <> 0")))
+register("f12_library_match", lambda i: r.library_match(_grids(i, "vec_id % 50 = 0"), _grids(i, "true")))
 
 
 def _gate(i):
