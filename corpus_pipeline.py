@@ -1,7 +1,11 @@
 """A corpus from raw documents: quality, exact copies, near copies, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written as
-Parquet and read again as the next stage's docs.
+Parquet and read again as the next stage's docs. A table is deleted once the next one is written.
+
+Defined cases: a null text counts as empty, and empty texts are scored, deduplicated (one stays), kept apart by the near-copy
+stage, mixed and encoded like others; a null source is a source of its own; ids that are null or repeat name no row, so stages
+delete rows, never ids; further columns go along whatever their names, up to the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stepweave.llm import exact_dedup, mixing, ngram_join, quality_gam, queries, sentence_pieces
-from stepweave.session import cut, table
+from stepweave.session import cut, discard, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut(docs)
+            discard(before)
     return docs
