@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from stepweave.operators import images
+from stepweave.operators import images, sequences
 from stepweave.sources import files
 from stepweave.streaming import incremental
 
@@ -27,9 +27,26 @@ def collected(spark, stream, tmp_path, name):
 
 
 def test_reset_stream(spark, tmp_path):
-    steps = spark.createDataFrame([(1, 1, 5), (1, 2, 30), (1, 3, 1), (2, 1, 12), (2, 2, 1)], "set_id long, page int, value int").coalesce(1)
-    got = collected(spark, incremental.reset_stream(written(spark, steps, tmp_path / "in")), tmp_path, "out")
-    assert sorted((r["set_id"], r["page"]) for r in got.filter("bag_start").collect()) == [(1, 3), (2, 2)]
+    kinds = "set_id long, page int, value int, ts timestamp"
+    rows = lambda *r: spark.createDataFrame(r, "set_id long, page int, value int, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1)
+    # page 2 comes in two batches and after page 3; page 9 has two steps; page 4 is over the limit
+    for part in (rows((1, 1, 5, 60), (1, 3, 1, 180), (2, 1, 12, 60)), rows((1, 2, 30, 120), (1, 2, 3, 125), (1, 4, 900, 240), (1, 9, 1, 540), (1, 9, 30, 541)), rows((2, 2, 1, 120), (1, 10, 1, 600)), rows((0, 1, 1, 9_000_000)), rows((1, 5, 7, 300), (0, 2, 1, 9_000_001)), rows((0, 3, 1, 99_000_000)), rows((0, 4, 1, 99_000_001))):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kinds).parquet(str(tmp_path / "in"))
+        got = collected(spark, incremental.reset_stream(stream), tmp_path, "out")
+    got = sorted((r["set_id"], r["page"], r["low"], r["high"], r["previous"], r["bag_start"]) for r in got.filter("not late and set_id > 0").collect())
+    assert got == [(1, 1, 5, 5, None, False), (1, 2, 3, 30, 5, False), (1, 3, 1, 1, 30, True), (1, 4, 900, 900, 1, False), (1, 9, 1, 30, 1, False), (1, 10, 1, 1, 30, True), (2, 1, 12, 12, None, False), (2, 2, 1, 1, 12, True)]
+
+
+def test_incremental_scan_is_w18(spark, tmp_path):
+    rows = [(1, 5, 1), (1, 9, 3), (1, 12, 2), (1, 20, 3), (1, 21, 2), (2, 4, 2), (2, 6, 1)]
+    for lo, hi in ((0, 9), (9, 13), (9, 13), (13, 99)):  # one chunk is sent again
+        spark.createDataFrame([r for r in rows if lo <= r[1] < hi] or rows[:0], "set_id long, page int, bag int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = collected(spark, incremental.incremental_scan(spark.readStream.schema("set_id long, page int, bag int").parquet(str(tmp_path / "in"))), tmp_path, "out")
+    whole = sequences.consecutive_accept(spark.createDataFrame(rows, "set_id long, page int, bag int"))
+    seen = got.filter("reason <> 'behind the cursor'").select("set_id", "page", "bag", "accepted", "reason")
+    assert sorted(map(tuple, seen.collect())) == sorted((r["set_id"], r["page"], r["bag"], r["accepted"], r["reason"]) for r in whole.collect())
+    assert got.filter("reason = 'behind the cursor'").count() == 2
 
 
 def test_truth_conflict_stream(spark, tmp_path):
@@ -38,10 +55,19 @@ def test_truth_conflict_stream(spark, tmp_path):
     assert sorted((r["bag"], r["page"], r["status"], r["existing_page"]) for r in got.collect()) == [(1, 10, "exists", None), (1, 10, "inserted", None), (1, 12, "conflict", 10), (2, 20, "inserted", None)]
 
 
+def test_truth_stream_writes_conflicts_apart(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, 10, 1), (1, 1, 12, 3), (1, 2, 20, 4)], "set_id long, bag int, page int, ordinal long").coalesce(1)
+    drain(incremental.truth_stream(written(spark, rows, tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"), str(tmp_path / "k")))
+    assert sorted((r["bag"], r["page"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, 10), (2, 20)]
+    assert [(r["page"], r["existing_page"]) for r in spark.read.parquet(str(tmp_path / "c")).collect()] == [(12, 10)]
+
+
 def test_review_events_fold(spark, tmp_path):
-    events = spark.createDataFrame([(1, 1, "save", 7, 1), (1, 1, "ignored", None, 2), (1, 1, "save", 8, 3)], "crop long, slot int, kind string, label long, seq long").withColumn("ts", F.timestamp_seconds("seq"))
-    drain(incremental.review_events(spark, written(spark, events, tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "c")))
-    assert [tuple(r) for r in incremental.folded(spark, str(tmp_path / "table"), 0).collect()] == [(1, 1, 8, False, False)]
+    events = lambda *r: spark.createDataFrame(r, "crop long, slot int, kind string, label long, seq long").withColumn("ts", F.timestamp_seconds("seq"))
+    for part in (events((1, 1, "save", 7, 1), (1, 1, "ignored", None, 2), (1, 1, "save", 8, 3), (1, 1, "save", 8, 3), (2, 1, "save", 5, 1)), events((1, 1, "save", 6, 2), (1, 1, "unknown", None, 9)), events((3, 1, "ignored", None, 4))):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        drain(incremental.review_events(spark.readStream.schema(part.schema).parquet(str(tmp_path / "in")), str(tmp_path / "table"), str(tmp_path / "c"), buckets=4))
+    assert sorted(tuple(r) for r in incremental.folded(spark, str(tmp_path / "table")).collect()) == [(1, 1, 8, True, False), (2, 1, 5, False, False), (3, 1, None, False, True)]
 
 
 def png(path, rows):
