@@ -143,6 +143,14 @@ def asset_plan(slots: DataFrame) -> DataFrame:
     return long.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("slot", "role", "path", F.concat_ws("/", F.lit("assets"), "role", F.regexp_extract("path", "[^/]+$", 0)).alias("target"))
 
 
+def asset_skips(slots: DataFrame) -> DataFrame:
+    """For each role how many paths are there, how many aren't images to send, and how many repeat one sent already."""
+    long = slots.unpivot(["slot"], ["page_path", "crop_path", "cutout_path"], "role", "path").filter("path IS NOT NULL AND path <> ''")
+    sent = asset_plan(slots).groupBy("role").agg(F.count("*").alias("sent"))
+    found = long.groupBy("role").agg(F.count("*").alias("paths"), F.count_if(~asset_filter(F.col("path"))).alias("skipped"))
+    return found.join(sent, "role", "left").na.fill(0, ["sent"]).withColumn("repeated", F.col("paths") - F.col("skipped") - F.col("sent"))
+
+
 def parity(sections: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Each expected step against old and new evidence, classified in order."""
     rows = sections.join(old.select(SET, "value", F.lit(True).alias("old")).distinct(), [SET, "value"], "full").join(new.select(SET, "value", F.lit(True).alias("new")).distinct(), [SET, "value"], "full").na.fill(False, ["expected", "old", "new"])

@@ -36,6 +36,8 @@ FIXTURES: dict[str, str] = {
     "label_events": "SELECT user_id AS crop, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 6 AS slot, event_id AS seq, ts, CASE event_type WHEN 'purchase' THEN 'save' WHEN 'view' THEN 'unknown' ELSE 'ignored' END AS kind, event_id % 500 AS label FROM events WHERE event_type IN ('purchase', 'view', 'error')",
     # votes of several readings
     "votes": "SELECT l_orderkey AS key, CAST(l_linenumber % 3 AS INT) AS value, l_discount AS confidence, CAST(CAST(l_quantity AS INT) AS VARCHAR(9)) AS text FROM lineitem",
+    # a listing of scanned pages
+    "listing": "SELECT doc_id, concat('scans/', CAST(70000 + doc_id % 20 AS VARCHAR(9)), '/run', CAST(doc_id % 3 AS VARCHAR(9)), '/page_', lpad(CAST(doc_id % 400 AS VARCHAR(9)), 3, '0'), CASE WHEN doc_id % 11 = 0 THEN '.txt' ELSE '.png' END) AS path, (doc_id * 7919) % 100003 AS modificationTime, text FROM documents",
     "vectors": "SELECT vec_id, embedding, label FROM embeddings",
 }
 _NAME = re.compile(r"\b[a-z_]+\b")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def page_list(files: DataFrame) -> DataFrame:
+def page_list(files: DataFrame, *more: str) -> DataFrame:
     """(set_num, run, page, path) of ``.../<set>/<run>/page_NNN.png``; other names are dropped."""
     part = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)/page_([0-9]+)\.png$", k)
-    rows = files.select(part(1).alias("set_num"), part(2).alias("run"), part(3).try_cast("int").alias("page"), "path", "modificationTime")
+    rows = files.select(part(1).alias("set_num"), part(2).alias("run"), part(3).try_cast("int").alias("page"), "path", "modificationTime", *more)
     return rows.filter("page IS NOT NULL")
 
 
@@ -35,13 +35,38 @@ def latest_artifact(files: DataFrame, pattern: str) -> DataFrame:
     return keyed.groupBy("key").agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
 
 
+def catalog_scan(spark: SparkSession, root: str, tables: dict[str, str]) -> dict[str, DataFrame]:
+    """The catalog's tables below ``root`` with the columns and types of their DDL, in that order; others aren't read.
+
+    A table whose columns are missing fails when it is read, not later.
+    """
+    found = {}
+    for name, ddl in tables.items():
+        kinds = [part.strip().rsplit(" ", 1) for part in ddl.split(",")]
+        found[name] = spark.read.parquet(f"{root}/{name}.parquet").select(*(F.col(c).cast(kind).alias(c) for c, kind in kinds))
+    return found
+
+
+def truth_import(rows: DataFrame, source: str) -> DataFrame:
+    """(set_id, bag, start_page, source, confidence) of truth rows, one a section: the row with the lowest page.
+
+    Rows without a number or page aren't truth; an imported section counts as certain.
+    """
+    typed = rows.select(F.col("set_id").cast("long").alias("set_id"), F.col("bag").cast("int").alias("bag"), F.col("page").cast("int").alias("start_page")).filter("bag > 0 AND start_page > 0")
+    return typed.groupBy("set_id", "bag").agg(F.min("start_page").alias("start_page")).withColumns({"source": F.lit(source), "confidence": F.lit(1.0)})
+
+
 def manifest(spark: SparkSession, path: str, entry: str) -> DataFrame:
     """Entries of manifests that are a bare list or ``{"entries": [...]}``; ``entry`` is the DDL of one. Other items are dropped."""
-    text = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return manifest_entries(spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file")), entry)
+
+
+def manifest_entries(documents: DataFrame, entry: str) -> DataFrame:
+    """Entries of manifest documents (file, value)."""
     bare = F.from_json("value", f"array<struct<{entry}>>")
     held = F.from_json("value", f"struct<entries: array<struct<{entry}>>>")["entries"]
     listed = F.when(F.rlike("value", F.lit(r"^\s*\[")), bare).otherwise(held)
-    return text.select("file", F.explode(listed).alias("e")).filter("e IS NOT NULL").select("file", "e.*")
+    return documents.select("file", F.explode(listed).alias("e")).filter("e IS NOT NULL").select("file", "e.*")
 
 
 def token_table(rows: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -78,15 +103,28 @@ def review_export(slots: DataFrame) -> DataFrame:
     return slots.groupBy("crop").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "needs_review").alias("open"), F.sort_array(F.collect_list(record)).alias("slots"))
 
 
-def bundle_manifest(bundles: DataFrame) -> DataFrame:
-    """Approved bundles' artifacts (map role -> path, array of cutouts) as rows with target keys; blank paths are dropped."""
+def bundle_manifest(bundles: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Approved bundles' artifacts (map role -> path, array of cutouts) as rows with target keys; blank paths are dropped.
+
+    With ``files`` (path, length): whether each exists, and its size.
+    """
     some = bundles.filter("status = 'approved'")
     named = some.select("bundle_id", F.explode("artifacts").alias("role", "path"))
     cut = some.select("bundle_id", F.posexplode("cutouts").alias("k", "path")).select("bundle_id", F.concat(F.lit("slot_cutout_"), F.col("k")).alias("role"), "path")
     rows = named.unionByName(cut).filter("path IS NOT NULL AND trim(path) <> ''")
-    return rows.withColumn("target", F.concat_ws("/", F.lit("bundles"), "bundle_id", F.regexp_extract("path", "[^/]+$", 0)))
+    rows = rows.withColumn("target", F.concat_ws("/", F.lit("bundles"), "bundle_id", F.regexp_extract("path", "[^/]+$", 0)))
+    if files is None:
+        return rows
+    sizes = files.groupBy("path").agg(F.max("length").alias("size"))
+    return rows.join(sizes, "path", "left").withColumn("exists", F.col("size").isNotNull())
 
 
 def page_index(files: DataFrame) -> DataFrame:
-    """Ordinal page, path and hash of each page file with bytes."""
-    return page_list(files).join(content_hash(files), "path").select("set_num", "page", "path", "sha256")
+    """Ordinal page, path and hash of each page file with bytes, in one pass over the files."""
+    hashed = page_list(files.select("path", "modificationTime", F.sha2("content", 256).alias("sha256")), "sha256")
+    return hashed.select("set_num", "page", "path", "sha256")
+
+
+def run_manifest(index: DataFrame) -> DataFrame:
+    """For each set its pages, the first and the last, and how many distinct contents they have."""
+    return index.groupBy("set_num").agg(F.count("*").alias("pages"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.countDistinct("sha256").alias("contents"))

@@ -140,7 +140,7 @@ def review_events(events: DataFrame, path: str, checkpoint: str, late: str = "10
         latest = rows.groupBy("bucket", "crop", "slot", "kind").agg(F.max_by("label", "seq").alias("label"), F.max("ts").alias("ts"), F.max("seq").alias("seq")).withColumn("v", F.lit(number))
         latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(path)
 
-    fresh = events.select(*columns).withWatermark("ts", late).dropDuplicatesWithinWatermark(["crop", "slot", "kind", "seq"])
+    fresh = events.select(*columns).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["crop", "slot", "kind", "seq"])
     return fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
