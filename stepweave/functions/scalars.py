@@ -23,6 +23,14 @@ def crop_fields(crop_id: Column) -> Column:
     return F.struct(*(F.nullif(F.regexp_extract(crop_id, pattern, k), F.lit("")).cast("int").alias(n) for k, n in enumerate(("page", "step", "crop"), 1)))
 
 
+def first_version_id(crop: Column, step: Column) -> Column:
+    """``pP_sS_cC`` of a later id (``bag_BB_page_PPP_step_S_CCC``), whose unknown step comes from ``step``; without one it is an error."""
+    part = lambda k: F.regexp_extract(crop, r"^bag_[0-9]+_page_([0-9]+)_step_([0-9]+|unknown)_([0-9]+)$", k)
+    known = F.coalesce(part(2).try_cast("int"), step)
+    named = F.when(known.isNotNull(), F.concat(F.lit("p"), part(1).cast("int"), F.lit("_s"), known, F.lit("_c"), part(3).cast("int")))
+    return F.when(part(1) != "", F.coalesce(named, F.raise_error(F.concat(F.lit("unknown step in "), crop)).cast("string"))).otherwise(crop)
+
+
 def crop_id(page: Column, step: Column, crop: Column) -> Column:
     return F.format_string("p%d_s%d_c%d", page, step, crop)
 
@@ -33,6 +41,12 @@ def parse_qty(text: Column, low: int = 1, high: int = 500) -> Column:
     return F.when(digits.between(low, high), digits)
 
 
+def duplicate_tokens(tokens: Column) -> Column:
+    """how many tokens of an array of struct<text, x, y> repeat the text of an earlier one; only those with a place count."""
+    placed = F.filter(tokens, lambda t: t["x"].isNotNull() & t["y"].isNotNull() & t["text"].isNotNull())
+    return F.size(placed) - F.size(F.array_distinct(F.transform(placed, lambda t: F.lower(t["text"]))))
+
+
 def strict_qty(text: Column) -> Column:
     """the ``Nx`` form only."""
     return F.nullif(F.regexp_extract(text, r"^([0-9]{1,2})x$", 1), F.lit("")).cast("int")
@@ -109,6 +123,38 @@ def overlaps(a: str, b: str) -> Column:
     return (c(f"{a}x") < c(f"{b}x") + c(f"{b}w")) & (c(f"{b}x") < c(f"{a}x") + c(f"{a}w")) & (c(f"{a}y") < c(f"{b}y") + c(f"{b}h")) & (c(f"{b}y") < c(f"{a}y") + c(f"{a}h"))
 
 
+def inside(a: str, b: str, pad: float = 0) -> Column:
+    """whether box a lies in box b widened by ``pad``."""
+    c = F.col
+    return (c(f"{a}x") >= c(f"{b}x") - pad) & (c(f"{a}y") >= c(f"{b}y") - pad) & (c(f"{a}x") + c(f"{a}w") <= c(f"{b}x") + c(f"{b}w") + pad) & (c(f"{a}y") + c(f"{a}h") <= c(f"{b}y") + c(f"{b}h") + pad)
+
+
+def holds_point(a: str, x: Column, y: Column) -> Column:
+    """whether a point lies in a box, edges included."""
+    c = F.col
+    return x.between(c(f"{a}x"), c(f"{a}x") + c(f"{a}w")) & y.between(c(f"{a}y"), c(f"{a}y") + c(f"{a}h"))
+
+
+def centre(a: str) -> tuple[Column, Column]:
+    """centre of a box."""
+    c = F.col
+    return c(f"{a}x") + c(f"{a}w") / 2, c(f"{a}y") + c(f"{a}h") / 2
+
+
+def centre_distance(a: str, b: str) -> Column:
+    """distance of two boxes' centres."""
+    (ax, ay), (bx, by) = centre(a), centre(b)
+    return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
+
+
+def clipped(a: str, width: int, height: int) -> Column:
+    """struct(x, y, w, h) of the part of a box on a page; null if none is."""
+    c = F.col
+    x1, y1 = F.greatest(c(f"{a}x"), F.lit(0)), F.greatest(c(f"{a}y"), F.lit(0))
+    x2, y2 = F.least(c(f"{a}x") + c(f"{a}w"), F.lit(width)), F.least(c(f"{a}y") + c(f"{a}h"), F.lit(height))
+    return F.when((x2 > x1) & (y2 > y1), F.struct(x1.alias("x"), y1.alias("y"), (x2 - x1).alias("w"), (y2 - y1).alias("h")))
+
+
 def iou(a: str, b: str) -> Column:
     shared = intersection_area(a, b)
     union = F.col(f"{a}w") * F.col(f"{a}h") + F.col(f"{b}w") * F.col(f"{b}h") - shared
@@ -136,9 +182,9 @@ def safe_key(text: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(text, "[^A-Za-z0-9_-]", ""), F.lit("")), F.lit("unknown"))
 
 
-def stock_adjustment(remaining: Column) -> Column:
-    """-30 in stock, +90 depleted, 0 where unknown."""
-    return F.when(remaining > 0, -30.0).when(remaining.isNotNull(), 90.0).otherwise(0.0)
+def stock_adjustment(remaining: Column, hide_depleted: bool = False) -> Column:
+    """-30 in stock, +90 depleted (null, to be left out, with ``hide_depleted``), 0 where unknown."""
+    return F.when(remaining > 0, -30.0).when(remaining.isNotNull(), F.lit(None).cast("double") if hide_depleted else F.lit(90.0)).otherwise(0.0)
 
 
 def iso_timestamp(ts: Column) -> Column:
@@ -146,6 +192,11 @@ def iso_timestamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def json_safe(row: Column) -> Column:
+    """JSON of a struct, times as UTC ISO-8601, nulls kept."""
+    return F.to_json(row, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'", "ignoreNullFields": "false"})
+
+
 def with_suffix(set_num: Column) -> Column:
     """``-1`` appended where there is no suffix."""
     return F.when(F.contains(set_num, F.lit("-")), set_num).otherwise(F.concat(set_num, F.lit("-1")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cmp_to_key
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,13 +12,17 @@ from stepweave.operators.grouped import fold_groups
 SET = "set_id"
 
 
-def review_queue(bundles: DataFrame, status: str | None = None, source: str | None = None, limit: int = 50) -> DataFrame:
-    """The oldest bundles by optional status and source; the report's limit is kept within 1..500."""
+def review_queue(bundles: DataFrame, status: str | None = None, source: str | None = None, set_num: str | None = None, bag: int | None = None, limit: int = 50) -> DataFrame:
+    """The oldest bundles by optional status, source, set and section; the report's limit is kept within 1..500."""
     rows = bundles
     if status is not None:
         rows = rows.filter(F.coalesce("status", F.lit("pending")) == status)
     if source is not None:
         rows = rows.filter(F.col("source") == source)
+    if set_num is not None:
+        rows = rows.filter(F.col("set_num") == set_num)
+    if bag is not None:
+        rows = rows.filter(F.col("bag") == bag)
     return rows.orderBy("created_at", "bundle_id").limit(max(1, min(int(limit), 500)))
 
 
@@ -34,6 +39,11 @@ def crop_required(label: Column, anchor: Column, box: Column) -> Column:
     return F.when(label.isin("FALSE_STEP", "EMPTY_STEP") | ~F.coalesce(anchor, F.lit(False)), False).when(label.isNotNull(), True).otherwise(F.coalesce(box, F.lit(False)))
 
 
+def callout_visibility(proposed: Column, probed: Column) -> Column:
+    """``visible`` with a proposed or probed box, ``hidden`` where a probe found none, else ``unknown``."""
+    return F.when(F.coalesce(proposed, F.lit(False)) | F.coalesce(probed, F.lit(False)), "visible").when(probed.isNotNull(), "hidden").otherwise("unknown")
+
+
 def good_label_queries(crops: DataFrame) -> DataFrame:
     """Good crops with a part; the first part is the expected label."""
     return crops.filter((F.col("status") == "good") & (F.size("parts") > 0)).select("crop", F.get("parts", F.lit(0)).alias("expected"))
@@ -136,7 +146,7 @@ def fuzzy_rank(candidates: DataFrame, near: float = 5.0) -> DataFrame:
             return -1 if a["page"] < b["page"] else 1
         return -1 if a["score"] > b["score"] else 1
 
-    def rank(rows: list[dict]) -> list[dict]:
+    def rank(rows: Iterator[dict]) -> list[dict]:
         return [{**r, "rank": k} for k, r in enumerate(sorted(rows, key=cmp_to_key(compare)), 1)]
 
     lean = candidates.select(SET, "page", "score", "excluded")
@@ -160,10 +170,16 @@ def detection_union(**sources: DataFrame) -> DataFrame:
     return out
 
 
-def merge_sources(detections: DataFrame, suppressed: DataFrame) -> DataFrame:
-    """One row for each page and step with its sources; suppressed keys are left out."""
+def merge_sources(detections: DataFrame, suppressed: DataFrame, box: str | None = None, order: str = "source") -> DataFrame:
+    """One row for each page and step with its sources; suppressed keys are left out.
+
+    With ``box`` (a struct with w and h) also the first box by ``order`` that isn't empty.
+    """
     rows = detections.join(suppressed, [SET, "page", "value"], "left_anti")
-    return rows.groupBy(SET, "page", "value").agg(F.sort_array(F.collect_set("source")).alias("sources"))
+    found = [F.sort_array(F.collect_set("source")).alias("sources")]
+    if box is not None:
+        found.append(F.min_by(box, F.when((F.col(box)["w"] > 0) & (F.col(box)["h"] > 0), F.col(order))).alias(box))
+    return rows.groupBy(SET, "page", "value").agg(*found)
 
 
 def noise_except(checks: DataFrame) -> DataFrame:
@@ -181,8 +197,9 @@ def suppressed_union(*sets: DataFrame) -> DataFrame:
 
 def candidate_distinct(rows: DataFrame) -> DataFrame:
     """The first row by ordinal of each part, colour and element."""
-    best = rows.groupBy("part_num", "color_id").agg(F.min(F.struct("ordinal", "qty")).alias("b"))
-    return best.select("part_num", "color_id", "b.ordinal", "b.qty")
+    keys = ["part_num", "color_id", *(["element_id"] if "element_id" in rows.columns else [])]
+    best = rows.groupBy(*keys).agg(F.min(F.struct("ordinal", "qty")).alias("b"))
+    return best.select(*keys, "b.ordinal", "b.qty")
 
 
 def display_text(label: Column, unknown: Column, ignored: Column, qty: Column) -> Column:

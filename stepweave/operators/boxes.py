@@ -5,7 +5,7 @@ Boxes are x, y, w, h in pixels. Pairs are formed by page, and by page and grid c
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -75,13 +75,14 @@ def box_overlaps(left: DataFrame, right: DataFrame, cell: int = 512) -> DataFram
 def _by_page(rows: DataFrame, columns: list[str], keep: Callable[[list[dict]], list[dict]]) -> DataFrame:
     """Order-dependent rules: the rows of one page at a time."""
     lean = rows.select(*columns)
-    return fold_groups(lean, PAGE, ["box"], keep, lean.schema)
+    return fold_groups(lean, PAGE, ["box"], lambda items: keep(list(items)), lean.schema)
 
 
 def greedy_assign(tokens: DataFrame, parts: DataFrame) -> DataFrame:
     """Quantity tokens in (y, x) order each take the best unused component: |dx| + 2 |dy| between centres, none that lies clearly below."""
 
-    def assign(items: list[dict]) -> list[dict]:
+    def assign(page: Iterator[dict]) -> list[dict]:
+        items = list(page)
         free, out = [p for p in items if not p["asks"]], []
         for t in sorted((t for t in items if t["asks"]), key=lambda t: (t["y"], t["x"], t["box"])):
             best = None
@@ -128,16 +129,16 @@ def iou_dedupe(rows: DataFrame, near: float = 12.0, least: float = 0.25) -> Data
 
 
 def nms_score(rows: DataFrame) -> DataFrame:
-    """By falling score a row goes if a kept one has its centre within .8 heights and 1.2 widths."""
+    """By falling score, rows of the visual source first, a row goes if a kept one has its centre within .8 heights and 1.2 widths."""
 
     def keep(items: list[dict]) -> list[dict]:
         kept: list[dict] = []
-        for r in sorted(items, key=lambda r: (-r["score"], r["y"], r["x"], r["box"])):
+        for r in sorted(items, key=lambda r: (-r["score"], r.get("source") != "visual", r["y"], r["x"], r["box"])):
             if not any(abs(r["y"] + r["h"] // 2 - k["y"] - k["h"] // 2) <= max(r["h"], k["h"]) * 0.8 and abs(r["x"] + r["w"] // 2 - k["x"] - k["w"] // 2) <= max(r["w"], k["w"]) * 1.2 for k in kept):
                 kept.append(r)
         return kept
 
-    return _by_page(rows, [PAGE, "box", "x", "y", "w", "h", "score"], keep)
+    return _by_page(rows, [PAGE, "box", "x", "y", "w", "h", "score", *(["source"] if "source" in rows.columns else [])], keep)
 
 
 def nms_text(rows: DataFrame) -> DataFrame:
@@ -162,27 +163,40 @@ def nms_text(rows: DataFrame) -> DataFrame:
 
 
 def merge_nearby(rows: DataFrame, gap: int = 12, image_area: int = 800 * 1000, share: float = 0.36) -> DataFrame:
-    """Boxes within ``gap`` merge again and again while the union stays under ``share`` of the image."""
+    """Boxes within ``gap`` merge again and again while the union stays under ``share`` of the image.
+
+    Of all pairs that may merge, the one whose first box comes first goes, then the one whose second does; the union takes the
+    first one's place. After a merge only the union's own pairs are new, so no pair is looked at twice without need.
+    """
+
+    def union(a: dict, b: dict) -> dict | None:
+        if max(a["x"], b["x"]) - min(a["x"] + a["w"], b["x"] + b["w"]) > gap or max(a["y"], b["y"]) - min(a["y"] + a["h"], b["y"] + b["h"]) > gap:
+            return None
+        x, y = min(a["x"], b["x"]), min(a["y"], b["y"])
+        w, h = max(a["x"] + a["w"], b["x"] + b["w"]) - x, max(a["y"] + a["h"], b["y"] + b["h"]) - y
+        return a | {"x": x, "y": y, "w": w, "h": h} if w * h <= share * image_area else None
 
     def keep(items: list[dict]) -> list[dict]:
-        boxes = sorted(items, key=lambda r: r["box"])
-        again = True
-        while again:
-            again = False
-            for i in range(len(boxes)):
-                for j in range(i + 1, len(boxes)):
-                    a, b = boxes[i], boxes[j]
-                    if max(a["x"], b["x"]) - min(a["x"] + a["w"], b["x"] + b["w"]) > gap or max(a["y"], b["y"]) - min(a["y"] + a["h"], b["y"] + b["h"]) > gap:
-                        continue
-                    x, y = min(a["x"], b["x"]), min(a["y"], b["y"])
-                    w, h = max(a["x"] + a["w"], b["x"] + b["w"]) - x, max(a["y"] + a["h"], b["y"] + b["h"]) - y
-                    if w * h <= share * image_area:
-                        boxes[i] = a | {"x": x, "y": y, "w": w, "h": h}
-                        del boxes[j]
-                        again = True
-                        break
-                if again:
+        boxes, i = sorted(items, key=lambda r: r["box"]), 0
+        while i < len(boxes):
+            made = None
+            for j in range(i + 1, len(boxes)):
+                made = union(boxes[i], boxes[j])
+                if made:
+                    boxes[i] = made
+                    del boxes[j]
                     break
+            if not made:
+                i += 1
+                continue
+            k = 0
+            while k < i:  # earlier boxes met everything but the new union
+                made = union(boxes[k], boxes[i])
+                if made:
+                    boxes[k] = made
+                    del boxes[i]
+                    i, k = k, -1
+                k += 1
         return boxes
 
     return _by_page(rows, [PAGE, "box", "x", "y", "w", "h"], keep)
@@ -190,7 +204,7 @@ def merge_nearby(rows: DataFrame, gap: int = 12, image_area: int = 800 * 1000, s
 
 def row_grouping(tokens: DataFrame, slack: float = 18.0) -> DataFrame:
     """Tokens by centre height join the row whose running mean is within ``slack``, else start one."""
-    def group(items: list[dict]) -> list[dict]:
+    def group(items: Iterator[dict]) -> list[dict]:
         means: list[list[float]] = []
         for r in (ordered := sorted(items, key=lambda r: (r["y"] + r["h"] / 2, r["x"], r["box"]))):
             c = r["y"] + r["h"] / 2

@@ -171,12 +171,20 @@ def coverage_manifest(labels: DataFrame, embeddings: DataFrame) -> DataFrame:
     return ids.agg(F.count("*").alias("elements"), F.count("hit").alias("matched"), F.sum(F.col("n") - 1).alias("duplicates"), (F.count("hit") / F.count("*")).alias("ratio"))
 
 
+def coverage_ids(labels: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Each distinct element of the labels, and whether it has a vector: the lists of matched and unmatched ids as rows."""
+    known = embeddings.select("element_id").distinct().withColumn("matched", F.lit(True))
+    return labels.select("element_id").distinct().join(known, "element_id", "left").na.fill(False, ["matched"])
+
+
 def confirm_rollup(examples: DataFrame) -> DataFrame:
-    """Per element the first part and colour by time, count, and distinct bundles in first-seen order."""
-    seen = examples.groupBy("part_num", "bundle").agg(F.min(F.struct("ts", "event_id")).alias("first"))
-    order = seen.groupBy("part_num").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "bundle"))), lambda x: x["bundle"]).alias("bundles"))
+    """Per element the first part and colour by time, count, and distinct bundles and reviewers in first-seen order."""
     rows = examples.groupBy("part_num").agg(F.min_by("color_id", F.struct("ts", "event_id")).alias("color_id"), F.count("*").alias("n"))
-    return rows.join(order, "part_num")
+    for one, many in (("bundle", "bundles"), ("reviewer", "reviewers")):
+        if one in examples.columns:
+            seen = examples.groupBy("part_num", one).agg(F.min(F.struct("ts", "event_id")).alias("first"))
+            rows = rows.join(seen.groupBy("part_num").agg(F.array_sort(F.collect_list(F.struct("first", one))).getField(one).alias(many)), "part_num")
+    return rows
 
 
 def topk_accuracy(hits: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
@@ -68,21 +68,39 @@ def top_band(images: DataFrame) -> DataFrame:
     return _each(images, "white double, warm double, dark double, passes boolean", rule).na.fill(True, ["passes"])
 
 
+def _hsv(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hue (half degrees), saturation and value of rows of blue, green and red."""
+    b, g, r = bgr.T
+    top, span = bgr.max(1), bgr.max(1) - bgr.min(1)
+    safe = np.maximum(span, 1)
+    sector = np.where(top == r, (g - b) / safe, np.where(top == g, 2 + (b - r) / safe, 4 + (r - g) / safe))
+    hue = np.where(span > 0, np.rint(30 * sector) % 180, 0).astype(int)
+    return hue, np.rint(255 * span / np.maximum(top, 1)).astype(int), top
+
+
 def dominant_colour(images: DataFrame) -> DataFrame:
-    """Median colour of pixels that are neither near white nor dark; of all pixels if there are none."""
+    """Median colour of likely part pixels (saturated or of middle value, not pale blue, near white or dark); of all if there are none.
+
+    Hue goes from 0 to 179, saturation and value from 0 to 255.
+    """
 
     def rule(p: np.ndarray) -> list[dict]:
         flat = p.reshape(-1, p.shape[2])[:, :3].astype(int)
-        high, low = flat.max(1), flat.min(1)
-        keep = ~((high - low <= 36) & (high >= 205)) & ~(high <= 58)
+        if flat.shape[1] < 3:
+            flat = np.repeat(flat[:, :1], 3, 1)
+        hue, sat, val = _hsv(flat)
+        # fixed values: bounds of part pixels and of what surrounds them
+        part = ((sat >= 42) & (val >= 52)) | ((val >= 68) & (val <= 188))
+        pale_blue = (hue >= 82) & (hue <= 132) & (sat <= 140) & (val >= 150)
+        keep = part & ~pale_blue & ~((sat <= 36) & (val >= 205)) & ~((val <= 58) & (sat <= 95))
         mid = np.median(flat[keep] if keep.any() else flat, axis=0)
-        return [{"b": int(mid[0]), "g": int(mid[-1 if len(mid) < 3 else 1]), "r": int(mid[-1])}]
+        return [{"b": int(mid[0]), "g": int(mid[1]), "r": int(mid[2])}]
 
     return _each(images, "b int, g int, r int", rule)
 
 
 def foreground_stats(images: DataFrame, floor: int = 16) -> DataFrame:
-    """Count, mean colour, box, density and aspect of pixels whose last channel is above ``floor``."""
+    """Count, mean colour, box, density and aspect of pixels whose last channel is above ``floor``."""
 
     def rule(p: np.ndarray) -> list[dict]:
         mask = p[:, :, -1] > floor
@@ -91,30 +109,44 @@ def foreground_stats(images: DataFrame, floor: int = 16) -> DataFrame:
         ys, xs = np.nonzero(mask)
         w, h = int(xs.max() - xs.min()) + 1, int(ys.max() - ys.min()) + 1
         mean = np.floor(p[mask].astype(float).mean(0) + 0.5)
-        return [{"pixels": int(mask.sum()), "mean": [int(v) for v in mean], "x": int(xs.min()), "y": int(ys.min()), "w": w, "h": h, "density": float(mask.sum()) / (w * h), "aspect": w / h}]
+        return [{"pixels": int(mask.sum()), "mean": [int(v) for v in mean], "x": int(xs.min()), "y": int(ys.min()), "w": w, "h": h, "density": round(float(mask.sum()) / (w * h), 4), "aspect": round(w / h, 4)}]
 
     return _each(images, "pixels int, mean array<int>, x int, y int, w int, h int, density double, aspect double", rule)
 
 
 def _components(mask: np.ndarray) -> np.ndarray:
-    """Labels of 8-connected components, 1 and up in reading order of their first pixel."""
-    label = np.zeros(mask.shape, np.int64)
-    n = 0
-    for y, x in zip(*np.nonzero(mask)):
-        if label[y, x]:
-            continue
-        n += 1
-        stack = [(y, x)]
-        label[y, x] = n
-        while stack:
-            cy, cx = stack.pop()
-            for dy in (-1, 0, 1):
-                for dx in (-1, 0, 1):
-                    ny, nx = cy + dy, cx + dx
-                    if 0 <= ny < mask.shape[0] and 0 <= nx < mask.shape[1] and mask[ny, nx] and not label[ny, nx]:
-                        label[ny, nx] = n
-                        stack.append((ny, nx))
-    return label
+    """Labels of 8-connected components, 1 and up in reading order of their first pixel.
+
+    Runs of each row are joined with those of the row above that they touch; only runs are looped over, never pixels.
+    """
+    height, width = mask.shape
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (rows, lo), hi = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+    top = list(range(len(rows)))
+
+    def find(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
+
+    start = np.searchsorted(rows, np.arange(height + 1))
+    for y in range(1, height):
+        above, here = range(start[y - 1], start[y]), start[y]
+        for k in above:
+            while here < start[y + 1] and hi[here] < lo[k]:
+                here += 1
+            at = here
+            while at < start[y + 1] and lo[at] <= hi[k]:
+                a, b = find(k), find(at)
+                top[max(a, b)] = min(a, b)
+                at += 1
+    roots = np.array([find(k) for k in range(len(rows))], np.int64)
+    _, number = np.unique(roots, return_inverse=True)
+    label = np.zeros((height, width + 1), np.int64)
+    np.add.at(label, (rows, lo), number + 1)
+    np.add.at(label, (rows, hi), -(number + 1))
+    return label.cumsum(1)[:, :width]
 
 
 def mask_islands(images: DataFrame, least: int = 400, share: float = 0.08) -> DataFrame:
@@ -122,17 +154,164 @@ def mask_islands(images: DataFrame, least: int = 400, share: float = 0.08) -> Da
 
     def rule(p: np.ndarray) -> list[dict]:
         label = _components(p[:, :, 0] > 0)
+        ys, xs = np.nonzero(label)
+        k = label[ys, xs]
+        n = int(label.max()) + 1
+        area, far = np.bincount(k, minlength=n), np.iinfo(np.int64).max
+        x1, y1, x2, y2 = np.full(n, far), np.full(n, far), np.zeros(n, int), np.zeros(n, int)
+        for side, at, which in ((x1, xs, np.minimum), (y1, ys, np.minimum), (x2, xs, np.maximum), (y2, ys, np.maximum)):
+            which.at(side, k, at)
+        cx, cy = np.bincount(k, xs, n), np.bincount(k, ys, n)
         out = []
-        for k in range(1, int(label.max()) + 1):
-            ys, xs = np.nonzero(label == k)
-            w, h = int(xs.max() - xs.min()) + 1, int(ys.max() - ys.min()) + 1
-            out.append({"island": k, "x": int(xs.min()), "y": int(ys.min()), "w": w, "h": h, "area": len(xs), "fill": round(len(xs) / (w * h), 4), "cx": round(float(xs.mean()), 2), "cy": round(float(ys.mean()), 2)})
+        for i in range(1, n):
+            w, h = int(x2[i] - x1[i]) + 1, int(y2[i] - y1[i]) + 1
+            out.append({"island": i, "x": int(x1[i]), "y": int(y1[i]), "w": w, "h": h, "area": int(area[i]), "fill": round(int(area[i]) / (w * h), 4), "cx": round(float(cx[i] / area[i]), 2), "cy": round(float(cy[i] / area[i]), 2)})
         top = max((r["area"] for r in out), default=0)
         return [r for r in out if r["area"] >= max(least, share * top)]
 
     return _each(images, "island int, x int, y int, w int, h int, area int, fill double, cx double, cy double", rule)
 
 
+def mask_stats(images: DataFrame, floor: int = 127, cap: int = 210, least: int = 20, relaxed: int = 50) -> DataFrame:
+    """Opaque pixels and their box, and median and mean red, green and blue of those over ``floor`` in the last channel and below ``cap`` in brightness.
+
+    Where fewer than ``least`` remain, all pixels over ``relaxed`` count.
+    """
+
+    def rule(p: np.ndarray) -> list[dict]:
+        colour, alpha = p[:, :, :3].astype(float), p[:, :, -1]
+        ys, xs = np.nonzero(alpha > 0)
+        if not len(ys):
+            return [{"pixels": 0}]
+        colour = colour[:, :, ::-1]
+        some = colour[(alpha > floor) & (p[:, :, :3].mean(2) < cap)]
+        some = some if len(some) >= least else colour[alpha > relaxed]
+        found = {"pixels": len(ys), "x": int(xs.min()), "y": int(ys.min()), "w": int(xs.max() - xs.min()) + 1, "h": int(ys.max() - ys.min()) + 1}
+        return [found | ({"median": [int(v) for v in np.median(some, 0)], "mean": [int(v) for v in some.mean(0)]} if len(some) else {})]
+
+    return _each(images, "pixels int, x int, y int, w int, h int, median array<int>, mean array<int>", rule)
+
+
+def _spread(mask: np.ndarray, shape: list[str], most: bool) -> np.ndarray:
+    """Dilation (``most``) or erosion by a small shape; beyond the image nothing counts."""
+    reach = len(shape) // 2
+    wide = np.pad(mask, reach, constant_values=not most)
+    found = [wide[y : y + mask.shape[0], x : x + mask.shape[1]] for y, row in enumerate(shape) for x, v in enumerate(row) if v == "1"]
+    return np.logical_or.reduce(found) if most else np.logical_and.reduce(found)
+
+
+# fixed values: round shapes of 5 and 3 pixels
+_ROUND5, _ROUND3 = ["00100", "11111", "11111", "11111", "00100"], ["010", "111", "010"]
+
+
+def crop_normalize(images: DataFrame, least: int = 96, pad: float = 0.12, least_pad: int = 8) -> DataFrame:
+    """(height, width, channels, data): the foreground of a blue, green, red crop on a white square of at least ``least`` pixels a side.
+
+    Foreground is what isn't pale blue, closed twice and opened once, without components below 40 pixels or .25 % of the
+    image (all of it if none is larger). Its box is padded by ``pad`` of its longer side, ``least_pad`` at least, within the
+    image; all but the foreground is white.
+    """
+
+    def rule(p: np.ndarray) -> list[dict]:
+        if p.shape[2] < 3:
+            p = np.repeat(p[:, :, :1], 3, 2)
+        p = p[:, :, :3]
+        hue, sat, val = (v.reshape(p.shape[:2]) for v in _hsv(p.reshape(-1, 3).astype(int)))
+        b, g, r = (p[:, :, k].astype(int) for k in range(3))
+        # fixed values: two descriptions of a pale blue background
+        mask = ~(((hue >= 80) & (hue <= 130) & (sat <= 150) & (val >= 135)) | ((b >= 150) & (g >= 150) & (r >= 130) & (b - r >= 8)))
+        for shape, most in [(_ROUND5, True)] * 2 + [(_ROUND5, False)] * 2 + [(_ROUND3, False), (_ROUND3, True)]:
+            mask = _spread(mask, shape, most)
+        label = _components(mask)
+        large = mask & (np.bincount(label.ravel())[label] >= max(40, int(mask.size * 0.0025)))
+        mask = large if large.any() else mask
+        ys, xs = np.nonzero(mask)
+        y1, x1, y2, x2 = (ys.min(), xs.min(), ys.max() + 1, xs.max() + 1) if len(ys) else (0, 0, *mask.shape)
+        more = max(least_pad, round(max(y2 - y1, x2 - x1) * pad))
+        y1, x1, y2, x2 = max(0, y1 - more), max(0, x1 - more), min(mask.shape[0], y2 + more), min(mask.shape[1], x2 + more)
+        part = np.where(mask[y1:y2, x1:x2, None], p[y1:y2, x1:x2], 255).astype(np.uint8)
+        h, w = part.shape[:2]
+        side = max(h, w, least)
+        out = np.full((side, side, 3), 255, np.uint8)
+        y, x = (side - h) // 2, (side - w) // 2
+        out[y : y + h, x : x + w] = part
+        return [{"height": side, "width": side, "channels": 3, "data": out.tobytes()}]
+
+    return _each(images, "height int, width int, channels int, data binary", rule)
+
+
+def _boxes(label: np.ndarray) -> list[dict]:
+    """Box and pixels of each component."""
+    ys, xs = np.nonzero(label)
+    k, n = label[ys, xs], int(label.max()) + 1
+    low, high = np.full((2, n), 1 << 30), np.zeros((2, n), int)
+    for side, at in enumerate((xs, ys)):
+        np.minimum.at(low[side], k, at)
+        np.maximum.at(high[side], k, at)
+    size = np.bincount(k, minlength=n)
+    return [{"x": int(low[0, i]), "y": int(low[1, i]), "w": int(high[0, i] - low[0, i]) + 1, "h": int(high[1, i] - low[1, i]) + 1, "pixels": int(size[i])} for i in range(1, n)]
+
+
+def _joined(boxes: list[dict], gap: float = 0.6) -> list[dict]:
+    """Digits side by side as one group: those on a line (half the lower height shared) at most ``gap`` heights apart."""
+    groups: list[dict] = []
+    for b in sorted(boxes, key=lambda b: (b["x"], b["y"])):
+        for g in groups:
+            shared = min(g["y"] + g["h"], b["y"] + b["h"]) - max(g["y"], b["y"])
+            if shared >= 0.5 * min(g["h"], b["h"]) and b["x"] - (g["x"] + g["w"]) <= gap * max(g["h"], b["h"]):
+                x2, y2 = max(g["x"] + g["w"], b["x"] + b["w"]), max(g["y"] + g["h"], b["y"] + b["h"])
+                g["y"] = min(g["y"], b["y"])
+                g["w"], g["h"], g["pixels"] = x2 - g["x"], y2 - g["y"], g["pixels"] + b["pixels"]
+                break
+        else:
+            groups.append(dict(b))
+    return groups
+
+
+def page_structure(images: DataFrame, width: int = 420) -> DataFrame:
+    """(arrows, dark, groups, strong, central, pixels): orange and dark components and number-like groups of a page.
+
+    Pages are read at ``width`` pixels across. Groups are joined dark components of a digit's size above the lowest tenth, on a
+    pale ground; strong ones are 30 high or of 300 pixels, central ones strong and in the middle 65 % of the page.
+    """
+
+    def rule(p: np.ndarray) -> list[dict]:
+        height = max(1, round(p.shape[0] / max(1, p.shape[1]) * width))
+        rows, cols = np.arange(height) * p.shape[0] // height, np.arange(width) * p.shape[1] // width
+        q = np.repeat(p[:, :, :1], 3, 2) if p.shape[2] < 3 else p[:, :, :3]
+        q = q[rows][:, cols].astype(int)
+        b, g, r = q[:, :, 0], q[:, :, 1], q[:, :, 2]
+        light, span = 0.299 * r + 0.587 * g + 0.114 * b, q.max(2) - q.min(2)
+        # fixed values: colours of arrows, of print and of a label's ground, and sizes of digits
+        dark = [c for c in _boxes(_components((light < 70) & (span < 95))) if c["pixels"] >= 20]
+        orange = [c for c in _boxes(_components((r > 195) & (g > 45) & (g < 190) & (b < 150) & (r - g > 30))) if c["pixels"] >= 35 and c["w"] >= 8 and c["h"] >= 5 and c["y"] < height * 0.86]
+        digits = [c for c in dark if c["y"] <= height * 0.90 and 14 <= c["h"] <= 90 and 5 <= c["w"] <= 115 and 0.10 <= c["w"] / c["h"] <= 3.6]
+        pale = lambda c: float((light[max(0, c["y"] - 4) : c["y"] + c["h"] + 4, max(0, c["x"] - 4) : c["x"] + c["w"] + 4] >= 170).mean())
+        groups = [c for c in _joined(digits) if c["h"] >= 18 and c["w"] >= 8 and 0.12 <= c["w"] / c["h"] <= 3.8 and pale(c) >= 0.22]
+        strong = [c for c in groups if c["h"] >= 30 or c["pixels"] >= 300]
+        central = [c for c in strong if 1 - min(1, abs(c["x"] + c["w"] / 2 - width / 2) / (width / 2)) >= 0.35]
+        return [{"arrows": len(orange), "dark": len(dark), "groups": len(groups), "strong": len(strong), "central": len(central), "pixels": sum(c["pixels"] for c in groups)}]
+
+    return _each(images, "arrows int, dark int, groups int, strong int, central int, pixels int", rule)
+
+
+def structure_scores(signals: DataFrame, keep: int = 12) -> DataFrame:
+    """Scores of pages (id, window, page, first, last, arrows, groups, strong, central, pixels) by their structure.
+
+    ``score`` ranks the pages of a window, of which the best ``keep`` are listed; ``candidate_score`` and ``candidate`` judge a page
+    alone. Both limits and weights are part of the rule.
+    """
+    c = F.col
+    upto = lambda name, n: F.least(F.lit(1.0), c(name) / n)
+    early = 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), (c("page") - c("first")) / F.greatest(F.lit(1), c("last") - c("first"))))
+    score = F.when(c("arrows") > 0, 35 * upto("arrows", 2)).otherwise(-10.0) + F.when(c("strong") > 0, 28 * upto("strong", 2)).otherwise(-8.0) + 22 * upto("central", 1) + 12 * early + F.when(early <= 0.20, -6.0).otherwise(0.0)
+    score = score + F.when((c("arrows") > 0) & (c("strong") > 0), 18.0).when((c("arrows") == 0) & (c("strong") == 0), -18.0).otherwise(0.0)
+    alone = F.round(0.58 * upto("groups", 5) + 0.34 * upto("arrows", 3) + 0.08 * upto("pixels", 2400), 4)
+    rows = signals.withColumns({"score": F.round(score, 3), "candidate_score": alone})
+    rows = rows.withColumn("candidate", (c("groups") >= 2) & (c("arrows") >= 1) & (c("candidate_score") >= 0.42))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy(F.desc("score"), "page"))).filter(c("rank") <= keep)
+
+
 def crop_extract(images: DataFrame, crops: DataFrame) -> DataFrame:
     """(id, crop, height, width, channels, data): boxes (id, crop, x, y, w, h) clamped to their page and cut out; empty ones are dropped."""
     joined = images.join(crops, "id").select("id", "height", "width", "channels", "data", F.struct("crop", "x", "y", "w", "h").alias("box"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stepweave.functions import scalars as s
@@ -10,43 +13,52 @@ from stepweave.operators.grouped import fold_groups
 SET = "set_id"
 
 
-def suspect_steps(crops: DataFrame, jump: int = 8) -> DataFrame:
+def suspect_steps(crops: DataFrame, jump: int = 8, window: int = 12) -> DataFrame:
     """Crops (set_id, page, value) whose step breaks the order of neighbouring pages, with the rules they break.
 
     Rules: not below the next page's minimum; not above the previous page's maximum; a jump of more than ``jump`` from a
-    page at most two before; not the only number that fits between. Crops go in (page, step) order, and a page that already
-    has a suspect isn't trusted as the previous page.
+    page at most two before; not the only number that fits between; with a column id_step, an id of another step that breaks
+    the order too; with a column detected (array of the page's detected steps, of which those within ``window`` of its
+    neighbours and own steps count), a page of one crop where neither its step nor the only one that fits was detected. Crops go
+    in (page, step) order, and a page that already has a suspect isn't trusted as the previous page.
     """
 
-    def walk(rows: list[dict]) -> list[dict]:
-        low: dict[int, int] = {}
-        high: dict[int, int] = {}
-        for r in rows:
-            low[r["page"]] = min(low.get(r["page"], r["value"]), r["value"])
-            high[r["page"]] = max(high.get(r["page"], r["value"]), r["value"])
-        pages, out, bad = sorted(low), [], set()
-        place = {p: k for k, p in enumerate(pages)}
-        for r in rows:
-            k, v = place[r["page"]], r["value"]
-            before = pages[k - 1] if k else None
-            prev = high[before] if before is not None and before not in bad else None
-            after = low[pages[k + 1]] if k + 1 < len(pages) else None
-            why = []
-            if after is not None and v >= after:
-                why.append("not below next page")
-            if prev is not None and v <= prev:
-                why.append("not above previous page")
-            if prev is not None and r["page"] - before <= 2 and v - prev > jump:
-                why.append("jump")
-            if prev is not None and after is not None and after - prev == 2 and v != prev + 1:
-                why.append("only one number fits")
-            if why:
-                bad.add(r["page"])
-                out.append({**r, "reasons": why})
-        return out
-
-    lean = crops.select(SET, "page", "value").filter("value IS NOT NULL")
-    return fold_groups(lean, SET, ["page", "value"], walk, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lean.schema) + ", reasons array<string>")
+    def walk(rows: Iterator[dict]) -> Iterator[dict]:
+        before, trusted = None, True  # the page before as (page, maximum), and whether it had no suspect
+        pages = (list(group) for _, group in groupby(rows, key=lambda r: r["page"]))
+        here = next(pages, None)
+        while here:
+            following = next(pages, None)
+            after = min(r["value"] for r in following) if following else None
+            prev = before[1] if before and trusted else None
+            found = [{**r, "reasons": why} for r in here if (why := broken(r, here, before, prev, after))]
+            yield from ({k: r[k] for k in (SET, "page", "value", "reasons")} for r in found)
+            before, trusted, here = (here[0]["page"], max(r["value"] for r in here)), not found, following
+
+    def broken(r: dict, here: list[dict], before: tuple[int, int] | None, prev: int | None, after: int | None) -> list[str]:
+        v, own = r["value"], r["id_step"]
+        narrow = prev is not None and after is not None and after - prev == 2
+        why = []
+        if after is not None and v >= after:
+            why.append("not below next page")
+        if prev is not None and v <= prev:
+            why.append("not above previous page")
+        if prev is not None and r["page"] - before[0] <= 2 and v - prev > jump:
+            why.append("jump")
+        if narrow and v != prev + 1:
+            why.append("only one number fits")
+        if own is not None and own != v and (prev is None or own <= prev or (after is not None and own >= after)):
+            why.append("id breaks order too")
+        anchors = [x["value"] for x in here] + [x for x in (prev, after) if x is not None]
+        seen = [d for d in r["detected"] or [] if min(anchors) - window <= d <= max(anchors) + window]
+        if seen and v not in seen and len(here) == 1 and narrow and prev + 1 not in seen:
+            why.append("detected steps disagree")
+        return why
+
+    extra = {"id_step": "int", "detected": "array<int>"}
+    lean = crops.select(SET, "page", "value", *(F.col(c).cast(kind).alias(c) if c in crops.columns else F.lit(None).cast(kind).alias(c) for c, kind in extra.items())).filter("value IS NOT NULL")
+    kinds = ", ".join(f"{c} {crops.schema[c].dataType.simpleString()}" for c in (SET, "page", "value"))
+    return fold_groups(lean, SET, ["page", "value"], walk, f"{kinds}, reasons array<string>")
 
 
 def page_neighbours(crops: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ Every operator partitions by ``set_id``; one shuffle by it serves a chain of the
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from itertools import groupby, islice
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stepweave.operators.acceptance import runs_asof
@@ -77,15 +81,20 @@ def min_spacing(starts: DataFrame, spacing: int = 5, most: int = 30) -> DataFram
     """
     rank = lambda r: (r["previous"], r["drop"], r["confidence"], -r["page"])
 
-    def keep(rows: list[dict]) -> list[dict]:
-        kept: list[dict] = []
+    def keep(rows: Iterator[dict]) -> Iterator[dict]:
+        kept: list[dict] = []  # those that a later page can still meet
+        sent = 0
         for r in rows:
-            near = next((i for i, k in enumerate(kept) if abs(r["page"] - k["page"]) < spacing), None)
-            if near is None:
+            done = sorted((k for k in kept if r["page"] - k["page"] >= spacing), key=lambda k: k["page"])
+            kept = [k for k in kept if r["page"] - k["page"] < spacing]
+            for k in done[: most - sent]:
+                yield k
+            sent = min(most, sent + len(done))
+            if not kept:
                 kept.append(r)
-            elif rank(r) > rank(kept[near]):
-                kept[near] = r
-        return sorted(kept, key=lambda r: r["page"])[:most]
+            elif rank(r) > rank(kept[0]):
+                kept[0] = r
+        yield from sorted(kept, key=lambda k: k["page"])[: most - sent]
 
     lean = starts.select(SET, "page", "previous", "drop", "confidence")
     return fold_groups(lean, SET, ["page"], keep, lean.schema)
@@ -169,13 +178,12 @@ def sequence_gaps(known: DataFrame) -> DataFrame:
 
 def consecutive_accept(candidates: DataFrame, first: int = 1) -> DataFrame:
     """In page order only the next expected number is kept, which then advances; others say why not. Order-dependent."""
-    def walk(rows: list[dict]) -> list[dict]:
+    def walk(rows: Iterator[dict]) -> Iterator[dict]:
         expected = first
         for r in rows:
-            r["accepted"] = r["bag"] == expected
-            r["reason"] = "" if r["accepted"] else "already passed" if r["bag"] < expected else "not the next number"
-            expected += r["accepted"]
-        return rows
+            good = r["bag"] == expected
+            yield {**r, "accepted": good, "reason": "" if good else "already passed" if r["bag"] < expected else "not the next number"}
+            expected += good
 
     lean = candidates.select(SET, "page", "bag").filter("bag IS NOT NULL")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lean.schema)
@@ -223,6 +231,12 @@ def known_sequence(clusters: DataFrame) -> DataFrame:
     return clusters.withColumn("bag", F.row_number().over(Window.partitionBy(SET).orderBy("start_page")))
 
 
+def sequence_evidence(clusters: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Numbered clusters with the mean confidence and the pages, in order, of the candidates (set_id, page, confidence) in them."""
+    inside = runs_asof(candidates.select(SET, "page", "confidence"), known_sequence(clusters), SET, "page", "start_page", ["bag", "start_page", "end_page"]).filter("page <= end_page")
+    return inside.groupBy(SET, "bag", "start_page", "end_page").agg(F.avg("confidence").alias("confidence"), F.array_sort(F.collect_set("page")).alias("evidence"))
+
+
 def bag_step_range(starts: DataFrame, manual: DataFrame, steps: DataFrame, most_pages: int = 15) -> DataFrame:
     """Each section's range, and the largest step on its first ``most_pages`` pages that have steps."""
     ranges = ranges_from_starts(starts, manual)
@@ -243,21 +257,22 @@ def context_outliers(steps: DataFrame, span: int = 4, slack: int = 30, ahead: in
         values = sorted(values)
         return values[len(values) - int(len(values) * 0.2) - 1] if values else 0
 
-    def walk(rows: list[dict]) -> list[dict]:
-        values: dict[int, list[int]] = {}
-        for r in rows:
-            values.setdefault(r["page"], []).append(r["value"])
-        pages, dropped = list(values), []
-        for k, page in enumerate(pages):
-            after = [v for p in pages[k + 1 : k + span + 1] for v in values[p]]
-            around = [v for p in pages[max(0, k - span) : k] for v in values[p]] + after
-            if not around:
-                continue
-            top, forward = trimmed(around), trimmed(after)
-            for v in [v for v in values[page] if v > top + slack and forward < v - ahead]:
-                values[page].remove(v)
-                dropped.append({SET: rows[0][SET], "page": page, "value": v})
-        return dropped
+    def walk(rows: Iterator[dict]) -> Iterator[dict]:
+        pages = ([page, list(group)] for page, group in groupby(rows, key=lambda r: r["page"]))
+        before: deque[list[int]] = deque(maxlen=span)
+        waiting = deque(islice(pages, span + 1))
+        while waiting:
+            page, here = waiting.popleft()
+            values = [r["value"] for r in here]
+            after = [r["value"] for _, group in waiting for r in group]
+            around = [v for group in before for v in group] + after
+            if around:
+                top, forward = trimmed(around), trimmed(after)
+                out = [v for v in values if v > top + slack and forward < v - ahead]
+                values = [v for v in values if v not in out]
+                yield from ({SET: here[0][SET], "page": page, "value": v} for v in out)
+            before.append(values)
+            waiting.extend(islice(pages, 1))
 
     lean = steps.select(SET, "page", "value").filter("value > 0").distinct()
     return fold_groups(lean, SET, ["page", "value"], walk, lean.schema)
@@ -269,25 +284,29 @@ def gap_promotion(steps: DataFrame, audit: DataFrame, most: int = 6) -> DataFram
     Both: set_id, page, value, box; audit also has confidence. A box that the page uses, or that was just promoted, isn't used again.
     """
 
-    def walk(rows: list[dict]) -> list[dict]:
-        have: dict[int, list[dict]] = {}
-        offers: dict[int, list[dict]] = {}
-        for r in rows:
-            (offers if r["audit"] else have).setdefault(r["page"], []).append(r)
-        pages, out = sorted(have), []
-        for page, following in zip(pages, pages[1:]):
-            top = max(r["value"] for r in have[page])
-            later = [r["value"] for r in have[following] if r["value"] > top]
-            if not later or not 0 < min(later) - top - 1 <= most:
+    def walk(rows: Iterator[dict]) -> Iterator[dict]:
+        last: tuple[list[dict], list[dict]] = ([], [])  # steps and offers of the last page with steps
+        for page, group in groupby(rows, key=lambda r: r["page"]):
+            here = list(group)
+            have, offers = [r for r in here if not r["audit"]], [r for r in here if r["audit"]]
+            if not have:
                 continue
-            used = {r["box"] for r in have[page]}
-            for value in range(top + 1, min(later)):
-                found = [r for r in offers.get(page, []) if r["value"] == value and r["box"] not in used]
-                if found:
-                    best = min(found, key=lambda r: (-r["confidence"], r["box"]))
-                    used.add(best["box"])
-                    out.append({SET: best[SET], "page": page, "value": value, "box": best["box"], "next_page": following})
-        return out
+            if last[0]:
+                yield from promoted(*last, [r["value"] for r in have], page)
+            last = have, offers
+
+    def promoted(have: list[dict], offers: list[dict], following: list[int], next_page: int) -> Iterator[dict]:
+        top = max(r["value"] for r in have)
+        later = [v for v in following if v > top]
+        if not later or not 0 < min(later) - top - 1 <= most:
+            return
+        used = {r["box"] for r in have}
+        for value in range(top + 1, min(later)):
+            found = [r for r in offers if r["value"] == value and r["box"] not in used]
+            if found:
+                best = min(found, key=lambda r: (-r["confidence"], r["box"]))
+                used.add(best["box"])
+                yield {**{k: best[k] for k in (SET, "page", "value", "box")}, "next_page": next_page}
 
     columns = [SET, "page", "value", "box"]
     both = steps.select(*columns, F.lit(0.0).alias("confidence"), F.lit(False).alias("audit")).unionByName(audit.select(*columns, F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), F.lit(True).alias("audit"))).filter("value > 0")

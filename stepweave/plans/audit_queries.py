@@ -57,3 +57,6 @@ register("w13_same_page_extension", lambda i: a.same_page_extension(i.multi_step
 register("w26_bootstrap_start", lambda i: a.bootstrap_start(i.page_steps), "SELECT set_id, coalesce(min(CASE WHEN value = 1 THEN page END), min(page)) - 1 AS start FROM page_steps WHERE page > 5 GROUP BY set_id")
 register("w27_priority_anchors", lambda i: a.priority_anchors(i.truth.filter("set_id % 2 = 0"), i.starts.filter("bag % 3 = 0").withColumn("page", F.expr("page + cast(set_id % 2 as int)")), i.starts.select("set_id", "page")), """WITH t AS (SELECT * FROM truth WHERE set_id % 2 = 0), c AS (SELECT set_id, bag, page + CAST(set_id % 2 AS INT) AS page FROM starts WHERE bag % 3 = 0), f AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.set_id = c.set_id AND (t.bag = c.bag OR t.page = c.page))),
     n AS (SELECT s.set_id, row_number() OVER (PARTITION BY s.set_id ORDER BY s.page) + coalesce((SELECT max(bag) FROM f WHERE f.set_id = s.set_id), 0) AS bag, s.page FROM starts s WHERE s.set_id NOT IN (SELECT set_id FROM t)) SELECT set_id, bag, page, 'truth' AS source FROM t UNION ALL SELECT set_id, bag, page, 'correction' FROM f UNION ALL SELECT set_id, bag, page, 'cluster' FROM n""")
+register("p12_review_queue_of_a_set", lambda i: a.review_queue(i.bundles.selectExpr("doc_id as bundle_id", "status", "source", "doc_id % 17 as created_at", "cast(doc_id % 3 as string) as set_num", "doc_id % 2 as bag"), set_num="1", bag=1, limit=100).select("bundle_id", "created_at"), "SELECT doc_id AS bundle_id, doc_id % 17 AS created_at FROM bundles WHERE doc_id % 3 = 1 AND doc_id % 2 = 1 ORDER BY created_at, bundle_id LIMIT 100")
+register("p22_callout_visibility", lambda i: i.bundles.select("doc_id", a.callout_visibility(F.expr("doc_id % 5 = 0"), F.expr("if(doc_id % 3 = 0, null, doc_id % 3 = 1)")).alias("visibility")), "SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 1 THEN 'visible' WHEN doc_id % 3 = 2 THEN 'hidden' ELSE 'unknown' END AS visibility FROM bundles")
+register("u05_candidate_elements", lambda i: a.candidate_distinct(i.examples.select("part_num", "color_id", (F.col("bundle") % 3).alias("element_id"), "qty", F.col("event_id").alias("ordinal"))), "SELECT part_num, color_id, bundle % 3 AS element_id, event_id AS ordinal, qty FROM examples QUALIFY row_number() OVER (PARTITION BY part_num, color_id, bundle % 3 ORDER BY event_id) = 1")

@@ -94,3 +94,21 @@ register("f18_stock_adjustment", lambda i: i.examples.select("event_id", f.stock
 register("f19_iso_timestamp", lambda i: i.events.select("event_id", f.iso_timestamp(F.col("ts")).alias("iso")), "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
 register("p01_safe_coerce", lambda i: i.events.select("event_id", f.safe_int(F.expr("case when event_id % 3 = 0 then '' when event_id % 3 = 1 then concat(event_id, '.0') else concat(' ', event_id) end")).alias("n")), "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN event_id END AS n FROM events")
 register("p11_set_id_normalize", lambda i: i.bundles.select("doc_id", f.with_suffix(F.expr("if(doc_id % 2 = 0, concat(doc_id, '-2'), cast(doc_id as string))")).alias("full"), f.without_suffix(F.expr("concat(doc_id, '-2')")).alias("bare")), "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(doc_id, '-2') ELSE concat(doc_id, '-1') END AS full, doc_id::VARCHAR AS bare FROM bundles")
+
+
+def _neighbours(i):
+    """Each box with the next one of its page."""
+    w = b.Window.partitionBy("page").orderBy("box")
+    return i.boxes.select("page", "box", *(F.col(c).alias(f"a_{c}") for c in "xywh"), *(F.lead(c).over(w).alias(f"b_{c}") for c in "xywh")).filter("b_x IS NOT NULL")
+
+
+register(
+    "f14_box_relations",
+    lambda i: _neighbours(i).select("page", "box", f.inside("a_", "b_", 400).alias("inside"), f.holds_point("a_", F.col("b_x"), F.col("b_y")).alias("holds"), f.centre_distance("a_", "b_").alias("distance"), f.intersection_area("a_", "b_").alias("shared"), f.overlaps("a_", "b_").alias("overlap"), f.clipped("a_", 500, 400)["w"].alias("clipped_w")),
+    """WITH n AS (SELECT page, box, x, y, w, h, lead(x) OVER k AS bx, lead(y) OVER k AS bby, lead(w) OVER k AS bw, lead(h) OVER k AS bh FROM boxes WINDOW k AS (PARTITION BY page ORDER BY box))
+    SELECT page, box, x >= bx - 400 AND y >= bby - 400 AND x + w <= bx + bw + 400 AND y + h <= bby + bh + 400 AS inside, bx BETWEEN x AND x + w AND bby BETWEEN y AND y + h AS holds, sqrt((x + w / 2 - bx - bw / 2) ** 2 + (y + h / 2 - bby - bh / 2) ** 2) AS distance,
+        greatest(least(x + w, bx + bw) - greatest(x, bx), 0) * greatest(least(y + h, bby + bh) - greatest(y, bby), 0) AS shared, x < bx + bw AND bx < x + w AND y < bby + bh AND bby < y + h AS overlap, CASE WHEN least(x + w, 500) > x AND least(y + h, 400) > y THEN least(x + w, 500) - x END AS clipped_w FROM n WHERE bx IS NOT NULL""",
+)
+register("f03_duplicate_tokens", lambda i: i.boxes.groupBy("page").agg(F.collect_list(F.struct("text", F.expr("if(box % 4 = 0, null, x)").alias("x"), "y")).alias("t")).select("page", f.duplicate_tokens(F.col("t")).alias("duplicates")), "SELECT page, (count(*) FILTER (WHERE box % 4 <> 0) - count(DISTINCT text) FILTER (WHERE box % 4 <> 0))::INT AS duplicates FROM boxes GROUP BY page")
+register("f18_hidden_when_depleted", lambda i: i.examples.select("event_id", f.stock_adjustment(F.col("qty"), hide_depleted=True).alias("adjustment")).filter("adjustment IS NOT NULL"), "SELECT event_id, CASE WHEN qty > 0 THEN -30.0 ELSE 0.0 END AS adjustment FROM examples WHERE qty > 0 OR qty IS NULL")
+register("f02_first_version_id", lambda i: i.boxes.select("page", "box", f.first_version_id(F.format_string("bag_%02d_page_%03d_step_%s_%03d", F.col("x") % 9, F.col("page"), F.expr("if(box % 3 = 0, 'unknown', cast(box as string))"), F.col("w")), F.col("h")).alias("id")), "SELECT page, box, concat('p', page, '_s', CASE WHEN box % 3 = 0 THEN h ELSE box END, '_c', w) AS id FROM boxes")

@@ -105,3 +105,5 @@ register(
 )
 _IMAGE_ROWS = ("part_num * 100000 + color_id AS element_id", "img_url AS image", "CASE WHEN part_num % 2 = 0 THEN part_num END AS part_num", "CAST(NULL AS BIGINT) AS color_id", "CAST(NULL AS INT) AS qty")
 register("s10_image_manifest", lambda i: c.image_manifest(i.images.selectExpr(*_IMAGE_ROWS), i.elements.withColumn("qty", F.expr("cast(part_num % 7 as int)"))), f"WITH m AS (SELECT {', '.join(_IMAGE_ROWS)} FROM images) SELECT m.element_id, m.image, coalesce(m.part_num, e.part_num) AS part_num, e.color_id, CAST(e.part_num % 7 AS INT) AS qty FROM m LEFT JOIN elements e ON e.element_id = m.element_id")
+register("a14_coverage_ids", lambda i: c.coverage_ids(i.examples.select((F.col("event_id") - F.col("event_id") % 3).alias("element_id")), i.vectors.select(F.col("vec_id").alias("element_id"))), "SELECT DISTINCT event_id - event_id % 3 AS element_id, (event_id - event_id % 3) IN (SELECT vec_id FROM vectors) AS matched FROM examples")
+register("a15_reviewers", lambda i: c.confirm_rollup(i.examples.withColumn("reviewer", F.col("bundle") % 4)).select("part_num", "reviewers"), "WITH f AS (SELECT part_num, bundle % 4 AS reviewer, min((ts, event_id)) AS first FROM examples GROUP BY ALL) SELECT part_num, list(reviewer ORDER BY first, reviewer) AS reviewers FROM f GROUP BY 1")

@@ -13,3 +13,14 @@ register("i03_dominant_colour", lambda i: g.dominant_colour(g.grid_images(i.vect
 register("i04_foreground_stats", lambda i: g.foreground_stats(g.grid_images(i.vectors), floor=160).select("id", "pixels", "x", "y", "w", "h"), f"WITH {_GRID} SELECT id, count(*)::INT AS pixels, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM gray WHERE v > 160 GROUP BY id")
 register("i05_mask_islands", lambda i: g.mask_islands(g.grid_images(i.vectors).withColumn("data", F.unhex(F.regexp_replace(F.hex("data"), "[0-8]([0-9A-F])", "00"))), least=2))
 register("i08_crop_extract", lambda i: g.crop_extract(g.grid_images(i.vectors), i.vectors.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("crop"), F.expr("cast(vec_id % 9 - 1 as int)").alias("x"), F.lit(-2).alias("y"), F.lit(4).alias("w"), F.lit(6).alias("h"))).select("id", "height", "width"), "SELECT vec_id AS id, 4 AS height, (least(8, vec_id % 9 + 3) - greatest(0, vec_id % 9 - 1))::INT AS width FROM vectors WHERE least(8, vec_id % 9 + 3) > greatest(0, vec_id % 9 - 1)")
+register("i06_mask_stats", lambda i: g.mask_stats(g.grid_images(i.vectors), floor=100, cap=200, least=4))
+register("i07_page_structure", lambda i: g.page_structure(g.grid_images(i.vectors), width=64))
+register("i09_crop_normalize", lambda i: g.crop_normalize(g.grid_images(i.vectors)).select("id", "height", "width", "channels", F.sha2("data", 256).alias("data_sha256")))
+_SIGNALS = ("set_id AS window", "page", "1 AS first", "90 AS last", "value % 4 AS arrows", "value % 6 AS groups", "page % 3 AS strong", "page % 2 AS central", "value * 30 AS pixels")
+register(
+    "i07_structure_scores", lambda i: g.structure_scores(i.page_steps.selectExpr(*_SIGNALS)).select("window", "page", "rank", "score", "candidate_score", "candidate"),
+    f"""WITH s AS (SELECT {', '.join(_SIGNALS)} FROM page_steps), e AS (SELECT *, 1 - least(1.0::DOUBLE, greatest(0.0::DOUBLE, (page - first) / 89.0::DOUBLE)) AS early FROM s),
+    k AS (SELECT *, round(CASE WHEN arrows > 0 THEN 35 * least(1.0::DOUBLE, arrows / 2.0::DOUBLE) ELSE -10.0::DOUBLE END + CASE WHEN strong > 0 THEN 28 * least(1.0::DOUBLE, strong / 2.0::DOUBLE) ELSE -8.0::DOUBLE END + 22 * least(1.0::DOUBLE, central) + 12 * early + CASE WHEN early <= 0.2::DOUBLE THEN -6.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN arrows > 0 AND strong > 0 THEN 18.0::DOUBLE WHEN arrows = 0 AND strong = 0 THEN -18.0::DOUBLE ELSE 0.0::DOUBLE END, 3) AS score,
+        round(0.58::DOUBLE * least(1.0::DOUBLE, groups / 5.0::DOUBLE) + 0.34::DOUBLE * least(1.0::DOUBLE, arrows / 3.0::DOUBLE) + 0.08::DOUBLE * least(1.0::DOUBLE, pixels / 2400.0::DOUBLE), 4) AS candidate_score FROM e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY score DESC, page) AS rank FROM k) SELECT "window", page, rank, score, candidate_score, groups >= 2 AND arrows >= 1 AND candidate_score >= 0.42 AS candidate FROM r WHERE rank <= 12""",
+)

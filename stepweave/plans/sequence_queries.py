@@ -101,3 +101,8 @@ register(
     SELECT r.set_id, r.bag, r.start_page, r.end_page, m.max_step, coalesce(m.pages_read, 0) AS pages_read FROM ranges r LEFT JOIN (SELECT set_id, bag, max(value) AS max_step, count(*) AS pages_read FROM n WHERE nth <= 15 GROUP BY set_id, bag) m USING (set_id, bag)""",
 )
 register("w12_gap_promotion", lambda i: q.gap_promotion(*(i.multi_steps.select("set_id", "page", q.F.expr("cast((value + 1) / 2 as int)").alias("value"), q.F.col("h").alias("box"), q.F.col("score").alias("confidence")).filter(w) for w in ("box % 3 > 0", "box % 3 = 0"))))
+register(
+    "w31_sequence_evidence", lambda i: q.sequence_evidence(q.gap_clusters(i.starts), i.starts.select("set_id", "page", (q.F.col("bag") / 10.0).alias("confidence"))),
+    """WITH f AS (SELECT set_id, page, bag, CASE WHEN page - lag(page) OVER (PARTITION BY set_id ORDER BY page) <= 6 THEN 0 ELSE 1 END AS fresh FROM starts), c AS (SELECT set_id, page, bag, sum(fresh) OVER (PARTITION BY set_id ORDER BY page) AS k FROM f)
+    SELECT set_id, k::INT AS bag, min(page) AS start_page, max(page) AS end_page, avg(bag / 10.0::DOUBLE) AS confidence, list(page ORDER BY page) AS evidence FROM c GROUP BY set_id, k""",
+)
