@@ -1,4 +1,8 @@
-"""Gradient-boosted shallow trees for two classes, fitted with histograms of binned features."""
+"""Gradient-boosted shallow trees for two classes, fitted with histograms of binned features.
+
+Defined cases: features are finite numbers (callers turn what is missing into 0); of equal gains the first feature and the
+lowest edge win, so a fit depends on the rows alone; labels of one class, or none, give the base rate.
+"""
 
 from __future__ import annotations
 

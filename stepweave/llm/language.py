@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stepweave.llm.hot import with_group
 from stepweave.llm.textbytes import column_bytes, slices
 from stepweave.session import cut
 
 BUCKETS, EVIDENCE, MAX_LANGUAGES, SMOOTH = 1 << 13, 40, 64, 5.0
+KEYS = ("host", "domain", "suffix", "declared", "part")
 _HIDDEN = re.compile(r"(?is)<(script|style|title)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>")
 _ROOT = re.compile(r"""(?is)<!--.*?(?:-->|\Z)|<(script|style|title|textarea)\b.*?(?:</\1\s*>|\Z)|<html(?=[\s/])((?:"[^"]*"|'[^']*'|[^>"'])*[^>]*)""")
 _DECLARED = re.compile(r"""(?is)\blang\s*=\s*["']?\s*([a-z]{2,3})""")
@@ -108,11 +110,6 @@ def page_evidence(pages: DataFrame, table: np.ndarray) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, declared string, text_score array<double>")
 
 
-def _counts(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """One row for each value of ``key``: pages of each language by text."""
-    return rows.filter(F.col(key) != "").groupBy(F.col(key).alias(f"_{key}")).agg(F.array(*(F.sum((F.col("guess") == i).cast("long")) for i in range(n))).alias(f"n_{key}"))
-
-
 def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """(page_id, url, lang, probability, text_lang, declared), a row for each page."""
     names, table = likelihoods(docs)
@@ -125,14 +122,14 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("suffix", F.when(F.col("host") != "", F.element_at(F.split("host", r"\."), -1)).otherwise(F.lit(""))).withColumn("part", F.lower(F.coalesce(F.regexp_extract("url", r"(?s)^.*?://[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", 1), F.lit(""))))
     best = F.array_position("text_score", F.array_max("text_score")).cast("int") - 1
     flat = F.array_max("text_score") == F.array_min("text_score")  # no text: no guess
-    rows = cut(rows.withColumn("guess", F.when(flat, F.lit(-1)).otherwise(best)).withColumn("declared", F.coalesce("declared", F.lit(""))))
+    rows = cut(rows.withColumn("guess", F.when(flat, F.lit(-1)).otherwise(best)).withColumns({k: F.nullif(k, F.lit("")) for k in KEYS}))
     overall = rows.agg(*(F.sum((F.col("guess") == i).cast("long")).alias(str(i)) for i in range(k))).first()
     total = [(overall[i] or 0) for i in range(k)]
     everywhere = [(t + 1) / (sum(total) + k) for t in total]
     out = rows
-    for key in ("host", "domain", "suffix", "declared", "part"):  # left joins; AQE splits a hot host and broadcasts what is small
-        found = _counts(rows, key, k)
-        out = out.join(found, out[key] == found[f"_{key}"], "left")
+    for key in KEYS:  # counts of each language by text; rows of a hot host and rows without one are spread
+        found = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array(*(F.sum((F.col("guess") == i).cast("long")) for i in range(k))).alias(f"n_{key}"), F.count("*").alias("rows"))
+        out = with_group(out, found, [key], "rows").drop("rows")
     own = lambda i: (F.col("guess") == i).cast("int")
 
     def count(key: str, i: int) -> Column:
@@ -148,10 +145,10 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
             shares = (count(key, i) + SMOOTH * shares) / (size(key) + SMOOTH)
         told = F.log(shares)
         for key in ("declared", "part"):  # P(value | language), up to what all languages share
-            told = told + F.when(F.col(key) != "", F.log((count(key, i) + 1.0) / F.lit(float(total[i] + k)))).otherwise(0.0)
+            told = told + F.when(F.col(key).isNotNull(), F.log((count(key, i) + 1.0) / F.lit(float(total[i] + k)))).otherwise(0.0)
         score.append(F.col("text_score")[i] + told)
     out = out.withColumn("score", F.array(*score))
     top = F.array_max("score")
     lang = F.array(*map(F.lit, names))
     weight = F.aggregate("score", F.lit(0.0), lambda a, s: a + F.exp(s - top))
-    return out.select("page_id", "url", F.get(lang, F.array_position("score", top).cast("int") - 1).alias("lang"), (1 / weight).alias("probability"), F.when(F.col("guess") >= 0, F.get(lang, F.col("guess"))).alias("text_lang"), F.nullif("declared", F.lit("")).alias("declared"))
+    return out.select("page_id", "url", F.get(lang, F.array_position("score", top).cast("int") - 1).alias("lang"), (1 / weight).alias("probability"), F.when(F.col("guess") >= 0, F.get(lang, F.col("guess"))).alias("text_lang"), "declared")

@@ -1,4 +1,8 @@
-"""Bounded samples for training."""
+"""Bounded samples for training.
+
+Defined cases: rows that are equal in the keys have one hash and come or go together before the limit, which alone parts them;
+null keys hash like values; an empty table gives an empty sample.
+"""
 
 from __future__ import annotations
 
