@@ -93,14 +93,16 @@ def nearest_colours(asked: DataFrame, colors: DataFrame, k: int = 6, block_color
     palette = colors.groupBy("rgb").agg(F.min("color_id").alias("color_id")).select("color_id", s.hex_rgb(F.col("rgb")).alias("c")).filter("c IS NOT NULL")
     blocks = max(1, -(-palette.count() // block_colors))
     dealt = palette.select("color_id", F.col("c")[0].alias("r"), F.col("c")[1].alias("g"), F.col("c")[2].alias("b"), F.pmod(F.xxhash64("color_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    wanted = asked.filter("rgb IS NOT NULL").select("rgb").distinct().withColumn("slice", F.pmod(F.xxhash64("rgb"), F.lit(slices)).cast("int"))
-    wanted = wanted.select("slice", F.col("rgb").alias("wanted"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    apart = lambda i, c: (F.col("wanted")[i] - F.col(c)) * (F.col("wanted")[i] - F.col(c))
-    met = wanted.join(dealt, ["block", "slice"]).select("wanted", "block", "color_id", F.sqrt((apart(0, "r") + apart(1, "g") + apart(2, "b")).cast("double")).alias("distance"))
+    parts = asked.select("query", *(F.get("rgb", F.lit(i)).cast("int").alias(f"w{c}") for i, c in enumerate("rgb"))).dropna(subset=["wr", "wg", "wb"])
+    wanted = parts.select("wr", "wg", "wb").distinct().withColumn("slice", F.pmod(F.xxhash64("wr", "wg", "wb"), F.lit(slices)).cast("int"))
+    # a number of partitions of its own: the inputs are small, the pairs aren't
+    wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(min(slices * blocks, 4_096), "block", "slice")
+    square = sum(((F.col(f"w{c}") - F.col(c)) * (F.col(f"w{c}") - F.col(c)) for c in "rgb"), F.lit(0))
+    met = wanted.join(dealt, ["block", "slice"]).select("wr", "wg", "wb", "block", "color_id", F.sqrt(square.cast("double")).alias("distance"))
     best = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("distance", "color_id"))).filter(F.col("rank") <= k)
     if blocks > 1:
-        met = best(met, "wanted", "block").drop("rank")
-    return asked.join(best(met, "wanted"), F.col("rgb") == F.col("wanted")).select("query", "rank", "color_id", "distance")
+        met = best(met, "wr", "wg", "wb", "block").drop("rank")
+    return parts.join(best(met, "wr", "wg", "wb"), ["wr", "wg", "wb"]).select("query", "rank", "color_id", "distance")
 
 
 def colour_top5(asked: DataFrame, colors: DataFrame) -> DataFrame:
@@ -121,7 +123,8 @@ def rgb_match(segments: DataFrame, pool: DataFrame, k: int = 5) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, key: str, blocks: int) -> DataFrame:
-    return rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    """Rows with a block each, and a partition for each block: the inputs are small, the pairs aren't."""
+    return rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
 
 def _in_all(rows: DataFrame, blocks: int) -> DataFrame:
@@ -206,10 +209,10 @@ def catalog_rank(asked: DataFrame, images: DataFrame, colors: DataFrame, pairs:
     set (half of k, 3 at least) only those are listed. ``most`` and ``k`` are part of the rule.
     """
     near = nearest_colours(asked.select("query", "rgb"), colors, 6).select("query", "color_id", "distance")
-    listed = near.join(images.groupBy("part_num", "color_id").agg(F.min("img_url").alias("img_url")), "color_id").join(asked.select("query", "set_num"), "query")
+    listed = near.join(images.groupBy("part_num", "color_id").agg((F.min("img_url") != "").alias("shown")), "color_id").join(asked.select("query", "set_num"), "query")
     first = listed.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("part_num", "color_id"))).filter(F.col("nth") <= most)
     rows = first.join(pairs.distinct().withColumn("own", F.lit(1)), ["set_num", "part_num", "color_id"], "left").join(stock, ["part_num", "color_id"], "left")
-    score = F.col("distance") - F.when(F.col("own") == 1, 60.0).otherwise(0.0) - F.when(F.col("img_url") != "", 5.0).otherwise(0.0) + s.stock_adjustment(F.col("remaining"))
+    score = F.col("distance") - F.when(F.col("own") == 1, 60.0).otherwise(0.0) - F.when(F.col("shown"), 5.0).otherwise(0.0) + s.stock_adjustment(F.col("remaining"))
     rows = rows.withColumn("score", F.bround(score, 3))
     by_query = Window.partitionBy("query")
     rows = rows.withColumn("owned", F.count("own").over(by_query)).filter((F.col("owned") < min(max(3, k // 2), k)) | (F.col("own") == 1))

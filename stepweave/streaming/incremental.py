@@ -58,7 +58,8 @@ def reset_stream(steps: DataFrame, late: str = "10 minutes", least: int = 10, li
         state.update((page, previous, [int(v) for v in waiting["page"]], [int(v) for v in waiting["value"]], [int(v) for v in waiting["at"]]))
         if len(waiting):
             state.setTimeoutTimestamp(max(int(waiting["at"].min()), passed) + 1)
-        yield pd.DataFrame(rows, columns=names).astype({"previous": "Int32"})
+        if rows:
+            yield pd.DataFrame(rows, columns=names).astype({"previous": "Int32"})
 
     return steps.withWatermark("ts", late).groupBy("set_id").applyInPandasWithState(step, out, "page int, previous int, pages array<int>, values array<int>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
