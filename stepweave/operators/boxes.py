@@ -303,6 +303,22 @@ def overview_spread(tokens: DataFrame, number: str, gap: int = 100) -> DataFrame
     return rows.groupBy(PAGE).agg(F.countDistinct(number).alias("numbers"), (F.max("x") - F.min("x")).alias("x_spread"), (F.max("y") - F.min("y")).alias("y_spread"), (F.coalesce(F.sum("step"), F.lit(0)) + 1).alias("bands"))
 
 
+def overview_pages(tokens: DataFrame, number: str, width: int, height: int) -> DataFrame:
+    """Whether a page shows several sections at once, by the spread of its number tokens' centres.
+
+    Bands are runs of centres no further apart than 12 % of the page. Of four tokens or more, two numbers over 35 % of the width
+    and 10 % of the height in two bands either way are enough, as are four numbers over 45 % and 15 % in two bands both ways.
+    """
+    rows = tokens.select(PAGE, F.col(number).alias("number"), (F.col("x") + F.col("w") * 0.5).alias("cx"), (F.col("y") + F.col("h") * 0.5).alias("cy"))
+    step = lambda c, size: (F.col(c) - F.lag(c).over(Window.partitionBy(PAGE).orderBy(c)) > size * 0.12).cast("int")
+    rows = rows.withColumns({"sx": step("cx", width), "sy": step("cy", height)})
+    spread = rows.groupBy(PAGE).agg(F.count("*").alias("tokens"), F.countDistinct("number").alias("numbers"), (F.max("cx") - F.min("cx")).alias("x_spread"), (F.max("cy") - F.min("cy")).alias("y_spread"), (F.coalesce(F.sum("sx"), F.lit(0)) + 1).alias("x_bands"), (F.coalesce(F.sum("sy"), F.lit(0)) + 1).alias("y_bands"))
+    c = F.col
+    some = (c("numbers") >= 2) & (c("x_spread") >= width * 0.35) & (c("y_spread") >= height * 0.10) & ((c("x_bands") >= 2) | (c("y_bands") >= 2))
+    many = (c("numbers") >= 4) & (c("x_spread") >= width * 0.45) & (c("y_spread") >= height * 0.15) & (c("x_bands") >= 2) & (c("y_bands") >= 2)
+    return spread.withColumn("overview", (c("tokens") >= 4) & (some | many))
+
+
 def visual_order(boxes: DataFrame) -> DataFrame:
     """Reading order of a page's boxes."""
     return boxes.withColumn("nth", F.row_number().over(Window.partitionBy(PAGE).orderBy("y", "x", "box")))

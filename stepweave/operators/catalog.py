@@ -202,18 +202,31 @@ def expected_coverage(expected: DataFrame, pool: DataFrame) -> DataFrame:
     return expected.select("part_num", "color_id").distinct().join(pairs, ["part_num", "color_id"], "left").na.fill(False, ["present"])
 
 
-def catalog_rank(asked: DataFrame, images: DataFrame, colors: DataFrame, pairs: DataFrame, stock: DataFrame, k: int = 20, most: int = 600) -> DataFrame:
+# fixed values: words in the names of metal colours
+METAL = r"(?i)chrome|pearl|metal|silver|gold|drum"
+
+
+def catalog_rank(asked: DataFrame, images: DataFrame, colors: DataFrame, pairs: DataFrame, stock: DataFrame, k: int = 20, most: int = 600, metallic: bool = False, hide_depleted: bool = False, similarity: DataFrame | None = None) -> DataFrame:
     """Candidates for each crop (query, set_num, rgb) among the images of its 6 nearest colours, first ``most`` by part.
 
-    Score: colour distance, -60 in the set, -5 with an image, stock adjustment; smaller is better. With enough candidates of the
-    set (half of k, 3 at least) only those are listed. ``most`` and ``k`` are part of the rule.
+    Score: colour distance, -60 in the set, -5 with an image, stock adjustment; with ``metallic`` -8 for a metal colour and 4 for any
+    other; 25 times the image difference where ``similarity`` (query, part_num, color_id, difference) has one. Smaller is
+    better; ``hide_depleted`` leaves out what is used up. With enough candidates of the set (half of k, 3 at least) only
+    those are listed. ``most`` and ``k`` are part of the rule.
     """
     near = nearest_colours(asked.select("query", "rgb"), colors, 6).select("query", "color_id", "distance")
     listed = near.join(images.groupBy("part_num", "color_id").agg((F.min("img_url") != "").alias("shown")), "color_id").join(asked.select("query", "set_num"), "query")
     first = listed.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("part_num", "color_id"))).filter(F.col("nth") <= most)
     rows = first.join(pairs.distinct().withColumn("own", F.lit(1)), ["set_num", "part_num", "color_id"], "left").join(stock, ["part_num", "color_id"], "left")
-    score = F.col("distance") - F.when(F.col("own") == 1, 60.0).otherwise(0.0) - F.when(F.col("shown"), 5.0).otherwise(0.0) + s.stock_adjustment(F.col("remaining"))
-    rows = rows.withColumn("score", F.bround(score, 3))
+    score = F.col("distance") - F.when(F.col("own") == 1, 60.0).otherwise(0.0) - F.when(F.col("shown"), 5.0).otherwise(0.0) + s.stock_adjustment(F.col("remaining"), hide_depleted)
+    if metallic:
+        names = colors.groupBy("color_id").agg(F.min("name").alias("color_name"))
+        rows = rows.join(names, "color_id", "left")
+        score = score + F.when(F.coalesce(F.rlike("color_name", F.lit(METAL)), F.lit(False)), -8.0).otherwise(4.0)
+    if similarity is not None:
+        rows = rows.join(similarity.select("query", "part_num", "color_id", "difference"), ["query", "part_num", "color_id"], "left")
+        score = score + F.coalesce(F.col("difference") * 25.0, F.lit(0.0))
+    rows = rows.withColumn("score", F.bround(score, 3)).filter("score IS NOT NULL")
     by_query = Window.partitionBy("query")
     rows = rows.withColumn("owned", F.count("own").over(by_query)).filter((F.col("owned") < min(max(3, k // 2), k)) | (F.col("own") == 1))
     return rows.withColumn("rank", F.row_number().over(by_query.orderBy("score", "part_num", "color_id"))).filter(F.col("rank") <= k).select("query", "rank", "part_num", "color_id", "score")

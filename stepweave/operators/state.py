@@ -40,13 +40,18 @@ def bundle_upsert(index: DataFrame, registered: DataFrame) -> DataFrame:
     return rows.select("bundle_id", F.coalesce("new", "old").alias("path"), F.coalesce(F.nullif("status", F.lit("")), F.lit("pending")).alias("status"))
 
 
-def review_update(index: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(index after the reviews, refused reviews). A review needs a known bundle, a known status and a score of 1..5."""
+def review_update(index: DataFrame, reviews: DataFrame, fields: Column | None = None, columns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(index after the reviews, refused reviews). A review needs a known bundle, a known status and a score of 1..5.
+
+    With ``fields`` (the parsed id) its missing ``columns`` are filled in.
+    """
     checked = reviews.join(index.select("bundle_id", F.lit(True).alias("known")), "bundle_id", "left")
     why = F.when(F.col("known").isNull(), "unknown bundle").when(~F.coalesce(F.col("new_status").isin(*REVIEW_STATUSES), F.lit(False)), "unknown status").when(~F.coalesce(F.col("score").between(1, 5), F.lit(False)), "score out of range")
     checked = checked.withColumn("why", why)
     good = checked.filter("why IS NULL").groupBy("bundle_id").agg(F.max_by(F.struct("new_status", "score"), "seq").alias("r"))
-    after = index.join(good, "bundle_id", "left").select("bundle_id", F.coalesce("r.new_status", "status").alias("status"), F.col("r.score").alias("score"))
+    after = index.join(good, "bundle_id", "left").select("bundle_id", F.coalesce("r.new_status", "status").alias("status"), F.col("r.score").alias("score"), *columns)
+    if fields is not None:
+        after = id_backfill(after, fields, list(columns))
     return after, checked.filter("why IS NOT NULL").select("bundle_id", "new_status", "score", "why")
 
 
@@ -78,6 +83,11 @@ def nested_update(candidates: str, index: Column, status: Column) -> Column:
     return F.transform(arr, lambda x, i: F.when(F.when(named, x["index"] == index).otherwise(i == index), x.withField("status", status)).otherwise(x))
 
 
+def nested_updates(rows: DataFrame, arrays: list[str], index: Column, status: Column) -> DataFrame:
+    """``nested_update`` in each of the candidate arrays that ``rows`` has; a null array stays null."""
+    return rows.withColumns({c: nested_update(c, index, status) for c in arrays if c in rows.columns})
+
+
 def auto_promote(status: Column, candidates: Column) -> Column:
     """Approved once all candidates are final and there is one; approved and rejected stay."""
     done = (F.size(candidates) > 0) & F.forall(candidates, lambda x: x["status"].isin(*FINAL))

@@ -112,3 +112,9 @@ register(
 register("f03_duplicate_tokens", lambda i: i.boxes.groupBy("page").agg(F.collect_list(F.struct("text", F.expr("if(box % 4 = 0, null, x)").alias("x"), "y")).alias("t")).select("page", f.duplicate_tokens(F.col("t")).alias("duplicates")), "SELECT page, (count(*) FILTER (WHERE box % 4 <> 0) - count(DISTINCT text) FILTER (WHERE box % 4 <> 0))::INT AS duplicates FROM boxes GROUP BY page")
 register("f18_hidden_when_depleted", lambda i: i.examples.select("event_id", f.stock_adjustment(F.col("qty"), hide_depleted=True).alias("adjustment")).filter("adjustment IS NOT NULL"), "SELECT event_id, CASE WHEN qty > 0 THEN -30.0 ELSE 0.0 END AS adjustment FROM examples WHERE qty > 0 OR qty IS NULL")
 register("f02_first_version_id", lambda i: i.boxes.select("page", "box", f.first_version_id(F.format_string("bag_%02d_page_%03d_step_%s_%03d", F.col("x") % 9, F.col("page"), F.expr("if(box % 3 = 0, 'unknown', cast(box as string))"), F.col("w")), F.col("h")).alias("id")), "SELECT page, box, concat('p', page, '_s', CASE WHEN box % 3 = 0 THEN h ELSE box END, '_c', w) AS id FROM boxes")
+register(
+    "a18_overview_pages", lambda i: b.overview_pages(i.boxes, "text", 1000, 800).select("page", "x_bands", "y_bands", "overview"),
+    """WITH c AS (SELECT page, text, x + w * 0.5::DOUBLE AS cx, y + h * 0.5::DOUBLE AS cy FROM boxes), s AS (SELECT *, cx - lag(cx) OVER (PARTITION BY page ORDER BY cx) > 120 AS sx, cy - lag(cy) OVER (PARTITION BY page ORDER BY cy) > 96 AS sy FROM c),
+    g AS (SELECT page, count(*) AS n, count(DISTINCT text) AS numbers, max(cx) - min(cx) AS xs, max(cy) - min(cy) AS ys, count(*) FILTER (WHERE sx) + 1 AS x_bands, count(*) FILTER (WHERE sy) + 1 AS y_bands FROM s GROUP BY page)
+    SELECT page, x_bands, y_bands, n >= 4 AND ((numbers >= 2 AND xs >= 350 AND ys >= 80 AND (x_bands >= 2 OR y_bands >= 2)) OR (numbers >= 4 AND xs >= 450 AND ys >= 120 AND x_bands >= 2 AND y_bands >= 2)) AS overview FROM g""",
+)

@@ -112,3 +112,13 @@ register("a01_review_stats", lambda i: m.review_stats(i.bundles), "SELECT count(
 register("u10_preserve_review", lambda i: m.preserve_review(i.starts.withColumn("status", F.lit("open")).withColumn("note", F.lit("auto")), i.truth.withColumn("status", F.expr("if(page % 2 = 0, 'accepted', 'open')")).withColumn("note", F.concat(F.lit("n"), "page"))), "SELECT s.set_id, s.bag, s.page, CASE WHEN t.page % 2 = 0 THEN 'accepted' ELSE 'open' END AS status, CASE WHEN t.page % 2 = 0 THEN concat('n', t.page) ELSE 'auto' END AS note FROM starts s LEFT JOIN truth t USING (set_id, bag)")
 register("j29_truth_map", lambda i: m.truth_map(_cands(i)), f"WITH {_CANDS} SELECT set_id, bag, list_sort(list(DISTINCT page)) AS pages, min(page) AS first_page FROM cands GROUP BY ALL")
 register("u12_gap_merge", lambda i: m.gap_merge(i.page_steps.filter("page % 2 = 0").select("set_id", "page", F.col("value").alias("step")), i.page_steps.filter("page % 3 = 0").select("set_id", "page", F.col("value").alias("step"))), "SELECT set_id, page, value AS step FROM page_steps WHERE page % 2 = 0 OR page % 3 = 0")
+register(
+    "m04_review_update_ids",
+    lambda i: m.review_update(i.bundles.select("bundle_id", "status", F.expr("cast(if(doc_id % 2 = 0, -1, null) as int)").alias("page")).dropDuplicates(["bundle_id"]).withColumn("page", F.lit(None).cast("int")), i.bundles.filter("n_chars % 4 = 1").selectExpr("bundle_id", "'approved' AS new_status", "3 AS score", "doc_id AS seq"), f.bundle_fields(F.col("bundle_id")), ("page",))[0].select("bundle_id", "page", "score"),
+    "SELECT bundle_id, CAST(any_value(n_chars) % 300 AS INT) AS page, CASE WHEN bool_or(n_chars % 4 = 1) THEN 3 END AS score FROM bundles GROUP BY bundle_id",
+)
+register(
+    "m08_nested_updates",
+    lambda i: m.nested_updates(i.bundles.selectExpr("doc_id", *(f"array(named_struct('index', cast(doc_id % {n} as int), 'status', 'open')) AS {c}" for c, n in (("quantity", 2), ("colour", 3), ("part", 5)))), ["quantity", "colour", "part"], F.lit(1), F.lit("done")).selectExpr("doc_id", "quantity[0].status AS quantity", "colour[0].status AS colour", "part[0].status AS part"),
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'done' ELSE 'open' END AS quantity, CASE WHEN doc_id % 3 = 1 THEN 'done' ELSE 'open' END AS colour, CASE WHEN doc_id % 5 = 1 THEN 'done' ELSE 'open' END AS part FROM bundles",
+)

@@ -250,3 +250,16 @@ def test_no_start_without_evidence(spark):
     ]
     got = {r["page"]: (r["bag"], r["layout"], r["reason"]) for r in acceptance.decide_starts(spark.createDataFrame(given, kinds)).collect()}
     assert got == {1: (None, "strict_top_left", "no_bag_number"), 2: (4, "strict_top_left", None), 3: (4, "strict_top_left", "number_box_area_too_small"), 4: (4, "strict_top_left", None), 5: (7, "transition_reset", None), 6: (4, "strict_top_left", "step_box_contaminates_bag_number"), 7: (4, None, "no_valid_bag_start_pattern")}
+
+
+def test_catalog_rank_terms(spark):
+    colors = spark.createDataFrame([(1, "Flat Silver", "101010"), (2, "Red", "101010"), (3, "Blue", "111111")], "color_id long, name string, rgb string")
+    images_ = spark.createDataFrame([(7, 1, "a"), (8, 3, ""), (9, 3, "b")], "part_num long, color_id long, img_url string")
+    asked = spark.createDataFrame([(1, 5, [16, 16, 16])], "query long, set_num long, rgb array<int>")
+    pairs = spark.createDataFrame([], "set_num long, part_num long, color_id long")
+    stock = spark.createDataFrame([(8, 3, 4), (9, 3, 0)], "part_num long, color_id long, remaining int")
+    alike = spark.createDataFrame([(1, 8, 3, 0.5)], "query long, part_num long, color_id long, difference double")
+    score = lambda **more: {r["part_num"]: r["score"] for r in catalog.catalog_rank(asked, images_, colors, pairs, stock, **more).collect()}
+    far = round(3**0.5, 3)
+    assert score() == {7: -5.0, 8: round(far - 30, 3), 9: round(far - 5 + 90, 3)}
+    assert score(metallic=True, hide_depleted=True, similarity=alike) == {7: -13.0, 8: round(far - 30 + 4 + 12.5, 3)}
