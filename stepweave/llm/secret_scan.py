@@ -27,6 +27,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stepweave.llm.hot import with_group
 from stepweave.llm.sampling import bounded_sample
 from stepweave.session import cut, discard
 
@@ -35,6 +36,7 @@ MAX_LABELLED, MAX_PLANTED, OFTEN, SMOOTH, FOLDS = 20_000, 3_000, 20, 5.0, 5
 _RUN = r"(?:(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}|[A-Za-z_+/-]{24,})={0,2}"
 CANDIDATE = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----|(?<![A-Za-z0-9_+/-]){_RUN}"
 _NAMES = r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)"
+_MAYBE, _NAME_PARTS = "[0-9]|[A-Za-z_+/-]{24}|-----BEGIN", ("pass", "pwd", "secret", "token", "key", "credential", "auth")
 ASSIGNED = _NAMES + r"""["']?\s*[:=]+>?\s*["']?(?=((?<=")[^"\r\n]+(?=")|(?<=')[^'\r\n]+(?=')|[^\s"'`<>]*[^\s"'`<>.,;:)\]}]))"""
 BEFORE, AFTER = 60, 20
 FEATURES = ("length", "transitions", "likely", "digits", "capitals", "coverage", "in_path", "assigned", "quoted", "before_rate")
@@ -45,12 +47,18 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Offsets are running sums over a text's matches, so the work is linear in them.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.rlike("text", F.lit(CANDIDATE)) | F.rlike("text", F.lit(ASSIGNED)))
+    words = F.lower(F.col(text))
+    named = F.lit(False)
+    for part in _NAME_PARTS:
+        named = named | F.contains(words, F.lit(part))
+    # cheap tests, which any match passes, come before the patterns
+    some = (F.rlike(F.col(text), F.lit(_MAYBE)) & F.rlike(F.col(text), F.lit(CANDIDATE))) | (named & F.rlike(F.col(text), F.lit(ASSIGNED)))
+    rows = docs.filter(some).select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     for pattern, mark in ((CANDIDATE, ""), (ASSIGNED, "_named")):
         some = F.rlike("text", F.lit(pattern))
         rows = rows.withColumns({f"gaps{mark}": F.when(some, F.split("text", pattern)), f"hits{mark}": F.when(some, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))})
     rows = rows.withColumn("values", F.when(F.col("hits_named").isNotNull(), F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(1)))).drop("text")
-    each = rows.select("row", "doc_id", F.explode(F.concat(_plain(), _named())).alias("m")).select("row", "doc_id", "m.*")
+    each = rows.select("row", "doc_id", F.explode_outer(F.concat(_plain(), _named())).alias("m")).select("row", "doc_id", "m.*")
     order = Window.partitionBy("row", "named").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("start", F.sum(F.col("gap") + F.col("hit")).over(order) - F.col("hit") + F.col("inside"))
     return each.filter("kept").select("doc_id", F.col("start").cast("long").alias("start"), "candidate", "before", "after")
@@ -88,7 +96,7 @@ def _named() -> Column:
 
 def common_words(docs: DataFrame, text: str = "text", least: int = OFTEN) -> DataFrame:
     """(word, n): lower-case runs of 3 or more ASCII letters that occur at least ``least`` times in all texts."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text)), "[^a-z]+")).alias("word")).filter(F.length("word") >= 3)
+    words = docs.select(F.explode_outer(F.split(F.lower(F.col(text)), "[^a-z]+")).alias("word")).filter(F.length("word") >= 3)
     return words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
@@ -202,11 +210,11 @@ def findings(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "do
         scored = rows.withColumn("score", F.lit(float(mean)))
     else:
         # a labelled finding's rate leaves out its own fold
-        by_fold = known.groupBy("near", "fold").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
-        folds = by_fold.groupBy(F.col("near").alias("_near")).agg(F.sum("y").alias("all_y"), F.sum("n").alias("all_n"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("y", "n").alias("of")))).alias("folds"))
-        full = rows.join(folds, F.col("near") == F.col("_near"), "left").withColumn("own", F.when(F.col("y").isNotNull(), F.try_element_at("folds", F.col("fold"))))
+        by_fold = rows.groupBy("near", "fold").agg(F.sum("y").alias("y"), F.count("y").alias("n"), F.count("*").alias("rows"))
+        folds = by_fold.groupBy("near").agg(F.sum("y").alias("all_y"), F.sum("n").alias("all_n"), F.sum("rows").alias("rows"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("y", "n").alias("of")))).alias("folds"))
+        full = with_group(rows, folds, ["near"], "rows").withColumn("own", F.when(F.col("y").isNotNull(), F.try_element_at("folds", F.col("fold"))))
         less = lambda total, part: F.coalesce(F.col(total), F.lit(0)) - F.coalesce(F.col(f"own.{part}"), F.lit(0))
-        full = full.withColumn("before_rate", (less("all_y", "y") + SMOOTH * mean) / (less("all_n", "n") + SMOOTH)).drop("folds", "own")
+        full = full.withColumn("before_rate", (less("all_y", "y") + SMOOTH * mean) / (less("all_n", "n") + SMOOTH)).drop("folds", "own", "rows")
         gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
         ready = gather.transform(full)
         sample = bounded_sample(ready.filter("y IS NOT NULL"), ["key"], MAX_LABELLED).select("features", "y")
