@@ -199,6 +199,15 @@ def asof_last_confirmed(pages: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.filter("kind = 0").select(SET, "page", "last_bag")
 
 
+def asof_with_provisional(pages: DataFrame, truth: DataFrame, provisional: DataFrame) -> DataFrame:
+    """The larger of the last confirmed number and the largest provisional one (set_id, page, bag) strictly before each page."""
+    marks = provisional.filter("page > 0 and bag > 0").select(SET, "page", "bag", F.lit(1).alias("kind"))
+    asked = asof_last_confirmed(pages, truth).select(SET, "page", F.col("last_bag").alias("bag"), F.lit(0).alias("kind"))
+    w = Window.partitionBy(SET).orderBy("page", "kind").rowsBetween(Window.unboundedPreceding, -1)  # questions come before marks of their page
+    rows = asked.unionByName(marks).withColumn("most", F.max(F.when(F.col("kind") == 1, F.col("bag"))).over(w))
+    return rows.filter("kind = 0").select(SET, "page", F.greatest("bag", F.coalesce("most", F.lit(0))).alias("last_bag"))
+
+
 def infer_number(pages: DataFrame, truth: DataFrame) -> DataFrame:
     """The truth of the page itself, else the last confirmed number plus 1."""
     own = truth.groupBy(SET, "page").agg(F.min("bag").alias("own"))

@@ -118,3 +118,4 @@ register(
     g AS (SELECT page, count(*) AS n, count(DISTINCT text) AS numbers, max(cx) - min(cx) AS xs, max(cy) - min(cy) AS ys, count(*) FILTER (WHERE sx) + 1 AS x_bands, count(*) FILTER (WHERE sy) + 1 AS y_bands FROM s GROUP BY page)
     SELECT page, x_bands, y_bands, n >= 4 AND ((numbers >= 2 AND xs >= 350 AND ys >= 80 AND (x_bands >= 2 OR y_bands >= 2)) OR (numbers >= 4 AND xs >= 450 AND ys >= 120 AND x_bands >= 2 AND y_bands >= 2)) AS overview FROM g""",
 )
+register("f19_json_safe", lambda i: i.events.select("event_id", f.json_safe(F.struct("event_id", F.col("ts").cast("timestamp").alias("ts"), F.expr("if(event_id % 2 = 0, null, event_type)").alias("kind"))).alias("json")), "SELECT event_id, concat('{\"event_id\":', event_id, ',\"ts\":\"', strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), '\",\"kind\":', CASE WHEN event_id % 2 = 0 THEN 'null' ELSE concat('\"', event_type, '\"') END, '}') AS json FROM events")

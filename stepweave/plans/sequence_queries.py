@@ -106,3 +106,8 @@ register(
     """WITH f AS (SELECT set_id, page, bag, CASE WHEN page - lag(page) OVER (PARTITION BY set_id ORDER BY page) <= 6 THEN 0 ELSE 1 END AS fresh FROM starts), c AS (SELECT set_id, page, bag, sum(fresh) OVER (PARTITION BY set_id ORDER BY page) AS k FROM f)
     SELECT set_id, k::INT AS bag, min(page) AS start_page, max(page) AS end_page, avg(bag / 10.0::DOUBLE) AS confidence, list(page ORDER BY page) AS evidence FROM c GROUP BY set_id, k""",
 )
+register(
+    "j10_asof_with_provisional", lambda i: q.asof_with_provisional(i.page_steps, i.truth, i.starts.filter("page % 4 = 0").select("set_id", "page", (q.F.col("bag") * 2).alias("bag"))),
+    f"""WITH {_ASOF}, v AS (SELECT set_id, page, bag * 2 AS bag FROM starts WHERE page % 4 = 0), m AS (SELECT l.set_id, l.page, max(v.bag) AS most FROM lastc l LEFT JOIN v ON v.set_id = l.set_id AND v.page < l.page GROUP BY ALL)
+    SELECT set_id, page, greatest(last_bag, coalesce(most, 0)) AS last_bag FROM lastc JOIN m USING (set_id, page)""",
+)
