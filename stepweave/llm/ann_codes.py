@@ -12,7 +12,7 @@ exactly and give a kth score to beat; whatever may reach it within its error is
 visit their best cell. With the kth score found there they visit all other cells that hold a vector close enough to their
 centroid to reach it: a cell is passed over only where its radius proves that it can't. Blocks hold at most BLOCK_ROWS
 vectors of one cell and QUERY_ROWS queries, so a hot cell is spread over many tasks, and each block passes on ``k`` rows a query.
-Data without clusters visits all cells: work is then queries times vectors, on codes of 16 bytes.
+Data without clusters visits all cells: work is then queries times vectors, on codes of 32 bytes.
 
 Defined cases: vectors that are null, zero, of another length than ``dims`` (the most frequent one if not given), or hold a null or
 non-finite component take no part; ties go to the smaller id, null last; rows that repeat an id stay apart rows and only a query's own row
@@ -31,7 +31,7 @@ from pyspark.sql.types import NumericType
 from stepweave.llm.sampling import bounded_sample
 from stepweave.session import cut, discard
 
-BITS, ERRORS = 128, 3.0
+BITS, ERRORS = 256, 3.0
 SAMPLE, CELL_ROWS, MAX_CELLS = 10_000, 4_096, 256
 BLOCK_ROWS, QUERY_ROWS, MAX_TASKS = 8_192, 1_024, 4_096
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
@@ -126,7 +126,7 @@ def products(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
 def best_of_block(q: np.ndarray, least: np.ndarray, own: np.ndarray, x: np.ndarray, codes: np.ndarray, scale: np.ndarray, error: np.ndarray, rows: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """For each query (its number, its best vectors, their products, how many were scored exactly)."""
     near, size = q @ centre, np.sqrt((q * q).sum(1))
-    byte = np.ascontiguousarray(codes.T).astype(np.intp)
+    byte = np.ascontiguousarray(codes.T).astype(np.intp)  # what take() indexes by
     turned = (q @ turn.T / np.sqrt(len(turn))).astype(np.float32)
     for lo in range(0, len(q), 64):
         tables = np.einsum("qbs,vs->qbv", turned[lo : lo + 64].reshape(-1, len(byte), 8), _SIGNS)  # entry v of byte b
