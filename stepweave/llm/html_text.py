@@ -48,16 +48,23 @@ KINDS = ("nav", "header", "footer", "aside", "form", "article", "main", "section
 _KIND = {t: i for i, t in enumerate(KINDS)} | {f"h{i}": KINDS.index("h") for i in range(1, 7)} | dict.fromkeys(("ul", "ol", "dl", "menu"), KINDS.index("list"))
 _LAST_BAD, _LAST_GOOD = KINDS.index("form"), KINDS.index("main")
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-_ATTR = re.compile(r"""(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+# an attribute is a name, and a value in double quotes, in single quotes, or up to white space or the tag's end
+_ATTR = re.compile(r"""(=?[^\s/>=]+|=)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?""")
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[\s/]+|=?[^\s/>=]+(?:\s*=\s*(?>"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)?|=)*+)(?:>|\Z)|<[!?][^>]*>""", re.S)
+_TELLING = frozenset(("class", "id", "role"))
+MARK = "data-y"  # labels of made pages; where it occurs in a page, another name that doesn't
 _WORD = re.compile(r"[a-z]+")
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
 class Page:
-    """Nodes in page order, with parents, and text pieces (node, block, raw text)."""
+    """Nodes in page order, with parents, and text pieces (node, block, raw text).
 
-    def __init__(self, source: str) -> None:
+    ``mark``: the attribute that labels nodes of made pages; pages of a corpus are read without one.
+    """
+
+    def __init__(self, source: str, mark: str | None = None) -> None:
+        self.mark = mark
         self.tag: list[str] = ["body"]
         self.parent: list[int] = [-1]
         self.good, self.bad, self.label, self.start = [0], [0], [-1], [0]
@@ -66,13 +73,13 @@ class Page:
         self.links: dict[int, int] = {}
         self.tags: dict[int, int] = {}
         self.pieces: list[tuple[int, int, str]] = []
-        self.size = max(len(source), 1)
+        self.seen = 0  # characters of text so far
         self._read(source)
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("body", 0)]  # tag, node
         block, at, in_link = 0, 0, 0
-        bare, bare_block, told = 0, -1, -1  # the anonymous node of the body's text in this block, and data-y of inline tags
+        bare, bare_block, told = 0, -1, -1  # the anonymous node of the body's text in this block, and the label of inline tags
         pos, end = 0, len(source)
         while pos < end:
             m = _TOKEN.search(source, pos)
@@ -81,11 +88,12 @@ class Page:
                 text = source[pos:stop]
                 node = stack[-1][1]
                 if not node and block != bare_block and not text.isspace():
-                    bare, bare_block = self._add("p", 0, 0, 0, told, pos), block
+                    bare, bare_block = self._add("p", 0, 0, 0, told), block
                 if not node and block == bare_block:
                     node = bare
                 self.pieces.append((node, block, text))
                 self.own[node] += len(text)
+                self.seen += len(text)
                 self.stops[node] += text.count(".") + text.count(",")
                 if in_link:
                     self.links[node] = self.links.get(node, 0) + len(text)
@@ -108,8 +116,9 @@ class Page:
             if name in RAW:
                 if name == "head":  # its parts are raw themselves, and it may lack an end
                     continue
-                close = _END[name].search(source, pos) if not m[3].endswith("/") else None
-                pos = close.end() if close else (pos if m[3].endswith("/") else end)
+                whole = _ATTR.sub("", m[3]).rstrip().endswith("/")  # <svg ... />; a slash of a last unquoted value is the value's
+                close = _END[name].search(source, pos) if not whole else None
+                pos = close.end() if close else (pos if whole else end)
                 continue
             if name in ("html", "body"):
                 continue
@@ -135,8 +144,11 @@ class Page:
             label = -1
             if m[3]:
                 for a in _ATTR.finditer(m[3]):
+                    said = a[1].lower()
+                    if said not in _TELLING and said != self.mark:
+                        continue
                     value = (a[2] or a[3] or a[4] or "").lower()
-                    if a[1].lower() == "data-y":
+                    if said == self.mark:
                         label = int(value == "1")
                         continue
                     words = _WORD.findall(value)
@@ -152,12 +164,12 @@ class Page:
             if name not in INLINE:
                 block += 1
                 told = -1
-            at = self._add(name, here, good, bad, label, m.start())
+            at = self._add(name, here, good, bad, label)
             if name == "a":
                 in_link += 1
             stack.append((name, at))
 
-    def _add(self, name: str, here: int, good: int, bad: int, label: int, start: int) -> int:
+    def _add(self, name: str, here: int, good: int, bad: int, label: int) -> int:
         """A new node under ``here``."""
         at = len(self.tag)
         self.tag.append(name)
@@ -165,7 +177,7 @@ class Page:
         self.good.append(good)
         self.bad.append(bad)
         self.label.append(label)
-        self.start.append(start)
+        self.start.append(self.seen)
         self.own.append(0)
         self.stops.append(0)
         self.kind.append(_KIND[name] if name in _KIND else len(KINDS))
@@ -214,7 +226,7 @@ class Page:
         return "\n".join(b for b in out if b)
 
     def labels(self) -> np.ndarray:
-        """1 in, at or around main elements, 0 elsewhere; data-y decides for its subtree where it is given."""
+        """1 in, at or around main elements, 0 elsewhere; the mark decides for its subtree where it is given."""
         n = len(self.tag)
         y = np.zeros(n)
         for v in range(1, n):
@@ -242,7 +254,7 @@ def node_features(pages: list[Page]) -> np.ndarray:
     upto = np.vstack([np.zeros(5), np.cumsum(parts, 0)])
     sub = upto[end] - upto[:-1]
     text, safe, order = sub[:, 0], np.maximum(sub[:, 0], 1), flat("order")
-    size = np.repeat([p.size for p in pages], sizes)
+    size = np.repeat([max(p.seen, 1) for p in pages], sizes)
     x = [flat("depth"), np.log1p(own), np.log1p(text), text / safe[first], sub[:, 2] / safe, sub[:, 1] / safe, safe / (sub[:, 3] + 1), sub[:, 4], flat("bad"), flat("good"), flat("above_bad"), flat("above_good"), order, kids[of], order / np.maximum(kids[of], 1), text / safe[of], flat("start") / size, kids]
     return np.column_stack([*x, *(kind == k for k in range(len(KINDS)))]).astype(float)
 
@@ -284,7 +296,7 @@ def reshaped(inner: str, rng: random.Random) -> str:
     return _PARAGRAPH.sub(other, inner)
 
 
-def _marked(fragment: str) -> str:
+def _marked(fragment: str, mark: str) -> str:
     """Well-formed markup with its outermost blocks labelled as content."""
     out, depth, at = [], 0, 0
     for m in _TOKEN.finditer(fragment):
@@ -292,15 +304,23 @@ def _marked(fragment: str) -> str:
             depth -= 1
         elif m[2]:
             if not depth:
-                out += [fragment[at : m.end(2)], ' data-y="1"']
+                out += [fragment[at : m.end(2)], f' {mark}="1"']
                 at = m.end(2)
             depth += m[2].lower() not in VOID
     return "".join([*out, fragment[at:]])
 
 
+def free_mark(source: str) -> str:
+    """A name for labels that the page doesn't hold anywhere."""
+    mark, low = MARK, source.lower()
+    while mark in low:
+        mark += "y"
+    return mark
+
+
 def variants(source: str, rng: random.Random, count: int = 5) -> list[str]:
-    """The page, and versions of it with another main element and added boilerplate, labelled by data-y."""
-    out = [source]
+    """The page, and versions of it with another main element and added boilerplate, labelled by ``free_mark`` of the page."""
+    out, mark = [source], free_mark(source)
     m = _OPEN.search(source)
     if not m:
         return out
@@ -311,7 +331,7 @@ def variants(source: str, rng: random.Random, count: int = 5) -> list[str]:
 
     def extra() -> str:
         some = lambda lo, hi: " ".join(rng.choice(words) for _ in range(rng.randint(lo, hi)))
-        return rng.choice(_EXTRA).format(a=some(1, 4), b=some(4, 60) + ".")
+        return rng.choice(_EXTRA).replace(MARK, mark).format(a=some(1, 4), b=some(4, 60) + ".")
 
     for _ in range(count):
         main = rng.choice(_MAIN)
@@ -322,16 +342,16 @@ def variants(source: str, rng: random.Random, count: int = 5) -> list[str]:
             mid = mid[:k] + extra() + mid[k:]
         if rng.random() < 0.3:
             mid += extra()
-        middle = f'<{main} data-y="1">{mid}</{main.split()[0]}>'
+        middle = f'<{main} {mark}="1">{mid}</{main.split()[0]}>'
         if rng.random() < 0.4:
             middle = f'<div class="{rng.choice(("wrapper", "container", "row", "page", "site"))}">{extra()}{middle}{extra()}</div>'
         before = "".join(extra() for _ in range(rng.randint(0, 3)))
         after = "".join(extra() for _ in range(rng.randint(0, 3)))
         out.append(head + before + middle + after + tail)
-    return out + bare_variants(inner, head, tail, extra, rng)
+    return out + bare_variants(inner, head, tail, extra, rng, mark)
 
 
-def bare_variants(inner: str, head: str, tail: str, extra: Callable[[], str], rng: random.Random) -> list[str]:
+def bare_variants(inner: str, head: str, tail: str, extra: Callable[[], str], rng: random.Random, mark: str) -> list[str]:
     """The main texts, or some boilerplate, straight in the body: alone, with boilerplate around, and between paragraphs."""
     texts = [t.strip() for t in re.split(r"(?:<[^>]*>)+", inner) if t.strip()] or ["x"]
 
@@ -339,10 +359,10 @@ def bare_variants(inner: str, head: str, tail: str, extra: Callable[[], str], rn
         some = texts[rng.randrange(len(texts)) :][: rng.randint(1, 6)]
         if rng.random() < 0.4:
             some = [" ".join(some[0].split()[: rng.randint(2, 12)])]
-        return f'<span data-y="1">{rng.choice(("<br><br>", "<br>", " ")).join(some)}</span>'
+        return f'<span {mark}="1">{rng.choice(("<br><br>", "<br>", " ")).join(some)}</span>'
 
-    part = lambda: f'<p data-y="1">{rng.choice(texts)}</p>'
-    blocks = lambda: "".join(_marked(reshaped(f"<p>{t}</p>", rng)) for t in texts[:8])
+    part = lambda: f'<p {mark}="1">{rng.choice(texts)}</p>'
+    blocks = lambda: "".join(_marked(reshaped(f"<p>{t}</p>", rng), mark) for t in texts[:8])
     links = rng.choice((" | ", " ", " &gt; ")).join(f'<a href="#">{t[:12]}</a>' for t in texts[: rng.randint(2, 5)])
     return [
         f"<body>{bare()}</body>",
@@ -351,7 +371,7 @@ def bare_variants(inner: str, head: str, tail: str, extra: Callable[[], str], rn
         f"<body>{part()}{bare()}{part()}</body>",
         f"<body>{extra()}{blocks()}{extra()}</body>",
         head + extra() + blocks() + tail,
-        f'{head}<span data-y="0">{links}</span><div data-y="1">{inner}</div><span data-y="0">&copy; {texts[0][:20]}</span>{tail}',
+        f'{head}<span {mark}="0">{links}</span><div {mark}="1">{inner}</div><span {mark}="0">&copy; {texts[0][:20]}</span>{tail}',
     ]
 
 
@@ -369,7 +389,7 @@ def train(pages: DataFrame, max_pages: int = TRAIN_PAGES) -> Boosted:
     rng, x, y = random.Random(5), [], []
     for source in [*(r["html"] for r in rows), *_seed_pages(rng)]:
         for one in variants(source, rng):
-            page = Page(one)
+            page = Page(one, free_mark(source))
             label = page.labels()
             if label.any():
                 x.append(node_features([page])[1:])
