@@ -7,10 +7,10 @@ a query is estimated without bias as |rest| / a times the code's product with th
 |rest| |query| sqrt(1 - a^2) / a * ERRORS / sqrt(BITS - 1) but for a chance that falls off as a Gaussian's beyond ERRORS deviations. |rest| / a and
 the factor of the error are kept beside each code.
 
-Search: a query's product with a code is the sum of table entries, one for each byte of the code. In each block the best estimates are scored
-exactly and give a kth score to beat; whatever may reach it within its error is reranked exactly, the rest is left. Queries first
-visit their best cell. With the kth score found there they visit all other cells that hold a vector close enough to their
-centroid to reach it: a cell is passed over only where its radius proves that it can't. Blocks hold at most BLOCK_ROWS
+Search: codes travel packed; a block's signs are unpacked once, and one matrix product gives the estimates of all its queries. Queries first
+visit their best cell, where the best estimates are scored and give a kth score to beat. With the kth score found there they visit all other
+cells that hold a vector close enough to their centroid to reach it: a cell is passed over only where its radius proves that it
+can't. Whatever may reach the score to beat within its error is reranked exactly, the rest is left. Blocks hold at most BLOCK_ROWS
 vectors of one cell and QUERY_ROWS queries, so a hot cell is spread over many tasks, and each block passes on ``k`` rows a query.
 Data without clusters visits all cells: work is then queries times vectors, on codes of 32 bytes.
 
@@ -34,7 +34,6 @@ from stepweave.session import cut, discard
 BITS, ERRORS = 256, 3.0
 SAMPLE, CELL_ROWS, MAX_CELLS = 10_000, 4_096, 256
 BLOCK_ROWS, QUERY_ROWS, MAX_TASKS = 8_192, 1_024, 4_096
-_SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
 
 
 def rotation(dims: int, bits: int = BITS) -> np.ndarray:
@@ -123,32 +122,53 @@ def products(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
-def best_of_block(q: np.ndarray, least: np.ndarray, own: np.ndarray, x: np.ndarray, codes: np.ndarray, scale: np.ndarray, error: np.ndarray, rows: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """For each query (its number, its best vectors, their products, how many were scored exactly)."""
+def best_of_block(q: np.ndarray, least: np.ndarray, own: np.ndarray, x: np.ndarray, codes: np.ndarray, scale: np.ndarray, error: np.ndarray, rows: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, vector, product) of up to ``k`` vectors for each query, of equal products the first; and how many were scored.
+
+    All estimates of some queries are one product of their rotated vectors with the signs of the codes. What may reach the floor is
+    scored in single precision, and what then isn't clearly below the kth score in double precision, component by component.
+    """
     near, size = q @ centre, np.sqrt((q * q).sum(1))
-    byte = np.ascontiguousarray(codes.T).astype(np.intp)  # what take() indexes by
-    turned = (q @ turn.T / np.sqrt(len(turn))).astype(np.float32)
+    signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
+    signs *= (scale / np.sqrt(len(turn))).astype(np.float32)[:, None]
+    turned, x32, q32, error = (q @ turn.T).astype(np.float32), x.astype(np.float32), q.astype(np.float32), error.astype(np.float32)
+    slack = 1e-5 * size * np.sqrt((x * x).sum(1).max())  # what single precision may be off by
+    order = np.argsort(rows)
+    spot = np.minimum(np.searchsorted(rows, own, sorter=order), len(rows) - 1)
+    self_at = np.where(rows[order[spot]] == own, order[spot], -1)
+    left, right, scored = [], [], 0
     for lo in range(0, len(q), 64):
-        tables = np.einsum("qbs,vs->qbv", turned[lo : lo + 64].reshape(-1, len(byte), 8), _SIGNS)  # entry v of byte b
-        for t, table in enumerate(tables):
-            i = lo + t
-            guess = np.zeros(len(x), np.float32)
-            for b, column in enumerate(byte):
-                guess += table[b].take(column)
-            guess = guess * scale + near[i]
-            reach = guess + error * size[i] * (1 + 1e-6) + 1e-6 * (abs(near[i]) + size[i])
-            reach[rows == own[i]] = -np.inf
-            floor, scored = (-np.inf if np.isnan(least[i]) else least[i]), 0
-            if len(x) > k:
-                top = np.argpartition(-guess, k)[: k + 1]
-                top = top[rows[top] != own[i]]
-                sure, scored = products(q, x, np.full(len(top), i), top), len(top)
-                if len(top) >= k:
-                    floor = max(floor, np.sort(sure)[-k])
-            may = np.flatnonzero((reach >= floor) & (reach > -np.inf))
-            score = products(q, x, np.full(len(may), i), may)
-            may, score = may[score >= floor], score[score >= floor]
-            yield i, may, score, scored + len(reach[reach >= floor])
+        guess = turned[lo : lo + 64] @ signs.T
+        guess += near[lo : lo + 64, None].astype(np.float32)
+        here = np.arange(len(guess))
+        mine = self_at[lo : lo + 64]
+        guess[here[mine >= 0], mine[mine >= 0]] = -np.inf
+        floor = least[lo : lo + 64].copy()
+        for t in np.flatnonzero(np.isnan(floor)):
+            floor[t] = -np.inf
+            if len(x) > k + 1:
+                top = np.argpartition(-guess[t], k)[:k]
+                floor[t] = (x32[top] @ q32[lo + t]).min() - slack[lo + t]
+        guess += size[lo : lo + 64, None].astype(np.float32) * error
+        may = guess >= (floor - slack[lo : lo + 64]).astype(np.float32)[:, None]
+        may &= guess > -np.inf
+        for t in np.flatnonzero(may.any(1)):
+            at = np.flatnonzero(may[t])
+            score = x32[at] @ q32[lo + t]
+            scored += len(at)
+            if len(at) > k:
+                at = at[score >= np.partition(score, -k)[-k] - 2 * slack[lo + t]]
+            left.append(np.full(len(at), lo + t))
+            right.append(at)
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), scored
+    i, j = np.concatenate(left), np.concatenate(right)
+    score = products(q, x, i, j)
+    by = np.lexsort((j, -score, i))
+    i, j, score = i[by], j[by], score[by]
+    first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+    nth = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+    return i[nth < k], j[nth < k], score[nth < k], scored
 
 
 def _scanned(routed: DataFrame, index: DataFrame, c: np.ndarray, turn: np.ndarray, k: int) -> DataFrame:
@@ -166,22 +186,15 @@ def _scanned(routed: DataFrame, index: DataFrame, c: np.ndarray, turn: np.ndarra
     keys = ["cell", "part", "turn"]
 
     def search(asks: pa.Table, block: pa.Table) -> pa.Table:
-        names, out = ["row", "vec_id", "score"], []
-        if asks.num_rows and block.num_rows:
-            whole = lambda t, name: t.column(name).combine_chunks()
-            number = lambda t, name: whole(t, name).to_numpy(zero_copy_only=False)
-            # by id, so that of equal scores the first are the smallest ids
-            block = block.sort_by([("vec_id", "ascending")])
-            own, ids = number(asks, "row"), whole(block, "vec_id")
-            x = _matrix(whole(block, "vec"), "f8")
-            found = best_of_block(_matrix(whole(asks, "vec"), "f8"), number(asks, "least").astype(float), own, x, _matrix(whole(block, "code"), "u1"), number(block, "scale"), number(block, "error"), number(block, "row"), c[number(asks, "cell")[0]], turn, k)
-            for i, may, score, _ in found:
-                top = np.argsort(-score, kind="stable")[:k]
-                out.append((np.full(len(top), own[i]), may[top], score[top]))
-        if not out:
+        names = ["row", "vec_id", "score"]
+        if not asks.num_rows or not block.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], block.schema.field("vec_id").type), pa.array([], pa.float64())], names)
-        rows, at, score = (np.concatenate(x) for x in zip(*out))
-        return pa.table([pa.array(rows), ids.take(pa.array(at)), pa.array(score)], names)
+        whole = lambda t, name: t.column(name).combine_chunks()
+        number = lambda t, name: whole(t, name).to_numpy(zero_copy_only=False)
+        block = block.sort_by([("vec_id", "ascending")])  # so that of equal products the first have the smallest ids
+        own = number(asks, "row")
+        i, j, score, _ = best_of_block(_matrix(whole(asks, "vec"), "f8"), number(asks, "least").astype(float), own, _matrix(whole(block, "vec"), "f8"), _matrix(whole(block, "code"), "u1"), number(block, "scale"), number(block, "error"), number(block, "row"), c[number(asks, "cell")[0]], turn, k)
+        return pa.table([pa.array(own[i]), whole(block, "vec_id").take(pa.array(j)), pa.array(score)], names)
 
     found = cut(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, f"row long, vec_id {kind}, score double"))
     discard(plan)
