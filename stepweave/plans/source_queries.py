@@ -7,11 +7,12 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame
 
-from stepweave.operators import pages as p, state as m
+from stepweave.operators import pages as p, state as m, stored
 from stepweave.plans.base import Inputs, register
-from stepweave.plans.state_queries import _FOLD, _STATUS
+from stepweave.plans.state_queries import _EX, _FOLD, _STATUS, _UPSERT, _batch, _ex
 from stepweave.session import shared_dir
 from stepweave.sources import files
+from stepweave.sources.versioned import Store
 from stepweave.streaming import incremental as x
 
 F = m.F
@@ -53,7 +54,7 @@ def _path(i: Inputs, name: str) -> str:
 def _written_json(i: Inputs) -> DataFrame:
     path = _path(i, "json")
     files.json_sink(i.bundles.select("bundle_id", "n_chars", "status"), path, "status")
-    return i.spark.read.schema("bundle_id string, n_chars long, status string").json(path)
+    return files.json_table(i.spark, path)
 
 
 register("k01_json_sink", _written_json, "SELECT bundle_id, n_chars, status FROM bundles")
@@ -63,7 +64,7 @@ def _written_tsv(i: Inputs) -> DataFrame:
     path = _path(i, "tsv")
     flags = F.array_compact(F.array(F.when(F.col("n_chars") > 2000, F.lit("long")), F.when(F.col("doc_id") % 3 == 0, F.lit("third"))))
     files.tsv_sink(i.bundles.select("doc_id", flags.alias("flags")), path, "flags")
-    return i.spark.read.option("sep", "\t").option("header", True).schema("doc_id long, flags string").csv(path)
+    return files.tsv_table(i.spark, path)
 
 
 register("k02_tsv_sink", _written_tsv, "SELECT doc_id, nullif(concat_ws('|', CASE WHEN n_chars > 2000 THEN 'long' END, CASE WHEN doc_id % 3 = 0 THEN 'third' END), '') AS flags FROM bundles")
@@ -72,7 +73,7 @@ register("k02_tsv_sink", _written_tsv, "SELECT doc_id, nullif(concat_ws('|', CAS
 def _scanned_crops(i: Inputs) -> DataFrame:
     path = _path(i, "crops")
     files.json_sink(i.bundles.selectExpr("if(doc_id % 8 = 0, '', bundle_id) AS crop_id", "doc_id", "doc_id % 50 AS set_num"), path, "set_num")
-    return files.crop_cache(i.spark.read.schema("crop_id string, doc_id long, set_num int").json(path))
+    return files.crop_cache(files.json_table(i.spark, path).selectExpr("crop_id", "doc_id", "cast(set_num AS int) AS set_num"))
 
 
 register("s05_crop_cache_scan", _scanned_crops, "SELECT bundle_id AS crop_id, doc_id, (doc_id % 50)::INT AS set_num, (doc_id % 3)::INT AS crop_index FROM bundles WHERE doc_id % 8 <> 0")
@@ -137,3 +138,37 @@ def _review_table(i: Inputs) -> DataFrame:
 
 
 register("x02_review_events", _review_table, f"WITH {_FOLD} SELECT crop, slot, {_STATUS} AS status FROM fold")
+
+
+def _truth_store(i: Inputs) -> Store:
+    """Truth, then two batches of which the second comes twice, each in one commit with the conflicts."""
+    store, batch = Store(i.spark, _path(i, "truth")), _batch(i)
+    store.write({"truth": i.truth.select("set_id", "bag", "page")})
+    for part in (0, 5, 5):
+        stored.truth_upsert(store, batch.filter(F.col("ordinal") % 10 == part))
+    return store
+
+
+register("m01_truth_table", lambda i: _truth_store(i).read("truth"), f"WITH {_UPSERT} SELECT set_id, bag, page FROM truth UNION ALL SELECT set_id, bag, page FROM o WHERE status = 'inserted'")
+register("m01_conflict_table", lambda i: _truth_store(i).read("conflicts"), f"WITH {_UPSERT} SELECT ordinal, set_id, bag, page, held AS existing_page FROM o WHERE status = 'conflict'")
+
+
+def _replaced(i: Inputs) -> DataFrame:
+    store = Store(i.spark, _path(i, "replaced"))
+    for part in ("event_id % 3 = 1", "event_id % 3 = 0", "event_id % 3 = 2"):
+        stored.replace_latest(store, "examples", _ex(i, part), ["bundle", "candidate_index"], "event_id")
+    return store.read("examples")
+
+
+register("m02_example_table", _replaced, f"SELECT bundle, candidate_index, part_num, qty, event_id FROM ({_EX}) QUALIFY row_number() OVER (PARTITION BY bundle, candidate_index ORDER BY event_id DESC) = 1")
+
+
+def _bundle_table(i: Inputs) -> DataFrame:
+    store = Store(i.spark, _path(i, "bundles"))
+    named = lambda head: i.bundles.select(F.col("doc_id").alias("bundle_id"), F.concat(F.lit(head), "doc_id").alias("path"), "status")
+    store.write({"bundles": named("old/").filter("bundle_id % 3 <> 0")})
+    stored.bundle_upsert(store, named("new/").filter("bundle_id % 2 = 0").drop("status"))
+    return store.read("bundles")
+
+
+register("m03_bundle_table", _bundle_table, "SELECT doc_id AS bundle_id, CASE WHEN doc_id % 2 = 0 THEN concat('new/', doc_id) ELSE concat('old/', doc_id) END AS path, CASE WHEN doc_id % 3 = 0 THEN 'pending' ELSE coalesce(status, 'pending') END AS status FROM bundles WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")

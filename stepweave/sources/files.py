@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stepweave.sources.versioned import Store
+
+_TSV = {"sep": "\t", "header": "true"}
+
 
 def page_list(files: DataFrame, *more: str) -> DataFrame:
     """(set_num, run, page, path) of ``.../<set>/<run>/page_NNN.png``; other names are dropped."""
@@ -87,14 +91,27 @@ def review_state(rows: DataFrame) -> DataFrame:
     return crops.select("set_num", "bag", "crop_id", F.col("crop.status").alias("status"), F.posexplode_outer("crop.parts").alias("slot", "part"))
 
 
-def json_sink(rows: DataFrame, path: str, *partitions: str) -> None:
-    """Written whole or not at all, by Spark's commit protocol."""
-    rows.write.mode("overwrite").partitionBy(*partitions).json(path)
+def json_sink(rows: DataFrame, path: str, part: str | None = None) -> int:
+    """``rows`` as the new version of a committed JSON table, cut by ``part`` if given.
+
+    Written whole or not at all: until the commit, and after a write that failed, ``json_table`` reads the version before.
+    """
+    return Store(rows.sparkSession, path, "json").write({"rows": rows}, parts={"rows": part} if part else None, keep_parts=False)
+
+
+def json_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The last version that ``json_sink`` committed, or an earlier one."""
+    return Store(spark, path, "json").read("rows", version)
+
+
+def tsv_sink(rows: DataFrame, path: str, flags: str) -> int:
+    """Audit rows with their flags joined by ``|``, as the new version of a committed table."""
+    return Store(rows.sparkSession, path, "csv", _TSV).write({"rows": rows.withColumn(flags, F.concat_ws("|", flags))})
 
 
-def tsv_sink(rows: DataFrame, path: str, flags: str) -> None:
-    """Audit rows with their flags joined by ``|``."""
-    rows.withColumn(flags, F.concat_ws("|", flags)).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+def tsv_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The last version that ``tsv_sink`` committed, or an earlier one."""
+    return Store(spark, path, "csv", _TSV).read("rows", version)
 
 
 def review_export(slots: DataFrame) -> DataFrame:

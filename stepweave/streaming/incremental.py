@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from stepweave.operators import state as folds
 
-BUCKETS = 64
+from stepweave.operators import state as folds, stored
+from stepweave.operators.stored import BUCKETS
+from stepweave.sources.versioned import Store
+from stepweave.streaming import keyed
 
 
 def windowed_rate(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -30,82 +27,37 @@ def session_rate(events: DataFrame, gap: str = "30 minutes", late: str = "10 min
 def reset_stream(steps: DataFrame, late: str = "10 minutes", least: int = 10, limit: int = 200) -> DataFrame:
     """Resets of a stream of (set_id, page, value, ts), a row for each page as in W03, with the previous maximum as state.
 
-    Rows wait in the state until the watermark has passed all rows of their page, then pages go in order, each with all its
-    steps; pages with a step over ``limit`` don't become the page to compare with. A page that comes when a later one is done
-    already is reported as late and changes nothing.
+    A page waits, as its lowest and highest step, until the watermark has passed its last row; then pages go in order. Pages with a
+    step over ``limit`` don't become the page to compare with. A page that comes when a later one is done already is reported as
+    late and changes nothing.
     """
-    names = ["set_id", "page", "low", "high", "previous", "bag_start", "late"]
     out = "set_id long, page int, low int, high int, previous int, bag_start boolean, late boolean"
+    rows = _on_rocksdb(steps).withWatermark("ts", late).groupBy("set_id")
+    return rows.transformWithStateInPandas(keyed.Resets(least, limit), out, "Append", "EventTime")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        page, previous, pages, values, times = state.get if state.exists else (None, None, [], [], [])
-        waiting = pd.DataFrame({"page": list(pages), "value": list(values), "at": list(times)})
-        if not state.hasTimedOut:
-            fresh = pd.concat(list(batches))
-            fresh = pd.DataFrame({"page": fresh["page"], "value": fresh["value"], "at": fresh["ts"].astype("datetime64[ms]").astype("int64")})
-            waiting = pd.concat([waiting, fresh[fresh["value"] > 0]]) if len(waiting) else fresh[fresh["value"] > 0]
-        passed = state.getCurrentWatermarkMs()
-        whole = waiting.groupby("page").agg(low=("value", "min"), high=("value", "max"), last=("at", "max")).sort_index().reset_index() if len(waiting) else pd.DataFrame(columns=["page", "low", "high", "last"])
-        done, rows = whole[whole["last"] < passed], []
-        for r in done.itertuples():
-            if page is not None and r.page <= page:
-                rows.append((key[0], r.page, r.low, r.high, previous, False, True))
-                continue
-            start = bool(r.high <= limit and r.low == 1 and previous is not None and previous >= least and previous - 1 >= least)
-            rows.append((key[0], r.page, r.low, r.high, previous, start, False))
-            page, previous = int(r.page), int(r.high) if r.high <= limit else previous
-        waiting = waiting[~waiting["page"].isin(done["page"])]
-        state.update((page, previous, [int(v) for v in waiting["page"]], [int(v) for v in waiting["value"]], [int(v) for v in waiting["at"]]))
-        if len(waiting):
-            state.setTimeoutTimestamp(max(int(waiting["at"].min()), passed) + 1)
-        if rows:
-            yield pd.DataFrame(rows, columns=names).astype({"previous": "Int32"})
-
-    return steps.withWatermark("ts", late).groupBy("set_id").applyInPandasWithState(step, out, "page int, previous int, pages array<int>, values array<int>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def incremental_scan(candidates: DataFrame, first: int = 1) -> DataFrame:
+
+def incremental_scan(candidates: DataFrame, first: int = 1, forget_after: int | None = None) -> DataFrame:
     """W18 over chunks of a scan: candidates (set_id, page, bag) in page order, with the expected number and a cursor as state.
 
     ``expected`` is the number that was due at each candidate; candidates behind the cursor (the next page to read) are
-    reported as such and change nothing, so a chunk may be sent again.
+    reported as such and change nothing, so a chunk may be sent again. With ``forget_after`` (milliseconds) a scan that
+    has got no chunk for so long begins anew.
     """
-    names = ["set_id", "page", "bag", "expected", "accepted", "reason"]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expected, cursor = state.get if state.exists else (first, 0)
-        rows = []
-        for r in pd.concat(list(batches)).sort_values(["page", "bag"]).itertuples():
-            if r.page < cursor:
-                rows.append((key[0], r.page, r.bag, expected, False, "behind the cursor"))
-                continue
-            good = r.bag == expected
-            rows.append((key[0], r.page, r.bag, expected, good, "" if good else "already passed" if r.bag < expected else "not the next number"))
-            expected += good
-        last = max((r[1] for r in rows), default=cursor - 1)
-        state.update((int(expected), int(max(cursor, last + 1))))
-        yield pd.DataFrame(rows, columns=names)
-
-    return candidates.filter("bag IS NOT NULL").groupBy("set_id").applyInPandasWithState(step, "set_id long, page int, bag int, expected int, accepted boolean, reason string", "expected int, cursor int", "append", GroupStateTimeout.NoTimeout)
+    out = "set_id long, page int, bag int, expected int, accepted boolean, reason string"
+    rows = _on_rocksdb(candidates).filter("bag IS NOT NULL").groupBy("set_id")
+    return rows.transformWithStateInPandas(keyed.Scan(first, forget_after), out, "Append", "ProcessingTime" if forget_after else "None")
 
 
 def truth_conflicts(detections: DataFrame) -> DataFrame:
     """Outcome of each detection (set_id, bag, page, ordinal) against the first page its key had."""
     out = "set_id long, bag int, page int, ordinal long, status string, existing_page int"
+    return _on_rocksdb(detections).groupBy("set_id", "bag").transformWithStateInPandas(keyed.Truth(), out, "Append", "None")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else None
-        rows = []
-        for r in pd.concat(list(batches)).sort_values("ordinal").itertuples():
-            if held is None:
-                held, status = int(r.page), "inserted"
-            else:
-                status = "exists" if held == r.page else "conflict"
-            rows.append((key[0], key[1], r.page, r.ordinal, status, held if status == "conflict" else None))
-        state.update((held,))
-        yield pd.DataFrame(rows, columns=["set_id", "bag", "page", "ordinal", "status", "existing_page"]).astype({"existing_page": "Int32"})
 
-    return detections.groupBy("set_id", "bag").applyInPandasWithState(step, out, "held int", "append", GroupStateTimeout.NoTimeout)
+def _on_rocksdb(rows: DataFrame) -> DataFrame:
+    """Keyed state variables need the RocksDB state store; a session without a choice of its own gets it."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows
 
 
 def truth_stream(detections: DataFrame, truth: str, conflicts: str, checkpoint: str) -> StreamingQuery:
@@ -126,34 +78,26 @@ def memory_refresh(confirmations: DataFrame, embeddings: DataFrame) -> DataFrame
 
 
 def review_events(events: DataFrame, path: str, checkpoint: str, late: str = "10 minutes", buckets: int = BUCKETS) -> StreamingQuery:
-    """Folds label events (crop, slot, kind, label, ts, seq) into the table at ``path``; later events win by sequence.
+    """Folds label events (crop, slot, kind, label, ts, seq) into the committed table at ``path``; later events win by sequence.
 
-    Events that are sent again within the watermark are dropped. The table is cut into buckets of crops; a batch writes new
-    versions of the buckets it touches alone, and a batch that is run again replaces its own versions.
+    Events that are sent again within the watermark are dropped. The table is cut into buckets of crops; a batch replaces the buckets
+    it touches alone, in one commit. What is stored takes part in every batch, so a batch that runs again, or a fresh
+    checkpoint over an old table, changes nothing that is newer. Versions but the last two are removed.
     """
     columns = ["crop", "slot", "kind", "label", "ts", "seq"]
 
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("bucket", "crop", "slot", "kind").agg(F.max_by("label", "seq").alias("label"), F.max("ts").alias("ts"), F.max("seq").alias("seq"))
+
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("crop"), F.lit(buckets)).cast("int"))
-        if number:
-            known = newest(batch.sparkSession, path, number).join(F.broadcast(rows.select("bucket").distinct()), "bucket", "left_semi")
-            rows = rows.unionByName(known.select(rows.columns))
-        latest = rows.groupBy("bucket", "crop", "slot", "kind").agg(F.max_by("label", "seq").alias("label"), F.max("ts").alias("ts"), F.max("seq").alias("seq")).withColumn("v", F.lit(number))
-        latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(path)
+        store = Store(batch.sparkSession, path)
+        stored.merge_in_buckets(store, "events", batch, F.col("crop"), fold, buckets)
+        store.vacuum(keep=2, grace_s=0)  # this stream is the table's only writer
 
     fresh = events.select(*columns).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["crop", "slot", "kind", "seq"])
     return fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The newest version of each bucket that ``review_events`` wrote, of the batches before ``before`` if given."""
-    rows = spark.read.parquet(path)
-    if before is not None:
-        rows = rows.filter(F.col("v") < before)
-    last = rows.groupBy("bucket").agg(F.max("v").alias("v"))
-    return rows.join(F.broadcast(last), ["bucket", "v"], "left_semi").drop("v")
-
-
 def folded(spark: SparkSession, path: str) -> DataFrame:
     """Slot states of the table that ``review_events`` wrote."""
-    return folds.label_event_fold(newest(spark, path))
+    return folds.label_event_fold(Store(spark, path).read("events"))

@@ -109,8 +109,8 @@ def test_manifests_and_sinks(spark, tmp_path):
     rows = files.manifest(spark, str(tmp_path / "m"), "id: string, n: int")
     assert sorted(r["id"] for r in rows.collect()) == ["x", "y", "z"]
     files.json_sink(rows.select("id", "n"), str(tmp_path / "out"), "n")
-    assert spark.read.json(str(tmp_path / "out")).count() == 3
+    assert files.json_table(spark, str(tmp_path / "out")).count() == 3
     files.tsv_sink(rows.select("id", F.array(F.lit("a"), F.lit("b")).alias("flags")), str(tmp_path / "tsv"), "flags")
-    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "tsv")).filter("flags = 'a|b'").count() == 3
+    assert files.tsv_table(spark, str(tmp_path / "tsv")).filter("flags = 'a|b'").count() == 3
     state = spark.createDataFrame([("s", 1, {"c1": ("good", [1, 2]), "c2": ("open", None)})], "set_num string, bag int, crops map<string, struct<status: string, parts: array<int>>>")
     assert files.review_state(state).count() == 3
