@@ -41,7 +41,7 @@ def incremental_scan(candidates: DataFrame, first: int = 1, forget_after: int |
 
     ``expected`` is the number that was due at each candidate; candidates behind the cursor (the next page to read) are
     reported as such and change nothing, so a chunk may be sent again. With ``forget_after`` (milliseconds) a scan that
-    has got no chunk for so long begins anew.
+    has got no chunk for so long begins anew; such a stream looks for what to forget all the time, so it doesn't end by availableNow.
     """
     out = "set_id long, page int, bag int, expected int, accepted boolean, reason string"
     rows = _on_rocksdb(candidates).filter("bag IS NOT NULL").groupBy("set_id")
