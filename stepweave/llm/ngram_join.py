@@ -46,6 +46,7 @@ from stepweave.session import cut, discard
 LOAD, SMALL, COMMON = 3, 5, 16  # shingles a segment at the band's top; bands below SMALL have deletions; sets of a cold group
 BLOCK_SETS, BLOCK_BYTES = 1024, 1 << 22  # of a family's blocks
 MAX_RENAMED = 100_000  # set ids that several sets share
+HUB_PAIRS, MAX_HUBS = 512, 10_000  # pairs of an id in one place; ids that are dealt to several
 _U = np.uint64
 
 
@@ -280,12 +281,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts link. The exchange of the texts by doc_id serves both joins."""
+    """The pairs (a, b) of doc_ids whose texts link. The exchange of the texts serves both joins.
+
+    An id of more than HUB_PAIRS pairs gets salts: its text is sent once a salt and its pairs are dealt to them. The MAX_HUBS largest ones are
+    broadcast by id; any other has less than 1 / MAX_HUBS of all pairs.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(_verify, f"a {kind}, b {kind}")
+    pairs = cut(pairs.select("a", "b"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("hub"), F.lit(0).alias("side")), F.struct(F.col("b").alias("hub"), F.lit(1).alias("side")))).alias("x")).select("x.*")
+    large = ends.groupBy("hub", "side").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max("n").alias("n")).filter(F.col("n") > HUB_PAIRS)
+    large = cut(large.orderBy(F.desc("n"), "hub").limit(MAX_HUBS).select("hub", F.ceil(F.col("n") / HUB_PAIRS).cast("int").alias("salts")))
+    known = lambda rows, key: rows.join(F.broadcast(large), F.col(key) == F.col("hub"), "left").withColumn("salts", F.coalesce("salts", F.lit(1))).drop("hub")
+    texts = known(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), "text")
+    out = pairs
+    for side in ("a", "b"):
+        dealt = known(out, side).withColumn(f"salt_{side}", F.expr("cast(pmod(xxhash64(a, b), salts) AS int)")).drop("salts")
+        out = dealt.join(texts.select(F.col("doc_id").alias(side), F.col("salt").alias(f"salt_{side}"), F.col("text").alias(f"text_{side}")), [side, f"salt_{side}"])
+    return out.select("a", "b", "text_a", "text_b").mapInArrow(_verify, f"a {kind}, b {kind}")
 
 
 def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,8 +447,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", common
     """
     lean = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if _distinct_ids(lean):
-        gone = _components(lean, common, 64).filter("doc_id <> component").select(F.col("doc_id").alias("_gone"))
-        return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+        named, key = numbered(docs), number_of(docs, doc_id)
+        gone = _components(lean, common, 64).filter("doc_id <> component").select(F.col("doc_id").alias("gone"))
+        return named.join(gone, F.col(key) == F.col("gone"), "left_anti").toDF(*docs.columns)
     named, key, words = cut(numbered(docs).withColumn("row", F.monotonically_increasing_id())), number_of(docs, doc_id), number_of(docs, text)
     rows = named.select("row", F.col(key).alias("doc_id"), F.col(words).alias("text"))
     found = cut(_numbered(rows, common, 64)).filter("component IS NOT NULL")
