@@ -13,8 +13,8 @@ within a source come from hash buckets of about a block each and prefix sums ove
 spread over as many tasks as it has blocks.
 
 Defined cases: null is a source of its own; sources without a weight, and weights below 1, get the smallest, 1; weights of absent
-sources are ignored; rows with equal ids share a bucket and stay apart rows, in any order among them; an empty table gives
-an empty result; all columns are kept whatever their names.
+sources are ignored; rows with equal or null ids stay apart rows, in any order among them, and where one id has more rows than a block all
+rows are numbered first, so that they spread; an empty table gives an empty result; all columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from math import gcd
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from stepweave.session import cut
+
 MAX_SOURCES, MAX_SLOTS, PERIOD, BLOCK_ROWS = 1_000, 1_000_000, 1_000, 256
 
 
@@ -88,27 +90,31 @@ def mixed(rows: DataFrame, source: str = "source", key: str = "doc_id", weights:
     ``weights``: integers by source; without them, counts to the power 0.7.
     """
     spark = rows.sparkSession
-    packed = rows.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.xxhash64(F.col(key)).alias("h"), F.xxhash64(*[F.col(c) for c in (source, key)]).alias("tie"))
+    hashed = F.xxhash64(F.col(key))
+    packed = rows.select(F.struct("*").alias("row"), F.col(source).alias("source"), hashed.alias("h"), F.xxhash64(F.col(source), F.col(key)).alias("tie"))
+    lean = rows.select(F.col(source).alias("source"), hashed.alias("h"))
+    if not lean.groupBy("source", "h").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows).isEmpty():
+        # an id with more rows than a block would fill a bucket of its own, so rows are numbered, once and for all
+        packed = cut(packed.drop("h", "tie").withColumn("number", F.monotonically_increasing_id())).select("row", "source", F.xxhash64("number").alias("h"), F.col("number").alias("tie"))
+        lean = packed.select("source", "h")
     found = rows.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     counts = {r["source"]: r["n"] for r in found}
     given = natural_weights(counts) if weights is None else {s: max(1, int(weights.get(s, 1))) for s in counts}
-    kind = rows.schema[source].dataType.simpleString()
+    kind = packed.schema["source"].dataType.simpleString()
     # at most MAX_SLOTS slots over all rows, so the broadcast has a known bound
     phases = spark.createDataFrame([tuple(p.values()) for p in plan(counts, given, block_rows)], f"source {kind}, phase_block long, next_block long, slot0 long, row0 long, period long, weight long, slots array<int>")
-    sizes = spark.createDataFrame([(s, -(-n // block_rows)) for s, n in counts.items()], f"source {kind}, blocks long")
-    joined = packed.join(F.broadcast(sizes.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    dealt = joined.withColumn("bucket", F.expr("pmod(h, blocks)"))
-    spot = rows.select(F.col(source).alias("source"), F.xxhash64(F.col(key)).alias("h")).join(F.broadcast(sizes.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).select("source", F.expr("pmod(h, blocks)").alias("bucket"))
-    per = spot.groupBy("source", "bucket").agg(F.count("*").alias("k")).withColumn("page", F.expr("bucket div 1024"))
-    page = per.groupBy("source", "page").agg(F.sum("k").alias("k"))
+    # sources go by number, so that rows are dealt once: a null-safe join would deal them by other keys than the ranks
+    sizes = F.broadcast(spark.createDataFrame([(k, s, -(-n // block_rows)) for k, (s, n) in enumerate(counts.items())], f"sid int, s {kind}, blocks long"))
+    in_bucket = lambda df: df.join(sizes, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.expr("pmod(h, blocks)"))
+    per = in_bucket(lean).groupBy("sid", "bucket").agg(F.count("*").alias("k")).withColumn("page", F.expr("bucket div 1024"))
+    page = per.groupBy("sid", "page").agg(F.sum("k").alias("k"))
     before = lambda w, order: F.coalesce(F.sum("k").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    page = page.select(F.col("source").alias("ps"), F.col("page").alias("pp"), before(Window.partitionBy("source"), "page").alias("ahead"))
-    within = per.withColumn("inner", before(Window.partitionBy("source", "page"), "bucket"))
-    start = within.join(page, F.col("source").eqNullSafe(F.col("ps")) & (F.col("page") == F.col("pp"))).select(F.col("source").alias("bs"), F.col("bucket").alias("bb"), (F.col("inner") + F.col("ahead")).alias("start"))
-    ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "tie")) - 1)
-    ranked = ranked.join(start, F.col("source").eqNullSafe(F.col("bs")) & (F.col("bucket") == F.col("bb")))
+    page = page.select("sid", "page", before(Window.partitionBy("sid"), "page").alias("ahead"))
+    within = per.withColumn("inner", before(Window.partitionBy("sid", "page"), "bucket"))
+    start = within.join(page, ["sid", "page"]).select("sid", "bucket", (F.col("inner") + F.col("ahead")).alias("start"))
+    ranked = in_bucket(packed).withColumn("nth", F.row_number().over(Window.partitionBy("sid", "bucket").orderBy("h", "tie")) - 1).join(start, ["sid", "bucket"])
     ranked = ranked.withColumn("rank", F.col("start") + F.col("nth")).withColumn("block", F.expr(f"rank div {int(block_rows)}"))
     phase = F.col("source").eqNullSafe(F.col("fs")) & (F.col("block") >= F.col("phase_block")) & (F.col("block") < F.col("next_block"))
     placed = ranked.join(F.broadcast(phases.withColumnRenamed("source", "fs")), phase).withColumn("b", F.expr("block - phase_block"))
