@@ -121,8 +121,9 @@ def edited_pairs(docs: DataFrame, radius: int = 3, every: int = 50, doc_id: str
     heads = order.join(need, F.col("id") == F.col("doc_id")).join(source, F.col("next_id") == F.col("src")).select(F.col("id").alias("of"), "next_id", F.expr("substring(src_text, 1, cast(need AS int))").alias("head"))
     heads = heads.groupBy("of", "next_id").agg(F.min("head").alias("head"))
     same = Window.partitionBy("doc_id").orderBy("text")  # a computed order would change the exchange
-    both = placed.withColumn("nth", F.row_number().over(same)).join(heads, F.col("doc_id") == F.col("of"))
-    none = lone.withColumn("nth", F.row_number().over(same)).withColumn("next_id", F.col("doc_id")).withColumn("head", F.col("text"))
+    both = placed.withColumn("nth", F.row_number().over(same).cast("long")).join(heads, F.col("doc_id") == F.col("of"))
+    # rows without an id meet nothing, so they only need a number each and stay where they are
+    none = lone.withColumn("nth", F.monotonically_increasing_id()).withColumn("next_id", F.col("doc_id")).withColumn("head", F.col("text"))
     facts = ["doc_id", "nth", "next_id", "n_chars", "edited_sha256"]
 
     def printed(rows: DataFrame) -> DataFrame:
