@@ -142,7 +142,7 @@ def _keyed(values: pa.Array, shared: dict[bytes, list[bytes]], digest_bytes: int
 def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     """(doc_id, recipe, text_sha256), a row for each row of ``docs``; recipe is the list of verified identifiers."""
     shared = colliding_chunks(docs, text, digest_bytes)
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +173,7 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     move once, those of one text combined on the map side.
     """
     shared = colliding_chunks(docs, text)
-    rows, key, at = numbered(docs), number_of(docs, doc_id), docs.columns.index(text)
+    rows, key, at = numbered(docs), number_of(docs, doc_id), int(number_of(docs, text)[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stepweave.llm.names import numbered
+from stepweave.llm.names import number_of, numbered
 from stepweave.llm.sampling import bounded_sample
 from stepweave.llm.textbytes import column_bytes, slices, words
 from stepweave.session import cut, discard
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
 
 def scores(docs: DataFrame, model: AdditiveModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score), a row for each row of ``docs``."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +207,7 @@ def scores(docs: DataFrame, model: AdditiveModel, doc_id: str = "doc_id", text:
 def keep_good(docs: DataFrame, model: AdditiveModel, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the model accepts, in one pass and with the same columns."""
 
-    at = docs.columns.index(text)
+    at = int(number_of(docs, text)[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

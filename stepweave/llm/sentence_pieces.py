@@ -236,7 +236,7 @@ def encode_digests(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text:
     The digests are of what ``encode_pieces`` returns; that of the spans is over begin and end of each piece as 64-bit
     little-endian numbers. ``exact``: the library encodes the original text alike, the pieces spell the normalised text, and the spans tile the text.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +260,7 @@ def encode_digests(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text:
 
 def encode_pieces(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, pieces array<struct<id, piece, begin, end>>): the encoding with original byte spans."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     item = pa.struct([("id", pa.int32()), ("piece", pa.string()), ("begin", pa.int64()), ("end", pa.int64())])
 
