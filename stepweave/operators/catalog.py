@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stepweave.functions import scalars as s
+from stepweave.operators import nearest
 
 
 def latest_inventory(inventories: DataFrame) -> DataFrame:
@@ -84,25 +85,15 @@ def context_counts(required: DataFrame) -> DataFrame:
     return required.agg(F.count("*").alias("parts"), F.sum("qty").alias("total"), F.count_if(F.col("img_url").isNull()).alias("without_image"))
 
 
-def nearest_colours(asked: DataFrame, colors: DataFrame, k: int = 6, block_colors: int = 1_024, slices: int = 32) -> DataFrame:
+def nearest_colours(asked: DataFrame, colors: DataFrame, k: int = 6, per_cell: int = 16) -> DataFrame:
     """The ``k`` nearest colours of each (query, rgb array), of a palette of any size; ties go to the lower colour.
 
-    The palette is dealt into blocks of about ``block_colors``, the distinct asked colours into ``slices``; each block meets each
-    slice in a group of its own, and what goes on from there is the best ``k`` of a colour in a block.
+    Distinct asked colours visit rings of cells of the RGB cube, see ``nearest.nearest_palette``.
     """
     palette = colors.groupBy("rgb").agg(F.min("color_id").alias("color_id")).select("color_id", s.hex_rgb(F.col("rgb")).alias("c")).filter("c IS NOT NULL")
-    blocks = max(1, -(-palette.count() // block_colors))
-    dealt = palette.select("color_id", F.col("c")[0].alias("r"), F.col("c")[1].alias("g"), F.col("c")[2].alias("b"), F.pmod(F.xxhash64("color_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    parts = asked.select("query", *(F.get("rgb", F.lit(i)).cast("int").alias(f"w{c}") for i, c in enumerate("rgb"))).dropna(subset=["wr", "wg", "wb"])
-    wanted = parts.select("wr", "wg", "wb").distinct().withColumn("slice", F.pmod(F.xxhash64("wr", "wg", "wb"), F.lit(slices)).cast("int"))
-    # a number of partitions of its own: the inputs are small, the pairs aren't
-    wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(min(slices * blocks, 4_096), "block", "slice")
-    square = sum(((F.col(f"w{c}") - F.col(c)) * (F.col(f"w{c}") - F.col(c)) for c in "rgb"), F.lit(0))
-    met = wanted.join(dealt, ["block", "slice"]).select("wr", "wg", "wb", "block", "color_id", F.sqrt(square.cast("double")).alias("distance"))
-    best = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("distance", "color_id"))).filter(F.col("rank") <= k)
-    if blocks > 1:
-        met = best(met, "wr", "wg", "wb", "block").drop("rank")
-    return parts.join(best(met, "wr", "wg", "wb"), ["wr", "wg", "wb"]).select("query", "rank", "color_id", "distance")
+    parts = asked.select("query", *(F.get("rgb", F.lit(i)).cast("int").alias(c) for i, c in enumerate("rgb"))).dropna(subset=["r", "g", "b"])
+    best, _ = nearest.nearest_palette(parts.select("r", "g", "b").distinct(), palette, k, per_cell)
+    return parts.join(best, ["r", "g", "b"]).select("query", "rank", "color_id", "distance")
 
 
 def colour_top5(asked: DataFrame, colors: DataFrame) -> DataFrame:
@@ -122,44 +113,18 @@ def rgb_match(segments: DataFrame, pool: DataFrame, k: int = 5) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("set_num", "segment", "rank", "part_num", "color_id", "score")
 
 
-def _dealt(rows: DataFrame, key: str, blocks: int) -> DataFrame:
-    """Rows with a block each, and a partition for each block: the inputs are small, the pairs aren't."""
-    return rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-
-
-def _in_all(rows: DataFrame, blocks: int) -> DataFrame:
-    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-
-def knn_same_attr(queries: DataFrame, catalog: DataFrame, k: int = 10, blocks: int = 32) -> DataFrame:
+def knn_same_attr(queries: DataFrame, catalog: DataFrame, k: int = 10, cell_rows: int = nearest.CELL_ROWS) -> DataFrame:
     """Cosine neighbours with the query's attribute; all of the catalog only for attributes it lacks.
 
-    ``queries`` and ``catalog``: (vec_id, embedding, label). The catalog is dealt into ``blocks``, the queries, a stated set, visit
-    each: those whose attribute the catalog has by block and attribute, the others by block alone. No block's candidates but the
-    best ``k`` of a query go on. A vector isn't a candidate for itself.
+    ``queries`` and ``catalog``: (vec_id, embedding, label). A vector isn't a candidate for itself. Exact, see ``nearest.nearest_unit``.
     """
-    unit = lambda df, p: df.select(F.col("vec_id").alias(f"{p}id"), F.col("label").alias(f"{p}label"), s.l2_normalize(F.col("embedding")).alias(f"{p}v")).filter(F.col(f"{p}v").isNotNull())
-    q, c = unit(queries, "q_"), _dealt(unit(catalog, "c_"), "c_id", blocks)
-    labels = c.select(F.col("c_label").alias("known")).distinct()
-    same = _in_all(q.join(labels, F.col("q_label") == F.col("known"), "left_semi"), blocks)
-    rest = _in_all(q.join(labels, F.col("q_label") == F.col("known"), "left_anti"), blocks)
-    met = c.withColumnRenamed("block", "c_block")
-    one = same.join(met, (F.col("block") == F.col("c_block")) & (F.col("q_label") == F.col("c_label")))
-    two = rest.join(met, F.col("block") == F.col("c_block"))
-    pairs = one.unionByName(two).filter("q_id <> c_id").select("block", F.col("q_id").alias("query"), F.col("c_id").alias("candidate"), s.dot(F.col("q_v"), F.col("c_v")).alias("score"))
-    best = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "candidate"))).filter(F.col("rank") <= k)
-    return best(best(pairs, "query", "block").drop("rank"), "query").drop("block")
-
-
-def memory_score(queries: DataFrame, memory: DataFrame, least: float = 0.8, blocks: int = 32) -> DataFrame:
-    """Best cosine of each query and element over the element's vectors, from ``least`` up.
-
-    The memory is dealt into ``blocks``; the queries, a stated set, visit each. Scores below ``least`` go no further.
-    """
-    q = _in_all(queries.select(F.col("vec_id").alias("query"), s.l2_normalize(F.col("embedding")).alias("qv")).filter("qv IS NOT NULL"), blocks)
-    m = _dealt(memory.select("vec_id", F.col("element_id").alias("element"), s.l2_normalize(F.col("embedding")).alias("mv")).filter("mv IS NOT NULL"), "vec_id", blocks)
-    scored = q.join(m, "block").select("query", "element", s.dot(F.col("qv"), F.col("mv")).alias("score")).filter(F.col("score") >= least)
-    return scored.groupBy("query", "element").agg(F.max("score").alias("score"))
+    return nearest.nearest_unit(nearest.unit_rows(queries, "vec_id", "label"), nearest.unit_rows(catalog, "vec_id", "label"), k, cell_rows)[0]
+
+
+def memory_score(queries: DataFrame, memory: DataFrame, least: float = 0.8, cell_rows: int = nearest.CELL_ROWS) -> DataFrame:
+    """Best cosine of each query and element over the element's vectors, from ``least`` up. Exact, see ``nearest.best_by_label``."""
+    best, _ = nearest.best_by_label(nearest.unit_rows(queries, "vec_id", None), nearest.unit_rows(memory, "vec_id", "element_id"), least, cell_rows)
+    return best.withColumnRenamed("label", "element")
 
 
 def confirmed_memory(labels: DataFrame, embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:

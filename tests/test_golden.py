@@ -173,7 +173,7 @@ def test_neighbours_of_a_missing_attribute(spark):
     kinds = "vec_id long, embedding array<double>, label int"
     catalog_rows = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [1.0, 1.0], 2)], kinds)
     asked = spark.createDataFrame([(10, [1.0, 0.1], 9), (11, [0.0, 1.0], 1), (12, [0.0, 0.0], 1)], kinds)
-    got = sorted((r["query"], r["rank"], r["candidate"]) for r in catalog.knn_same_attr(asked, catalog_rows, k=2, blocks=3).collect())
+    got = sorted((r["query"], r["rank"], r["candidate"]) for r in catalog.knn_same_attr(asked, catalog_rows, k=2, cell_rows=1).collect())
     assert got == [(10, 1, 1), (10, 2, 3), (11, 1, 2), (11, 2, 1)]
 
 
@@ -181,7 +181,7 @@ def test_nearest_colours_of_a_large_palette(spark):
     rng = random.Random(6)
     palette = [(k, f"{rng.randrange(1 << 24):06x}") for k in range(3000)]
     asked = [(q, [rng.randrange(256) for _ in range(3)]) for q in range(40)] + [(99, None)]
-    got = sorted((r["query"], r["rank"], r["color_id"]) for r in catalog.nearest_colours(spark.createDataFrame(asked, "query long, rgb array<int>"), spark.createDataFrame(palette, "color_id long, rgb string"), k=3, block_colors=500).collect())
+    got = sorted((r["query"], r["rank"], r["color_id"]) for r in catalog.nearest_colours(spark.createDataFrame(asked, "query long, rgb array<int>"), spark.createDataFrame(palette, "color_id long, rgb string"), k=3, per_cell=4).collect())
     first = {}
     for k, c in palette:
         first.setdefault(c, k)
