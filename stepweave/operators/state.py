@@ -9,6 +9,8 @@ KEY = ["set_id", "bag"]
 REVIEW_STATUSES = ("approved", "rejected", "needs_split_fix", "bad_mask", "pending")
 FINAL = ("accepted", "rejected")
 
+MAX_PLACES = 4_096
+
 
 def truth_upsert(truth: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(outcome of each batch row, new truth). Truth and batch: set_id, bag, page; the batch also has ordinal.
@@ -63,17 +65,28 @@ def id_backfill(rows: DataFrame, fields: Column, columns: list[str]) -> DataFram
 def example_delete(examples: DataFrame, prefixes: DataFrame, like_compat: bool = False) -> DataFrame:
     """Examples whose id starts with none of ``prefixes`` (prefix). With ``like_compat`` ``_`` stands for any character.
 
-    An id meets the prefixes by equi joins: on its own prefix of each length that occurs, and with ``like_compat`` of each
-    pattern of ``_`` that occurs, blanked alike. Distinct patterns travel as one row; there is no limit on them.
+    An id meets the prefixes by an equi join on the part of itself that a prefix says literally: all of it, or with ``like_compat`` its
+    first run without ``_``; what meets is then compared whole. The driver holds the distinct places of such parts (start and length), at most
+    MAX_PLACES: beyond that lengths are cut to powers of two, which only lets more meet. Null ids stay, null prefixes count for nothing.
     """
-    mask = F.regexp_replace("prefix", "[^_]", "x") if like_compat else F.repeat(F.lit("x"), F.length("prefix"))
-    named = prefixes.filter("prefix IS NOT NULL").select(mask.alias("mask"), F.col("prefix").alias("blank")).distinct()
-    masks = named.groupBy().agg(F.collect_set("mask").alias("masks"))
-    ids = examples.filter("example_id IS NOT NULL").select("example_id").distinct().join(F.broadcast(masks)).select("example_id", F.explode(F.filter("masks", lambda m: F.length(m) <= F.length("example_id"))).alias("mask"))
-    start = F.substring("example_id", F.lit(1), F.length("mask"))
-    blanked = F.array_join(F.zip_with(F.split("mask", ""), F.split(start, ""), lambda m, c: F.when(m == "_", m).otherwise(c)), "")
-    gone = ids.withColumn("blank", F.when(F.contains("mask", F.lit("_")), blanked).otherwise(start)).join(named, ["mask", "blank"], "left_semi")
-    return examples.join(gone.select("example_id").distinct(), "example_id", "left_anti")
+    run = F.regexp_extract("prefix", "^(_*)([^_]*)", 2) if like_compat else F.col("prefix")
+    start = F.length(F.regexp_extract("prefix", "^(_*)([^_]*)", 1)) if like_compat else F.lit(0)
+    named = prefixes.filter("prefix IS NOT NULL").select("prefix").distinct().select("prefix", start.alias("at"), run.alias("part"))
+    ids = examples.filter("example_id IS NOT NULL").select("example_id").distinct()
+    free = named.filter("part = ''").agg(F.min(F.length("prefix")).alias("n")).first()["n"]  # of these only the length counts
+    named = named.filter("part <> ''")
+    places = named.select("at", F.length("part").alias("n")).distinct().limit(MAX_PLACES + 1).collect()
+    if len(places) > MAX_PLACES:
+        named = named.withColumn("part", F.expr("substring(part, 1, cast(shiftleft(1, cast(floor(log2(length(part))) AS int)) AS int))"))
+        places = named.select("at", F.length("part").alias("n")).distinct().collect()
+    by_place = F.array(*(F.struct(F.lit(at).alias("at"), F.lit(n).alias("n")) for at, n in places)) if places else F.array().cast("array<struct<at:int,n:int>>")
+    parts = ids.select("example_id", F.explode(F.filter(by_place, lambda p: p["at"] + p["n"] <= F.length("example_id"))).alias("p")).select("example_id", F.col("p.at").alias("at"), F.expr("substring(example_id, p.at + 1, p.n)").alias("part"))
+    same = lambda m, c: F.when(m == "_", m).otherwise(c) if like_compat else c
+    begins = F.array_join(F.zip_with(F.split("prefix", ""), F.split(F.expr("substring(example_id, 1, length(prefix))"), ""), same), "") == F.col("prefix")
+    gone = parts.join(named, ["at", "part"]).filter(begins).select("example_id")
+    if free is not None:
+        gone = gone.union(ids.filter(F.length("example_id") >= free))
+    return examples.join(gone.distinct(), "example_id", "left_anti")
 
 
 def nested_update(candidates: str, index: Column, status: Column) -> Column:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import sqlite3
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stepweave.operators import pages as p, state as m, stored
 from stepweave.plans.base import Inputs, register
 from stepweave.plans.state_queries import _EX, _FOLD, _STATUS, _UPSERT, _batch, _ex
 from stepweave.session import shared_dir
-from stepweave.sources import files
+from stepweave.sources import files, sqlite
 from stepweave.sources.versioned import Store
 from stepweave.streaming import incremental as x
 
@@ -172,3 +175,29 @@ def _bundle_table(i: Inputs) -> DataFrame:
 
 
 register("m03_bundle_table", _bundle_table, "SELECT doc_id AS bundle_id, CASE WHEN doc_id % 2 = 0 THEN concat('new/', doc_id) ELSE concat('old/', doc_id) END AS path, CASE WHEN doc_id % 3 = 0 THEN 'pending' ELSE coalesce(status, 'pending') END AS status FROM bundles WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
+
+
+def _catalog_files(i: Inputs) -> str:
+    """The parts as SQLite files in the shared folder, one written by each task."""
+    path = _path(i, "sqlite").removeprefix("file:")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(path, exist_ok=True)
+        draft = f"{path}/{uuid4().hex}.part"
+        with sqlite3.connect(draft) as con:
+            con.execute("CREATE TABLE parts (part_num INTEGER, name TEXT COLLATE NOCASE, size INT, price REAL)")
+            for batch in batches:
+                con.executemany("INSERT INTO parts VALUES (?, ?, ?, ?)", zip(*(c.to_pylist() for c in batch.columns)))
+        con.close()
+        yield pa.RecordBatch.from_arrays([pa.array([draft])], ["draft"])
+
+    rows = i.part.selectExpr("cast(p_partkey AS bigint)", "p_name", "cast(p_size AS int)", "cast(p_retailprice AS double)").repartition(4)
+    for r in rows.mapInArrow(write, "draft string").collect():  # files of the tasks that count; a lost one's draft is never named .db
+        os.rename(r["draft"], r["draft"].replace(".part", ".db"))
+    return path
+
+
+register(
+    "s03_catalog_sqlite", lambda i: sqlite.sqlite_table(i.spark, _catalog_files(i), "parts", "part_num long, name string, size int", 500).filter("size >= 20 AND (name > 'b' OR size = 30)"),
+    "SELECT p_partkey AS part_num, p_name AS name, p_size AS size FROM part WHERE p_size >= 20 AND (p_name > 'b' OR p_size = 30)",
+)
