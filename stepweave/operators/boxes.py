@@ -5,7 +5,9 @@ Boxes are x, y, w, h in pixels. Pairs are formed by page, and by page and grid c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -78,23 +80,86 @@ def _by_page(rows: DataFrame, columns: list[str], keep: Callable[[list[dict]], l
     return fold_groups(lean, PAGE, ["box"], lambda items: keep(list(items)), lean.schema)
 
 
+class Grid:
+    """Numbered regions of a page in square cells: which of them may touch another region."""
+
+    def __init__(self, side: float) -> None:
+        self.side, self.cells = max(side, 1.0), {}
+
+    @classmethod
+    def of(cls, items: list[dict]) -> Grid:
+        """Cells as large as the boxes of the page are in the middle."""
+        sizes = sorted(max(r["w"], r["h"]) for r in items)
+        return cls(sizes[len(sizes) // 2] if sizes else 1)
+
+    def _keys(self, region: tuple[float, float, float, float], kind: Any) -> list[tuple]:
+        x0, x1, y0, y1 = (math.floor(v / self.side) for v in region)
+        return [(kind, x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]
+
+    def add(self, number: int, region: tuple[float, float, float, float], kind: Any = None) -> None:
+        for key in self._keys(region, kind):
+            self.cells.setdefault(key, set()).add(number)
+
+    def remove(self, number: int, region: tuple[float, float, float, float], kind: Any = None) -> None:
+        for key in self._keys(region, kind):
+            self.cells[key].discard(number)
+
+    def near(self, region: tuple[float, float, float, float], kind: Any = None) -> list[int]:
+        """Numbers of all regions that share a cell with ``region``, ascending."""
+        return sorted(set().union(*(self.cells.get(key, ()) for key in self._keys(region, kind))))
+
+
+def _around(r: dict, dx: float, dy: float, box: bool = True) -> tuple[float, float, float, float]:
+    """x and y ranges of a box, if ``box``, and of what lies ``dx`` and ``dy`` around its centre."""
+    cx, cy = r["x"] + r["w"] / 2, r["y"] + r["h"] / 2
+    x, y = (cx - dx, cx + dx), (cy - dy, cy + dy)
+    return (min(r["x"], x[0]), max(r["x"] + r["w"], x[1]), min(r["y"], y[0]), max(r["y"] + r["h"], y[1])) if box else (*x, *y)
+
+
 def greedy_assign(tokens: DataFrame, parts: DataFrame) -> DataFrame:
-    """Quantity tokens in (y, x) order each take the best unused component: |dx| + 2 |dy| between centres, none that lies clearly below."""
+    """Quantity tokens in (y, x) order each take the best unused component: |dx| + 2 |dy| between centres, none that lies clearly below.
+
+    Components enter cells once a token comes that they don't lie below; a token looks at rings of cells around it until no further one can
+    hold a better component.
+    """
 
     def assign(page: Iterator[dict]) -> list[dict]:
         items = list(page)
-        free, out = [p for p in items if not p["asks"]], []
+        parts = [p for p in items if not p["asks"]]
+        side = Grid.of(items).side
+        spot = lambda x, y: (math.floor(x / side), math.floor(y / side))
+        free: dict[tuple[int, int], dict[int, dict]] = {}
+        falling = sorted(range(len(parts)), key=lambda n: -parts[n]["y"])
+        out, left = [], 0
         for t in sorted((t for t in items if t["asks"]), key=lambda t: (t["y"], t["x"], t["box"])):
-            best = None
-            for p in free:
-                if p["y"] > t["y"] + 2 * t["h"]:
-                    continue
-                score = abs(p["x"] + p["w"] / 2 - t["x"] - t["w"] / 2) + 2 * abs(p["y"] + p["h"] - t["y"])
-                if best is None or score < best[0]:
-                    best = score, p
+            while falling and parts[falling[-1]]["y"] <= t["y"] + 2 * t["h"]:
+                n = falling.pop()
+                free.setdefault(spot(parts[n]["x"] + parts[n]["w"] / 2, parts[n]["y"] + parts[n]["h"]), {})[n] = parts[n]
+                left += 1
+            tx, ty = t["x"] + t["w"] / 2, t["y"]
+            cx, cy = spot(tx, ty)
+            best, ring, seen = None, 0, 0
+            while seen < left and (best is None or (ring - 1) * side <= best[0]):
+                if 8 * ring > len(free):  # what is left lies in fewer cells than the ring has
+                    cells = [c for c in free if max(abs(c[0] - cx), abs(c[1] - cy)) >= ring]
+                    seen = left
+                else:
+                    cells = [(cx + i, cy + j) for i in range(-ring, ring + 1) for j in ((-ring, ring) if abs(i) < ring else range(-ring, ring + 1))]
+                for cell in cells:
+                    held = free.get(cell, {})
+                    seen += len(held) if seen < left else 0
+                    for n, p in held.items():
+                        if p["y"] <= t["y"] + 2 * t["h"]:
+                            score = abs(p["x"] + p["w"] / 2 - tx) + 2 * abs(p["y"] + p["h"] - ty)
+                            if best is None or (score, n) < best[:2]:
+                                best = score, n, cell
+                ring += 1
             if best:
-                free.remove(best[1])
-                out.append({"page": t["page"], "token": t["box"], "part": best[1]["box"], "score": float(best[0])})
+                p = free[best[2]].pop(best[1])
+                if not free[best[2]]:
+                    del free[best[2]]
+                left -= 1
+                out.append({"page": t["page"], "token": t["box"], "part": p["box"], "score": float(best[0])})
         return out
 
     c = [PAGE, "box", "x", "y", "w", "h"]
@@ -114,14 +179,19 @@ def iou_dedupe(rows: DataFrame, near: float = 12.0, least: float = 0.25) -> Data
 
     def keep(items: list[dict]) -> list[dict]:
         kept: list[dict] = []
+        grid = Grid.of(items)
         for r in sorted(items, key=lambda r: r["box"]):
-            for i, k in enumerate(kept):
+            for i in grid.near(_around(r, near, near)):
+                k = kept[i]
                 close = abs(r["x"] + r["w"] / 2 - k["x"] - k["w"] / 2) <= near and abs(r["y"] + r["h"] / 2 - k["y"] - k["h"] / 2) <= near
                 if (r["step"] == k["step"] and close) or _iou(r, k) >= least:
                     if r["score"] > k["score"]:
+                        grid.remove(i, _around(k, near, near))
                         kept[i] = r
+                        grid.add(i, _around(r, near, near))
                     break
             else:
+                grid.add(len(kept), _around(r, near, near))
                 kept.append(r)
         return kept
 
@@ -133,8 +203,11 @@ def nms_score(rows: DataFrame) -> DataFrame:
 
     def keep(items: list[dict]) -> list[dict]:
         kept: list[dict] = []
+        grid = Grid.of(items)
         for r in sorted(items, key=lambda r: (-r["score"], r.get("source") != "visual", r["y"], r["x"], r["box"])):
-            if not any(abs(r["y"] + r["h"] // 2 - k["y"] - k["h"] // 2) <= max(r["h"], k["h"]) * 0.8 and abs(r["x"] + r["w"] // 2 - k["x"] - k["w"] // 2) <= max(r["w"], k["w"]) * 1.2 for k in kept):
+            reach = _around(r, 1.2 * r["w"] + 1, 0.8 * r["h"] + 1, False)
+            if not any(abs(r["y"] + r["h"] // 2 - k["y"] - k["h"] // 2) <= max(r["h"], k["h"]) * 0.8 and abs(r["x"] + r["w"] // 2 - k["x"] - k["w"] // 2) <= max(r["w"], k["w"]) * 1.2 for k in (kept[i] for i in grid.near(reach))):
+                grid.add(len(kept), reach)
                 kept.append(r)
         return kept
 
@@ -142,21 +215,30 @@ def nms_score(rows: DataFrame) -> DataFrame:
 
 
 def nms_text(rows: DataFrame) -> DataFrame:
-    """Of rows with equal text the best score stays where they overlap by .55 of the smaller area or lie within 4 pixels."""
+    """Of rows with equal text the best score stays where they overlap by .55 of the smaller area or lie within 4 pixels.
+
+    A box without area overlaps any other by all of it.
+    """
 
     def keep(items: list[dict]) -> list[dict]:
         kept: list[dict] = []
+        grid, texts, flat = Grid.of(items), set(), set()
         for r in sorted(items, key=lambda r: (-r["score"], r["box"])):
-            for k in kept:
-                if k["text"] != r["text"]:
-                    continue
+            if r["text"] in flat or (r["text"] in texts and not r["w"] * r["h"]):
+                continue
+            for i in grid.near(_around(r, 4, 4), r["text"]):
+                k = kept[i]
                 w = min(r["x"] + r["w"], k["x"] + k["w"]) - max(r["x"], k["x"])
                 h = min(r["y"] + r["h"], k["y"] + k["h"]) - max(r["y"], k["y"])
                 dx, dy = r["x"] + r["w"] / 2 - k["x"] - k["w"] / 2, r["y"] + r["h"] / 2 - k["y"] - k["h"] / 2
                 if max(w, 0) * max(h, 0) >= 0.55 * min(r["w"] * r["h"], k["w"] * k["h"]) or (dx * dx + dy * dy) ** 0.5 <= 4:
                     break
             else:
+                grid.add(len(kept), _around(r, 4, 4), r["text"])
                 kept.append(r)
+                texts.add(r["text"])
+                if not r["w"] * r["h"]:
+                    flat.add(r["text"])
         return kept
 
     return _by_page(rows, [PAGE, "box", "text", "x", "y", "w", "h", "score"], keep)
