@@ -82,7 +82,7 @@ def example_delete(examples: DataFrame, prefixes: DataFrame, like_compat: bool =
     by_place = F.array(*(F.struct(F.lit(at).alias("at"), F.lit(n).alias("n")) for at, n in places)) if places else F.array().cast("array<struct<at:int,n:int>>")
     parts = ids.select("example_id", F.explode(F.filter(by_place, lambda p: p["at"] + p["n"] <= F.length("example_id"))).alias("p")).select("example_id", F.col("p.at").alias("at"), F.expr("substring(example_id, p.at + 1, p.n)").alias("part"))
     same = lambda m, c: F.when(m == "_", m).otherwise(c) if like_compat else c
-    begins = F.array_join(F.zip_with(F.split("prefix", ""), F.split(F.expr("substring(example_id, 1, length(prefix))"), ""), same), "") == F.col("prefix")
+    begins = (F.length("prefix") <= F.length("example_id")) & (F.array_join(F.zip_with(F.split("prefix", ""), F.split(F.expr("substring(example_id, 1, length(prefix))"), ""), same), "") == F.col("prefix"))
     gone = parts.join(named, ["at", "part"]).filter(begins).select("example_id")
     if free is not None:
         gone = gone.union(ids.filter(F.length("example_id") >= free))
