@@ -1,15 +1,16 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
 A candidate is a run of letters, digits, ``_``, ``+``, ``/`` and ``-``: 12 or more with a digit, or 24 or more without one; private
-key headers are candidates too, and so is any value right after an assignment to a name of _NAMES: to the closing quote, or else to
-white space, quotes or angle brackets without the punctuation that ends it. Such a value may hold a run that is a candidate too. Each becomes a finding with its offset and the text around it.
+key headers are candidates too, and so is any value right after an assignment to a name of _NAMES, which may go on after ``_`` or ``-``, or after
+the scheme of an authorisation header: to the closing quote, or else to white space, quotes or angle brackets without the
+punctuation that ends it; and what stands between a user and the host of an address. Such a value may hold a run that is a candidate too. Each becomes a finding with its offset and the text around it.
 The forest's features are the candidate's length, its transitions between character classes and how likely its letters follow
 each other in the corpus's words, digit and capital shares, the share of its letters in words that the corpus uses often
 (dictionary coverage), whether it stands in a path or address, and its neighbours: an assignment or quote before it, and how
 often the word before it goes with secrets (taken out of fold for the labelled findings themselves).
 
-Labelled findings are a table of the caller's, or planted ones: random keys and passwords (1) and compound words, hashes of
-addresses and checksums, numbers, dates and named prose (0), set into contexts of the corpus itself. Training takes at most
+Labelled findings are a table of the caller's, or planted ones: random keys, tokens and passwords of many shapes (1) and compound words, hashes of
+addresses and checksums, numbers, dates, placeholders and named prose (0), set into contexts of the corpus itself. Training takes at most
 MAX_LABELLED labelled findings (the first by hash); every candidate is scored. BEFORE and AFTER are how much context a finding
 keeps: features read no further.
 
@@ -35,9 +36,11 @@ MAX_LABELLED, MAX_PLANTED, OFTEN, SMOOTH, FOLDS = 20_000, 3_000, 20, 5.0, 5
 # fixed values: what a candidate looks like, and words that name secrets
 _RUN = r"(?:(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}|[A-Za-z_+/-]{24,})={0,2}"
 CANDIDATE = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----|(?<![A-Za-z0-9_+/-]){_RUN}"
-_NAMES = r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)"
-_MAYBE, _NAME_PARTS = "[0-9]|[A-Za-z_+/-]{24}|-----BEGIN", ("pass", "pwd", "secret", "token", "key", "credential", "auth")
-ASSIGNED = _NAMES + r"""["']?\s*[:=]+>?\s*["']?(?=((?<=")[^"\r\n]+(?=")|(?<=')[^'\r\n]+(?=')|[^\s"'`<>]*[^\s"'`<>.,;:)\]}]))"""
+_NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|(?<![a-z])pw|secret|token|(?:api|access|private|signing)[_-]?key|credential|auth)(?:[_-][a-z0-9_-]{0,30})?"
+_MAYBE, _NAME_PARTS = "[0-9]|[A-Za-z_+/-]{24}|-----BEGIN", ("pass", "pwd", "pw", "secret", "token", "key", "credential", "auth", "://")
+# a value follows a name and an assignment, a scheme of an authorisation header, or a user in an address
+_LEADS = rf"""(?i:{_NAMES}["']?\s*[:=]+>?\s*["']?|authorization["']?\s*[:=]+\s*["']?(?:bearer|basic|token)\s+|://[^\s/:@"'<>]{{0,64}}:)"""
+ASSIGNED = _LEADS + r"""(?=((?<=://[^\s/:@"'<>]{0,64}:)[^\s/@"'<>]+(?=@)|(?<!://[^\s/:@"'<>]{0,64}:)(?:(?<=")[^"\r\n]+(?=")|(?<=')[^'\r\n]+(?=')|[^\s"'`<>]*[^\s"'`<>.,;:)\]}])))"""
 BEFORE, AFTER = 60, 20
 FEATURES = ("length", "transitions", "likely", "digits", "capitals", "coverage", "in_path", "assigned", "quoted", "before_rate")
 
@@ -141,11 +144,36 @@ def planted(docs: DataFrame, most: int = MAX_PLANTED) -> DataFrame:
     def row(value: Column, before: Column, y: float) -> Column:
         return F.struct(value.alias("candidate"), F.concat("lead", before).alias("before"), F.lit(y).alias("y"))
 
+    draw = lambda salt: F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(1 << 20))
+    some = lambda salt, *options: pick(draw(salt), *(F.lit(o) for o in options))
     # fixed values: names and neighbours of secrets and of what only looks like one
-    named = pick(F.floor(F.col("k") / 7), F.lit('password = "'), F.lit("api_key: "), F.lit("secret="), F.lit('token => "'), F.lit("access_key = "), F.lit(""), F.lit("key "), F.lit('auth: "'))
-    short = F.concat(F.initcap(word(0)), F.expr("k % 97"), pick(F.col("k"), F.lit("!"), F.lit("#"), F.lit("$"), F.lit("")), F.substr(plain, F.lit(1), F.lit(3)))
-    key = pick(F.col("k"), F.substr("x", F.lit(1), F.lit(40)), F.substr("x", F.lit(1), F.lit(32)), F.substring(plain, 1, 24), F.concat(F.lit("AKIA"), F.upper(F.substring(plain, 1, 16))), F.substring("b", 1, 40), F.concat(F.lit("ghp_"), F.substring(plain, 1, 36)), F.substring("x", 1, 64), F.lit("-----BEGIN RSA PRIVATE KEY-----"))
-    secret = F.when(F.col("k") % 5 == 0, row(short, F.when(named == "", F.lit('passwd="')).otherwise(named), 1.0)).otherwise(row(key, named, 1.0))
+    name = F.concat(some(1, "", "", "db_", "MY_", "client-", "app_"), some(2, "password", "api_key", "secret", "token", "access_key", "auth", "passwd", "PASS", "pwd", "pw", "apikey"), some(3, "", "", "", "_key", "_value", "-2"))
+    named = F.when(draw(4) % 4 == 0, some(5, "", "key ", "use ", "")).otherwise(F.concat(name, some(6, " = ", ": ", "=", " => ", ":", " := "), some(7, "", '"', "'")))
+    always = F.concat(name, some(6, " = ", ": ", "=", " => ", ":", " := "), some(7, "", '"', "'"))
+    quoted = F.concat(name, some(6, " = ", ": ", "=", " => ", ":", " := "), some(8, '"', "'"))
+    piece = lambda salt, least, most: F.substr(F.translate(F.base64(F.unhex(F.sha2(F.concat(F.col("x"), F.lit(salt)), 256))), "+/=", "aZ9"), F.lit(1), (least + draw(salt) % (most - least + 1)).cast("int"))
+    letters = F.translate("x", "0123456789", "ghijklmnop")
+    mark = some(9, "!", "#", "$", "&", "%", "@", "")
+    short = F.concat(F.initcap(word(0)), F.expr("k % 97"), mark, F.substr(plain, F.lit(1), F.lit(3)))
+    secret = pick(
+        draw(10),
+        row(F.substr("x", F.lit(1), (20 + draw(11) % 60).cast("int")), named, 1.0),
+        row(piece("a", 16, 44), named, 1.0),
+        row(F.substr("b", F.lit(1), (20 + draw(11) % 44).cast("int")), named, 1.0),
+        row(F.concat(F.lit("AKIA"), F.upper(F.substring(plain, 1, 16))), named, 1.0),
+        row(F.concat(F.substr(letters, F.lit(1), (2 + draw(12) % 4).cast("int")), some(13, "_", "-"), piece("a", 16, 36)), named, 1.0),
+        row(F.concat_ws("-", F.substr(letters, F.lit(1), (2 + draw(12) % 4).cast("int")), F.substring(F.translate("x", "abcdef", "012345"), 1, 12), piece("a", 10, 24)), named, 1.0),
+        row(F.concat_ws(".", piece("a", 3, 20), piece("b", 3, 40), piece("c", 3, 40)), F.when(draw(14) % 2 == 0, some(15, "Authorization: Bearer ", "authorization: Token ", 'Authorization": "Bearer ')).otherwise(always), 1.0),
+        row(piece("a", 8, 40), some(15, "Authorization: Bearer ", "Authorization: Basic ", 'Authorization": "Bearer '), 1.0),
+        row(short, always, 1.0),
+        row(F.concat(piece("a", 3, 6), mark, piece("b", 3, 7)), always, 1.0),
+        row(F.concat(piece("a", 3, 6), mark, piece("b", 3, 7)), F.concat(some(16, "postgres://", "mysql://", "https://", "amqp://", "redis://"), F.lower(word(1)), F.lit(":")), 1.0),
+        row(short, F.concat(some(16, "postgres://", "mysql://", "https://", "amqp://", "redis://"), F.lower(word(1)), F.lit(":")), 1.0),
+        row(F.substr(letters, F.lit(1), (8 + draw(11) % 12).cast("int")), always, 1.0),
+        row(F.concat_ws(" ", F.lower(word(0)), piece("a", 1, 3), F.lower(word(2))), quoted, 1.0),
+        row(F.concat_ws(" ", piece("a", 1, 2), piece("b", 1, 2), piece("c", 1, 2)), quoted, 1.0),
+        row(F.lit("-----BEGIN RSA PRIVATE KEY-----"), some(17, "", "\n"), 1.0),
+    )
     hashed = pick(F.col("k"), F.substring("x", 1, 40), F.substring("x", 1, 32), F.substring("x", 1, 64), F.regexp_replace(F.substring("x", 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
     harmless = pick(
         F.floor(F.col("k") / 5),
@@ -157,7 +185,8 @@ def planted(docs: DataFrame, most: int = MAX_PLANTED) -> DataFrame:
         row(F.substring(F.translate("x", "abcdef", "012345"), 1, 16), pick(F.col("k"), F.lit(""), F.lit("number "), F.lit("phone: ")), 0.0),
         row(F.concat_ws("/", word(0), word(1), F.concat(word(2), F.expr("k % 10"))), F.lit(""), 0.0),
         row(F.concat_ws("_", word(0), word(1), word(2)), named, 0.0),
-        row(F.lower(word(0)), F.when(named == "", F.lit("password: ")).otherwise(named), 0.0),
+        row(F.lower(word(0)), always, 0.0),
+        row(some(18, "your_password_here", "${DB_PASSWORD}", "os.environ", "None", "null", "true", "********", "xxxxxxxxxxxx", "string", "required", "changes", "getpass()", "{{token}}", "self.token", "config.get('key')", "...", "N/A"), always, 0.0),
         row(F.concat(F.lit("2024-0"), F.expr("k % 9 + 1"), F.lit("-1"), F.expr("k % 9"), F.lit("T1"), F.expr("k % 7"), F.lit("-30-00")), F.lit("on "), 0.0),
     )
     return spot.select("doc_id", F.col("start").cast("long").alias("start"), "after", F.explode(F.array(secret, harmless)).alias("f")).select("doc_id", "start", "f.candidate", "f.before", "after", "f.y")
