@@ -59,6 +59,7 @@ def window_score(c: str = "") -> tuple[Column, Column]:
     span = F.greatest(F.lit(1), col("end") - col("start"))
     early = 1.0 - F.greatest(F.lit(0), col("page") - col("start")) / span
     plain = (col("kind") == "other") & ~col("number") & ~col("strong") & col("detected").isNull()
+    # fixed values: points and reasons of each sign, and the limits they are tied to
     terms = [
         (col("number"), 40.0, "+ number_box_found"), (~col("number"), -16.0, "- no_number_detected"),
         (exact & weak, 12.0, "+ exact_bag_number_match_weak"), (exact & ~weak, 85.0, "+ exact_bag_number_match"), (col("detected").isNull(), -10.0, "- no_bag_number"),

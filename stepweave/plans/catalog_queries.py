@@ -71,14 +71,14 @@ register("t03_colour_top5", lambda i: c.colour_top5(_asked(i), i.colors), f"WITH
 
 
 def _segments(i):
-    return i.inventories.filter("version = 1").select("set_num", F.col("inventory_id").alias("segment"), F.expr("array(cast(inventory_id * 37 % 256 as int), cast(inventory_id * 59 % 256 as int), cast(inventory_id * 83 % 256 as int))").alias("rgb"), F.expr("inventory_id % 10 / 10.0D").alias("density"))
+    return i.inventories.select("set_num", F.col("inventory_id").alias("segment"), F.expr("array(cast(inventory_id * 37 % 256 as int), cast(inventory_id * 59 % 256 as int), cast(inventory_id * 83 % 256 as int))").alias("rgb"), F.expr("inventory_id % 10 / 10.0D").alias("density"))
 
 
 register(
     "j24_rgb_match",
     lambda i: c.rgb_match(_segments(i), _req(i)),
     f"""WITH {_REQ}, pool AS (SELECT set_num, part_num, color_id, ('0x' || rgb[1:2])::INT AS r, ('0x' || rgb[3:4])::INT AS g, ('0x' || rgb[5:6])::INT AS b FROM req WHERE rgb IS NOT NULL),
-    seg AS (SELECT set_num, inventory_id AS segment, inventory_id * 37 % 256 AS qr, inventory_id * 59 % 256 AS qg, inventory_id * 83 % 256 AS qb, (inventory_id % 10 / 10.0)::DOUBLE AS density FROM inventories WHERE version = 1),
+    seg AS (SELECT set_num, inventory_id AS segment, inventory_id * 37 % 256 AS qr, inventory_id * 59 % 256 AS qg, inventory_id * 83 % 256 AS qb, (inventory_id % 10 / 10.0)::DOUBLE AS density FROM inventories),
     m AS (SELECT set_num, segment, part_num, color_id, round(0.92::DOUBLE * greatest(0, least(1, 1 - sqrt((qr - r) ** 2 + (qg - g) ** 2 + (qb - b) ** 2) / 441.6729::DOUBLE)) + 0.08::DOUBLE * CASE WHEN density > 0 THEN greatest(0, least(1, 1 - abs(density - 0.55::DOUBLE))) ELSE 0.5 END, 4) AS score FROM seg JOIN pool USING (set_num)),
     k AS (SELECT *, row_number() OVER (PARTITION BY set_num, segment ORDER BY score DESC, part_num, color_id) AS rank FROM m) SELECT set_num, segment, rank, part_num, color_id, score FROM k WHERE rank <= 5""",
 )

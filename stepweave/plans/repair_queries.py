@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stepweave.operators import repairs as r
 from stepweave.plans.base import register
+from stepweave.sources import files
 
 F = r.F
 register("w15_suspect_steps", lambda i: r.suspect_steps(i.page_steps))
@@ -60,4 +61,7 @@ register(
     """WITH s AS (SELECT doc_id AS crop, CASE WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 2 = 0 THEN doc_id % 4 + 1 ELSE 0 END AS first, CASE WHEN doc_id % 3 = 0 THEN 'qty' WHEN doc_id % 2 = 0 THEN 'saved_label' ELSE 'island_fallback' END AS source, CASE WHEN doc_id % 5 <= 3 THEN doc_id % 5 ELSE 0 END AS island FROM bundles),
     x AS (SELECT *, unnest(range(0, greatest(first, island))) AS slot FROM s) SELECT crop, slot, CASE WHEN slot < first THEN source ELSE 'island_fallback' END AS source FROM x""",
 )
-register("s09_embedding_scan", lambda i: i.vectors.select("vec_id", "label", F.size("embedding").alias("length")), "SELECT vec_id, label, len(embedding) AS length FROM vectors")
+register(
+    "s09_embedding_scan", lambda i: files.embedding_scan(i.vectors.select("vec_id", "embedding"), i.vectors.select("vec_id", "label")).select("vec_id", "label", "length", F.bround(F.element_at("embedding", -1).cast("double"), 6).alias("last")),
+    "SELECT vec_id, label, len(embedding) AS length, round_even(embedding[-1]::DOUBLE, 6) AS last FROM vectors",
+)

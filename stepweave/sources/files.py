@@ -80,6 +80,15 @@ def token_table(rows: DataFrame, scale: float = 1.0) -> DataFrame:
     return kept.select("text", *(v.alias(n) for n, v in scaled.items()), F.greatest(F.col("conf") / 100.0, F.lit(0.0)).alias("confidence"))
 
 
+def embedding_scan(vectors: DataFrame, items: DataFrame, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """Vectors with the columns of their item, joined by ``key``, and their ``length``.
+
+    Vectors that are null or empty, or hold a null or non-finite value, are dropped, as are items without a vector.
+    """
+    good = f"size({embedding}) > 0 AND forall({embedding}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
+    return vectors.select(key, embedding).filter(good).withColumn("length", F.size(embedding)).join(items, key)
+
+
 def crop_cache(rows: DataFrame) -> DataFrame:
     """Typed crops with the crop index from their id and reading order; rows without an id are dropped."""
     return rows.filter("crop_id IS NOT NULL AND crop_id <> ''").withColumn("crop_index", F.regexp_extract("crop_id", "_c([0-9]+)$", 1).try_cast("int"))
