@@ -6,8 +6,8 @@ Every operator partitions by ``set_id``; one shuffle by it serves a chain of the
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
-from itertools import groupby, islice
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -176,18 +176,48 @@ def sequence_gaps(known: DataFrame) -> DataFrame:
     return rows.select(SET, "step", page.alias("page"), "left_step", "right_step")
 
 
-def consecutive_accept(candidates: DataFrame, first: int = 1) -> DataFrame:
-    """In page order only the next expected number is kept, which then advances; others say why not. Order-dependent."""
-    def walk(rows: Iterator[dict]) -> Iterator[dict]:
-        expected = first
-        for r in rows:
-            good = r["bag"] == expected
-            yield {**r, "accepted": good, "reason": "" if good else "already passed" if r["bag"] < expected else "not the next number"}
-            expected += good
+def _accept(rows: Iterable[dict], expected: int) -> Iterator[dict]:
+    for r in rows:
+        good = r["bag"] == expected
+        yield {**r, "accepted": good, "reason": "" if good else "already passed" if r["bag"] < expected else "not the next number"}
+        expected += good
 
+
+def consecutive_accept(candidates: DataFrame, first: int = 1, pages: int | None = None) -> DataFrame:
+    """In page order only the next expected number is kept, which then advances; others say why not. Order-dependent.
+
+    With ``pages`` a manual is cut into ranges of so many pages, each in a task of its own. What a range makes of the number expected at its
+    start is a map, the identity but for the numbers that it holds: read backwards, a number leads to what its successor leads to
+    from there on. The maps of a manual's ranges are applied one after another, and each range then walks from its own start.
+    """
     lean = candidates.select(SET, "page", "bag").filter("bag IS NOT NULL")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lean.schema)
-    return fold_groups(lean, SET, ["page", "bag"], walk, f"{kinds}, accepted boolean, reason string")
+    if pages is None:
+        return fold_groups(lean, SET, ["page", "bag"], lambda rows: _accept(rows, first), f"{kinds}, accepted boolean, reason string")
+    kind = lean.schema[SET].dataType.simpleString()
+    dealt = lean.withColumn("span", F.expr(f"cast(page div {int(pages)} AS int)")).withColumn("part", F.struct(SET, "span"))
+
+    def lead(rows: Iterator[dict]) -> list[dict]:
+        held = list(rows)
+        to: dict[int, int] = {}
+        for r in reversed(held):
+            to[r["bag"]] = to.get(r["bag"] + 1, r["bag"] + 1)
+        return [{SET: held[0][SET], "span": held[0]["span"], "numbers": list(to), "leads": list(to.values())}]
+
+    def starts(rows: Iterator[dict]) -> Iterator[dict]:
+        expected = first
+        for r in rows:
+            yield {SET: r[SET], "span": r["span"], "expected": expected}
+            expected = dict(zip(r["numbers"], r["leads"])).get(expected, expected)
+
+    maps = fold_groups(dealt, "part", ["page", "bag"], lead, f"{SET} {kind}, span int, numbers array<int>, leads array<int>")
+    begin = fold_groups(maps, SET, ["span"], starts, f"{SET} {kind}, span int, expected int")
+
+    def walk(rows: Iterator[dict]) -> Iterator[dict]:
+        head = next(rows)
+        return _accept(chain([head], rows), head["expected"])
+
+    return fold_groups(dealt.join(begin, [SET, "span"]).withColumn("part", F.struct(SET, "span")), "part", ["page", "bag"], walk, f"{kinds}, accepted boolean, reason string")
 
 
 def asof_last_confirmed(pages: DataFrame, truth: DataFrame) -> DataFrame:

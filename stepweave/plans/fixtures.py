@@ -70,4 +70,6 @@ def oracle(select: str) -> str:
     own = select.strip()
     if not heads:
         return own
+    if own.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads}, {own[15:]}"
     return f"WITH {heads}, {own[5:]}" if own.upper().startswith("WITH ") else f"WITH {heads} {own}"

@@ -79,7 +79,18 @@ register(
     g AS (SELECT *, unnest(range(left_step + 1, right_step))::INT AS step FROM l WHERE right_step - left_step > 1)
     SELECT set_id, step, CASE WHEN right_page - left_page IN (0, 1) THEN left_page WHEN right_page - left_page = 2 THEN left_page + 1 ELSE left_page + greatest(0, round_even((right_page - left_page) * (step - left_step) / (right_step - left_step), 0)::INT) END AS page, left_step, right_step FROM g""",
 )
-register("w18_consecutive_accept", lambda i: q.consecutive_accept(i.starts.withColumn("bag", q.F.expr("bag - cast(page % 4 = 0 and bag > 2 as int)"))))
+
+
+def _jumpy(i):
+    return i.starts.withColumn("bag", q.F.expr("bag - cast(page % 4 = 0 and bag > 2 as int)"))
+
+
+_W18 = """WITH RECURSIVE c AS (SELECT set_id, page, bag - CAST(page % 4 = 0 AND bag > 2 AS INT) AS bag FROM starts),
+    taken AS (SELECT DISTINCT set_id, 0 AS n, -1 AS page FROM c UNION ALL SELECT t.set_id, t.n + 1, m.page FROM taken t, LATERAL (SELECT min(page) AS page FROM c WHERE c.set_id = t.set_id AND c.bag = t.n + 1 AND c.page > t.page) m WHERE m.page IS NOT NULL),
+    e AS (SELECT c.set_id, c.page, c.bag, (SELECT max(n) + 1 FROM taken t WHERE t.set_id = c.set_id AND t.page < c.page) AS expected FROM c)
+    SELECT set_id, page, bag, bag = expected AS accepted, CASE WHEN bag = expected THEN '' WHEN bag < expected THEN 'already passed' ELSE 'not the next number' END AS reason FROM e"""
+register("w18_consecutive_accept", lambda i: q.consecutive_accept(_jumpy(i)), _W18)
+register("w18_accept_in_ranges", lambda i: q.consecutive_accept(_jumpy(i), pages=25), _W18)
 _ASOF = "lastc AS (SELECT p.set_id, p.page, coalesce((SELECT max_by(t.bag, t.page * 100000 + t.bag) FROM truth t WHERE t.set_id = p.set_id AND t.page < p.page), 0) AS last_bag FROM page_steps p)"
 register("j10_asof_last_confirmed", lambda i: q.asof_last_confirmed(i.page_steps, i.truth), f"WITH {_ASOF} SELECT * FROM lastc")
 register("w20_infer_number", lambda i: q.infer_number(i.page_steps, i.truth), f"WITH {_ASOF} SELECT a.set_id, a.page, coalesce(t.bag, a.last_bag + 1) AS bag, CASE WHEN t.bag IS NOT NULL THEN 'existing_truth_same_page' ELSE 'last_confirmed_bag_sequence' END AS source FROM lastc a LEFT JOIN truth t USING (set_id, page)")
