@@ -175,7 +175,7 @@ def catalog_rank(asked: DataFrame, images: DataFrame, colors: DataFrame, pairs:
     """Candidates for each crop (query, set_num, rgb) among the images of its 6 nearest colours, first ``most`` by part.
 
     Score: colour distance, -60 in the set, -5 with an image, stock adjustment; with ``metallic`` -8 for a metal colour and 4 for any
-    other; 25 times the image difference where ``similarity`` (query, part_num, color_id, difference) has one. Smaller is
+    other; 25 times the image difference where ``similarity`` (query, part_num, color_id, difference), see ``images.image_differences``, has one. Smaller is
     better; ``hide_depleted`` leaves out what is used up. With enough candidates of the set (half of k, 3 at least) only
     those are listed. ``most`` and ``k`` are part of the rule.
     """

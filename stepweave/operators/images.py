@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
@@ -44,14 +44,10 @@ def _gray(p: np.ndarray) -> np.ndarray:
 BRIGHT, WIDEST, WEAK, STRONG = 210, 1_400, 80, 160
 
 
-def _shrunk(g: np.ndarray, most: int = WIDEST) -> np.ndarray:
-    """A grey image no wider than ``most``, each new pixel the mean of the area that it covers."""
-    width = g.shape[1]
-    if width <= most:
-        return g
-    for axis in (0, 1):
+def _resized(g: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A grey image of another size, each new pixel the rounded mean of the area that it covers."""
+    for axis, new in ((0, height), (1, width)):
         size = g.shape[axis]
-        new = max(1, int(size * (most / width)))
         sums = np.concatenate([np.zeros_like(g.take([0], axis)), g.cumsum(axis)], axis)
         at = np.linspace(0, size, new + 1)
         low = np.minimum(at.astype(int), size - 1)
@@ -60,6 +56,12 @@ def _shrunk(g: np.ndarray, most: int = WIDEST) -> np.ndarray:
     return np.floor(g + 0.5)
 
 
+def _shrunk(g: np.ndarray, most: int = WIDEST) -> np.ndarray:
+    """A grey image no wider than ``most``."""
+    height, width = g.shape
+    return g if width <= most else _resized(g, max(1, int(height * (most / width))), most)
+
+
 def edges(g: np.ndarray, weak: int = WEAK, strong: int = STRONG) -> np.ndarray:
     """Thin edges of a whole-number grey image.
 
@@ -93,6 +95,41 @@ def layout_signals(images: DataFrame) -> DataFrame:
     return _each(images, "bright_ratio double, edge_density double", rule)
 
 
+#: fixed values: side and edge limits of images that are compared, and the weight of contours
+SIDE, FAINT, CLEAR, CONTOURS = 96, 60, 160, 250.0
+
+
+def shape_features(images: DataFrame) -> DataFrame:
+    """(id, edge_density, quadrants, contours) of each image at SIDE x SIDE: edges all over and in each quarter, and borders of edge shapes.
+
+    A border is the outline of a shape of touching edge pixels or of a hole in one.
+    """
+
+    def rule(p: np.ndarray) -> list[dict]:
+        e = edges(_resized(np.floor(_gray(p) + 0.5), SIDE, SIDE), FAINT, CLEAR)
+        half = SIDE // 2
+        holes = int(_components(np.pad(~e, 1, constant_values=True), False).max()) - 1
+        quarters = [float(e[y : y + half, x : x + half].mean()) for y in (0, half) for x in (0, half)]
+        return [{"edge_density": float(e.mean()), "quadrants": quarters, "contours": int(_components(e).max()) + holes}]
+
+    return _each(images, "edge_density double, quadrants array<double>, contours int", rule)
+
+
+def shape_difference(a: str, b: str) -> Column:
+    """Mean of the differences of edge density, of its quarters and of the density of contours; null without both images' features."""
+    density = F.abs(F.col(f"{a}.edge_density") - F.col(f"{b}.edge_density"))
+    quarters = F.aggregate(F.zip_with(f"{a}.quadrants", f"{b}.quadrants", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: s + v) / 4
+    contours = F.abs(F.col(f"{a}.contours") - F.col(f"{b}.contours")) / F.lit(float(SIDE * SIDE)) * CONTOURS
+    return (density + quarters + contours) / 3
+
+
+def image_differences(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """``pairs`` (crop, image: ids of ``features``, and other columns) with their ``difference``; pairs without both features are dropped."""
+    side = lambda name: features.select(F.col("id").alias(name), F.struct("edge_density", "quadrants", "contours").alias(f"{name}_shape"))
+    met = pairs.join(side("crop"), "crop").join(side("image"), "image")
+    return met.withColumn("difference", shape_difference("crop_shape", "image_shape")).filter("difference IS NOT NULL").drop("crop_shape", "image_shape")
+
+
 def top_band(images: DataFrame) -> DataFrame:
     """White, warm and dark shares of the top 35 %, and whether the page goes on to costlier stages (also if unreadable)."""
 
@@ -154,8 +191,8 @@ def foreground_stats(images: DataFrame, floor: int = 16) -> DataFrame:
     return _each(images, "pixels int, mean array<int>, x int, y int, w int, h int, density double, aspect double", rule)
 
 
-def _components(mask: np.ndarray) -> np.ndarray:
-    """Labels of 8-connected components, 1 and up in reading order of their first pixel.
+def _components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
+    """Labels of components, 8-connected or else 4-connected, 1 and up in reading order of their first pixel.
 
     Runs of each row are joined with those of the row above that they touch; only runs are looped over, never pixels.
     """
@@ -174,10 +211,10 @@ def _components(mask: np.ndarray) -> np.ndarray:
     for y in range(1, height):
         above, here = range(start[y - 1], start[y]), start[y]
         for k in above:
-            while here < start[y + 1] and hi[here] < lo[k]:
+            while here < start[y + 1] and hi[here] < lo[k] + (not diagonal):
                 here += 1
             at = here
-            while at < start[y + 1] and lo[at] <= hi[k]:
+            while at < start[y + 1] and lo[at] <= hi[k] - (not diagonal):
                 a, b = find(k), find(at)
                 top[max(a, b)] = min(a, b)
                 at += 1

@@ -24,3 +24,12 @@ register(
         round(0.58::DOUBLE * least(1.0::DOUBLE, groups / 5.0::DOUBLE) + 0.34::DOUBLE * least(1.0::DOUBLE, arrows / 3.0::DOUBLE) + 0.08::DOUBLE * least(1.0::DOUBLE, pixels / 2400.0::DOUBLE), 4) AS candidate_score FROM e),
     r AS (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY score DESC, page) AS rank FROM k) SELECT "window", page, rank, score, candidate_score, groups >= 2 AND arrows >= 1 AND candidate_score >= 0.42 AS candidate FROM r WHERE rank <= 12""",
 )
+
+
+def _differences(i):
+    """Each image against the next one."""
+    pairs = i.vectors.select(g.F.col("vec_id").alias("crop"), (g.F.col("vec_id") + 1).alias("image"))
+    return g.image_differences(pairs, g.shape_features(g.grid_images(i.vectors)))
+
+
+register("j27_image_difference", _differences)

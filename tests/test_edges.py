@@ -65,3 +65,44 @@ def test_wide_images_shrink_by_area():
     odd = np.random.default_rng(1).integers(0, 256, (7, 2_000)).astype(float)
     small = images._shrunk(odd)
     assert small.shape == (4, 1_400) and abs(small.mean() - odd.mean()) < 1 and images._shrunk(odd[:, :1_400]) is not None
+
+
+def flood(cells, diagonal):
+    """Number of components."""
+    left, n = set(cells), 0
+    while left:
+        open_, n = [left.pop()], n + 1
+        while open_:
+            y, x = open_.pop()
+            for p in ((y + j, x + i) for j in (-1, 0, 1) for i in (-1, 0, 1) if diagonal or not (i and j)):
+                if p in left:
+                    left.discard(p)
+                    open_.append(p)
+    return n
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components(seed):
+    mask = np.random.default_rng(seed).random((17, 23)) < (0.3, 0.5, 0.6, 0.8)[seed]
+    for diagonal in (True, False):
+        assert images._components(mask, diagonal).max() == flood(map(tuple, np.argwhere(mask).tolist()), diagonal)
+
+
+def test_image_differences(spark):
+    rng = np.random.default_rng(5)
+    pages = [np.kron(rng.integers(0, 2, (12, 12)) * 255, np.ones((8, 8), int)).astype(np.uint8), np.zeros((96, 96), np.uint8), np.pad(np.full((40, 40), 200, np.uint8), 28)]
+    df = spark.createDataFrame([(i, 96, 96, 1, bytearray(p.tobytes())) for i, p in enumerate(pages)] + [(9, 96, 96, 1, None)], "id long, height int, width int, channels int, data binary")
+    facts = []
+    for p in pages:
+        e = plain_edges(p, 60, 160)
+        padded = {(y, x) for y in range(-1, 97) for x in range(-1, 97)} - e
+        quarters = [sum(y // 48 == a and x // 48 == b for y, x in e) / 48**2 for a in (0, 1) for b in (0, 1)]
+        facts.append((len(e) / 96**2, quarters, flood(e, True) + flood(padded, False) - 1))
+    got = {r["id"]: (r["edge_density"], r["quadrants"], r["contours"]) for r in images.shape_features(df).collect()}
+    assert {i: got[i] for i in range(3)} == dict(enumerate(facts)) and got[9] == (None, None, None) and facts[2][2] == 2
+    pairs = spark.createDataFrame([(a, b, 10 * a + b) for a in (0, 1, 2, 9) for b in (0, 1, 2, 7)], "crop long, image long, query long")
+    for r in images.image_differences(pairs, images.shape_features(df)).collect():
+        a, b = facts[r["crop"]], facts[r["image"]]
+        want = (abs(a[0] - b[0]) + sum(abs(x - y) for x, y in zip(a[1], b[1])) / 4 + abs(a[2] - b[2]) / 9216 * 250) / 3
+        assert abs(r["difference"] - want) < 1e-12 and r["query"] == 10 * r["crop"] + r["image"]
+    assert images.image_differences(pairs, images.shape_features(df)).count() == 9
