@@ -85,7 +85,7 @@ def context_counts(required: DataFrame) -> DataFrame:
     return required.agg(F.count("*").alias("parts"), F.sum("qty").alias("total"), F.count_if(F.col("img_url").isNull()).alias("without_image"))
 
 
-def nearest_colours(asked: DataFrame, colors: DataFrame, k: int = 6, per_cell: int = 16) -> DataFrame:
+def nearest_colours(asked: DataFrame, colors: DataFrame, k: int = 6, per_cell: float | None = None) -> DataFrame:
     """The ``k`` nearest colours of each (query, rgb array), of a palette of any size; ties go to the lower colour.
 
     Distinct asked colours visit rings of cells of the RGB cube, see ``nearest.nearest_palette``.

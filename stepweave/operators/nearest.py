@@ -262,28 +262,26 @@ def best_by_label(queries: DataFrame, memory: DataFrame, least: float, cell_rows
     return best, found.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
 
 
-def nearest_palette(wanted: DataFrame, palette: DataFrame, k: int, per_cell: int = 16) -> tuple[DataFrame, DataFrame]:
+def nearest_palette(wanted: DataFrame, palette: DataFrame, k: int, per_cell: float | None = None) -> tuple[DataFrame, DataFrame]:
     """((r, g, b, rank, color_id, distance), one row with the number of ``compared`` pairs) of distinct asked colours (r, g, b).
 
-    ``palette``: distinct colours (color_id, c). Cells have a side that leaves about ``per_cell`` colours each, were they spread evenly; the table of
-    occupied cells is at most (256 / side) ** 3 rows. Each asked colour visits its own ring of cells, then one ring more at
-    a time, and is done once its kth distance is below the distance of what lies outside.
+    ``palette``: distinct colours (color_id, c). Cells have a side that leaves about ``per_cell`` colours each, were they spread evenly, a third of
+    ``k`` if not given: then the kth is mostly nearer than a side. Each asked colour visits its own cell and those around it, then
+    one ring more at a time, and is done once its kth distance is below the distance of what lies outside.
     """
     n = palette.count()
-    side = int(min(256, max(8, round(256 * (per_cell / max(n, 1)) ** (1 / 3)))))
+    side = int(min(256, max(8, round(256 * ((per_cell or max(k / 3, 1)) / max(n, 1)) ** (1 / 3)))))
     spot = lambda c: F.expr(f"cast({c} div {side} AS int)")
     held = cut(palette.select("color_id", *(F.col("c")[i].alias(f"p{i}") for i in range(3))).select("color_id", "p0", "p1", "p2", *(spot(f"p{i}").alias(f"c{i}") for i in range(3))))
-    open_ = cut(wanted.select("r", "g", "b", F.lit(None).cast("double").alias("kth"), F.array().cast("array<struct<distance:double,color_id:bigint>>").alias("best")))
+    open_ = wanted.select("r", "g", "b", F.lit(None).cast("double").alias("kth"), F.array().cast("array<struct<distance:double,color_id:bigint>>").alias("best"))
     found, compared, cells = [], 0, -(-256 // side)
     own = lambda c: f"least(greatest({c} div {side}, 0), {cells - 1})"
-    for ring in range(cells):
-        if open_.isEmpty():
-            break
+    for ring in range(1, max(cells, 2)):
         axes = [F.explode(F.expr(f"sequence(greatest(0, {own(c)} - {ring}), least({cells - 1}, {own(c)} + {ring}))")).alias(f"c{i}") for i, c in enumerate("rgb")]
         asks = open_.select("r", "g", "b")
         for axis in axes:
             asks = asks.select("*", axis)
-        asks = asks.filter(f"greatest(abs(c0 - {own('r')}), abs(c1 - {own('g')}), abs(c2 - {own('b')})) = {ring}")
+        asks = asks.filter(f"greatest(abs(c0 - {own('r')}), abs(c1 - {own('g')}), abs(c2 - {own('b')})) {'<=' if ring == 1 else '='} {ring}")
         met = asks.withColumns({f"c{i}": F.col(f"c{i}").cast("int") for i in range(3)}).join(held, ["c0", "c1", "c2"])
         scored = met.select("r", "g", "b", F.struct(F.sqrt(((F.col("r") - F.col("p0")) * (F.col("r") - F.col("p0")) + (F.col("g") - F.col("p1")) * (F.col("g") - F.col("p1")) + (F.col("b") - F.col("p2")) * (F.col("b") - F.col("p2"))).cast("double")).alias("distance"), F.col("color_id").cast("long").alias("color_id")).alias("hit"))
         near = scored.withColumn("nth", F.row_number().over(Window.partitionBy("r", "g", "b").orderBy("hit"))).withColumn("seen", F.count("*").over(Window.partitionBy("r", "g", "b"))).filter(F.col("nth") <= k)
@@ -291,14 +289,15 @@ def nearest_palette(wanted: DataFrame, palette: DataFrame, k: int, per_cell: int
         merged = open_.join(near, ["r", "g", "b"], "left").withColumn("best", F.slice(F.array_sort(F.concat("best", F.coalesce("fresh", F.array().cast("array<struct<distance:double,color_id:bigint>>")))), 1, k))
         # the nearest colour outside the rings seen so far is beyond their edge, one more than the distance to its last value
         edge = ", ".join(f"if({own(c)} + {ring} >= {cells - 1}, 1000, ({own(c)} + {ring + 1}) * {side} - {c}), if({own(c)} - {ring} <= 0, 1000, {c} - ({own(c)} - {ring}) * {side} + 1)" for c in "rgb")
-        merged = cut(merged.withColumn("kth", F.expr(f"if(size(best) = {k}, best[{k - 1}].distance, NULL)")).withColumn("done", F.expr(f"coalesce(kth < least({edge}), false) OR {ring} = {cells - 1}")))
-        compared += merged.agg(F.sum("seen")).first()[0] or 0
+        merged = cut(merged.withColumn("kth", F.expr(f"if(size(best) = {k}, best[{k - 1}].distance, NULL)")).withColumn("done", F.expr(f"coalesce(kth < least({edge}), false) OR {ring} >= {cells - 1}")))
+        facts = merged.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("seen"), F.count_if(~F.col("done")).alias("left")).first()
+        compared += facts["seen"]
         found.append(merged.filter("done").select("r", "g", "b", "best"))
-        nxt = cut(merged.filter("NOT done").select("r", "g", "b", "kth", "best"))
-        discard(open_)
-        open_ = nxt
-    rows = open_.select("r", "g", "b", "best")  # none are left
-    for more in found:
+        open_ = merged.filter("NOT done").select("r", "g", "b", "kth", "best")
+        if not facts["left"]:
+            break
+    rows = found[0]
+    for more in found[1:]:
         rows = rows.unionByName(more)
     listed = rows.select("r", "g", "b", F.posexplode("best").alias("nth", "hit")).select("r", "g", "b", (F.col("nth") + 1).alias("rank"), "hit.color_id", "hit.distance")
     return listed, wanted.sparkSession.createDataFrame([(compared,)], "compared long")
