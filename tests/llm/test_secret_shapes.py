@@ -111,3 +111,22 @@ def test_recall_and_precision_on_another_generator(judged):
     missed = [r[1][r[2] - 30 : r[2] + 50] for r in rows if r[3] and not hit[r[0]]]
     assert recall >= 0.9, (recall, missed[:20])
     assert 400 * recall / (400 * recall + false) >= 0.9, (recall, false, [r[1][r[2] - 30 : r[2] + 50] for r in rows if not r[3] and hit[r[0]]][:20])
+
+
+def test_code_of_all_steps_compiles_on_the_driver(spark):
+    """Code past Spark's bound is only given up once the driver has built it; without that way out it is an error."""
+    corpus = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert secret_scan.planted(corpus, 300).count() > 300
+        assert {r["y"] for r in secret_scan.planted(corpus, 300).collect()} == {0.0, 1.0}
+        assert secret_scan.findings(corpus).filter("score IS NULL").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_features_are_joined_once(spark, capsys):
+    corpus = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    secret_scan.findings(corpus).explain()
+    said = capsys.readouterr().out
+    assert "FileScan" in said and "Join" not in said and "Exchange" not in said
