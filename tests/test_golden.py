@@ -1,6 +1,7 @@
 """Golden rows, worked out by hand, of rules that SQL doesn't express; and plain loops beside vectorised ones."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -263,3 +264,29 @@ def test_catalog_rank_terms(spark):
     far = round(3**0.5, 3)
     assert score() == {7: -5.0, 8: round(far - 30, 3), 9: round(far - 5 + 90, 3)}
     assert score(metallic=True, hide_depleted=True, similarity=alike) == {7: -13.0, 8: round(far - 30 + 4 + 12.5, 3)}
+
+
+def test_catalog_rank_lists_each_colour_once(spark):
+    """Against plain loops, with crops that share colours and sets whose own images are many, few or none; then many crops of one colour, in time."""
+    colors = [(i, "Blue", f"{i * 37 % 256:02x}{i * 91 % 256:02x}{i * 53 % 256:02x}") for i in range(1, 15)]
+    images_ = [(p, i, "" if p % 7 == 0 else "a") for i, *_ in colors for p in range(i % 3, 60, 1 + i % 4)]
+    crops = [(q, q % 9, [q % 5 * 50, q % 4 * 60, 40]) for q in range(200)] + [(200, 1, None)]
+    pairs = [(n, p, i) for n in range(6) for p, i, _ in images_ if (p * 31 + i) % (3 if n == 0 else 11 * n) == 0]
+    stock = [(p, i, p % 3 - 1) for p, i, _ in images_ if p % 4 == 0]
+    frames = [spark.createDataFrame(r, k) for r, k in ((crops, "query long, set_num long, rgb array<int>"), (images_, "part_num long, color_id long, img_url string"), (colors, "color_id long, name string, rgb string"), (pairs * 2, "set_num long, part_num long, color_id long"), (stock, "part_num long, color_id long, remaining int"))]
+    own, left, want = set(pairs), {(p, i): n for p, i, n in stock}, []
+    for k, most in ((20, 40), (4, 600)):
+        got = catalog.catalog_rank(*frames, k=k, most=most)
+        for q, n, rgb in crops[:-1]:
+            near = sorted((sum((a - int(h[j : j + 2], 16)) ** 2 for a, j in zip(rgb, (0, 2, 4))) ** 0.5, i) for i, _, h in colors)[:6]
+            far = {i: d for d, i in near}
+            first = sorted((p, i, url) for p, i, url in images_ if i in far)[:most]
+            rows = [(round(far[i] - (60 if (n, p, i) in own else 0) - (5 if url else 0) + (0 if (p, i) not in left else -30 if left[p, i] > 0 else 90), 3), p, i) for p, i, url in first]
+            mine = [r for r in rows if (n, *r[1:]) in own]
+            want += [(q, nth, p, i, score) for nth, (score, p, i) in enumerate(sorted(mine if len(mine) >= min(max(3, k // 2), k) else rows)[:k], 1)]
+        assert [tuple(r) for r in got.orderBy("query", "rank").collect()] == want
+        want = []
+    images_wide = spark.range(2_000).select("id", F.explode(F.sequence(F.lit(1), F.lit(14))).alias("color_id")).selectExpr("id AS part_num", "cast(color_id AS long) AS color_id", "'a' AS img_url")
+    many = spark.range(20_000).select(F.col("id").alias("query"), (F.col("id") + 100).alias("set_num"), F.array(F.lit(9), F.lit(9), F.lit(9)).alias("rgb"))
+    began = time.perf_counter()
+    assert catalog.catalog_rank(many, images_wide, *frames[2:]).count() == 400_000 and time.perf_counter() - began < 60  # 240 million rows, were each crop given its own list
