@@ -32,8 +32,8 @@ def reset_stream(steps: DataFrame, late: str = "10 minutes", least: int = 10, li
     late and changes nothing.
     """
     out = "set_id long, page int, low int, high int, previous int, bag_start boolean, late boolean"
-    rows = _on_rocksdb(steps).withWatermark("ts", late).groupBy("set_id")
-    return rows.transformWithStateInPandas(keyed.Resets(least, limit), out, "Append", "EventTime")
+    rows = _on_rocksdb(steps).withWatermark("ts", late).select("set_id", "page", "value", "ts", F.unix_millis("ts").alias("at")).groupBy("set_id")
+    return rows.transformWithState(keyed.Resets(least, limit), out, "Append", "EventTime")
 
 
 def incremental_scan(candidates: DataFrame, first: int = 1, forget_after: int | None = None) -> DataFrame:

@@ -2,58 +2,89 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 class Resets(StatefulProcessor):
-    """Pages that wait, an entry each with an event-time timer, and the last page that is done.
+    """Pages that wait, an entry for each PAGES of them, and of each set the last page that is done and when it is due.
 
-    A row touches its page's entry alone. A timer is set for the moment after the page's last row; when it fires, all pages
-    that the watermark has passed go in page order, and their entries are removed, so the state holds what is still open.
+    A row touches the entry of its page's block alone. One timer a set is due when the watermark has passed the last row of the page
+    that ends first; when it fires, all pages that the watermark has passed go in page order and leave their entries, so the state
+    holds what is still open. Calls to the store, not rows, are what a set costs: they grow with its blocks.
     """
 
+    PAGES = 128
+
     def __init__(self, least: int, limit: int) -> None:
         self.least, self.limit = least, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "page int", "low int, high int, last long")
-        self.done = handle.getValueState("done", "page int, previous int")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            batch = batch[batch["value"] > 0]
-            at = batch["ts"].astype("datetime64[ms]").astype("int64")
-            for page, low, high, last in batch.assign(at=at).groupby("page").agg(low=("value", "min"), high=("value", "max"), last=("at", "max")).itertuples():
-                name, old = (int(page),), None
-                if self.waiting.containsKey(name):
-                    old = self.waiting.getValue(name)
-                    low, high, last = min(low, old[0]), max(high, old[1]), max(last, old[2])
-                self.waiting.updateValue(name, (int(low), int(high), int(last)))
-                if old is None or last > old[2]:
-                    self.handle.registerTimer(int(last) + 1)
+        self.waiting = handle.getMapState("waiting", "block int", "page array<int>, low array<int>, high array<int>, last array<bigint>")
+        self.done = handle.getValueState("done", "page int, previous int, due long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        fresh: dict[int, dict[int, tuple]] = {}
+        for r in rows:
+            if r["page"] is not None and r["value"] is not None and r["value"] > 0:
+                block, at = fresh.setdefault(r["page"] // self.PAGES, {}), r["at"] or 0
+                low, high, last = block.get(r["page"], (r["value"], r["value"], at))
+                block[r["page"]] = min(low, r["value"]), max(high, r["value"]), max(last, at)
+        for number, pages in fresh.items():
+            for page, low, high, last in zip(*(self.waiting.getValue((number,)) or ())):
+                if page in pages:
+                    a, b, c = pages[page]
+                    pages[page] = min(a, low), max(b, high), max(c, last)
+                else:
+                    pages[page] = low, high, last
+            self._keep(number, pages)
+        if fresh:
+            page, previous, due = self.done.get() or (None, None, None)
+            self._wake(page, previous, due, fresh.values())
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def _keep(self, number: int, pages: dict[int, tuple]) -> None:
+        self.waiting.updateValue((number,), ([*pages], *([*column] for column in zip(*pages.values()))))
+
+    def _wake(self, page: int | None, previous: int | None, due: int | None, blocks: Iterable[dict[int, tuple]]) -> None:
+        """A timer for the first end among ``blocks``, if none is due before."""
+        first = min(last for pages in blocks for _, _, last in pages.values()) + 1
+        if due is None or first < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(first)
+            self.done.update((page, previous, first))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        ready = sorted((page[0], *entry) for page, entry in self.waiting.iterator() if entry[2] < passed)
-        if not ready:
-            return
-        page, previous = self.done.get() if self.done.exists() else (None, None)
-        out = []
-        for number, low, high, _ in ready:
-            self.waiting.removeKey((number,))
+        open_, ready = {}, []
+        for (number,), entry in self.waiting.iterator():
+            pages = {page: rest for page, *rest in zip(*entry)}
+            gone = [page for page, rest in pages.items() if rest[2] < passed]
+            ready += [(page, *pages.pop(page)) for page in gone]
+            open_[number] = pages, bool(gone)
+        page, previous, _ = self.done.get() or (None, None, None)
+        for number, low, high, _ in sorted(ready):
             late = page is not None and number <= page
             start = not late and high <= self.limit and low == 1 and previous is not None and previous >= self.least and previous - 1 >= self.least
-            out.append((key[0], number, low, high, previous, start, late))
+            yield Row(set_id=key[0], page=number, low=low, high=high, previous=previous, bag_start=start, late=late)
             if not late:
                 page, previous = number, high if high <= self.limit else previous
-        self.done.update((page, previous))
-        yield pd.DataFrame(out, columns=["set_id", "page", "low", "high", "previous", "bag_start", "late"]).astype({"previous": "Int32"})
+        for number, (pages, changed) in open_.items():
+            if not pages:
+                self.waiting.removeKey((number,))
+            elif changed:
+                self._keep(number, pages)
+        left = [pages for pages, _ in open_.values() if pages]
+        if left:
+            self._wake(page, previous, None, left)
+        else:
+            self.done.update((page, previous, None))
 
     def close(self) -> None:
         pass

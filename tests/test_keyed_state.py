@@ -3,10 +3,10 @@
 import random
 import time
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from stepweave.operators import sequences, state
-from stepweave.streaming import incremental
+from stepweave.streaming import incremental, keyed
 
 
 def fed(spark, tmp_path, parts, make, name="out", **trigger):
@@ -87,3 +87,51 @@ def test_truth_in_parts_is_m01(spark, tmp_path):
     key = lambda r: r[3]
     assert sorted(map(tuple, got.select(columns).collect()), key=key) == sorted(map(tuple, want.select(columns).collect()), key=key)
     assert kept(spark, tmp_path, "held").count() == len({r[:2] for r in rows})
+
+
+class Calls:
+    """A state of one key that counts the calls to it."""
+
+    def __init__(self):
+        self.n, self.maps, self.values, self.lists, self.timers = 0, {}, {}, {}, set()
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.n += 1
+            return getattr(Calls, f"_{name}")(self, *given)
+
+        return call
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getListState = getMapState
+    _getValue = lambda self, key: self.maps.get(key)
+    _updateValue = lambda self, key, value: self.maps.update({key: value})
+    _removeKey = lambda self, key: self.maps.pop(key)
+    _iterator = lambda self: list(self.maps.items())
+    _update = lambda self, value: self.values.update(all=value)
+    _registerTimer = lambda self, at: self.timers.add(at)
+    _deleteTimer = lambda self, at: self.timers.discard(at)
+    _appendList = lambda self, rows: self.lists.setdefault("all", []).extend(rows)
+
+    def _get(self):
+        return list(self.lists.get("all", [])) if self.lists or not self.values else self.values["all"]
+
+
+class At:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_resets_call_the_store_by_blocks(spark):
+    state, pages = Calls(), [Row(set_id=1, page=p, value=(p * 7) % 60 + 1, ts=None, at=p * 1_000) for p in range(1, 1_001)]
+    resets = keyed.Resets(10, 200)
+    resets.init(state)
+    for half in (pages[:500][::-1], pages[500:]):
+        assert list(resets.handleInputRows((1,), iter(half), None)) == []
+    assert state.n <= 30 and state.timers == {1_001}
+    out = list(resets.handleExpiredTimer((1,), At(700_000), None))
+    assert [r["page"] for r in out] == list(range(1, 700)) and 700_001 in state.timers and state.n <= 50
+    assert {p for entry in state.maps.values() for p in entry[0]} == set(range(700, 1_001))
+    assert [r["page"] for r in resets.handleExpiredTimer((1,), At(2_000_000), None)] == list(range(700, 1_001)) and not state.maps
