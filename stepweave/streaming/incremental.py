@@ -10,6 +10,8 @@ from stepweave.operators.stored import BUCKETS
 from stepweave.sources.versioned import Store
 from stepweave.streaming import keyed
 
+BAGS = 64
+
 
 def windowed_rate(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Events of each kind in tumbling or sliding windows; the same plan serves batch and stream."""
@@ -49,9 +51,13 @@ def incremental_scan(candidates: DataFrame, first: int = 1, forget_after: int |
 
 
 def truth_conflicts(detections: DataFrame) -> DataFrame:
-    """Outcome of each detection (set_id, bag, page, ordinal) against the first page its key had."""
+    """Outcome of each detection (set_id, bag, page, ordinal) against the first page its key had.
+
+    BAGS neighbouring bags of a set share a group of the state, as each group costs some calls to the store.
+    """
     out = "set_id long, bag int, page int, ordinal long, status string, existing_page int"
-    return _on_rocksdb(detections).groupBy("set_id", "bag").transformWithStateInPandas(keyed.Truth(), out, "Append", "None")
+    rows = _on_rocksdb(detections).select("set_id", "bag", "page", "ordinal", F.floor(F.col("bag") / BAGS).alias("block"))
+    return rows.groupBy("set_id", "block").transformWithState(keyed.Truth(), out, "Append", "None")
 
 
 def _on_rocksdb(rows: DataFrame) -> DataFrame:

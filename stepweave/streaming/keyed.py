@@ -118,23 +118,24 @@ class Scan(StatefulProcessor):
 
 
 class Truth(StatefulProcessor):
-    """The first page of each key."""
+    """The first page of each bag of a block of them, as a list to which new bags are added: a call to read and one to add."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "page int")
+        self.held = handle.getListState("held", "bag int, page int")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held, known = self.held.get()[0] if self.held.exists() else None, self.held.exists()
-        out = []
-        for r in pd.concat(list(rows)).sort_values("ordinal").itertuples():
-            if held is None:
-                held, status = int(r.page), "inserted"
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        held, fresh = dict(self.held.get()), []
+        for r in sorted(rows, key=lambda r: (r["ordinal"] is None, r["ordinal"])):
+            bag, page, first = r["bag"], r["page"], None
+            if bag not in held:
+                held[bag], status = page, "inserted"
+                fresh.append((bag, page))
             else:
-                status = "exists" if held == r.page else "conflict"
-            out.append((*key, r.page, r.ordinal, status, held if status == "conflict" else None))
-        if not known:
-            self.held.update((held,))
-        yield pd.DataFrame(out, columns=["set_id", "bag", "page", "ordinal", "status", "existing_page"]).astype({"existing_page": "Int32"})
+                status = "exists" if held[bag] == page else "conflict"
+                first = held[bag] if status == "conflict" else None
+            yield Row(set_id=r["set_id"], bag=bag, page=page, ordinal=r["ordinal"], status=status, existing_page=first)
+        if fresh:
+            self.held.appendList(fresh)
 
     def close(self) -> None:
         pass

@@ -135,3 +135,13 @@ def test_resets_call_the_store_by_blocks(spark):
     assert [r["page"] for r in out] == list(range(1, 700)) and 700_001 in state.timers and state.n <= 50
     assert {p for entry in state.maps.values() for p in entry[0]} == set(range(700, 1_001))
     assert [r["page"] for r in resets.handleExpiredTimer((1,), At(2_000_000), None)] == list(range(700, 1_001)) and not state.maps
+
+
+def test_truth_calls_the_store_once_for_many_bags(spark):
+    state, truth = Calls(), keyed.Truth()
+    truth.init(state)
+    rows = [Row(set_id=1, bag=b, page=b + k, ordinal=k * 100 + b, block=0) for k in range(3) for b in range(64)]
+    out = list(truth.handleInputRows((1, 0), iter(rows[::-1]), None))
+    assert [r["status"] for r in out] == ["inserted"] * 64 + ["conflict"] * 128 and out[-1]["existing_page"] == 63
+    assert state.n == 2 and len(state.lists["all"]) == 64
+    assert [r["status"] for r in truth.handleInputRows((1, 0), iter(rows[:64]), None)] == ["exists"] * 64 and state.n == 3
