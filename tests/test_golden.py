@@ -3,12 +3,14 @@
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stepweave.functions import scalars
 from stepweave.operators import acceptance, audits, boxes, catalog, images, repairs, sequences, state
+from stepweave.plans import registry
 
 BOX = "page long, box int, x int, y int, w int, h int"
 
@@ -290,3 +292,14 @@ def test_catalog_rank_lists_each_colour_once(spark):
     many = spark.range(20_000).select(F.col("id").alias("query"), (F.col("id") + 100).alias("set_num"), F.array(F.lit(9), F.lit(9), F.lit(9)).alias("rgb"))
     began = time.perf_counter()
     assert catalog.catalog_rank(many, images_wide, *frames[2:]).count() == 400_000 and time.perf_counter() - began < 60  # 240 million rows, were each crop given its own list
+
+
+def test_unit_vectors_keep_the_sign_of_zero(spark, tmp_path):
+    """What rounds to zero from below is -0.0, in Spark and in the query's SQL alike."""
+    given = [(1, [1.0, -1e-7, 1e-7, -0.0, 0.0], 0), (2, [-3.0, 4.0, -2.5e-6, -1e-5, 0.0], 0)]
+    spark.createDataFrame(given, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.QUERIES["f13_l2_normalize"](spark, str(tmp_path)).orderBy("vec_id").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert repr([tuple(r) for r in got]) == repr(con.execute(f"{registry.ORACLES['f13_l2_normalize']} ORDER BY vec_id").fetchall())
+    assert [str(v) for v in got[0]["unit"]] == ["1.0", "-0.0", "0.0", "-0.0", "0.0"]
