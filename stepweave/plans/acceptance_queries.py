@@ -5,6 +5,7 @@ from __future__ import annotations
 from stepweave.operators import acceptance as a, pages as p, sequences as q
 from stepweave.plans.base import register
 from stepweave.plans.page_queries import _ROLES
+from stepweave.session import cut
 
 F = a.F
 
@@ -85,11 +86,15 @@ register("a11_gap_class_counts", lambda i: p.class_counts(a.gap_parity(*_gap_tab
 
 
 def _sections(i):
-    b = i.boxes.selectExpr("page AS set_id", "box % 2 AS bag", "concat('c', box) AS crop_id", "box AS value", "x", "y", "h")
+    """Both runs are of the same boxes, so each box is one row of facts with all its roles, and another as a false step."""
+    b = cut(i.boxes.select("page", "box", "x", "y", "h")).selectExpr("page AS set_id", "box % 2 AS bag", "concat('c', box) AS crop_id", "box AS value", "x", "y", "h")
     sections = b.groupBy("set_id", "bag").agg(F.min("x").alias("start_page"), F.max("x").alias("end_page"))
     found = sections.withColumn("start_page", F.expr("start_page + if(set_id % 5 = 0, 1, 0)"))
-    present = b.filter("y % 29 <> 0").select("set_id", "bag", "value").unionByName(b.filter("y % 31 = 0").select("set_id", "bag", (F.col("value") + 100).alias("value")))
-    return a.section_parity(sections, found, (b.filter("y % 3 = 0"), b.filter("x % 11 <> 0")), (b, present), b.filter("value % 3 = 0"), b.filter("y % 4 = 0"), (b.selectExpr("set_id", "bag", "crop_id", "if(value % 4 = 0, null, h) AS qty"), b.selectExpr("set_id", "bag", "crop_id", "h + if(x % 23 = 0, 1, 0) AS qty")))
+    roles = {"old_id": "y % 3 = 0", "new_id": "x % 11 <> 0", "expected": "true", "present": "y % 29 <> 0", "label": "value % 3 = 0", "visible": "y % 4 = 0", "old_qty": "value % 4 <> 0", "new_qty": "true"}
+    each = b.withColumns({"old_qty": F.col("h"), "new_qty": F.expr("h + if(x % 23 = 0, 1, 0)")})
+    facts = a.role_facts(each, {role: F.expr(when) for role, when in roles.items()})
+    false_steps = a.role_facts(b.filter("y % 31 = 0").withColumn("value", F.col("value") + 100), {"present": F.lit(True)})
+    return a.section_parity_of(sections, found, facts.unionByName(false_steps))
 
 
 register(

@@ -321,3 +321,31 @@ def test_element_lookup_grows_with_what_is_asked(spark):
     began = time.perf_counter()
     rows = catalog.element_lookup(sets.selectExpr("id AS set_num", "10L AS element_id"), elements, sets.selectExpr("id AS inventory_id", "1L AS part_num", "1L AS color_id", "cast(id % 9 AS int) AS quantity"), sets.selectExpr("id AS inventory_id", "id AS set_num"), fallback)
     assert rows.filter("quantity = set_num % 9").count() == 20_000 and time.perf_counter() - began < 60  # 400 million rows, were each set given all rows of its parts
+
+
+def test_section_parity_counts_in_one_pass(spark):
+    """Against plain loops over rows that repeat and lack keys, ids, steps or quantities; and how often facts are shuffled."""
+    rng = random.Random(7)
+    some = lambda *of: rng.choice(of)
+    make = lambda n, *columns: [(some(1, 1, 2, None), some(0, 1), *(some("a", "b", "c", "d", None) if c == "crop_id" else some(1, 2, 3, 4, None) for c in columns)) for _ in range(n)]
+    kinds = {"crop_id": "crop_id string", "value": "value int", "qty": "qty int"}
+    shape = [("crop_id",), ("crop_id", "value"), ("value",), ("value",), ("crop_id",), ("value",), ("crop_id", "qty"), ("crop_id", "qty")]
+    tables = [make(n, *c) for n, c in zip((9, 12, 14, 12, 9, 9, 20, 20), shape)]
+    frame = lambda rows, *columns: spark.createDataFrame(rows, ", ".join(("set_id long, bag int", *(kinds.get(c, f"{c} int") for c in columns))))
+    sections = [(s, g, s, g) for s in (1, 2, 3) for g in (0, 1)] + [(None, 0, 1, 1)]
+    found = [(1, 0, 1, 0), (1, 1, 1, 9), (3, 0, 3, 0), (None, 0, 1, 1)]
+    old_ids, new_ids, expected, present, labels, visible, old_qty, new_qty = tables
+    lacking = lambda s, g, rows, other, at=2, by=2: sum(r[:2] == (s, g) and (None in r or not any(o[:2] == (s, g) and o[by] == r[at] for o in other)) for r in rows)
+    want = []
+    for s, g, a, b in sections:
+        counts = [0] * 6
+        if s is not None:
+            pairs = [(x, y) for x in old_qty for y in new_qty if x[:3] == y[:3] and x[:2] == (s, g) and None not in x]
+            counts = [lacking(s, g, old_ids, new_ids), lacking(s, g, expected, present), lacking(s, g, present, expected), lacking(s, g, labels, new_ids), lacking(s, g, visible, new_ids, by=3), sum(x[3] != y[3] for x, y in pairs)]
+        holds = s is not None and (s, g, a, b) in found
+        want.append((s, g, holds, *counts, counts[1] + counts[2] == 0, holds and not any(counts)))
+    frames = [frame(rows, *c) for rows, c in zip(tables, shape)]
+    made = acceptance.section_parity(frame(sections, "start_page", "end_page"), frame(found, "start_page", "end_page"), tuple(frames[:2]), tuple(frames[2:4]), *frames[4:6], tuple(frames[6:]))
+    assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, want))
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") <= 4  # facts once; sections and what was found may move too
